@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 VIEWS: dict[str, str] = {}
+REUSED = {"v_wer", "v_state", "v_vad", "v_live"}
 
 
 def words_sql(text: str) -> str:
@@ -206,3 +207,83 @@ SELECT p.id, p.conv_id, p.turn, p.sys, len(p.r) AS n_ref, len(p.h) AS n_hyp, x.d
        audio_sec, CASE p.sys WHEN 'a' THEN infer_a ELSE infer_b END AS infer_sec
 FROM v_pair p JOIN v_dp x ON x.id = p.id AND x.sys = p.sys AND x.i = len(x.r) JOIN v_hyp h ON h.id = p.id
 """
+
+
+def lcp_sql(a: str, b: str) -> str:
+    n = f"least(len({a}), len({b}))"
+    miss = f"list_filter(range(1, {n} + 1), lambda i: {a}[i] <> {b}[i])"
+    return f"coalesce(list_min({miss}) - 1, {n})"
+
+
+def overlap_sql(a: str, b: str, limit: int) -> str:
+    fits = f"list_filter(range(1, least({limit}, len({a}), len({b})) + 1), lambda k: {a}[len({a}) - k + 1:] = {b}[1:k])"
+    return f"coalesce(list_max({fits}), 0)"
+
+
+def draft_tail_sql(c: str, d: str) -> str:
+    cut = f"greatest({lcp_sql(c, d)}, {overlap_sql(c, d, 64)})"
+    return f"CASE WHEN len({c}) = 0 OR len({d}) = 0 THEN {d} ELSE {d}[{cut} + 1:] END"
+
+
+VIEWS["v_state"] = f"""
+SELECT stream, segment, seq, action, words, confirmed, CASE WHEN action = 'flush' THEN CAST([] AS VARCHAR[]) ELSE {draft_tail_sql('confirmed', 'words')} END AS hypothesis
+FROM (SELECT *, CASE WHEN len(lists) < 2 THEN CAST([] AS VARCHAR[]) WHEN action = 'flush' THEN lists[1] ELSE lists[1][1:{lcp_sql('lists[1]', 'lists[2]')}] END AS confirmed
+  FROM (SELECT *, list(words) OVER (PARTITION BY stream, segment ORDER BY seq ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS lists FROM v_part))
+"""
+
+VIEWS["v_vad"] = """
+SELECT stream, seq, dbfs, coalesce(last_value(event IGNORE NULLS) OVER w, false) AS speech
+FROM (SELECT *, CASE WHEN hot >= 640 THEN true WHEN quiet >= 640 THEN false END AS event
+  FROM (SELECT stream, seq, dbfs, sum(CASE WHEN dbfs >= -20 THEN frame_ms ELSE 0 END) OVER (PARTITION BY stream, hot_island ORDER BY seq) AS hot,
+               sum(CASE WHEN dbfs <= -30 THEN frame_ms ELSE 0 END) OVER (PARTITION BY stream, quiet_island ORDER BY seq) AS quiet
+    FROM (SELECT *, sum(CASE WHEN dbfs >= -20 THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY seq) AS hot_island,
+                 sum(CASE WHEN dbfs <= -30 THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY seq) AS quiet_island FROM v_en)))
+WINDOW w AS (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+"""
+
+VIEWS["v_live"] = """
+SELECT stream, seq, k, action = 'flush' AS is_flush, action <> 'flush' AS is_speech, confirmed, hypothesis, concat_ws(' ', nullif(confirmed, ''), nullif(hypothesis, '')) AS merged,
+       k * 5120 - (k % 3) * 2000 AS cursor, k * 0.32::DOUBLE + 0.05::DOUBLE + 0.02::DOUBLE * (k % 7) + 0.3::DOUBLE * (k % 41) AS ready_at
+FROM (SELECT stream, seq, action, array_to_string(confirmed, ' ') AS confirmed, array_to_string(hypothesis, ' ') AS hypothesis,
+             row_number() OVER (PARTITION BY stream ORDER BY seq) AS k, row_number() OVER (PARTITION BY stream ORDER BY seq DESC) AS left_over FROM v_state)
+WHERE NOT (stream % 4 = 0 AND left_over = 1)
+"""
+
+VIEWS["v_mark"] = """
+SELECT stream, k * 5120 AS cursor, k * 0.32::DOUBLE + 0.01::DOUBLE * (k % 5) AS received_at
+FROM (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY seq) AS k FROM v_state)
+"""
+
+VIEWS["v_step"] = """
+SELECT l.*, m.received_at AS ingress_at,
+       coalesce(lag(is_speech) OVER w, false) AS prev_speech, coalesce(lag(confirmed) OVER w, '') AS prev_confirmed,
+       coalesce(lag(hypothesis) OVER w, '') AS prev_hypothesis, coalesce(lag(l.merged) OVER w, '') AS prev_merged,
+       max(CASE WHEN is_flush THEN seq END) OVER (PARTITION BY l.stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS flushed_before
+FROM v_live l ASOF LEFT JOIN v_mark m ON m.stream = l.stream AND greatest(1, l.cursor) <= m.cursor
+WINDOW w AS (PARTITION BY l.stream ORDER BY seq)
+"""
+
+VIEWS["v_spoken"] = """
+SELECT s.*, o.start_seq, o.segment_no, o.start_ingress, o.base_confirmed, o.base_hypothesis, o.base_merged
+FROM v_step s ASOF JOIN (SELECT stream, seq AS start_seq, row_number() OVER (PARTITION BY stream ORDER BY seq) AS segment_no, ingress_at AS start_ingress,
+    prev_confirmed AS base_confirmed, prev_hypothesis AS base_hypothesis, prev_merged AS base_merged FROM v_step WHERE is_speech AND NOT prev_speech) o
+  ON o.stream = s.stream AND s.seq >= o.start_seq
+WHERE flushed_before IS NULL OR flushed_before < o.start_seq
+"""
+
+VIEWS["v_first"] = """
+SELECT stream, segment_no, min(start_ingress) AS start_ingress,
+       arg_min(ready_at, seq) FILTER (WHERE is_speech AND hypothesis <> base_hypothesis) AS draft_at,
+       arg_min(ready_at, seq) FILTER (WHERE is_speech AND merged <> base_merged) AS merged_at,
+       arg_min(ready_at, seq) FILTER (WHERE is_flush AND confirmed <> base_confirmed) AS final_at,
+       max(ready_at) AS last_at, max(CASE WHEN is_flush THEN 1 ELSE 0 END) AS flushed, arg_max(merged, seq) AS last_merged
+FROM v_spoken GROUP BY stream, segment_no
+"""
+
+VIEWS["v_series"] = """
+SELECT 'draft_first_token' AS series, greatest(0, (draft_at - start_ingress) * 1000) AS ms FROM v_first WHERE draft_at IS NOT NULL
+UNION ALL SELECT 'merged_first_token', greatest(0, (merged_at - start_ingress) * 1000) FROM v_first WHERE merged_at IS NOT NULL
+UNION ALL SELECT 'final_confirmed', greatest(0, (final_at - start_ingress) * 1000) FROM v_first WHERE final_at IS NOT NULL
+UNION ALL SELECT 'final_confirmed', greatest(0, (last_at - start_ingress) * 1000) FROM v_first WHERE flushed = 0 AND trim(last_merged) <> ''
+UNION ALL SELECT 'draft_ready', greatest(0, (ready_at - ingress_at) * 1000) FROM v_step WHERE hypothesis <> prev_hypothesis AND ingress_at IS NOT NULL
+"""

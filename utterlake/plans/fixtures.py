@@ -364,3 +364,39 @@ def pay(spark: SparkSession, sf: str) -> DataFrame:
         F.slice("e.at", F.lit(1), F.when(F.col("stream") % 2 == 0, n - 1).otherwise(n)).alias("cursors"),
         F.slice("e.stamps", F.lit(1), F.floor(n / 2).cast("int")).alias("stamps"),
     )
+
+
+def state(spark: SparkSession, sf: str) -> DataFrame:
+    """Confirmed and hypothesis words of every partial and flush row."""
+    from utterlake.operators.stabilize import stabilize
+
+    return stabilize(part(spark, sf), ["stream", "segment"], "seq", "words", F.col("action") == "flush")
+
+
+def live(spark: SparkSession, sf: str) -> DataFrame:
+    """Stabiliser events with audio cursor and ready time; some streams end without a flush."""
+    d = ordinal(state(spark, sf), ["stream"], "seq", "k")
+    last = d.groupBy("stream").agg(F.max("k").alias("n"))
+    d = d.join(last, "stream").where(~((F.col("stream") % 4 == 0) & (F.col("k") == F.col("n"))))
+    k = F.col("k")
+    c, h = F.array_join("confirmed", " "), F.array_join("hypothesis", " ")
+    return d.select(
+        "stream",
+        "seq",
+        "k",
+        (F.col("action") == "flush").alias("is_flush"),
+        (F.col("action") != "flush").alias("is_speech"),
+        c.alias("confirmed"),
+        h.alias("hypothesis"),
+        X.merged_transcript(c, h).alias("merged"),
+        (k * 5120 - (k % 3) * 2000).alias("cursor"),
+        (k * F.lit(0.32) + 0.05 + F.lit(0.02) * (k % 7) + F.lit(0.3) * (k % 41)).alias("ready_at"),
+    )
+
+
+def mark(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("k")
+    d = ordinal(part(spark, sf).select("stream", "seq"), ["stream"], "seq", "k")
+    return d.select(
+        "stream", (k * 5120).alias("cursor"), (k * F.lit(0.32) + F.lit(0.01) * (k % 5)).alias("received_at")
+    )

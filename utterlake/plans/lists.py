@@ -9,23 +9,12 @@ from utterlake.functions import text as X
 from utterlake.operators import planning as P
 from utterlake.operators import tokens as T
 from utterlake.plans import fixtures as fx
-from utterlake.plans.fixture_sql import words_sql
+from utterlake.plans.fixture_sql import draft_tail_sql, lcp_sql, overlap_sql, words_sql
 from utterlake.plans.registry import query
 from utterlake.plans.texts import ALNUM_SQL
 
 
 # DuckDB text of the list functions; arguments are column names or short expressions.
-def lcp_sql(a: str, b: str) -> str:
-    n = f"least(len({a}), len({b}))"
-    miss = f"list_filter(range(1, {n} + 1), lambda i: {a}[i] <> {b}[i])"
-    return f"coalesce(list_min({miss}) - 1, {n})"
-
-
-def overlap_sql(a: str, b: str, limit: int) -> str:
-    fits = f"list_filter(range(1, least({limit}, len({a}), len({b})) + 1), lambda k: {a}[len({a}) - k + 1:] = {b}[1:k])"
-    return f"coalesce(list_max({fits}), 0)"
-
-
 def fenced_sql(a: str) -> str:
     return f"(' ' || array_to_string({a}, ' ') || ' ')"
 
@@ -50,11 +39,6 @@ def append_sql(b: str, s: str, max_overlap=256, search=2048, shortest=4, longest
       ELSE list_concat({b}, {s}[{known} + 1:]) END"""
 
 
-def draft_tail_sql(c: str, d: str) -> str:
-    cut = f"greatest({lcp_sql(c, d)}, {overlap_sql(c, d, 64)})"
-    return f"CASE WHEN len({c}) = 0 OR len({d}) = 0 THEN {d} ELSE {d}[{cut} + 1:] END"
-
-
 EDGE_SQL = r"lower(regexp_replace(regexp_replace({}, '^\p{{P}}+', ''), '\p{{P}}+$', ''))"
 
 

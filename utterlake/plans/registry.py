@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from utterlake.plans.fixture_sql import VIEWS
+from utterlake.plans.fixture_sql import REUSED, VIEWS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,7 +23,8 @@ def with_views(sql: str) -> str:
             if name not in need and re.search(rf"\b{name}\b", text):
                 need.add(name)
                 todo.append(VIEWS[name])
-    ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in VIEWS if n in need)
+    hint = {n: " MATERIALIZED" if n in REUSED else "" for n in VIEWS}
+    ctes = ", ".join(f"{n} AS{hint[n]} ({VIEWS[n]})" for n in VIEWS if n in need)
     if not ctes:
         return sql
     body = re.sub(r"(?i)^with(\s+recursive)?\b", ",", sql.strip())
