@@ -40,17 +40,42 @@ def lcp_len(a: Column, b: Column) -> Column:
 
 def lcp_all(lists: Column) -> Column:
     """Longest common prefix of a list of lists."""
-    shortest = F.array_min(F.transform(lists, lambda l: lcp_len(lists[0], l)))
-    return F.when(F.size(lists) == 0, F.array().cast("array<string>")).otherwise(
-        take_first(lists[0], shortest)
-    )
+
+    def body(l: Column) -> Column:
+        first = F.get(l, F.lit(0))
+        shortest = F.array_min(F.transform(l, lambda x: lcp_len(first, x)))
+        return F.when(F.size(l) == 0, F.array().cast("array<string>")).otherwise(take_first(first, shortest))
+
+    return let(lists, body)
 
 
 def suffix_prefix_overlap(a: Column, b: Column, limit: int) -> Column:
     """Largest k up to ``limit`` with the last k of ``a`` equal to the first k of ``b``."""
-    top = F.least(F.lit(limit), F.size(a), F.size(b))
-    fits = F.filter(count_to(top), lambda k: F.slice(a, F.size(a) - k + 1, k) == F.slice(b, F.lit(1), k))
-    return F.coalesce(F.array_max(fits), F.lit(0)).cast("bigint")
+
+    def body(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        n = F.size(x)
+        # The two end words are compared first; few lengths get as far as the lists.
+        fits = F.filter(
+            count_to(F.least(F.lit(limit), n, F.size(y))),
+            lambda k: (F.get(y, k - 1) == p["end"])
+            & (F.get(x, n - k) == p["start"])
+            & (F.slice(x, n - k + 1, k) == F.slice(y, F.lit(1), k)),
+        )
+        return F.coalesce(F.array_max(fits), F.lit(0)).cast("bigint")
+
+    return let(
+        F.struct(a.alias("x"), b.alias("y")),
+        lambda q: let(
+            F.struct(
+                q["x"].alias("x"),
+                q["y"].alias("y"),
+                F.get(q["x"], F.size(q["x"]) - 1).alias("end"),
+                F.get(q["y"], F.lit(0)).alias("start"),
+            ),
+            body,
+        ),
+    )
 
 
 def suffix_prefix_overlap_norm(a: Column, b: Column, limit: int) -> Column:
@@ -221,8 +246,13 @@ def accept_merge(strategy: Column, base_count: Column, next_count: Column) -> Co
 
 def draft_tail(confirmed: Column, draft: Column) -> Column:
     """Draft words not yet in the confirmed list."""
-    cut = F.greatest(lcp_len(confirmed, draft), suffix_prefix_overlap(confirmed, draft, 64))
-    return F.when((F.size(confirmed) == 0) | (F.size(draft) == 0), draft).otherwise(drop_first(draft, cut))
+
+    def body(p: Column) -> Column:
+        c, d = p["c"], p["d"]
+        cut = F.greatest(lcp_len(c, d), suffix_prefix_overlap(c, d, 64))
+        return F.when((F.size(c) == 0) | (F.size(d) == 0), d).otherwise(drop_first(d, cut))
+
+    return let(F.struct(confirmed.alias("c"), draft.alias("d")), body)
 
 
 def fold_merge(chunks: Column) -> Column:

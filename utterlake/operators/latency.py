@@ -9,6 +9,7 @@ from utterlake.functions import arrays as A
 from utterlake.operators import metrics as M
 from utterlake.operators.joins import asof_forward
 from utterlake.operators.ordered import Running, recent, running
+from utterlake.session import cut_lineage
 from utterlake.operators.stabilize import is_correction, with_previous
 
 
@@ -27,7 +28,7 @@ def steps(events: DataFrame, marks: DataFrame, keys: list[str], order: str) -> D
     d = with_ingress(events, marks, keys)
     d = d.withColumn("flush_seq", F.when(F.col("is_flush"), F.col(order)))
     empty = F.lit("")
-    return with_previous(
+    d = with_previous(
         d,
         keys,
         order,
@@ -39,6 +40,8 @@ def steps(events: DataFrame, marks: DataFrame, keys: list[str], order: str) -> D
             "flush_seq": F.lit(None).cast(d.schema[order].dataType),
         },
     )
+    # Several series and scans read this; written once, it is not worked out again for each.
+    return cut_lineage(d, "steps")
 
 
 def draft_ready(stepped: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def spoken(stepped: DataFrame, keys: list[str], order: str) -> DataFrame:
         },
     )
     still_open = F.col("flushed_before").isNull() | (F.col("flushed_before") < F.col("start.seq"))
-    return d.where(F.col("start").isNotNull() & still_open)
+    return cut_lineage(d.where(F.col("start").isNotNull() & still_open), "spoken")
 
 
 def segment_latencies(spoken_events: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -114,9 +117,8 @@ def final_ready(spoken_events: DataFrame) -> DataFrame:
     return d.withColumn("ms", elapsed_ms(F.col("ready_at"), F.col("ingress_at")))
 
 
-def series(events: DataFrame, marks: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """All latency series as (series, ms)."""
-    stepped = steps(events, marks, keys, order)
+def series(stepped: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """All latency series of ``steps`` as (series, ms)."""
     segments = segment_latencies(spoken(stepped, keys, order), keys, order)
     at = F.col
     named = F.array(

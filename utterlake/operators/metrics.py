@@ -236,7 +236,8 @@ def budget_pick(df: DataFrame, keys: list[str], name: str, size: str, score: str
 
     (first, first_share), (second, second_share) = shares.items()
     order = ranked_order(df, keys, score, name)
-    d = order.join(df.groupBy(*keys).agg(F.sum(size).alias("_all")), keys) if keys else order
+    totals = df.groupBy(*keys).agg(F.sum(size).alias("_all"))
+    d = order.join(totals, keys) if keys else order.crossJoin(F.broadcast(totals))  # one row
     d = running(d, keys, "_rank", {"_run": Running("sum", F.col(size))})
     took = F.col("_run") - F.col(size) < F.floor(F.col("_all") * first_share)
     d = d.withColumn("_first", took)
@@ -254,3 +255,22 @@ def ranked_order(df: DataFrame, keys: list[str], score: str, name: str) -> DataF
     return range_rank(df, keys, [F.desc(score), F.asc(name)], "_rank")
 
 
+
+
+def grouped_scores(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Outlier, range and spread score per group of absolute values."""
+    eps = 1e-8
+    p = exact_percentiles(df, keys, value, {"_q95": 0.95, "_q99": 0.99, "_q999": 0.999})
+    g = df.groupBy(*keys).agg(
+        F.count(value).alias("n"),
+        F.max(value).alias("_max"),
+        F.avg(value).alias("_mean"),
+        F.stddev_pop(value).alias("_std"),
+    )
+    return g.join(p, keys).select(
+        *keys,
+        "n",
+        (F.col("_q999") / (F.col("_q99") + eps)).alias("outlier"),
+        (F.col("_max") / (F.col("_q95") + eps)).alias("range_score"),
+        (F.col("_std") / (F.col("_mean") + eps)).alias("std_score"),
+    )

@@ -140,10 +140,17 @@ def running(
 
 
 def recent(
-    df: DataFrame, keys: list[str], order: str, value: Column, name: str, size: int, width: int = WIDTH
+    df: DataFrame, keys: list[str], order: str, value: Column, name: str, size: int, width: int | None = WIDTH
 ) -> DataFrame:
-    """Add the list of the last ``size`` values, the row's own included."""
+    """Add the list of the last ``size`` values, the row's own included.
+
+    With ``width`` None the caller vouches that a key is bounded (a speech segment, which is flushed
+    by force after a fixed number of chunks) and one plain window does.
+    """
     cols = df.columns
+    if width is None:
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-(size - 1), 0)
+        return df.select(*cols, F.collect_list(value).over(w).alias(name))
     part = [*keys, BLOCK]
     d = with_block(df, order, width).withColumn("_v", value)
     w = Window.partitionBy(*part).orderBy(order).rowsBetween(-(size - 1), 0)

@@ -1,4 +1,9 @@
-"""Local agreement, draft text, revisions and churn over partial texts, in batch."""
+"""Local agreement, draft text, revisions and churn over partial texts, in batch.
+
+Agreement works per speech segment. A segment is flushed by force after a fixed number of chunks
+(StabilizerConfig.run_limit), so its rows are few and a plain window holds them. What runs over a
+whole stream goes through the blocked scans of utterlake.operators.ordered.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +25,7 @@ def agreed(lists: Column, required: int) -> Column:
 
 def local_agreement(df: DataFrame, keys: list[str], order: str, words: str, required: int = 2) -> DataFrame:
     """Confirmed prefix the last hypotheses agree on, and the rest of the latest one."""
-    d = recent(df, keys, order, F.col(words), "_lists", max(1, required))
+    d = recent(df, keys, order, F.col(words), "_lists", max(1, required), width=None)
     d = d.withColumn("confirmed", agreed(F.col("_lists"), max(1, required)))
     rest = A.drop_first(F.col(words), F.size("confirmed"))
     return d.withColumn("hypothesis", rest).drop("_lists")
@@ -32,13 +37,13 @@ def draft_channel(
     """Confirmed words as in local_agreement; the hypothesis is what the last ``draft`` lists share
     beyond the confirmed words, with no minimum count."""
     d = local_agreement(df, keys, order, words, required).drop("hypothesis")
-    d = recent(d, keys, order, F.col(words), "_draft", max(1, draft))
+    d = recent(d, keys, order, F.col(words), "_draft", max(1, draft), width=None)
     return d.withColumn("hypothesis", A.draft_tail(F.col("confirmed"), A.lcp_all(F.col("_draft")))).drop("_draft")
 
 
 def stabilize(df: DataFrame, keys: list[str], order: str, words: str, flush: Column) -> DataFrame:
     """Agreement of two with a draft of one; a flush row confirms the latest hypothesis."""
-    d = recent(df, keys, order, F.col(words), "_lists", 2)
+    d = recent(df, keys, order, F.col(words), "_lists", 2, width=None)
     lists = F.col("_lists")
     confirmed = (
         F.when(F.size(lists) < 2, no_words()).when(flush, lists[0]).otherwise(A.lcp_all(lists))
@@ -50,9 +55,9 @@ def stabilize(df: DataFrame, keys: list[str], order: str, words: str, flush: Col
 
 def flush_rows(df: DataFrame, keys: list[str], order: str, words: str, flush: Column) -> DataFrame:
     """Flush rows with the latest hypothesis of their segment as confirmed text."""
-    held = F.when(~flush, F.col(words))
-    d = running(df, keys, order, {"confirmed": Running("last", held)}).where(flush)
-    return d.withColumn("confirmed", F.coalesce("confirmed", no_words()))
+    d = recent(df, keys, order, F.col(words), "_lists", 2, width=None).where(flush)
+    latest = F.when(F.size("_lists") < 2, no_words()).otherwise(F.col("_lists")[0])
+    return d.withColumn("confirmed", latest).drop("_lists")
 
 
 def revisions(df: DataFrame, keys: list[str], order: str, merged: Column) -> DataFrame:

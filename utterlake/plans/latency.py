@@ -8,6 +8,7 @@ from utterlake.operators import gates as G
 from utterlake.operators import joins as J
 from utterlake.operators import latency as L
 from utterlake.operators import metrics as M
+from utterlake.operators import stabilize as S
 from utterlake.plans import fixtures as fx
 from utterlake.plans.registry import query
 
@@ -81,12 +82,12 @@ def _(spark, sf):
 
 @query(
     "wn15_rolling_last_n",
-    """SELECT stream, seq, round(value, 4) AS current, round(avg(value) OVER w, 4) AS mean, round(quantile_cont(value, 0.95) OVER w, 4) AS p95
+    """SELECT stream, seq, value AS current, round(avg(value) OVER w, 10) AS mean, round(quantile_cont(value, 0.95) OVER w, 10) AS p95
     FROM v_ev WINDOW w AS (PARTITION BY stream ORDER BY seq ROWS BETWEEN 255 PRECEDING AND CURRENT ROW)""",
 )
 def _(spark, sf):
     d = L.rolling_stats(fx.ingress(spark, sf), KEY, "seq", F.col("value"), 256)
-    return d.select("stream", "seq", *[F.round(c, 4).alias(c) for c in ("current", "mean", "p95")])
+    return d.select("stream", "seq", "current", *[F.round(c, 10).alias(c) for c in ("mean", "p95")])
 
 
 @query(
@@ -132,14 +133,16 @@ TOTALS_SQL = """(SELECT count(*) * 0.32::DOUBLE AS audio_sec, sum(0.02::DOUBLE *
    max((k % 5) * 0.05::DOUBLE) AS max_queue_sec FROM v_step)"""
 
 
-def totals(spark, sf):
-    from utterlake.operators.stabilize import is_correction, with_previous
+def summary(spark, sf):
+    steps = stepped(spark, sf)
+    return L.realtime_summary(L.series(steps, KEY, "seq"), totals(steps))
 
-    d = with_previous(fx.live(spark, sf), KEY, "seq", {"confirmed": F.lit(""), "hypothesis": F.lit("")})
-    return d.agg(
+
+def totals(steps):
+    return steps.agg(
         (F.count("*") * F.lit(0.32)).alias("audio_sec"),
         F.sum(F.lit(0.02) * (F.col("k") % 7)).alias("infer_sec"),
-        F.count_if(is_correction()).alias("corrections"),
+        F.count_if(S.is_correction()).alias("corrections"),
         F.max((F.col("k") % 5) * F.lit(0.05)).alias("max_queue_sec"),
         F.lit(0).alias("dropped"),
     )
@@ -160,8 +163,7 @@ def pick_sql(name: str) -> str:
     FROM (SELECT {', '.join(pick_sql(n) for n in NAMES)} FROM v_series) s, {TOTALS_SQL} t""",
 )
 def _(spark, sf):
-    latencies = L.series(fx.live(spark, sf), fx.mark(spark, sf), KEY, "seq")
-    d = L.realtime_summary(latencies, totals(spark, sf))
+    d = summary(spark, sf)
     ms = [f"{n}_{k}" for n in (*NAMES, "first_token") for k in ("avg", "p95")]
     rest = ("corrections_per_min", "infer_rtfx", "max_queue_sec")
     return d.select(*[F.round(c, 3).alias(c) for c in ms], *[F.round(c, 4).alias(c) for c in rest])
@@ -175,8 +177,7 @@ def _(spark, sf):
          (SELECT max_queue_sec AS queue FROM {TOTALS_SQL})""",
 )
 def _(spark, sf):
-    latencies = L.series(fx.live(spark, sf), fx.mark(spark, sf), KEY, "seq")
-    d = L.realtime_summary(latencies, totals(spark, sf))
+    d = summary(spark, sf)
     return d.select(
         *G.realtime_gates(F.col("max_queue_sec"), F.col("first_token_p95"), F.col("final_confirmed_p95"))
     )
