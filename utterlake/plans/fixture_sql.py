@@ -78,11 +78,10 @@ SELECT user_id AS stream, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) AS
 FROM events GROUP BY 1, 2
 """
 
-VIEWS["v_lines"] = """
-SELECT conv_id AS file, turn AS ordinal, 3.5::DOUBLE * turn AS start_sec,
-       CASE WHEN (conv_id + turn) % 5 = 0 THEN trim(text)
-            ELSE '[' || CAST(3.5::DOUBLE * turn AS VARCHAR) || ' -> ' || CAST(3.5::DOUBLE * turn + 3 AS VARCHAR) || '] Speaker ' || (turn % 2) || ': ' || trim(text) END AS line
-FROM conversations
+VIEWS["v_lines"] = r"""
+SELECT file, ordinal, start_sec, CASE WHEN (file + ordinal) % 5 = 0 THEN t
+    ELSE '[' || CAST(start_sec AS VARCHAR) || ' -> ' || CAST(start_sec + 3 AS VARCHAR) || '] Speaker ' || (ordinal % 2) || ': ' || t END AS line
+FROM (SELECT conv_id AS file, turn AS ordinal, 3.5::DOUBLE * turn AS start_sec, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
 """
 
 VIEWS["v_trace"] = """

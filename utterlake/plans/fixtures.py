@@ -140,7 +140,7 @@ def back(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     start = F.col("turn") * 3.5
-    text = F.trim("text")
+    text = X.strip_all(F.regexp_replace("text", r"\s+", " "))
     stamped = F.concat(
         F.lit("["), start.cast("string"), F.lit(" -> "), (start + 3).cast("string"),
         F.lit("] Speaker "), (F.col("turn") % 2).cast("string"), F.lit(": "), text,

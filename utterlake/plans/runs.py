@@ -180,22 +180,22 @@ def profile_sql(cond: str) -> str:
     f = f"FILTER (WHERE {cond})"
     whole = "(" + " + ".join(f"coalesce(sum({s}_ms) {f}, 0)" for s in STAGES) + ")"
     calls = f"count(*) {f}"
-    cols = [f"{calls} AS calls", f"round({whole} / nullif({calls}, 0), 5) AS avg_total_ms"]
+    cols = [f"{calls} AS calls", f"round({whole} / nullif({calls}, 0), 10) AS avg_total_ms"]
     for s in STAGES:
-        cols.append(f"round(coalesce(sum({s}_ms) {f}, 0) / nullif({calls}, 0), 5) AS avg_{s}_ms")
-        cols.append(f"CASE WHEN {calls} > 0 THEN round(coalesce(sum({s}_ms) {f}, 0) / greatest({whole}, 1e-9), 5) END AS share_{s}")
+        cols.append(f"round(coalesce(sum({s}_ms) {f}, 0) / nullif({calls}, 0), 10) AS avg_{s}_ms")
+        cols.append(f"CASE WHEN {calls} > 0 THEN round(coalesce(sum({s}_ms) {f}, 0) / greatest({whole}, 1e-9), 10) END AS share_{s}")
     t = {c: f"CAST(coalesce(sum({c}) {f}, 0) AS BIGINT)" for c in ("windows", "reused", "emitted", "blanks")}
     cols += [
         f"CASE WHEN {calls} > 0 THEN {t['windows']} END AS windows_total",
-        f"CASE WHEN {calls} > 0 THEN round({t['reused']} / greatest({t['windows']}, 1), 5) END AS window_reuse_ratio",
-        f"CASE WHEN {calls} > 0 THEN round({t['windows']} / greatest({t['emitted']}, 1), 5) END AS windows_per_token",
-        f"CASE WHEN {calls} > 0 THEN round({t['blanks']} / greatest({t['emitted']} + {t['blanks']}, 1), 5) END AS blank_ratio",
+        f"CASE WHEN {calls} > 0 THEN round({t['reused']} / greatest({t['windows']}, 1), 10) END AS window_reuse_ratio",
+        f"CASE WHEN {calls} > 0 THEN round({t['windows']} / greatest({t['emitted']}, 1), 10) END AS windows_per_token",
+        f"CASE WHEN {calls} > 0 THEN round({t['blanks']} / greatest({t['emitted']} + {t['blanks']}, 1), 10) END AS blank_ratio",
     ]
     return ", ".join(cols)
 
 
 def rounded(d, keep):
-    return d.select(*[c if c in keep else F.round(c, 5).alias(c) for c in d.columns])
+    return d.select(*[c if c in keep else F.round(c, 10).alias(c) for c in d.columns])
 
 
 @query("ag11_profile_rollup", f"SELECT stream, {profile_sql('true')} FROM v_prof GROUP BY stream")

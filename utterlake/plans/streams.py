@@ -1 +1,318 @@
+"""Streaming queries and user-function queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from utterlake.functions import arrays as A
+from utterlake.functions import text as X
+from utterlake.operators import backlog as B
+from utterlake.operators import scans as R
+from utterlake.params import AdaptiveStride, StabilizerConfig, VadConfig
+from utterlake.plans import fixtures as fx
+from utterlake.plans.fixture_sql import words_sql
+from utterlake.plans.registry import query
+from utterlake.plans.stabilizing import VAD
+from utterlake.sources import io
+from utterlake.streaming import jobs as S
+from utterlake.streaming import processors as P
+from utterlake.streaming import transcribers as U
+
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
+
+
+def arriving(spark, sf):
+    d = io.ingress_stream(spark, sf, EVENTS, "events.parquet")
+    return d.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("sc11_ingress_stream", "SELECT event_id, user_id, round(value, 4) AS value FROM events")
+def _(spark, sf):
+    d = arriving(spark, sf).select("event_id", "user_id", F.round("value", 4).alias("value"))
+    return S.run_to_table(d, "ingress")
+
+
+@query("st1_watermarked_ingress", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+def _(spark, sf):
+    twice = arriving(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    once = S.deduplicated(twice, "ts", ["event_id"], "1 hour")
+    return S.run_to_table(once.select("event_id", "user_id"), "once").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "st2_sliding_windows",
+    """SELECT start_us, event_type, count(*) AS n, round(sum(value), 4) AS total
+    FROM (SELECT event_type, value, unnest([epoch_us(ts) // 1200000000 * 1200000000, epoch_us(ts) // 1200000000 * 1200000000 - 1200000000, epoch_us(ts) // 1200000000 * 1200000000 - 2400000000]) AS start_us FROM events)
+    GROUP BY start_us, event_type""",
+)
+def _(spark, sf):
+    return S.run_complete(S.windowed_counts(arriving(spark, sf), "ts", "1 hour", "20 minutes", "event_type", "value"), "windows")
+
+
+@query("st3_vad_state", "SELECT stream, seq, speech FROM v_vad")
+def _(spark, sf):
+    frames = arriving(spark, sf).select(
+        F.col("user_id").alias("stream"),
+        F.col("event_id").alias("seq"),
+        (20.0 * F.log10(F.greatest(F.col("value") / 500.0, F.lit(1e-7)))).alias("dbfs"),
+        F.lit(320.0).alias("frame_ms"),
+    )
+    return S.run_to_table(S.keyed(frames, "stream", P.VadProcessor(VAD)), "vad")
+
+
+def control_rows(spark, sf, flush_action=None):
+    """Partial texts as hops; the flush row as a silent hop or as a control row."""
+    d = fx.part(spark, sf)
+    silent = F.lit("hop") if flush_action is None else flush_action
+    return d.select(
+        "stream",
+        "segment",
+        "seq",
+        F.when(F.col("action") == "partial", "hop").otherwise(silent).alias("action"),
+        F.array_join("words", " ").alias("text"),
+        (F.col("action") == "partial").alias("speech"),
+        F.when(F.col("action") == "partial", -10.0).otherwise(-60.0).alias("dbfs"),
+        F.lit(320.0).alias("frame_ms"),
+    )
+
+
+def halves(spark, rows, label):
+    """Early turns first, late turns second, so that state crosses a micro-batch."""
+    early = rows.where("segment < 3").drop("segment")
+    return S.staged_stream(spark, [early, rows.where("segment >= 3").drop("segment")], label)
+
+
+NO_LIMITS = StabilizerConfig(run_limit=0, stagnation_limit=0)
+
+
+@query(
+    "st4_stabilizer_state",
+    "SELECT stream, seq, action = 'flush' AS is_flush, array_to_string(confirmed, ' ') AS confirmed, array_to_string(hypothesis, ' ') AS hypothesis FROM v_state",
+)
+def _(spark, sf):
+    rows = halves(spark, control_rows(spark, sf), "stabilizer")
+    d = S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS, collapse=False)), "stable")
+    return d.select("stream", "seq", "is_flush", "confirmed", "hypothesis")
+
+
+@query("st4_stabilizer_limits")
+def _(spark, sf):
+    rows = halves(spark, control_rows(spark, sf), "limits")
+    return S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(StabilizerConfig(run_limit=20))), "limited")
+
+
+@query(
+    "st5_session_windows",
+    """SELECT user_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS n
+    FROM (SELECT *, sum(CASE WHEN us - prev < 3600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us) AS session
+      FROM (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, session""",
+)
+def _(spark, sf):
+    return S.run_complete(S.sessions(arriving(spark, sf), "ts", "1 hour", "user_id"), "sessions")
+
+
+@query("st6_discard_and_resync")
+def _(spark, sf):
+    action = F.when(F.col("segment") % 3 == 1, "discard_keep").when(F.col("segment") % 3 == 2, "discard").otherwise("hop")
+    rows = halves(spark, control_rows(spark, sf, action), "resync")
+    return S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS)), "resynced")
+
+
+def chunks(spark, sf):
+    return fx.ingress(spark, sf).select(
+        "stream", F.floor(F.col("received_at") / 86400).alias("day"), "seq"
+    )
+
+
+@query(
+    "st7_load_shedding",
+    """SELECT stream, day, seq, rn > m - keep AS kept, keep < n AS resync FROM (
+      SELECT *, CASE WHEN m > 3 AND m > 1 THEN least(2, m) ELSE m END AS keep, rn0 - (n - m) AS rn FROM (
+        SELECT *, least(n, 6) AS m FROM (SELECT stream, CAST(floor(received_at / 86400) AS BIGINT) AS day, seq,
+          row_number() OVER (PARTITION BY stream, floor(received_at / 86400) ORDER BY seq) AS rn0, count(*) OVER (PARTITION BY stream, floor(received_at / 86400)) AS n FROM v_ev)))""",
+)
+def _(spark, sf):
+    return B.shed(chunks(spark, sf), ["stream", "day"], "seq", soft=3, target=1, context=2, hard=6)
+
+
+@query("st7_load_shedding_stream")
+def _(spark, sf):
+    d = S.staged_stream(spark, [chunks(spark, sf)], "shed")
+    return S.shed_stream(d, "shed-out", ["stream", "day"], "seq", soft=3, target=1, context=2, hard=6)
+
+
+RN_EV = "(SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS rn FROM v_ev)"
+
+
+@query(
+    "st8_ewma_adaptive_increment",
+    f"""WITH RECURSIVE src AS MATERIALIZED {RN_EV}, e AS (SELECT stream, seq, rn, value / 1000.0::DOUBLE AS y FROM src WHERE rn = 1
+      UNION ALL SELECT s.stream, s.seq, s.rn, 0.15::DOUBLE * (s.value / 1000.0::DOUBLE) + 0.85::DOUBLE * e.y FROM e JOIN src s ON s.stream = e.stream AND s.rn = e.rn + 1)
+    SELECT stream, seq, round(y, 9) AS ewma, greatest(4000, least(12000, greatest(4000, CAST(ceil(y * 16000 / 0.9::DOUBLE) AS BIGINT)))) AS required FROM e""",
+)
+def _(spark, sf):
+    d = fx.ingress(spark, sf).select("stream", "seq", (F.col("value") / 1000.0).alias("decode_sec"))
+    d = R.ewma(d, ["stream"], "seq", "decode_sec", 0.15)
+    return d.select(
+        "stream", "seq", F.round("ewma", 9).alias("ewma"), R.adaptive_stride(F.col("ewma"), AdaptiveStride()).cast("bigint").alias("required")
+    )
+
+
+CREDIT_SQL = f"""WITH RECURSIVE src AS MATERIALIZED (SELECT stream, seq, rn, n_samples // 1000 AS f FROM {RN_EV}),
+  e AS (SELECT stream, seq, rn, CAST(floor(f * 0.25::DOUBLE + 1e-9) AS BIGINT) AS steps, f * 0.25::DOUBLE - floor(f * 0.25::DOUBLE + 1e-9) AS pending FROM src WHERE rn = 1
+    UNION ALL SELECT s.stream, s.seq, s.rn, CAST(floor(e.pending + s.f * 0.25::DOUBLE + 1e-9) AS BIGINT), e.pending + s.f * 0.25::DOUBLE - floor(e.pending + s.f * 0.25::DOUBLE + 1e-9)
+      FROM e JOIN src s ON s.stream = e.stream AND s.rn = e.rn + 1)
+  SELECT stream, seq, steps FROM e"""
+
+
+def credit_rows(spark, sf):
+    return fx.ingress(spark, sf).select("stream", "seq", F.floor(F.col("n_samples") / 1000).alias("frames"))
+
+
+@query("st9_fractional_credit", CREDIT_SQL)
+def _(spark, sf):
+    return R.step_credit(credit_rows(spark, sf), ["stream"], "seq", "frames", 24, 96).select("stream", "seq", "steps")
+
+
+@query("st9_fractional_credit_stream", CREDIT_SQL)
+def _(spark, sf):
+    d = S.staged_stream(spark, [credit_rows(spark, sf)], "credit")
+    return S.run_to_table(S.keyed(d, "stream", P.CreditProcessor(24, 96, 1)), "credited")
+
+
+@query("st10_end_of_stream")
+def _(spark, sf):
+    # The last flush of every stream is a finish row instead.
+    d = control_rows(spark, sf)
+    last = d.groupBy("stream").agg(F.max("seq").alias("end"))
+    d = d.join(last, "stream").withColumn("action", F.when(F.col("seq") == F.col("end"), "finish").otherwise(F.col("action")))
+    rows = halves(spark, d.drop("end"), "finish")
+    return S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS)), "finished")
+
+
+@query("st11_streaming_latency")
+def _(spark, sf):
+    events = fx.live(spark, sf).select("stream", "seq", "cursor", "ready_at")
+    return S.latency_stream(S.staged_stream(spark, [events], "latency"), fx.mark(spark, sf), "latencies", ["stream"])
+
+
+def trace_rows(spark, sf):
+    d = fx.part(spark, sf).select("segment", "seq", (F.col("action") == "partial").alias("is_speech"))
+    return d.withColumn("queued", F.col("seq") % 7)
+
+
+@query("st12_batch_trace")
+def _(spark, sf):
+    return S.batch_trace(halves(spark, trace_rows(spark, sf), "trace-in"), "trace-out", 5)
+
+
+@query("sk4_stream_trace_jsonl")
+def _(spark, sf):
+    return S.batch_trace(halves(spark, trace_rows(spark, sf), "jsonl-in"), "jsonl-out", 5).select(
+        "trace_batch_index", "batch_chunk_count", "dropped_chunks"
+    )
+
+
+class Echo:
+    """Stands in for a speech model: hands its input back as a transcript."""
+
+    def warmup(self):
+        self.ready = True
+
+    def transcribe_file(self, path, language, keywords):
+        assert self.ready
+        return " ".join(w.upper() for w in path.split())
+
+    def transcribe_stream(self, text):
+        words = text.split()
+        texts = [" ".join(words[: i + 5]) for i in range(0, len(words), 5)]
+        return {"results": texts, "cursors": [0.32 * (i + 1) for i in range(len(texts))], "stamps": [[0.32] for _ in texts]}
+
+
+@query("uf1_pluggable_transcriber", "SELECT id, upper(text) AS text FROM v_ref")
+def _(spark, sf):
+    d = fx.ref(spark, sf).select("id", F.col("text").alias("source"))
+    return U.transcribe(d, Echo, "source").select("id", "text")
+
+
+@query(
+    "uf2_streaming_transcriber",
+    "SELECT id, (len(list_filter(string_split(text, ' '), lambda w: w <> '')) + 4) // 5 AS n, text AS last FROM v_ref WHERE text <> ''",
+)
+def _(spark, sf):
+    d = U.transcribe_stream(fx.ref(spark, sf).select("id", "text"), Echo, "id", "text")
+    k = A.align_payload(F.col("results"), F.col("cursors"), F.col("stamps"))
+    d = d.withColumn("k", k).where(F.col("k").isNotNull())
+    return d.select("id", F.size("k").cast("bigint").alias("n"), F.get("k.text", F.size("k") - 1).alias("last"))
+
+
+@query("uf3_command_transcriber", "SELECT id, length(text) || ' chars' AS text FROM v_ref")
+def _(spark, sf):
+    import json
+
+    def run(item, timeout_sec):
+        return json.dumps({"text": f"{len(item)} chars"})
+
+    return U.transcribe_command(fx.ref(spark, sf).select("id", "text"), "id", "text", run, 5.0, "text")
+
+
+@query("uf4_swappable_detector")
+def _(spark, sf):
+    # The same stabiliser with the detector on levels in place of the speech column.
+    rows = halves(spark, control_rows(spark, sf), "swap")
+    vad = VadConfig(start_dbfs=-35.0, end_dbfs=-45.0, min_speech_ms=320, min_silence_ms=320)
+    return S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS, vad=vad)), "swapped")
+
+
+@query(
+    "uf5_ordered_fold",
+    "SELECT stream, segment, CAST(sum(len(words)) AS BIGINT) AS words_seen, max(len(words)) AS longest FROM v_part WHERE action = 'partial' GROUP BY stream, segment",
+)
+def _(spark, sf):
+    d = fx.part(spark, sf).where("action = 'partial'")
+    # One group is one segment, which is bounded.
+    g = d.groupBy("stream", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", F.size("words").alias("n")))).alias("s"))
+    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("longest"))
+    fold = F.aggregate(
+        "s", start, lambda acc, x: F.struct((acc["total"] + x["n"]).alias("total"), F.greatest(acc["longest"], x["n"]).alias("longest"))
+    )
+    return g.select("stream", "segment", fold.alias("f")).select(
+        "stream", "segment", F.col("f.total").alias("words_seen"), F.col("f.longest").cast("bigint").alias("longest")
+    )
+
+
+@udtf(returnType="seg_start bigint, seg_end bigint")
+class PlanSegments:
+    """plan_segments(total, segment, overlap) for SQL."""
+
+    def eval(self, total: int, segment: int, overlap: int):
+        overlap = segment // 4 if overlap >= segment else overlap
+        step = max(1, segment - overlap)
+        start = 0
+        while start < total:
+            yield start, min(start + segment, total)
+            if start + segment >= total:
+                break
+            start += step
+
+
+@query(
+    "uf6_plan_segments_udtf",
+    f"""SELECT doc_id, s AS seg_start, least(s + 50, n) AS seg_end FROM (
+      SELECT doc_id, n, unnest(range(0, n, 40)) AS s FROM (SELECT doc_id, len({words_sql('text')}) AS n FROM documents)) WHERE s = 0 OR s + 10 < n""",
+)
+def _(spark, sf):
+    spark.udtf.register("plan_segments", PlanSegments)
+    d = fx.table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("total"))
+    d.createOrReplaceTempView("lengths")
+    return spark.sql("SELECT doc_id, seg_start, seg_end FROM lengths, LATERAL plan_segments(total, 50, 10)")
+
+
+@query("uf7_sequence_matcher")
+def _(spark, sf):
+    from utterlake.operators import metrics as M
+
+    d = fx.conv(spark, sf).where(F.size("prev_words") > 0)
+    a, b = F.array_join("prev_words", " "), F.array_join("words", " ")
+    return d.select("conv_id", "turn", F.round(M.sequence_ratio_words(a, b), 6).alias("ratio"))
