@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,21 +171,27 @@ def containment(docs: DataFrame, passages: DataFrame, doc: str, passage: str, si
     on the whole word lists, so that no common phrase makes all pairs.
     """
 
-    def shingles(k: Column) -> Column:
+    def shingles(k: int) -> Column:
         n = F.size("words") - k + 1
         return F.array_distinct(
-            F.transform(A.count_to(n), lambda i: F.xxhash64(F.array_join(F.slice("words", i, k), " ")))
+            F.transform(A.count_to(n), lambda i: F.xxhash64(*[F.get("words", i + (j - 1)) for j in range(k)]))
         )
 
     p = passages.where(F.size("words") > 0).withColumn("k", F.least(F.lit(size), F.size("words")))
-    lengths = F.explode(F.array(*[F.lit(k) for k in range(1, size + 1)])).alias("k")
-    keys = p.select(F.col(passage), "k", F.explode(shingles(F.col("k"))).alias("h"))
+    # At most ``size`` different lengths.
+    lengths = sorted(r.k for r in p.select("k").distinct().collect())
+
+    def exploded(d: DataFrame, keep: list[str], own: bool) -> DataFrame:
+        parts = [
+            (d.where(F.col("k") == k) if own else d).select(*keep, F.lit(k).alias("k"), F.explode(shingles(k)).alias("h"))
+            for k in lengths
+        ]
+        return reduce(DataFrame.unionByName, parts) if parts else d.select(*keep, F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("h")).limit(0)
+
+    keys = exploded(p, [passage], True)
     wanted = keys.select("k", "h").distinct()
-    grams = (
-        docs.select(doc, "words", lengths)
-        .select(doc, "k", F.explode(shingles(F.col("k"))).alias("h"))
-        .join(wanted, ["k", "h"], "left_semi")
-    )
+    # Only shingles that some passage has are left; written once, as two steps read them.
+    grams = cut_lineage(exploded(docs, [doc], False).join(wanted, ["k", "h"], "left_semi"), "shingles")
     spread = grams.groupBy("k", "h").agg(F.count("*").alias("docs"))
     chosen = (
         keys.join(spread, ["k", "h"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,24 +14,31 @@ from pyspark.sql import types as T
 from utterlake.functions import arrays as A
 
 FIRST_CODE = 0x10000
+CODES = 0x100000
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over words.
 
     Each distinct word of the pair becomes one character beyond the 16-bit plane, and the built-in
-    character distance does the rest; over a million distinct words per pair fit.
+    character distance does the rest. The character comes from the word's hash; a pair in which two
+    words would share one numbers its words instead, which holds for a million distinct words.
     """
 
-    def coded(words: Column, vocab: Column) -> Column:
-        def char(w: Column) -> Column:
-            code = F.array_position(vocab, w) + FIRST_CODE
-            return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    def hashed(w: Column) -> Column:
+        return F.pmod(F.xxhash64(w), F.lit(CODES))
 
-        return F.array_join(F.transform(words, char), "")
+    def text(words: Column, code: Callable[[Column], Column]) -> Column:
+        digits = F.transform(words, lambda w: F.lpad(F.hex(code(w) + FIRST_CODE), 8, "0"))
+        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
+
+    def distance(p: Column, code: Callable[[Column], Column]) -> Column:
+        return F.levenshtein(text(p["a"], code), text(p["b"], code))
 
     def body(p: Column) -> Column:
-        return F.levenshtein(coded(p["a"], p["v"]), coded(p["b"], p["v"]))
+        clash = F.size(F.array_distinct(F.transform(p["v"], hashed))) < F.size(p["v"])
+        numbered = distance(p, lambda w: F.array_position(p["v"], w) - 1)
+        return F.when(clash, numbered).otherwise(distance(p, hashed))
 
     pair = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("v"))
     return F.when(a == b, 0).otherwise(A.let(pair, body)).cast("bigint")
@@ -74,9 +82,10 @@ def precision_recall(df: DataFrame) -> DataFrame:
 
 def ngram_duplication(words: Column, n: int = 3) -> Column:
     """1 - distinct / total n-grams; 0 for fewer than n words."""
-    grams = F.transform(
-        A.count_to(F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
-    )
+    def gram(i: Column) -> Column:
+        return F.concat_ws(" ", *[F.get(words, i + j) for j in range(n)])
+
+    grams = F.transform(A.count_to(F.size(words) - n + 1), lambda i: gram(i - 1))
     return A.let(
         grams,
         lambda g: F.when(F.size(g) == 0, 0.0).otherwise(1.0 - F.size(F.array_distinct(g)) / F.size(g)),

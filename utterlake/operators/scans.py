@@ -17,9 +17,10 @@ def affine_before(df: DataFrame, keys: list[str], order: str, a: str, b: str, le
     Such steps compose, so blocks of at most FAN rows are composed first and the same scan over the
     blocks gives each block its start. Two levels cover order values up to FAN ** 3.
     """
-    d = df.withColumn("_blk", F.floor(F.col(order) / FAN) if levels else F.lit(0).cast("bigint"))
+    blk = f"_blk{levels}"
+    d = df.withColumn(blk, F.floor(F.col(order) / FAN) if levels else F.lit(0).cast("bigint"))
     step = F.struct(F.col(order).alias("o"), F.col(a).alias("a"), F.col(b).alias("b"))
-    g = d.groupBy(*keys, "_blk").agg(F.array_sort(F.collect_list(step)).alias("_s"))
+    g = d.groupBy(*keys, blk).agg(F.array_sort(F.collect_list(step)).alias("_s"))
 
     def compose(acc: Column, s: Column) -> Column:
         row = F.struct(s["o"].alias("o"), acc["a"].alias("a"), acc["b"].alias("b"))
@@ -32,11 +33,11 @@ def affine_before(df: DataFrame, keys: list[str], order: str, a: str, b: str, le
     start = F.struct(
         F.array().cast("array<struct<o:bigint,a:double,b:double>>").alias("rows"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b")
     )
-    g = g.select(*keys, "_blk", F.aggregate("_s", start, compose).alias("_c"))
+    g = g.select(*keys, blk, F.aggregate("_s", start, compose).alias("_c"))
     if levels:
-        whole = g.select(*keys, "_blk", F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b"))
-        starts = affine_before(whole, keys, "_blk", "_a", "_b", levels - 1)
-        g = g.join(starts.select(*keys, "_blk", F.col("before").alias("_y")), [*keys, "_blk"])
+        whole = g.select(*keys, blk, F.col("_c.a").alias("_a"), F.col("_c.b").alias("_b"))
+        starts = affine_before(whole, keys, blk, "_a", "_b", levels - 1)
+        g = g.join(starts.select(*keys, blk, F.col("before").alias("_y")), [*keys, blk])
     else:
         g = g.withColumn("_y", F.lit(0.0))
     before = g.select(*keys, "_y", F.inline("_c.rows"))

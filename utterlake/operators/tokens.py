@@ -70,23 +70,40 @@ def with_merge_words(df: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFr
     )
 
 
+def _overlaps(norm: list[str]) -> dict[tuple[int, int], int]:
+    """Longest overlap of two words or more per (split, skip): the words before the split come again
+    after it, at most two words later. Only positions that start a repeated word pair are tried."""
+    n = len(norm)
+    starts: dict[tuple[str, str], list[int]] = {}
+    for i in range(n - 1):
+        starts.setdefault((norm[i], norm[i + 1]), []).append(i)
+    longest: dict[tuple[int, int], int] = {}
+    for places in starts.values():
+        for x, i in enumerate(places):
+            for j in places[x + 1 :]:
+                for skip in range(3):
+                    k = j - i - skip
+                    tail = n - j
+                    if k < 2 or k > tail or skip > max(0, n - (i + k) - 1):
+                        continue
+                    if norm[i : i + k] == norm[j : j + k]:
+                        at = (i + k, skip)
+                        longest[at] = max(k, longest.get(at, 0))
+    return longest
+
+
 def _collapse_once(words: list[str], norm: list[str]) -> tuple[list[str], list[str]] | None:
     n = len(words)
+    if n < 4:
+        return None
     best = None
-    for split in range(1, n):
-        for skip in range(min(2, max(0, n - split - 1)) + 1):
-            tail = n - split - skip
-            start = split + skip
-            over = 0
-            for k in range(min(split, tail), 0, -1):
-                if norm[split - 1] == norm[start + k - 1] and norm[split - k : split] == norm[start : start + k]:
-                    over = k
-                    break
-            if over >= 3 or (over == tail and tail >= 2):
-                size = split + tail - over
-                if size < n and (best is None or size < best[0]):
-                    best = (size, split, start + over)
-    if n < 4 or best is None:
+    for (split, skip), over in sorted(_overlaps(norm).items()):
+        tail = n - split - skip
+        if over >= 3 or over == tail:
+            size = split + tail - over
+            if best is None or size < best[0]:
+                best = (size, split, split + skip + over)
+    if best is None:
         return None
     _, cut, resume = best
     return words[:cut] + words[resume:], norm[:cut] + norm[resume:]

@@ -11,9 +11,6 @@ from utterlake.plans import fixtures as fx
 from utterlake.plans.fixture_sql import words_sql
 from utterlake.plans.registry import query
 
-R, H = F.col("ref_words"), F.col("hyp_words")
-
-
 def matched(spark, sf):
     """References joined to both hypotheses on shared ids."""
     hyps = fx.hyp(spark, sf).drop("conv_id", "turn")
@@ -33,7 +30,7 @@ def pairs(spark, sf):
 def scored(spark, sf):
     return (
         pairs(spark, sf)
-        .withColumn("dist", M.edit_distance(R, H))
+        .withColumn("dist", M.edit_distance(F.col("ref_words"), F.col("hyp_words")))
         .select(
             "id",
             "conv_id",
@@ -41,8 +38,8 @@ def scored(spark, sf):
             "sys",
             "audio_sec",
             "infer_sec",
-            F.size(R).cast("bigint").alias("n_ref"),
-            F.size(H).cast("bigint").alias("n_hyp"),
+            F.size("ref_words").cast("bigint").alias("n_ref"),
+            F.size("hyp_words").cast("bigint").alias("n_hyp"),
             "dist",
         )
     )
@@ -243,8 +240,8 @@ def _(spark, sf):
     p = pairs(spark, sf).where("sys = 'a'")
     facts = p.select(
         "id",
-        (1.0 - M.sentence_wer(M.edit_distance(R, H), F.size(R), F.size(H))).alias("similarity"),
-        M.ngram_duplication(H, 3).alias("dup"),
+        (1.0 - M.sentence_wer(M.edit_distance(F.col("ref_words"), F.col("hyp_words")), F.size("ref_words"), F.size("hyp_words"))).alias("similarity"),
+        M.ngram_duplication(F.col("hyp_words"), 3).alias("dup"),
     )
     d = M.precision_recall(overlap(spark, sf)).join(facts, "id")
     return quality_gate(d, "similarity", "recall", "dup").select("id", "recall_ok", "dup_ok", "pass")

@@ -149,13 +149,13 @@ RN_EV = "(SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS rn F
     "st8_ewma_adaptive_increment",
     f"""WITH RECURSIVE src AS MATERIALIZED {RN_EV}, e AS (SELECT stream, seq, rn, value / 1000.0::DOUBLE AS y FROM src WHERE rn = 1
       UNION ALL SELECT s.stream, s.seq, s.rn, 0.15::DOUBLE * (s.value / 1000.0::DOUBLE) + 0.85::DOUBLE * e.y FROM e JOIN src s ON s.stream = e.stream AND s.rn = e.rn + 1)
-    SELECT stream, seq, round(y, 9) AS ewma, greatest(4000, least(12000, greatest(4000, CAST(ceil(y * 16000 / 0.9::DOUBLE) AS BIGINT)))) AS required FROM e""",
+    SELECT stream, seq, CAST(CAST(y AS FLOAT) AS DOUBLE) AS ewma, greatest(4000, least(12000, greatest(4000, CAST(ceil(y * 16000 / 0.9::DOUBLE) AS BIGINT)))) AS required FROM e""",
 )
 def _(spark, sf):
     d = fx.ingress(spark, sf).select("stream", "seq", (F.col("value") / 1000.0).alias("decode_sec"))
     d = R.ewma(d, ["stream"], "seq", "decode_sec", 0.15)
     return d.select(
-        "stream", "seq", F.round("ewma", 9).alias("ewma"), R.adaptive_stride(F.col("ewma"), AdaptiveStride()).cast("bigint").alias("required")
+        "stream", "seq", F.col("ewma").cast("float").cast("double").alias("ewma"), R.adaptive_stride(F.col("ewma"), AdaptiveStride()).cast("bigint").alias("required")
     )
 
 
