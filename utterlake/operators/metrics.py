@@ -44,6 +44,11 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when(a == b, 0).otherwise(A.let(pair, body)).cast("bigint")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Even out rows before work that is quadratic in a row's text; the shuffle costs far less."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def sentence_wer(distance: Column, ref_words: Column, hyp_words: Column) -> Column:
     empty = F.when(hyp_words == 0, 0.0).otherwise(1.0)
     return F.when(ref_words == 0, empty).otherwise(distance / ref_words)
@@ -175,12 +180,6 @@ def sequence_ratio_words(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 
 
-def spread_by_length(df: DataFrame, a: str, b: str, partitions: int) -> DataFrame:
-    """Even out quadratic pair work: partitions get long and short pairs alike."""
-    cost = F.length(a) * F.length(b)
-    return df.repartition(partitions, F.xxhash64(cost, F.col(a)))
-
-
 PROFILE_STAGES = ("feature", "prepare", "predict", "decode", "merge")
 
 

@@ -29,7 +29,7 @@ def pairs(spark, sf):
 
 def scored(spark, sf):
     return (
-        pairs(spark, sf)
+        M.spread(pairs(spark, sf), "id")
         .withColumn("dist", M.edit_distance(F.col("ref_words"), F.col("hyp_words")))
         .select(
             "id",
@@ -250,8 +250,7 @@ def _(spark, sf):
 @query("ag21_sequence_match_ratio")
 def _(spark, sf):
     d = pairs(spark, sf).where("sys = 'a'").select("id", "ref", "hyp")
-    d = M.spread_by_length(d, "ref", "hyp", int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return d.select(
+    return M.spread(d, "id").select(
         "id",
         F.round(M.sequence_ratio("ref", "hyp"), 6).alias("chars"),
         F.round(M.sequence_ratio_words("ref", "hyp"), 6).alias("words"),

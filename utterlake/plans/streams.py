@@ -315,4 +315,4 @@ def _(spark, sf):
 
     d = fx.conv(spark, sf).where(F.size("prev_words") > 0)
     a, b = F.array_join("prev_words", " "), F.array_join("words", " ")
-    return d.select("conv_id", "turn", F.round(M.sequence_ratio_words(a, b), 6).alias("ratio"))
+    return M.spread(d, "conv_id", "turn").select("conv_id", "turn", F.round(M.sequence_ratio_words(a, b), 6).alias("ratio"))

@@ -27,12 +27,23 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     return spark
 
 
+_OWN_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors can reach, which the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset, as in local tests, a temporary folder of this application stands in.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        app = sc.applicationId
+        if app not in _OWN_DIRS:
+            _OWN_DIRS[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        path = _OWN_DIRS[app]
     return path.rstrip("/")
 
 
