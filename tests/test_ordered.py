@@ -105,8 +105,6 @@ def test_ewma(spark, fan, monkeypatch):
     r = random.Random(2)
     data = [(k, i, r.choice([0.0, -1.0, r.random(), float("nan")])) for k, n in (("hot", 60), ("b", 3)) for i in r.sample(range(100), n)]
     d = spark.createDataFrame(data, "k string, seq long, v double")
-    levels = R.affine_before.__defaults__
-    monkeypatch.setattr(R.affine_before, "__defaults__", (6,) if fan == 2 else levels)
     got = {(x.k, x.seq): x.ewma for x in R.ewma(d, ["k"], "seq", "v", 0.15).collect()}
     for key in ("hot", "b"):
         y = 0.0

@@ -106,7 +106,7 @@ def test_credit_with_larger_minimum():
 def test_vad_stream_equals_batch_across_batches(spark, sf):
     d = fx.en(spark, sf).withColumn("frame_ms", F.col("frame_ms").cast("double"))
     parts = [d.where("seq < 400"), d.where("seq >= 400")]
-    got = S.run_to_table(S.keyed(S.staged_stream(spark, parts, "t-vad"), "stream", P.VadProcessor(VAD)), "t-vad-out")
+    got = S.run_to_table(S.keyed(S.staged(spark, parts, "t-vad"), "stream", P.VadProcessor(VAD)), "t-vad-out")
     want = V.speech_flags(d, ["stream"], "seq", F.col("dbfs"), F.col("frame_ms"), VAD).select("stream", "seq", "speech")
     assert got.exceptAll(want).count() == 0 and got.count() == d.count()
 
@@ -114,7 +114,7 @@ def test_vad_stream_equals_batch_across_batches(spark, sf):
 def test_late_rows_are_dropped_by_seq(spark):
     schema = "stream long, seq long, frames long"
     parts = [spark.createDataFrame([(1, 5, 8), (1, 2, 8)], schema), spark.createDataFrame([(1, 3, 8), (1, 6, 8)], schema)]
-    out = S.run_to_table(S.keyed(S.staged_stream(spark, parts, "t-late"), "stream", P.CreditProcessor(24, 96, 1)), "t-late-out")
+    out = S.run_to_table(S.keyed(S.staged(spark, parts, "t-late"), "stream", P.CreditProcessor(24, 96, 1)), "t-late-out")
     assert sorted(r.seq for r in out.collect()) == [2, 5, 6]
 
 

@@ -83,12 +83,19 @@ def frame_hops(df: DataFrame, samples: str, chunk: int, hop: int, wait_for_chunk
     # Hop h is decoded when need - hop samples beyond it are in.
     count = F.floor((n - (need - hop)) / hop).cast("int")
     hops = F.when(count < 1, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), count - 1))
-    d = df.select("*", F.explode(hops).alias("hop"))
-    end = F.least(F.col("hop") * hop + need, n)
-    begin = F.greatest(end - chunk, F.lit(0))
-    return d.withColumn("vad_chunk", F.slice(samples, begin + 1, end - begin)).withColumn(
-        "decode", F.slice(samples, F.col("hop") * hop + 1, F.lit(hop))
-    )
+
+    def cut(h: Column) -> Column:
+        end = F.least(h * hop + need, n)
+        begin = F.greatest(end - chunk, F.lit(0))
+        return F.struct(
+            h.alias("hop"),
+            F.slice(samples, begin + 1, end - begin).alias("vad_chunk"),
+            F.slice(samples, h * hop + 1, F.lit(hop)).alias("decode"),
+        )
+
+    # Cut inside the row, so that the samples are not copied along with every hop.
+    rest = [c for c in df.columns if c != samples]
+    return df.select(*rest, F.inline(F.transform(hops, cut)))
 
 
 def hann(length: int) -> list[float]:
@@ -101,21 +108,25 @@ def spectrum_frames(df: DataFrame, samples: str, n_fft: int, window: int, hop: i
     weights = F.array(*[F.lit(w) for w in hann(window)])
     offset = max(0, (n_fft - window) // 2)
     after = max(0, n_fft - window - offset)
-    count = frame_count(F.size(samples), hop)
-    d = df.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), count - 1)).alias("frame"))
-    start = F.col("frame") * hop - n_fft // 2
     s = F.col(samples)
+    frames = F.sequence(F.lit(0).cast("bigint"), frame_count(F.size(s), hop) - 1)
 
-    def value(w: Column, i: Column) -> Column:
-        at = (start + i).cast("int")
-        return F.when((at >= 0) & (at < F.size(s)), F.get(s, at) * w).otherwise(0.0)
+    def windowed(frame: Column) -> Column:
+        start = (frame * hop - n_fft // 2).cast("int")
 
-    padded = F.concat(
-        F.array_repeat(F.lit(0.0), offset).cast("array<double>"),
-        F.transform(weights, value),
-        F.array_repeat(F.lit(0.0), after).cast("array<double>"),
-    )
-    return d.withColumn("windowed", F.slice(padded, 1, n_fft))
+        def value(w: Column, i: Column) -> Column:
+            at = start + i
+            return F.when((at >= 0) & (at < F.size(s)), F.get(s, at) * w).otherwise(0.0)
+
+        padded = F.concat(
+            F.array_repeat(F.lit(0.0), offset).cast("array<double>"),
+            F.transform(weights, value),
+            F.array_repeat(F.lit(0.0), after).cast("array<double>"),
+        )
+        return F.struct(frame.alias("frame"), F.slice(padded, 1, n_fft).alias("windowed"))
+
+    rest = [c for c in df.columns if c != samples]
+    return df.select(*rest, F.inline(F.transform(frames, windowed)))
 
 
 @F.pandas_udf(DOUBLES)

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from utterlake.operators.ordered import Running, running
 from utterlake.params import AdaptiveStride
 
-FAN = 4096
+FAN = 1024
 
 
-def affine_before(df: DataFrame, keys: list[str], order: str, a: str, b: str, levels: int = 2) -> DataFrame:
+def affine_before(df: DataFrame, keys: list[str], order: str, a: str, b: str, levels: int = 3) -> DataFrame:
     """The value of y = a * y + b before each row, y starting at 0.
 
     Such steps compose, so blocks of at most FAN rows are composed first and the same scan over the
-    blocks gives each block its start. Two levels cover order values up to FAN ** 3.
+    blocks gives each block its start. Three levels leave lists of at most FAN up to order FAN ** 4.
     """
     blk = f"_blk{levels}"
     d = df.withColumn(blk, F.floor(F.col(order) / FAN) if levels else F.lit(0).cast("bigint"))

@@ -333,11 +333,14 @@ def sig2(spark: SparkSession, sf: str) -> DataFrame:
 
 def seg(spark: SparkSession, sf: str) -> DataFrame:
     """Documents cut into 50-word segments that overlap by 10."""
-    d = table(spark, sf, "documents").select("doc_id", X.tokenize(F.col("text")).alias("w"))
-    d = d.where(F.size("w") > 0).withColumn("s", F.explode(F.sequence(F.lit(0), F.size("w") - 1, F.lit(40))))
-    return d.where((F.col("s") == 0) | (F.col("s") + 10 < F.size("w"))).select(
-        "doc_id", F.floor(F.col("s") / 40).alias("seg"), F.slice("w", F.col("s") + 1, F.lit(50)).alias("words")
+    d = table(spark, sf, "documents").select("doc_id", X.tokenize(F.col("text")).alias("w")).where(F.size("w") > 0)
+    starts = F.filter(
+        F.sequence(F.lit(0), F.size("w") - 1, F.lit(40)), lambda s: (s == 0) | (s + 10 < F.size("w"))
     )
+    cut = F.transform(
+        starts, lambda s: F.struct(F.floor(s / 40).alias("seg"), F.slice("w", s + 1, F.lit(50)).alias("words"))
+    )
+    return d.select("doc_id", F.inline(cut))
 
 
 def length(spark: SparkSession, sf: str) -> DataFrame:

@@ -80,7 +80,7 @@ def control_rows(spark, sf, flush_action=None):
 def halves(spark, rows, label):
     """Early turns first, late turns second, so that state crosses a micro-batch."""
     early = rows.where("segment < 3").drop("segment")
-    return S.staged_stream(spark, [early, rows.where("segment >= 3").drop("segment")], label)
+    return S.staged(spark, [early, rows.where("segment >= 3").drop("segment")], label)
 
 
 NO_LIMITS = StabilizerConfig(run_limit=0, stagnation_limit=0)
@@ -138,7 +138,7 @@ def _(spark, sf):
 
 @query("st7_load_shedding_stream")
 def _(spark, sf):
-    d = S.staged_stream(spark, [chunks(spark, sf)], "shed")
+    d = S.staged(spark, [chunks(spark, sf)], "shed")
     return S.shed_stream(d, "shed-out", ["stream", "day"], "seq", soft=3, target=1, context=2, hard=6)
 
 
@@ -177,7 +177,7 @@ def _(spark, sf):
 
 @query("st9_fractional_credit_stream", CREDIT_SQL)
 def _(spark, sf):
-    d = S.staged_stream(spark, [credit_rows(spark, sf)], "credit")
+    d = S.staged(spark, [credit_rows(spark, sf)], "credit")
     return S.run_to_table(S.keyed(d, "stream", P.CreditProcessor(24, 96, 1)), "credited")
 
 
@@ -194,7 +194,7 @@ def _(spark, sf):
 @query("st11_streaming_latency")
 def _(spark, sf):
     events = fx.live(spark, sf).select("stream", "seq", "cursor", "ready_at")
-    return S.latency_stream(S.staged_stream(spark, [events], "latency"), fx.mark(spark, sf), "latencies", ["stream"])
+    return S.latency_stream(S.staged(spark, [events], "latency"), fx.mark(spark, sf), "latencies", ["stream"])
 
 
 def trace_rows(spark, sf):

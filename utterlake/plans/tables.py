@@ -155,8 +155,9 @@ def _(spark, sf):
 def _(spark, sf):
     v = fx.vocab(spark, sf)
     path = scratch(spark, "vocab")
-    # A vocabulary is one small file by nature: the decoder holds it in memory.
-    io.write_lines(v.repartitionByRange(1, "id").sortWithinPartitions("id").select(F.col("piece").alias("value")), path)
+    # Part files hold consecutive ids, so their names are in id order.
+    pieces = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    io.write_lines(v.repartitionByRange(pieces, "id").sortWithinPartitions("id").select(F.col("piece").alias("value")), path)
     return io.scan_vocab(spark, path)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from utterlake.functions import signal as G
@@ -114,10 +114,20 @@ def scan_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_vocab(spark: SparkSession, path: str) -> DataFrame:
-    """A vocabulary file, one piece per line; the line number from 0 is the token id."""
-    d = spark.read.text(path, wholetext=True)
-    text = F.regexp_replace("value", r"\n$", "")
-    return d.select(F.posexplode(F.split(text, "\n")).alias("id", "piece")).withColumn("id", F.col("id").cast("bigint"))
+    """A vocabulary, one piece per line; the line number from 0 is the token id.
+
+    Several files count as one text in the order of their names. Each is read by itself and shifted by
+    the lines of the files before.
+    """
+    d = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("_f"), "value")
+    lines = F.when(F.col("value") != "", F.split(F.regexp_replace("value", r"\n$", ""), "\n"))
+    d = d.select("_f", lines.alias("_l"))
+    # One row per file.
+    before = Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    counts = d.select("_f", F.coalesce(F.size("_l"), F.lit(0)).cast("bigint").alias("_n"))
+    shifts = counts.select("_f", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    d = d.select("_f", F.posexplode("_l").alias("_i", "piece")).join(shifts, "_f")
+    return d.select((F.col("_shift") + F.col("_i")).alias("id"), "piece")
 
 
 def scan_audio_arrays(df: DataFrame, matrix: str) -> DataFrame:

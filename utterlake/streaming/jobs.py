@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from utterlake.operators.backlog import shed
 from utterlake.operators.latency import elapsed_ms, with_ingress
@@ -15,8 +17,11 @@ from utterlake.streaming.processors import KeyedState
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def keyed(stream: DataFrame, key: str, processor: KeyedState) -> DataFrame:
+def keyed(source: DataFrame | Feed, key: str, processor: KeyedState) -> DataFrame | Feed:
     """Run a keyed processor; rows of a key meet in one task, all else stays parallel."""
+    if isinstance(source, Feed):
+        return source.derive(lambda stream: keyed(stream, key, processor))
+    stream = source
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
@@ -26,38 +31,55 @@ def keyed(stream: DataFrame, key: str, processor: KeyedState) -> DataFrame:
     )
 
 
-def run_to_table(stream: DataFrame, label: str) -> DataFrame:
+@dataclass
+class Feed:
+    """A stream over a folder and the tables still to be put there, one after the other."""
+
+    stream: DataFrame
+    path: str
+    parts: list[DataFrame]
+
+    def derive(self, build: Callable[[DataFrame], DataFrame]) -> Feed:
+        return Feed(build(self.stream), self.path, self.parts)
+
+
+def staged(spark: SparkSession, parts: list[DataFrame], label: str) -> Feed:
+    """Feed tables to a stream in turn. The query stops in between and resumes from its checkpoint."""
+    path = scratch(spark, label)
+    parts[0].limit(0).write.parquet(path)
+    return Feed(spark.readStream.schema(parts[0].schema).parquet(path), path, parts)
+
+
+def run(source: DataFrame | Feed, label: str, sink: Callable[[DataStreamWriter, str], DataStreamWriter]) -> str:
+    """Process what is there, and then each part of a feed; returns the output folder."""
+    feed = source if isinstance(source, Feed) else Feed(source, "", [])
+    spark = feed.stream.sparkSession
+    out, checkpoint = scratch(spark, label), scratch(spark, f"{label}-ckpt")
+    for part in feed.parts or [None]:
+        if part is not None:
+            part.write.mode("append").parquet(feed.path)
+        writer = sink(feed.stream.writeStream, out).option("checkpointLocation", checkpoint)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return out
+
+
+def run_to_table(source: DataFrame | Feed, label: str) -> DataFrame:
     """Process what is there, into Parquet in the shared folder, and read the result."""
-    spark = stream.sparkSession
-    out = scratch(spark, label)
-    q = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", out)
-        .option("checkpointLocation", scratch(spark, f"{label}-ckpt"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    stream = source.stream if isinstance(source, Feed) else source
+    out = run(source, label, lambda w, path: w.format("parquet").outputMode("append").option("path", path))
+    return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
 def run_batches(
-    stream: DataFrame, label: str, work: Callable[[DataFrame, int, str], None], mode: str = "append"
+    source: DataFrame | Feed, label: str, work: Callable[[DataFrame, int, str], None], mode: str = "append"
 ) -> str:
     """Process what is there by a function of (batch, epoch, output folder); returns the folder. An
     epoch that is run again after a failure overwrites what it wrote."""
-    spark = stream.sparkSession
-    out = scratch(spark, label)
-    q = (
-        stream.writeStream.outputMode(mode)
-        .foreachBatch(lambda df, epoch: work(df, epoch, out))
-        .option("checkpointLocation", scratch(spark, f"{label}-ckpt"))
-        .trigger(availableNow=True)
-        .start()
+    return run(
+        source,
+        label,
+        lambda w, out: w.outputMode(mode).foreachBatch(lambda df, epoch: work(df, epoch, out)),
     )
-    q.awaitTermination()
-    return out
 
 
 def run_complete(stream: DataFrame, label: str) -> DataFrame:
@@ -87,22 +109,24 @@ def windowed_counts(stream: DataFrame, time: str, length: str, slide: str, key:
 
 
 def sessions(stream: DataFrame, time: str, gap: str, key: str) -> DataFrame:
-    """Spells of activity separated by at least ``gap``."""
+    """Spells of activity separated by at least ``gap``; merged before the shuffle, so that a busy key
+    sends few rows."""
+    stream.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     g = stream.groupBy(F.session_window(time, gap).alias("s"), key).agg(F.count("*").alias("n"))
     return g.select(key, F.unix_micros("s.start").alias("start_us"), F.unix_micros("s.end").alias("end_us"), "n")
 
 
-def shed_stream(stream: DataFrame, label: str, keys: list[str], order: str, **budget) -> DataFrame:
+def shed_stream(source: Feed, label: str, keys: list[str], order: str, **budget) -> DataFrame:
     """Per micro-batch shedding; a chunk table with kept and resync flags."""
 
     def work(df: DataFrame, epoch: int, out: str) -> None:
         shed(df, keys, order, **budget).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    out = run_batches(stream, label, work)
-    return stream.sparkSession.read.parquet(out)
+    out = run_batches(source, label, work)
+    return source.stream.sparkSession.read.parquet(out)
 
 
-def latency_stream(events: DataFrame, marks: DataFrame, label: str, keys: list[str]) -> DataFrame:
+def latency_stream(events: Feed, marks: DataFrame, label: str, keys: list[str]) -> DataFrame:
     """Ready latency of streamed events against an ingress table, with approximate percentiles."""
 
     def work(df: DataFrame, epoch: int, out: str) -> None:
@@ -114,10 +138,10 @@ def latency_stream(events: DataFrame, marks: DataFrame, label: str, keys: list[s
         stats.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     out = run_batches(events, label, work)
-    return events.sparkSession.read.parquet(out)
+    return events.stream.sparkSession.read.parquet(out)
 
 
-def batch_trace(events: DataFrame, label: str, queue_limit: int) -> DataFrame:
+def batch_trace(events: Feed, label: str, queue_limit: int) -> DataFrame:
     """One JSON object per micro-batch: sizes, queue, drops and the latest event."""
 
     def work(df: DataFrame, epoch: int, out: str) -> None:
@@ -138,13 +162,4 @@ def batch_trace(events: DataFrame, label: str, queue_limit: int) -> DataFrame:
         "kind string, trace_batch_index bigint, batch_chunk_count bigint, batch_first_chunk bigint, batch_last_chunk bigint, "
         "dropped_chunks bigint, queue_chunk_count bigint, event_is_speech boolean"
     )
-    return events.sparkSession.read.schema(schema).json(out)
-
-
-def staged_stream(spark: SparkSession, parts: list[DataFrame], label: str) -> DataFrame:
-    """A stream over tables written one after the other, one micro-batch each."""
-    path = scratch(spark, label)
-    for d in parts:
-        # One file per part keeps a part within one micro-batch.
-        d.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return events.stream.sparkSession.read.schema(schema).json(out)
