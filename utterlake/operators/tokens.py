@@ -118,9 +118,16 @@ def _edge_norm(word: str) -> str:
     return word[start:end].lower()
 
 
-def collapse_words(words: list[str]) -> list[str]:
-    """Self-overlap removal of one list, pass after pass until none gains."""
-    state = (list(words), [_edge_norm(w) for w in words])
+def collapse_words(words: list[str], norms: dict[str, str] | None = None) -> list[str]:
+    """Self-overlap removal of one list, pass after pass until none gains. ``norms`` remembers the
+    plain form of words between calls."""
+    norms = {} if norms is None else norms
+    for w in words:
+        if w not in norms:
+            if len(norms) >= 1 << 16:
+                norms.clear()
+            norms[w] = _edge_norm(w)
+    state = (list(words), [norms.get(w) or _edge_norm(w) for w in words])
     while (after := _collapse_once(*state)) is not None:
         state = after
     return state[0]
@@ -128,7 +135,8 @@ def collapse_words(words: list[str]) -> list[str]:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def collapse_self_overlap(lists: pd.Series) -> pd.Series:
-    return lists.map(collapse_words)
+    norms: dict[str, str] = {}
+    return lists.map(lambda words: collapse_words(words, norms))
 
 
 def monotonic_confirm(df: DataFrame, keys: list[str], order: str, words: str) -> DataFrame:

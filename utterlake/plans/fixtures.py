@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from utterlake.functions import arrays as A
 from utterlake.functions import text as X
 from utterlake.operators.ordered import Running, ordinal, running
+from utterlake.session import cut_lineage
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -70,6 +71,9 @@ def part(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "conversations").select(
         F.col("conv_id").alias("stream"), F.col("turn").alias("segment"), X.tokenize(F.col("text")).alias("w")
     )
+    # A turn grows into many rows, so turns are spread out first; windows per segment then need no
+    # further shuffle.
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream", "segment")
     d = d.withColumn("n", F.ceil(F.size("w") / F.lit(3)).cast("int"))
     d = d.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n") + 1)))
     end = F.least(F.col("k") * 3, F.size("w"))
@@ -87,6 +91,8 @@ def part(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, sf: str) -> DataFrame:
+    # The table's times carry no zone; they count as UTC.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     d = table(spark, sf, "events").withColumn("at_us", F.unix_micros(F.col("ts").cast("timestamp")))
     return d.withColumnRenamed("user_id", "stream").withColumnRenamed("event_id", "seq")
 
@@ -370,10 +376,14 @@ def pay(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def state(spark: SparkSession, sf: str) -> DataFrame:
-    """Confirmed and hypothesis words of every partial and flush row."""
+    """Confirmed and hypothesis words of every partial and flush row.
+
+    Kept as a table: the ordered scans on top of it read it more than once.
+    """
     from utterlake.operators.stabilize import stabilize
 
-    return stabilize(part(spark, sf), ["stream", "segment"], "seq", "words", F.col("action") == "flush")
+    d = stabilize(part(spark, sf), ["stream", "segment"], "seq", "words", F.col("action") == "flush")
+    return cut_lineage(d, "state")
 
 
 def live(spark: SparkSession, sf: str) -> DataFrame:

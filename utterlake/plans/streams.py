@@ -23,6 +23,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def arriving(spark, sf):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     d = io.ingress_stream(spark, sf, EVENTS, "events.parquet")
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 

@@ -162,6 +162,7 @@ class StabilizerProcessor(KeyedState):
         self.config = config or StabilizerConfig()
         self.vad = vad
         self.collapse = collapse
+        self.norms: dict[str, str] = {}
 
     def fresh(self) -> dict:
         return {
@@ -206,7 +207,7 @@ class StabilizerProcessor(KeyedState):
 
     def update(self, s: dict, text: str, speech: bool) -> None:
         c = self.config
-        words = collapse_words(text.split()) if self.collapse else text.split()
+        words = collapse_words(text.split(), self.norms) if self.collapse else text.split()
         if s["carry"] and words and not s["drafts"]:
             s.update(agree=[s["carry"]], drafts=[s["carry"]], carry=[])
         s["agree"] = (s["agree"] + [words])[-max(1, c.agreement) :]
