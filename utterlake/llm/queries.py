@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.llm.mixing import mixed_documents
 from utterlake.llm.rlz_dedup import dedup_words
+from utterlake.llm.sharding import shuffle_shards
 from utterlake.llm.suffix_dedup import dedup_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +35,23 @@ def op1_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup_bytes(_documents(spark, sf_dir).select("doc_id", "text"), with_text=False)
     return done.select("doc_id", F.col("n_symbols").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = shuffle_shards(_documents(spark, sf_dir))
+    return done.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixed_documents(_documents(spark, sf_dir))
+    return done.select("doc_id", "size", "source_size", "target", "taken", "source")
