@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.llm.fingerprint import edit_likeness
 from utterlake.llm.mixing import mixed_documents
+from utterlake.llm.quality import judge
 from utterlake.llm.rlz_dedup import dedup_words
 from utterlake.llm.sharding import shuffle_shards
 from utterlake.llm.suffix_dedup import dedup_bytes
@@ -55,3 +57,15 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = mixed_documents(_documents(spark, sf_dir))
     return done.select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(_documents(spark, sf_dir))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    done = judge(_documents(spark, sf_dir).select("doc_id", "text"), labels)
+    return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
