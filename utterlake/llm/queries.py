@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm.fingerprint import edit_likeness
+from utterlake.llm.minhash import near_duplicates
 from utterlake.llm.mixing import mixed_documents
 from utterlake.llm.quality import judge
 from utterlake.llm.rlz_dedup import dedup_words
@@ -69,3 +70,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     done = judge(_documents(spark, sf_dir).select("doc_id", "text"), labels)
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality_score")
+
+
+@query
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id")
