@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from utterlake.llm.fingerprint import edit_likeness
 from utterlake.llm.minhash import near_duplicates
 from utterlake.llm.mixing import mixed_documents
+from utterlake.llm.pieces import decode, encode
 from utterlake.llm.quality import judge
 from utterlake.llm.rlz_dedup import dedup_words
 from utterlake.llm.sharding import shuffle_shards
@@ -75,3 +76,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id")
+
+
+#: The vocabulary that the pipeline and the query encode with.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), PIECES), PIECES)
+    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", lossless.alias("lossless"))
