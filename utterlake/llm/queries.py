@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm.fingerprint import edit_likeness
+from utterlake.llm.lm_scoring import score_texts
 from utterlake.llm.minhash import near_duplicates
 from utterlake.llm.mixing import mixed_documents
 from utterlake.llm.pieces import decode, encode
@@ -87,3 +88,9 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), PIECES), PIECES)
     lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", lossless.alias("lossless"))
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    return score_texts(_documents(spark, sf_dir), held_out)
