@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm.fingerprint import edit_likeness
+from utterlake.llm.language import identify
 from utterlake.llm.lm_scoring import score_texts
 from utterlake.llm.minhash import near_duplicates
 from utterlake.llm.mixing import mixed_documents
@@ -94,3 +95,8 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
     return score_texts(_documents(spark, sf_dir), held_out)
+
+
+@query
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
