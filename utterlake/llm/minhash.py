@@ -212,3 +212,16 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     low = own.where("_class is not null").groupBy("_class").agg(F.min("_low").alias("_least"))
     named = own.join(low, "_class", "left").select("_k1", "_k2", F.coalesce("_least", "_low").alias("class_id"))
     return keyed.join(named, ["_k1", "_k2"]).drop("_k1", "_k2")
+
+
+def keep_first(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of df for each near-duplicate class: that with the smallest id, null ids last; of repeated rows one."""
+    columns = df.columns
+    keyed, found = classes(df, text, **options)
+    rank = F.struct(F.col(id_column).isNull().alias("a"), F.col(id_column).alias("b"), F.col("_k1").alias("c"), F.col("_k2").alias("d"))
+    own = keyed.groupBy("_k1", "_k2").agg(F.min(rank).alias("_low")).join(found, ["_k1", "_k2"], "left")
+    low = own.where("_class is not null").groupBy("_class").agg(F.min("_low").alias("_least"))
+    first = own.join(low, "_class", "left").where("_least is null or _least = _low").select("_k1", "_k2", F.col("_low.b").alias("_keep"))
+    # a class keeps one text, and all rows with it meet in one partition
+    kept = keyed.join(first, ["_k1", "_k2"]).where(F.col(id_column).eqNullSafe(F.col("_keep")))
+    return kept.dropDuplicates(["_k1", "_k2"]).select(*columns)

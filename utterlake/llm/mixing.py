@@ -106,7 +106,7 @@ def _slot_rows(block: int, seed: int, shard_slots: int):
                 key = K.mix(np.uint64(seed) + K.mix(np.full(count, s, np.uint64) * np.uint64(8) + turn.astype(np.uint64)))
                 at = permute(j % blocks, np.full(count, blocks, np.int64), key)
                 out = K.mix(K.mix(j.astype(np.uint64) + np.uint64(1)) ^ key) % np.uint64(shards)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, s)), pa.array(at), pa.array(j), pa.array(out.astype(np.int64))], names=["_id", "_block", "slot", "out_shard"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(count, s)), pa.array(at), pa.array(turn.astype(np.int32)), pa.array(j), pa.array(out.astype(np.int64))], names=["_id", "_block", "turn", "slot", "out_shard"])
 
     return rows
 
@@ -125,14 +125,16 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces).
 
-    documents: _row, the id, source, size, source_size, target, _begin, one row for each of df. pieces: out_shard, slot, _row, first, n:
-    the n words from word `first` on of document _row stand in that slot of the mix.
+    documents: _row, the id, source, size, source_size, target, _begin, one row for each of df. pieces: out_shard, slot, turn, _row,
+    first, n: the n words from word `first` on of document _row stand in that slot of the mix, where the source is gone through
+    for the turn-th time. _row is a column of df if it has one.
     """
     spark = df.sparkSession
-    sized = df.select(F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_text")).mapInArrow(
-        _word_counts("_text", "size"), f"doc_id {df.schema[id_column].dataType.simpleString()}, source {df.schema[source].dataType.simpleString()}, size long"
+    row = F.col("_row") if "_row" in df.columns else F.monotonically_increasing_id().alias("_row")
+    sized = df.select(row, F.col(id_column).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("_text")).mapInArrow(
+        _word_counts("_text", "size"), f"_row long, doc_id {df.schema[id_column].dataType.simpleString()}, source {df.schema[source].dataType.simpleString()}, size long"
     )
-    sized = cut_lineage(sized.withColumn("_row", F.monotonically_increasing_id()), "sizes")
+    sized = cut_lineage(sized, "sizes")
     sources = cut_lineage(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     docs = sized.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     docs = cut_lineage(_laid_out(docs, seed), "documents")
@@ -146,14 +148,14 @@ def mix_sources(
     chunk = plan.where("_slots > 0").select("_id", "_blocks", "_slots", F.explode(F.sequence(F.lit(0), F.expr(f"(_slots - 1) div {step}"))).alias("_c"))
     chunk = chunk.select("_id", "_blocks", (F.col("_c") * step).alias("_first"), F.least(F.lit(step), F.col("_slots") - F.col("_c") * step).alias("_count"), F.lit(shards).alias("_shards"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = chunk.repartition(n, "_id", "_first").mapInArrow(_slot_rows(block, seed, shard_slots), "_id long, _block long, slot long, out_shard long")
+    drawn = chunk.repartition(n, "_id", "_first").mapInArrow(_slot_rows(block, seed, shard_slots), "_id long, _block long, turn int, slot long, out_shard long")
 
     last = F.expr(f"(_begin + size - 1) div {block}")
     parts = docs.where("size > 0").select("_row", "_id", "_begin", "size", F.explode(F.sequence(F.expr(f"_begin div {block}"), last)).alias("_block"))
     first = F.greatest(F.col("_begin"), F.col("_block") * block)
     end = F.least(F.col("_begin") + F.col("size"), (F.col("_block") + 1) * block)
     parts = parts.select("_id", "_block", "_row", (first - F.col("_begin")).alias("first"), (end - first).alias("n"))
-    return docs, drawn.join(parts, ["_id", "_block"]).select("out_shard", "slot", "_row", "first", "n")
+    return docs, drawn.join(parts, ["_id", "_block"]).select("out_shard", "slot", "turn", "_row", "first", "n")
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
@@ -161,3 +163,30 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     docs, pieces = mix_sources(df, **options)
     taken = pieces.groupBy("_row").agg(F.sum("n").alias("_taken"))
     return docs.join(taken, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"), "_row")
+
+
+def _taken_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        parts = batch.column("_parts").to_pylist()
+        texts: list[str] = []
+        for i, j, data, offs in K.text_chunks(batch.column("_text")):
+            w = K.Words(data, offs, hashed=False)
+            for d in range(i, j):
+                a = int(w.offs[d - i])
+                pick = [k for first, n in sorted((x["first"], x["n"]) for x in parts[d]) for k in range(a + first, a + first + n)]
+                texts.append(b" ".join([data[x:y].tobytes() for x, y in zip(w.start[pick].tolist(), w.end[pick].tolist(), strict=True)]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("turn"), pa.array(texts, pa.string())], names=["_row", "turn", "_mixed"])
+
+
+def mixed_texts(df: DataFrame, text: str = "text", **options) -> DataFrame:
+    """What the mix takes of each row of df, as its columns and turn: the row's words in blocks taken in that turn, joined by spaces.
+
+    A row of which a turn takes nothing is not there in that turn.
+    """
+    rows = cut_lineage(df.drop("turn", "_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
+    _, pieces = mix_sources(rows, text=text, **options)
+    parts = pieces.groupBy("_row", "turn").agg(F.collect_list(F.struct("first", "n")).alias("_parts"))
+    mixed = rows.select("_row", F.col(text).alias("_text")).join(parts, "_row").select("_row", "turn", "_text", "_parts")
+    mixed = mixed.mapInArrow(_taken_rows, "_row long, turn int, _mixed string")
+    columns = [F.col("_mixed").alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns if c != "_row"]
+    return rows.drop(text).join(mixed, "_row").select(*columns, "turn")
