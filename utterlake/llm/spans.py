@@ -266,8 +266,12 @@ def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 hit[k] = b - a > 1
         got = np.concatenate([r[h] for r, h in zip(runs, hits, strict=True)])
         got = got[np.lexsort((got["at"], got["p2"], got["p1"]))]
-        runs_ = [np.array([x, 1], np.int32).tobytes() for x in got["at"].tolist()]
-        return pa.RecordBatch.from_arrays([pa.array(got["p1"]), pa.array(got["p2"]), pa.array(runs_, pa.binary())], names=["_p1", "_p2", "_runs"])
+        # one row for each piece, whatever the number of its windows
+        same = (got["p1"][1:] == got["p1"][:-1]) & (got["p2"][1:] == got["p2"][:-1])
+        first = np.flatnonzero(np.concatenate(([True], ~same))) if len(got) else np.zeros(0, np.int64)
+        pairs = np.stack((got["at"], np.ones(len(got), np.int32)), 1).astype(np.int32)
+        blobs = [pairs[x:y].tobytes() for x, y in zip(first.tolist(), [*first[1:].tolist(), len(got)], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(got["p1"][first]), pa.array(got["p2"][first]), pa.array(blobs, pa.binary())], names=["_p1", "_p2", "_runs"])
 
     runs: list[np.ndarray] = []
     which = None
