@@ -58,10 +58,14 @@ class Symbols:
         if words:
             w = self.table = K.Words(data, offs)
             self.values, self.offs = w.hash, w.offs
-            self.codes, self.codes_2 = w.hash, K.mix(w.hash)
         else:
             self.values, self.offs = data, offs
-            self.codes, self.codes_2 = K.BYTE_CODE[data], K.BYTE_CODE_2[data]
+
+    def codes(self, second: bool = False) -> np.ndarray:
+        """One of two independent sets of codes to hash the symbols by."""
+        if self.words:
+            return K.mix(self.values) if second else self.values
+        return (K.BYTE_CODE_2 if second else K.BYTE_CODE)[self.values]
 
 
 def window_runs(codes: np.ndarray, offs: np.ndarray, length: int, gram: int):
@@ -122,7 +126,7 @@ def _anchor_rows(method: Method):
             k1, k2 = batch.column("_k1").to_numpy(), batch.column("_k2").to_numpy()
             for i, _, data, offs in K.text_chunks(batch.column("_text")):
                 s = Symbols(method.words, data, offs)
-                text, first, n, h = window_runs(s.codes, s.offs, method.length, method.gram)
+                text, first, n, h = window_runs(s.codes(), s.offs, method.length, method.gram)
                 if len(text):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(h), pa.array(k1[i + text]), pa.array(k2[i + text]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))],
@@ -152,8 +156,8 @@ def _piece_rows(method: Method):
                 text = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
                 begin = s.offs[text - i] + firsts[sl]
                 end = begin + ns[sl] + method.length - 1
-                p1 = K.part_hash(K.prefix_hash(s.codes), begin, end).view(np.int64)
-                p2 = K.part_hash(K.prefix_hash(s.codes_2), begin, end).view(np.int64)
+                p1 = K.part_hash(K.prefix_hash(s.codes()), begin, end).view(np.int64)
+                p2 = K.part_hash(K.prefix_hash(s.codes(True)), begin, end).view(np.int64)
                 hot = hots[sl]
                 shard = np.where(hot, p2, hs[sl])
                 bodies: list[bytes | None] = []
@@ -180,11 +184,6 @@ def _runs_of(flags: np.ndarray) -> bytes:
     return np.stack((edge[::2], edge[1::2] - edge[::2]), 1).astype(np.int32).tobytes()
 
 
-def _flags_of(runs: bytes) -> np.ndarray:
-    a = np.frombuffer(runs, np.int32).reshape(-1, 2)
-    return K.ranges(a[:, 0].astype(np.int64), a[:, 1].astype(np.int64))
-
-
 def _block_rows(method: Method, n_ranges: int):
     """Decide each block; shards come sorted, and a block ends where the shard changes."""
     kind = np.dtype(np.uint64 if method.words else np.uint8)
@@ -324,58 +323,91 @@ def repeated_runs(texts: DataFrame, method: Method) -> DataFrame:
     )
 
 
+def _gone(method: Method, s: Symbols, many: np.ndarray, docs: np.ndarray, firsts: np.ndarray, blobs) -> np.ndarray:
+    """Which symbols of a chunk lie in a repeated window. docs, firsts, blobs: the runs, by text of the chunk."""
+    data, at = K.buffers(blobs)
+    pairs = data.view(np.int32).reshape(-1, 2) if data.flags.c_contiguous and len(data) else np.frombuffer(data.tobytes(), np.int32).reshape(-1, 2)
+    count = np.diff(at) // 8
+    a = np.repeat(s.offs[docs] + firsts, count) + pairs[:, 0]
+    b = a + pairs[:, 1] + method.length - 1
+    full = np.flatnonzero(many & (np.diff(s.offs) >= method.length))
+    a, b = np.concatenate((a, s.offs[full])), np.concatenate((b, s.offs[full + 1]))
+    n = int(s.offs[-1])
+    return np.cumsum(np.bincount(a, minlength=n + 1) - np.bincount(b, minlength=n + 1))[:n] > 0
+
+
+def _kept_words(w: K.Words, data: np.ndarray, offs: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The kept words joined by single spaces, as bytes of the chunk and offsets of the texts."""
+    keep = np.flatnonzero(~gone)
+    n = len(data)
+    mark = np.bincount(w.start[keep], minlength=n + 1) - np.bincount(w.end[keep], minlength=n + 1)
+    mask = np.cumsum(mark)[:n] > 0
+    # white space follows each word that has another one after it
+    joint = w.end[keep[:-1][w.doc[keep[1:]] == w.doc[keep[:-1]]]]
+    mask[joint] = True
+    data = data.copy()
+    data[joint] = 32
+    return data[mask], np.concatenate(([0], np.cumsum(mask)))[offs]
+
+
+def _whole_characters(data: np.ndarray, offs: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What is left as text: a character of which only a part is removed stays whole."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    whole = np.logical_and.reduceat(gone, lead) if len(lead) else np.zeros(0, bool)
+    mask = ~np.repeat(whole, np.diff(np.append(lead, len(data))))
+    return data[mask], np.concatenate(([0], np.cumsum(mask)))[offs]
+
+
 def _cut_rows(method: Method, with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists, many = batch.column("_spans"), batch.column("_many").to_pylist()
-            spans = lists.to_pylist()
-            out: list[tuple] = []
+            many = batch.column("_many").to_numpy(zero_copy_only=False)
+            lists = batch.column("_spans")
+            at = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            item = lists.flatten()
+            firsts = item.field("_first").to_numpy(zero_copy_only=False) if len(item) else np.zeros(0, np.int64)
             for i, j, data, offs in K.text_chunks(batch.column("_text")):
                 s = Symbols(method.words, data, offs)
-                for d in range(i, j):
-                    a, b = s.offs[d - i], s.offs[d - i + 1]
-                    n, m = int(b - a), max(0, int(b - a) - method.length + 1)
-                    starts = np.zeros(m + 1, np.int32)
-                    if many[d]:
-                        starts[:m] = 1
-                    else:
-                        for x in spans[d] or ():
-                            starts[x["_first"] + _flags_of(x["_runs"])] = 1
-                    gone = np.zeros(n + 1, np.int32)
-                    edge = np.diff(np.concatenate(([0], starts[:m], [0])))
-                    up, down = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-                    gone[up] += 1
-                    np.subtract.at(gone, np.minimum(down + method.length - 1, n), 1)
-                    gone = np.cumsum(gone)[:n] > 0
-                    cut = np.flatnonzero(np.diff(np.concatenate(([0], gone.view(np.int8), [0]))))
-                    if method.words:
-                        w = s.table
-                        keep = np.flatnonzero(~gone) + a
-                        kept = b" ".join([data[x:y].tobytes() for x, y in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
-                        text = kept.decode() if with_text else None
-                    else:
-                        kept = data[a:b][~gone].tobytes()
-                        text = _whole_characters(data[a:b], gone) if with_text else None
-                    out.append((n, int(gone.sum()), len(cut) // 2, hashlib.sha256(kept).hexdigest(), cut.astype(np.int64), text))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_k1"), batch.column("_k2")] + [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)],
-                names=["_k1", "_k2", "n_symbols", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
-            )
+                own = slice(int(at[i]), int(at[j]))
+                docs = np.repeat(np.arange(j - i), np.diff(at[i : j + 1]))
+                blobs = item.field("_runs").slice(own.start, own.stop - own.start) if len(item) else pa.array([], pa.binary())
+                gone = _gone(method, s, many[i:j], docs, firsts[own], blobs)
+                up, down = gone.copy(), gone.copy()
+                up[1:] &= ~gone[:-1]
+                down[:-1] &= ~gone[1:]
+                starts, ends = s.offs[:-1][np.diff(s.offs) > 0], s.offs[1:][np.diff(s.offs) > 0] - 1
+                up[starts], down[ends] = gone[starts], gone[ends]
+                n_spans = K.sums_by(up, s.offs)
+                edges = np.stack((np.flatnonzero(up), np.flatnonzero(down) + 1), 1) - np.repeat(s.offs[:-1], n_spans)[:, None]
+                if method.words:
+                    kept, cut = _kept_words(s.table, data, offs, gone)
+                    text, text_cut = kept, cut
+                else:
+                    kept, cut = data[~gone], np.concatenate(([0], np.cumsum(~gone)))[s.offs]
+                    text, text_cut = _whole_characters(data, offs, gone) if with_text else (None, None)
+                view = memoryview(np.ascontiguousarray(kept))
+                sums = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                if with_text:
+                    texts = pa.LargeStringArray.from_buffers(j - i, pa.py_buffer(text_cut.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(text))).cast(pa.string())
+                else:
+                    texts = pa.nulls(j - i, pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("_k1").slice(i, j - i),
+                        batch.column("_k2").slice(i, j - i),
+                        pa.array(np.diff(s.offs).astype(np.int64)),
+                        pa.array(K.sums_by(gone, s.offs)),
+                        pa.array(n_spans),
+                        pa.array(sums),
+                        pa.ListArray.from_arrays(pa.array((np.concatenate(([0], np.cumsum(n_spans))) * 2).astype(np.int32)), pa.array(edges.ravel().astype(np.int64))),
+                        texts,
+                    ],
+                    names=["_k1", "_k2", "n_symbols", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
+                )
 
     return rows
 
 
-def _whole_characters(data: np.ndarray, gone: np.ndarray) -> str:
-    """What is left as text: a character of which only a part is removed stays whole."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    if not len(lead):
-        return ""
-    whole = np.logical_and.reduceat(gone, lead)
-    return data[~np.repeat(whole, np.diff(np.append(lead, len(data))))].tobytes().decode()
-
-
 def cut_texts(df: DataFrame, text: str, method: Method, with_text: bool) -> DataFrame:
     """One row for each row of df: its columns, then n_symbols, n_removed, n_spans, kept_sha256, spans, kept_text."""
     texts = distinct_texts(df, text)

@@ -40,7 +40,7 @@ def suffix_array(key: np.ndarray, depth: int, left: np.ndarray) -> tuple[np.ndar
     that are not yet split are sorted again.
     """
     n = len(key)
-    sa = np.argsort(key, kind="stable")
+    sa = np.argsort(key)
     sorted_key = key[sa]
     first = K.group_starts(sorted_key)
     size = np.diff(np.append(first, n))
@@ -52,7 +52,7 @@ def suffix_array(key: np.ndarray, depth: int, left: np.ndarray) -> tuple[np.ndar
         p = sa[todo]
         follows = np.where(depth < left[p], rank[np.minimum(p + depth, n - 1)] + 1, 0)
         key = rank[p].astype(np.uint64) << np.uint64(32) | follows.astype(np.uint64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         p, key = p[order], key[order]
         first = K.group_starts(key)
         size = np.diff(np.append(first, len(key)))
@@ -61,6 +61,13 @@ def suffix_array(key: np.ndarray, depth: int, left: np.ndarray) -> tuple[np.ndar
         # a group whose members have all ended stays as it is
         open_ = np.repeat((size > 1) & (left[p[first]] > 2 * depth), size)
         todo, depth = todo[open_], depth * 2
+    # strings that are equal to their ends come in the order of their places
+    tied = rank[sa]
+    first = K.group_starts(tied)
+    size = np.diff(np.append(first, n))
+    todo = np.flatnonzero(np.repeat(size > 1, size))
+    if len(todo):
+        sa[todo] = np.sort(tied[todo].astype(np.uint64) << np.uint64(32) | sa[todo].astype(np.uint64)) & np.uint64((1 << 32) - 1)
     rank[sa] = np.arange(n)
     return sa, rank
 
@@ -105,8 +112,11 @@ def common_prefixes(sa, rank, key, depth: int, left, starts, lengths) -> np.ndar
     return out[: len(sa)]
 
 
-def longest_matches(pieces: list[np.ndarray]) -> list[np.ndarray]:
-    """For each position of each piece the length of its longest match at another position of the block."""
+def longest_matches(pieces: list[np.ndarray], tail: int = 0) -> list[np.ndarray]:
+    """For each position of each piece the length of its longest match at another position of the block.
+
+    The last `tail` positions of a piece are not measured; a match of more than `tail` symbols is never missed.
+    """
     lengths = np.array([len(p) for p in pieces], np.int64)
     if not len(pieces):
         return []
@@ -118,7 +128,7 @@ def longest_matches(pieces: list[np.ndarray]) -> list[np.ndarray]:
     left = np.repeat(ends + 1, lengths + 1) - np.arange(len(symbols))
     key, depth = first_keys(symbols, ends, left)
     sa, rank = suffix_array(key, depth, left)
-    before = common_prefixes(sa, rank, key, depth, left, starts, lengths)
+    before = common_prefixes(sa, rank, key, depth, left, starts, np.maximum(lengths - tail, 0))
     after = np.zeros(len(sa), np.int64)
     after[sa[:-1]] = before[sa[1:]]
     best = np.maximum(before, after)

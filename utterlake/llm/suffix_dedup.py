@@ -16,7 +16,7 @@ from utterlake.llm.suffix import longest_matches
 
 def _repeated(pieces: list[np.ndarray], length: int) -> list[np.ndarray]:
     """A window is repeated if its suffix shares `length` symbols with a neighbour in the block's suffix array."""
-    return [m[: len(p) - length + 1] >= length for p, m in zip(pieces, longest_matches(pieces), strict=True)]
+    return [m[: len(p) - length + 1] >= length for p, m in zip(pieces, longest_matches(pieces, length - 1), strict=True)]
 
 
 def dedup_bytes(df: DataFrame, text: str = "text", length: int = 200, gram: int = 40, hot: int = 4000, with_text: bool = True) -> DataFrame:
