@@ -111,11 +111,22 @@ def test_vad_stream_equals_batch_across_batches(spark, sf):
     assert got.exceptAll(want).count() == 0 and got.count() == d.count()
 
 
-def test_late_rows_are_dropped_by_seq(spark):
+def test_late_rows_are_set_apart(spark):
     schema = "stream long, seq long, frames long"
-    parts = [spark.createDataFrame([(1, 5, 8), (1, 2, 8)], schema), spark.createDataFrame([(1, 3, 8), (1, 6, 8)], schema)]
-    out = S.run_to_table(S.keyed(S.staged(spark, parts, "t-late"), "stream", P.CreditProcessor(24, 96, 1)), "t-late-out")
-    assert sorted(r.seq for r in out.collect()) == [2, 5, 6]
+    parts = [spark.createDataFrame(x, schema) for x in ([(1, 5, 8), (1, 2, 8), (2, 9, 8)], [(1, 3, 8), (1, 6, 8), (2, 9, 8), (2, 1, 8)])]
+    feed = S.keyed(S.staged(spark, parts, "t-late"), "stream", P.CreditProcessor(24, 96, 1))
+    out, late = S.run_with_late(feed, "t-late-out")
+    assert sorted((r.stream, r.seq, r.steps) for r in out.collect()) == [(1, 2, 2), (1, 5, 2), (1, 6, 2), (2, 9, 2)]
+    assert sorted(tuple(r) for r in late.collect()) == [(1, 3), (2, 1), (2, 9)]
+
+
+def test_late_rows_of_the_stabiliser(spark):
+    schema = "stream long, seq long, action string, text string, speech boolean, dbfs double, frame_ms double"
+    row = lambda k, text: (1, k, "hop", text, True, 0.0, 320.0)
+    parts = [spark.createDataFrame(x, schema) for x in ([row(3, "a\u00a0b")], [row(2, "late"), row(4, "a b c")])]
+    out, late = S.run_with_late(S.keyed(S.staged(spark, parts, "t-late"), "stream", P.StabilizerProcessor()), "t-late-out")
+    assert [(r.seq, r.confirmed) for r in out.orderBy("seq").collect()] == [(3, ""), (4, "a b")]
+    assert [tuple(r) for r in late.collect()] == [(1, 2)]
 
 
 def test_vad_needs_ordered_levels(spark, sf):

@@ -2,11 +2,14 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from utterlake.functions import text as X
 from utterlake.operators import sweep as W
 from utterlake.session import cut_lineage, scratch, shared_dir
 from utterlake.sources import io
+from utterlake.streaming.processors import split_words
 
 
 def put(path, name, text):
@@ -35,6 +38,66 @@ def test_speaker_lines_stop_at_limit(spark):
     assert [r.text for r in out] == ["one"]
 
 
+def test_speaker_line_grammar(spark):
+    root = scratch(spark, "t-speakers")
+    tight, wide = "[0->1.5]Speaker 0:a\u00a0b", "\t[2.0  ->\u00a03]\u3000Speaker  12:  c \u3000"
+    bad = ["[x -> 2] Speaker 0: no", "[3 -> 4 Speaker 0: no", "[3 -> 4]Speaker0: no", "(3 -> 4) Speaker 0: no"]
+    put(f"{root}/file=4", "t.txt", "\r\n".join([tight, *bad, wide]))
+    put(f"{root}/file=5", "t.txt", "  [1.0 -> 2.0] Speaker 3: d")
+    rows = io.scan_speaker_lines(spark, root).orderBy("file", "ordinal").collect()
+    assert [(r.file, r.ordinal, r.start_sec, r.end_sec, r.speaker, r.text) for r in rows] == [
+        (4, 0, 0.0, 1.5, 0, "a\u00a0b"), (4, 5, 2.0, 3.0, 12, "c"), (5, 0, 1.0, 2.0, 3, "d"),
+    ]
+
+
+def test_malformed_lines_fail_or_are_set_apart(spark):
+    path, rejects = scratch(spark, "t-bad"), scratch(spark, "t-rejects")
+    put(path, "a.jsonl", '{"ordinal":1,"id":7,"text":"x"}\n{bad\n\u00a0\n{"ordinal":"one"}\n')
+    with pytest.raises(Exception, match="malformed line"):
+        io.scan_utterances(spark, path).collect()
+    assert [r.id for r in io.scan_utterances(spark, path, rejects).collect()] == ["7"]
+    assert sorted(r.value for r in spark.read.text(rejects).collect()) == ['{"ordinal":"one"}', "{bad"]
+    rejects = scratch(spark, "t-rejects")
+    assert io.scan_manifest_samples(spark, path, rejects=rejects).count() == 1
+    assert spark.read.text(rejects).count() == 2
+
+
+def test_manifest_lines_are_stripped(spark):
+    path = scratch(spark, "t-manifest")
+    head = "dataset\tprofile\trun_name\tstatus"
+    put(path, "m.tsv", f"\n  {head}\n d\tp\tr1\tok \n{head}\n\u00a0\n")
+    rows = io.scan_run_manifest(spark, path).collect()
+    assert [tuple(r) for r in rows] == [("d", "p", "r1", "ok"), ("dataset", "profile", "run_name", "status")]
+
+
+def test_quoted_numbers_of_a_summary(spark):
+    m = spark.createDataFrame([("d", "p", "r", "ok")], "dataset string, profile string, run_name string, status string")
+    text = '{"global_metrics": {"wer": {"global_result": "0.1"}}, "rtf": "slow", "num_samples": "12", "speed_x": 2}'
+    r = W.manifest_report(m, spark.createDataFrame([("r", text)], "run_name string, summary string")).first()
+    assert (r.status, r.wer, r.rtf, r.num_samples, r.speed_x) == ("ok", 0.1, None, 12, 2.0)
+
+
+def test_a_run_without_text_fails_the_gate(spark):
+    rows = [(s, r, 2.0, 1.0, 1.0, 0, t) for s, r, t in ((0.25, 0, "x"), (0.5, 0, "x"), (0.5, 1, None), (0.75, 0, "x"))]
+    runs = spark.createDataFrame(rows, "stride double, repetition int, infer_rtfx double, primary_ms double, p95_ms double, corrections long, text string")
+    got = {r.stride: r["pass"] for r in W.sweep_aggregate(runs, 0.25).collect()}
+    assert got == {0.25: True, 0.5: False, 0.75: True}
+
+
+def test_settings_without_candidates(spark):
+    rows = [(0.25, 0, None, None, None, None, "x")]
+    runs = spark.createDataFrame(rows, "stride double, repetition int, infer_rtfx double, primary_ms double, p95_ms double, corrections long, text string")
+    lines = W.settings_text(W.recommend(W.sweep_aggregate(runs, 0.25)), 5.0).collect()
+    assert [r.value for r in lines] == ["# latency_equivalence_ms=5.0\n# no passing candidate found"]
+
+
+def test_words_split_at_any_white_space(spark):
+    text = "a\u00a0b\u3000c d\u2009e\x85f\tg\u200bh"
+    words = spark.range(1).select(X.tokenize(F.lit(text)).alias("w"), X.strip_all(F.lit("\u00a0 x\u3000\n")).alias("s")).first()
+    assert words.w == ["a", "b", "c", "d", "e", "f", "g\u200bh"] == split_words(text)
+    assert words.s == "x"
+
+
 def test_manifest_and_summaries(spark):
     path, root = scratch(spark, "t-man"), scratch(spark, "t-sum")
     put(path, "m.tsv", "dataset\tprofile\trun_name\tstatus\nd\tp\tr1\tok\nd\tp\tr2\tok\nd\tp\tr3\tok\nd\tp\tr4\tfailed\nbroken line\n")

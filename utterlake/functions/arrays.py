@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from utterlake.functions.text import edge_punct_norm
+from utterlake.functions.text import edge_punct_norm, strip_all
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,13 +99,22 @@ def contains_subsequence(haystack: Column, needle: Column) -> Column:
 def longest_known_prefix(window: Column, segment: Column, shortest: int, longest: int) -> Column:
     """Longest prefix of ``segment`` found in ``window``, between the two bounds, else 0."""
     top = F.least(F.lit(longest), F.size(segment))
-    lengths = F.filter(count_to(top), lambda k: k >= shortest)
-    text = fenced(window)
-    found = let(
-        text,
-        lambda t: F.array_max(F.filter(lengths, lambda k: F.contains(t, fenced(F.slice(segment, F.lit(1), k))))),
-    )
-    return F.coalesce(found, F.lit(0))
+
+    # A prefix that is contained contains all shorter ones, so the border is found by halving.
+    def bisect(t: Column) -> Column:
+        start = F.struct(F.lit(shortest - 1).alias("low"), top.alias("high"))
+
+        def halve(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["low"] + acc["high"] + 1) / 2).cast("int")
+            held = F.contains(t, fenced(F.slice(segment, F.lit(1), F.greatest(mid, F.lit(0)))))
+            low = F.when(acc["low"] >= acc["high"], acc["low"]).when(held, mid).otherwise(acc["low"])
+            high = F.when(acc["low"] >= acc["high"], acc["high"]).when(held, acc["high"]).otherwise(mid - 1)
+            return F.struct(low.alias("low"), high.alias("high"))
+
+        steps = F.sequence(F.lit(1), F.lit(max(1, (longest - shortest + 2).bit_length())))
+        return F.aggregate(steps, start, halve, lambda acc: F.when(acc["low"] >= shortest, acc["low"]).otherwise(0))
+
+    return let(fenced(window), bisect)
 
 
 def append_with_overlap(
@@ -164,13 +173,13 @@ def window_merge(base: Column, following: Column, search: int = 4096) -> Column:
         b, n = p["b"], p["n"]
         need = F.when(F.size(n) >= 16, 4).when(F.size(n) >= 8, 3).otherwise(2)
         # Only a position that holds the first token of the next window can start a match.
-        starts = F.filter(
-            F.transform(b, lambda x, i: F.when(x == n[0], i)),
-            lambda i: i.isNotNull() & (i >= F.size(b) - search),
-        )
+        skipped = F.greatest(F.size(b) - search, F.lit(0))
+        reach = drop_first(b, skipped)
+        starts = F.filter(F.transform(reach, lambda x, i: F.when(x == n[0], i + skipped)), lambda i: i.isNotNull())
+        # A match is no longer than the next window, so no more of the base is copied for each start.
         scored = F.transform(
             starts,
-            lambda i: F.struct(lcp_len(drop_first(b, i), n).alias("len"), (-i).alias("neg")),
+            lambda i: F.struct(lcp_len(F.slice(b, i + 1, F.size(n)), n).alias("len"), (-i).alias("neg")),
         )
         best = F.array_max(scored)
         return (
@@ -415,7 +424,7 @@ def align_payload(results: Column, cursors: Column, stamps: Column) -> Column:
         rows = F.transform(
             count_to(n),
             lambda i: F.struct(
-                F.trim(F.get(p["r"], i - 1)).alias("text"),
+                strip_all(F.get(p["r"], i - 1)).alias("text"),
                 F.get(p["c"], i - 1).alias("cursor"),
                 F.coalesce(F.get(p["t"], i - 1), F.array().cast("array<double>")).alias("stamps"),
             ),

@@ -12,6 +12,9 @@ AUDIO_CANDIDATES = ("audio", "wav", "file", "path")
 
 WORD_MARK = "▁"
 
+# Fixed value: the characters with the Unicode property White_Space, as the inside of a pattern class.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def normalize_basic(text: Column) -> Column:
     """Lower case; everything but a-z, 0-9 and apostrophes becomes a space; spaces squeezed."""
@@ -28,7 +31,7 @@ def normalize_compare(text: Column) -> Column:
 def normalize_mode(text: Column, mode: str = "basic") -> Column:
     """none trims; basic and open_asr both give the basic form."""
     if mode == "none":
-        return F.trim(text)
+        return strip_all(text)
     if mode in ("basic", "open_asr"):
         return normalize_basic(text)
     raise ValueError(f"unknown mode {mode!r}")
@@ -36,7 +39,7 @@ def normalize_mode(text: Column, mode: str = "basic") -> Column:
 
 def tokenize(text: Column) -> Column:
     """Whitespace words, without empties."""
-    return F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{WHITE}]+"), lambda w: w != "")
 
 
 def word_count(text: Column) -> Column:
@@ -59,7 +62,7 @@ def alnum_words(words: Column) -> Column:
 
 def merged_transcript(confirmed: Column, hypothesis: Column) -> Column:
     """Confirmed text then hypothesis, one space between, empty parts left out."""
-    return F.concat_ws(" ", F.nullif(F.trim(confirmed), F.lit("")), F.nullif(F.trim(hypothesis), F.lit("")))
+    return F.concat_ws(" ", F.nullif(strip_all(confirmed), F.lit("")), F.nullif(strip_all(hypothesis), F.lit("")))
 
 
 def safe_float(value: Column) -> Column:
@@ -110,4 +113,4 @@ def speed_factor(infer_sec: Column, audio_sec: Column) -> Column:
 
 def strip_all(text: Column) -> Column:
     """Trim every kind of whitespace at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+", ""), r"\s+$", "")
+    return F.regexp_replace(F.regexp_replace(text, f"^[{WHITE}]+", ""), f"[{WHITE}]+$", "")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from utterlake.functions import text as X
 from utterlake.functions import arrays as A
 from utterlake.operators import metrics as M
 from utterlake.operators.joins import asof_forward
@@ -95,7 +96,7 @@ def segment_latencies(spoken_events: DataFrame, keys: list[str], order: str) ->
         F.max_by("merged", order).alias("last_merged"),
     )
     begin = F.col("start_ingress")
-    pending = ~F.col("flushed") & (F.trim("last_merged") != "")
+    pending = ~F.col("flushed") & (X.strip_all(F.col("last_merged")) != "")
     return d.select(
         *keys,
         "segment_no",

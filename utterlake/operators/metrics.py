@@ -22,7 +22,7 @@ def edit_distance(a: Column, b: Column) -> Column:
 
     Each distinct word of the pair becomes one character beyond the 16-bit plane, and the built-in
     character distance does the rest. The character comes from the word's hash; a pair in which two
-    words would share one numbers its words instead, which holds for a million distinct words.
+    words would share one numbers its words instead, which holds for a million distinct words; more are an error.
     """
 
     def hashed(w: Column) -> Column:
@@ -38,7 +38,8 @@ def edit_distance(a: Column, b: Column) -> Column:
     def body(p: Column) -> Column:
         clash = F.size(F.array_distinct(F.transform(p["v"], hashed))) < F.size(p["v"])
         numbered = distance(p, lambda w: F.array_position(p["v"], w) - 1)
-        return F.when(clash, numbered).otherwise(distance(p, hashed))
+        many = F.raise_error(F.lit(f"over {CODES} distinct words in a pair")).cast("int")
+        return F.when(F.size(p["v"]) > CODES, many).when(clash, numbered).otherwise(distance(p, hashed))
 
     pair = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("v"))
     return F.when(a == b, 0).otherwise(A.let(pair, body)).cast("bigint")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from utterlake.functions import text as X
+
 # What a run's status becomes when its summary file is absent or broken.
 MISSING, INVALID = "missing_summary", "invalid_summary"
 
 SUMMARY_SCHEMA = (
-    "global_metrics struct<wer:struct<global_result:double>>, rtf double, speed_x double, num_samples bigint, "
-    "total_audio_sec double, total_prediction_sec double, _bad string"
+    "global_metrics struct<wer:struct<global_result:string>>, rtf string, speed_x string, num_samples string, "
+    "total_audio_sec string, total_prediction_sec string, _bad string"
 )
 
 
@@ -22,7 +24,7 @@ def with_exact_match(runs: DataFrame, baseline: float) -> DataFrame:
         (F.count_distinct("sha") == 1).alias("baseline_consistent"),
     )
     # The baseline is one row.
-    return d.crossJoin(F.broadcast(base)).withColumn("exact_match", F.col("sha") == F.col("canonical"))
+    return d.crossJoin(F.broadcast(base)).withColumn("exact_match", F.coalesce(F.col("sha") == F.col("canonical"), F.lit(False)))
 
 
 def sweep_aggregate(
@@ -106,9 +108,11 @@ def manifest_report(manifest: DataFrame, summaries: DataFrame) -> DataFrame:
         "profile",
         "run_name",
         status.alias("status"),
-        F.when(good, F.col("s.global_metrics.wer.global_result")).alias("wer"),
-        F.when(good, F.col("s.rtf")).alias("rtf"),
-        F.when(good, F.col("s.num_samples")).alias("num_samples"),
+        # Numbers are read as text and cast one by one, so that a quoted or broken one spoils no other.
+        F.when(good, X.safe_float(F.col("s.global_metrics.wer.global_result"))).alias("wer"),
+        F.when(good, X.safe_float(F.col("s.rtf"))).alias("rtf"),
+        F.when(good, X.safe_float(F.col("s.num_samples")).cast("bigint")).alias("num_samples"),
+        *[F.when(good, X.safe_float(F.col(f"s.{c}"))).alias(c) for c in ("speed_x", "total_audio_sec", "total_prediction_sec")],
     )
 
 
@@ -146,4 +150,8 @@ def settings_text(recommended: DataFrame, epsilon_ms: float) -> DataFrame:
         ),
         F.concat(F.lit("decode_stride_sec="), fixed("stride")),
     )
-    return recommended.where("recommended").select(line.alias("value"))
+    found = recommended.where("recommended").select(line.alias("value"))
+    # One row where nothing passes; the candidates of a sweep are a handful.
+    none = F.lit(f"# latency_equivalence_ms={epsilon_ms}\n# no passing candidate found").alias("value")
+    count = recommended.agg(F.count_if("recommended").alias("n"))
+    return found.unionByName(count.where("n = 0").select(none))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from utterlake.functions.text import WHITE
+
 VIEWS: dict[str, str] = {}
 REUSED = {"v_wer", "v_state", "v_vad", "v_live"}
 
 
 def words_sql(text: str) -> str:
-    return f"list_filter(string_split_regex({text}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({text}, '[{WHITE}]+'), lambda w: w <> '')"
+
+
+def strip_sql(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '^[{WHITE}]+', ''), '[{WHITE}]+$', '')"
 
 
 def norm_sql(text: str) -> str:
@@ -42,7 +48,7 @@ WHERE conv_id % 23 <> 0
 """
 
 VIEWS["v_part"] = f"""
-SELECT conv_id AS stream, turn AS segment, turn * 100000 + k AS seq,
+SELECT conv_id AS stream, turn AS segment, turn * 4294967296 + k AS seq,
        CASE WHEN k > n THEN 'flush' ELSE 'partial' END AS action,
        CASE WHEN k > n THEN CAST([] AS VARCHAR[])
             WHEN k % 2 = 1 THEN list_concat(w[1:least(3 * k, len(w)) - 1], [left(w[least(3 * k, len(w))], 3)])
@@ -79,9 +85,8 @@ FROM events GROUP BY 1, 2
 """
 
 VIEWS["v_lines"] = r"""
-SELECT file, ordinal, start_sec, CASE WHEN (file + ordinal) % 5 = 0 THEN t
-    ELSE '[' || CAST(start_sec AS VARCHAR) || ' -> ' || CAST(start_sec + 3 AS VARCHAR) || '] Speaker ' || (ordinal % 2) || ': ' || t END AS line
-FROM (SELECT conv_id AS file, turn AS ordinal, 3.5::DOUBLE * turn AS start_sec, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM conversations)
+SELECT conv_id AS file, turn AS ordinal, 3.5::DOUBLE * turn AS start_sec, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t,
+    (conv_id + turn) % 6 AS form FROM conversations
 """
 
 VIEWS["v_trace"] = """
@@ -174,7 +179,7 @@ VIEWS["v_pay"] = """
 SELECT stream, segment, list(CASE WHEN k % 4 = 0 THEN '  ' ELSE array_to_string(words, ' ') END ORDER BY seq) AS results,
        list(k * 0.32::DOUBLE ORDER BY seq)[1:CASE WHEN stream % 2 = 0 THEN count(*) - 1 ELSE count(*) END] AS cursors,
        list(CASE WHEN k % 2 = 0 THEN [k * 0.32::DOUBLE, k * 0.32::DOUBLE + 0.1::DOUBLE] ELSE [k * 0.32::DOUBLE] END ORDER BY seq)[1:count(*) // 2] AS stamps
-FROM (SELECT *, seq - segment * 100000 AS k FROM v_part WHERE action = 'partial')
+FROM (SELECT *, seq - segment * 4294967296 AS k FROM v_part WHERE action = 'partial')
 GROUP BY stream, segment
 """
 

@@ -81,7 +81,7 @@ def part(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(
         "stream",
         "segment",
-        (F.col("segment") * 100000 + F.col("k")).alias("seq"),
+        (F.shiftleft(F.col("segment").cast("bigint"), 32) + F.col("k")).alias("seq"),
         F.when(F.col("k") > F.col("n"), "flush").otherwise("partial").alias("action"),
         F.when(F.col("k") > F.col("n"), no_words())
         .when(F.col("k") % 2 == 1, cut)
@@ -147,15 +147,25 @@ def back(spark: SparkSession, sf: str) -> DataFrame:
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     start = F.col("turn") * 3.5
     text = X.strip_all(F.regexp_replace("text", r"\s+", " "))
-    stamped = F.concat(
-        F.lit("["), start.cast("string"), F.lit(" -> "), (start + 3).cast("string"),
-        F.lit("] Speaker "), (F.col("turn") % 2).cast("string"), F.lit(": "), text,
-    )
+    form = (F.col("conv_id") + F.col("turn")) % 6
+
+    def stamped(pattern: str) -> Column:
+        return F.format_string(pattern, start, start + 3, F.col("turn") % 2, text)
+
+    # Four forms of a line with a stamp, a bare text and a broken stamp.
+    line = (
+        F.when(form == 0, stamped("[%.1f -> %.1f] Speaker %d: %s"))
+        .when(form == 1, stamped("[%.1f->%.1f]Speaker %d:%s"))
+        .when(form == 2, stamped("\t [%.1f  ->\t%.1f]  Speaker  %d:   %s  "))
+        .when(form == 3, stamped("[%.1f\u00a0->\u00a0%.1f]\u3000Speaker\u00a0%d:\u00a0%s\u3000"))
+        .when(form == 4, text)
+        .otherwise(stamped("[%.1f -> %.1f Speaker %d: %s"))
+    )
     return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("file"),
         F.col("turn").alias("ordinal"),
         start.alias("start_sec"),
-        F.when((F.col("conv_id") + F.col("turn")) % 5 == 0, text).otherwise(stamped).alias("line"),
+        line.alias("line"),
     )
 
 
@@ -206,8 +216,12 @@ def summary_json() -> Column:
     good = F.to_json(
         F.struct(
             F.struct(F.struct(F.col("wer").alias("global_result")).alias("wer")).alias("global_metrics"),
-            F.col("rtf"),
+            # Numbers come bare, quoted and broken.
+            F.col("rtf").cast("string").alias("rtf"),
             F.col("n").alias("num_samples"),
+            F.when(F.col("n") % 2 == 0, (F.col("n") * 2.5).cast("string")).otherwise("fast").alias("speed_x"),
+            (F.col("n") * 10).alias("total_audio_sec"),
+            (F.col("n") * 0.5).cast("string").alias("total_prediction_sec"),
         )
     )
     return F.when(F.col("n").isNull(), None).when(F.col("broken"), "{bad").otherwise(good)
@@ -356,7 +370,7 @@ def length(spark: SparkSession, sf: str) -> DataFrame:
 def pay(spark: SparkSession, sf: str) -> DataFrame:
     """One streaming payload per call (a turn): parallel lists, some of them too short."""
     d = part(spark, sf).where(F.col("action") == "partial")
-    k = F.col("seq") - F.col("segment") * 100000
+    k = F.col("seq") - F.shiftleft(F.col("segment").cast("bigint"), 32)
     at = k * F.lit(0.32)
     entry = F.struct(
         "seq",

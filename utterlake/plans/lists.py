@@ -387,12 +387,12 @@ def _(spark, sf):
 
 @query(
     "ar23_monotonic_confirm",
-    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT stream, segment, seq - segment * 100000 AS k, words FROM v_part WHERE action = 'partial'),
+    f"""WITH RECURSIVE c AS MATERIALIZED (SELECT stream, segment, seq - segment * 4294967296 AS k, words FROM v_part WHERE action = 'partial'),
     fold AS (SELECT stream, segment, k, words FROM c WHERE k = 1
       UNION ALL
       SELECT c.stream, c.segment, c.k, CASE WHEN len(c.words) >= len(f.words) AND c.words[1:len(f.words)] = f.words THEN c.words ELSE f.words END
       FROM fold f JOIN c ON c.stream = f.stream AND c.segment = f.segment AND c.k = f.k + 1)
-    SELECT stream, segment, segment * 100000 + k AS seq, len(words) AS n, array_to_string(words, ' ') AS confirmed FROM fold""",
+    SELECT stream, segment, segment * 4294967296 + k AS seq, len(words) AS n, array_to_string(words, ' ') AS confirmed FROM fold""",
 )
 def _(spark, sf):
     # One group is one utterance's partial texts.

@@ -99,12 +99,14 @@ def reported(spark, sf):
 
 REPORT_SQL = """(SELECT dataset, profile, run_name, CASE WHEN status = 'ok' AND n IS NULL THEN 'missing_summary' WHEN status = 'ok' AND broken THEN 'invalid_summary' ELSE status END AS status,
    CASE WHEN status = 'ok' AND n IS NOT NULL AND NOT broken THEN wer END AS wer, CASE WHEN status = 'ok' AND n IS NOT NULL AND NOT broken THEN rtf END AS rtf,
-   CASE WHEN status = 'ok' AND n IS NOT NULL AND NOT broken THEN n END AS num_samples FROM v_man)"""
+   CASE WHEN status = 'ok' AND n IS NOT NULL AND NOT broken THEN n END AS num_samples,
+   CASE WHEN status = 'ok' AND n % 2 = 0 AND NOT broken THEN n * 2.5::DOUBLE END AS speed_x, CASE WHEN status = 'ok' AND NOT broken THEN n * 10.0::DOUBLE END AS total_audio_sec,
+   CASE WHEN status = 'ok' AND NOT broken THEN n * 0.5::DOUBLE END AS total_prediction_sec FROM v_man)"""
 
 
 @query(
     "jn8_manifest_summaries",
-    f"SELECT dataset, profile, run_name, status, round(wer, 6) AS wer, round(rtf, 6) AS rtf, num_samples FROM {REPORT_SQL}",
+    f"SELECT dataset, profile, run_name, status, round(wer, 6) AS wer, round(rtf, 6) AS rtf, num_samples, speed_x, total_audio_sec, total_prediction_sec FROM {REPORT_SQL}",
 )
 def _(spark, sf):
     return reported(spark, sf).withColumn("wer", F.round("wer", 6)).withColumn("rtf", F.round("rtf", 6))
@@ -318,12 +320,12 @@ def _(spark, sf):
 @query(
     "tk5_keep_best_top_n",
     """SELECT stream, hyp, last_frame, prev, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY stream ORDER BY score DESC, hyp, last_frame, prev) AS rank
-      FROM (SELECT stream, array_to_string(tokens[1:2], ',') AS hyp, len(tokens) % 4 AS last_frame, tokens[1] AS prev, max(-seq / 10.0::DOUBLE) AS score FROM v_tok GROUP BY ALL)) WHERE rank <= 4""",
+      FROM (SELECT stream, array_to_string(tokens, ',') AS hyp, len(tokens) % 4 AS last_frame, tokens[1] AS prev, max(-seq / 10.0::DOUBLE) AS score FROM v_tok GROUP BY ALL)) WHERE rank <= 4""",
 )
 def _(spark, sf):
     d = fx.tok(spark, sf).select(
         "stream",
-        F.array_join(F.slice("tokens", 1, 2).cast("array<string>"), ",").alias("hyp"),
+        F.array_join(F.col("tokens").cast("array<string>"), ",").alias("hyp"),
         (F.size("tokens") % 4).cast("bigint").alias("last_frame"),
         F.get("tokens", F.lit(0)).alias("prev"),
         (-F.col("seq") / 10.0).alias("score"),

@@ -133,12 +133,14 @@ def _(spark, sf):
 
 @query(
     "wn14_transcript_cursor",
-    f"""SELECT stream, seq, max(CASE WHEN confirmed <> pc OR hypothesis <> ph THEN seq END) OVER (PARTITION BY stream ORDER BY seq) AS transcript_cursor
+    f"""SELECT stream, seq, max(CASE WHEN confirmed <> pc OR hypothesis <> ph OR action = 'flush' THEN seq END) OVER (PARTITION BY stream ORDER BY seq) AS transcript_cursor
     FROM (SELECT *, lag(confirmed, 1, '') OVER w AS pc, lag(hypothesis, 1, '') OVER w AS ph FROM {TEXT_STATE} WINDOW w AS (PARTITION BY stream ORDER BY seq))""",
 )
 def _(spark, sf):
     d = S.with_previous(texts(spark, sf), ["stream"], "seq", {"confirmed": F.lit(""), "hypothesis": F.lit("")})
     changed = (F.col("confirmed") != F.col("prev_confirmed")) | (F.col("hypothesis") != F.col("prev_hypothesis"))
+    # A flush moves the cursor also where no text changed.
+    changed = changed | (F.col("action") == "flush")
     return S.transcript_cursor(d, ["stream"], "seq", "seq", changed).select("stream", "seq", "transcript_cursor")
 
 
@@ -147,12 +149,14 @@ def _(spark, sf):
     f"""SELECT stream, seq, row_number() OVER (PARTITION BY stream, island ORDER BY seq) - 1 AS stagnant
     FROM (SELECT *, sum(CASE WHEN f = p THEN 0 ELSE 1 END) OVER (PARTITION BY stream ORDER BY seq) AS island
       FROM (SELECT stream, seq, f, lag(f) OVER (PARTITION BY stream ORDER BY seq) AS p
-        FROM (SELECT stream, seq, CASE WHEN action = 'partial' THEN confirmed || '|' || left(hypothesis, 1) END AS f FROM {TEXT_STATE})))""",
+        FROM (SELECT stream, seq, CASE WHEN action = 'partial' THEN confirmed || '|' || hypothesis END AS f
+          FROM (SELECT stream, action, confirmed, hypothesis, unnest([seq * 2, seq * 2 + 1]) AS seq FROM {TEXT_STATE}))))""",
 )
 def _(spark, sf):
-    # The first letter of the draft stands for the text, so that runs do occur.
-    finger = F.concat_ws("|", "confirmed", F.substring("hypothesis", 1, 1))
-    d = S.stagnation_run(texts(spark, sf), ["stream"], "seq", finger, F.col("action") == "partial")
+    # Every partial text comes twice, so that runs do occur.
+    finger = F.concat_ws("|", "confirmed", "hypothesis")
+    twice = texts(spark, sf).withColumn("seq", F.explode(F.array(F.col("seq") * 2, F.col("seq") * 2 + 1)))
+    d = S.stagnation_run(twice, ["stream"], "seq", finger, F.col("action") == "partial")
     return d.select("stream", "seq", "stagnant")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from utterlake.functions import arrays as A
 from utterlake.functions import text as X
@@ -268,34 +267,24 @@ def _(spark, sf):
 
 @query(
     "uf5_ordered_fold",
-    "SELECT stream, segment, CAST(sum(len(words)) AS BIGINT) AS words_seen, max(len(words)) AS longest FROM v_part WHERE action = 'partial' GROUP BY stream, segment",
+    """SELECT stream, segment, round(list_reduce(list(CAST(len(words) AS DOUBLE) ORDER BY seq), lambda a, x: a + 0.25 * (x - a)), 6) AS smoothed
+    FROM v_part WHERE action = 'partial' GROUP BY stream, segment""",
 )
 def _(spark, sf):
     d = fx.part(spark, sf).where("action = 'partial'")
     # One group is one segment, which is bounded.
     g = d.groupBy("stream", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", F.size("words").alias("n")))).alias("s"))
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("longest"))
-    fold = F.aggregate(
-        "s", start, lambda acc, x: F.struct((acc["total"] + x["n"]).alias("total"), F.greatest(acc["longest"], x["n"]).alias("longest"))
-    )
-    return g.select("stream", "segment", fold.alias("f")).select(
-        "stream", "segment", F.col("f.total").alias("words_seen"), F.col("f.longest").cast("bigint").alias("longest")
-    )
-
+    # An exponential average: the result hangs on the order.
+    rest = F.slice("s", F.lit(2), F.size("s"))
+    fold = F.aggregate(rest, F.get("s", F.lit(0))["n"].cast("double"), lambda acc, x: acc + (x["n"] - acc) * 0.25)
+    return g.select("stream", "segment", F.round(fold, 6).alias("smoothed"))
 
-@udtf(returnType="seg_start bigint, seg_end bigint")
-class PlanSegments:
-    """plan_segments(total, segment, overlap) for SQL."""
 
-    def eval(self, total: int, segment: int, overlap: int):
-        overlap = segment // 4 if overlap >= segment else overlap
-        step = max(1, segment - overlap)
-        start = 0
-        while start < total:
-            yield start, min(start + segment, total)
-            if start + segment >= total:
-                break
-            start += step
+PLAN_SEGMENTS = """CREATE OR REPLACE TEMPORARY FUNCTION plan_segments(total BIGINT, segment BIGINT, overlap BIGINT)
+RETURNS TABLE(seg_start BIGINT, seg_end BIGINT)
+RETURN SELECT s, least(s + segment, total) FROM (
+  SELECT explode(sequence(0, total - 1, greatest(1, segment - if(overlap >= segment, segment div 4, overlap)))) AS s)
+WHERE total > 0 AND (s = 0 OR s + if(overlap >= segment, segment div 4, overlap) < total)"""
 
 
 @query(
@@ -304,9 +293,9 @@ class PlanSegments:
       SELECT doc_id, n, unnest(range(0, n, 40)) AS s FROM (SELECT doc_id, len({words_sql('text')}) AS n FROM documents)) WHERE s = 0 OR s + 10 < n""",
 )
 def _(spark, sf):
-    spark.udtf.register("plan_segments", PlanSegments)
+    spark.sql(PLAN_SEGMENTS)
     d = fx.table(spark, sf, "documents").select("doc_id", X.word_count(F.col("text")).alias("total"))
-    d.createOrReplaceTempView("lengths")
+    d.where("total > 0").createOrReplaceTempView("lengths")
     return spark.sql("SELECT doc_id, seg_start, seg_end FROM lengths, LATERAL plan_segments(total, 50, 10)")
 
 

@@ -22,13 +22,16 @@ from utterlake.sources import io
 def _(spark, sf):
     d = fx.ref(spark, sf).join(fx.hyp(spark, sf).select("id", "audio_sec"), "id", "left")
     d = d.withColumn("infer_sec", F.when(F.col("turn") % 2 != 0, 1.5))
-    first = d.withColumn("ordinal", F.col("conv_id") * 1000 + F.col("turn"))
-    again = first.where("turn = 1").withColumn("ordinal", F.col("ordinal") + 500)
+    # An order that no length of a conversation can break: the second reading of a line comes after the first.
+    first = d.withColumn("ordinal", F.shiftleft("conv_id", 32) + F.col("turn") * 2)
+    again = first.where("turn = 1").withColumn("ordinal", F.col("ordinal") + 1)
     again = again.withColumn("text", F.concat(F.lit("again "), "text"))
     cols = ["ordinal", "id", "text", "audio_sec", "infer_sec"]
     path = scratch(spark, "utterances")
-    io.write_jsonl(first.select(cols).unionByName(again.select(cols)), path)
-    out = io.scan_utterances(spark, path)
+    lines = first.select(cols).unionByName(again.select(cols)).select(F.to_json(F.struct("*")).alias("value"))
+    junk = d.where("turn = 0").select(F.explode(F.array(F.lit("{broken"), F.lit("\u00a0"))).alias("value"))
+    io.write_lines(lines.unionByName(junk), path)
+    out = io.scan_utterances(spark, path, rejects=scratch(spark, "rejects"))
     return out.select("id", "text", F.round("audio_sec", 4).alias("audio_sec"), "infer_sec")
 
 
@@ -56,8 +59,8 @@ def _(spark, sf):
     return io.scan_dataset(spark, f"{sf}/documents.parquet", ordinal="doc_id").select("id", "reference")
 
 
-SPOKEN_SQL = """(SELECT file, ordinal, start_sec, trim(regexp_extract(line, '^\\[[0-9.]+ -> [0-9.]+\\] Speaker [0-9]+: (.*)$', 1, 's')) AS text,
-   max(CASE WHEN start_sec >= 15 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ordinal) AS stopped FROM v_lines WHERE starts_with(line, '['))"""
+SPOKEN_SQL = """(SELECT file, ordinal, start_sec, t AS text, max(CASE WHEN start_sec >= 15 THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ordinal) AS stopped
+   FROM v_lines WHERE form < 4)"""
 
 
 @query(
@@ -68,7 +71,8 @@ def _(spark, sf):
     from utterlake.operators.tokens import joined
 
     path = scratch(spark, "lines")
-    io.write_jsonl(fx.lines(spark, sf).select("file", "ordinal", "line"), path)
+    d = fx.lines(spark, sf).repartition("file").sortWithinPartitions("file", "ordinal")
+    io.write_texts(d, path, "file", "line")
     # A file's lines up to the limit are one transcript.
     return joined(io.scan_speaker_lines(spark, path, 15.0), ["file"], "ordinal", "text", "text", " ")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from utterlake.functions import text as X
 from utterlake.operators import backlog as B
 from utterlake.plans import fixtures as fx
-from utterlake.plans.fixture_sql import norm_sql, words_sql
+from utterlake.plans.fixture_sql import norm_sql, strip_sql, words_sql
 from utterlake.plans.registry import query
 
 
@@ -24,30 +24,39 @@ def _(spark, sf):
     return fx.table(spark, sf, "documents").select("doc_id", X.normalize_compare(F.col("text")).alias("norm"))
 
 
+SPACED_SQL = "replace(replace(text, ', ', '\u00a0\t'), '. ', '\u3000')"
+
+
+def spaced(text):
+    """Planted no-break, tab and ideographic spaces."""
+    return F.replace(F.replace(text, F.lit(", "), F.lit("\u00a0\t")), F.lit(". "), F.lit("\u3000"))
+
+
 @query(
     "pj3_normalize_mode",
-    f"""SELECT doc_id, trim(text) AS as_none, {norm_sql('text')} AS as_basic, {norm_sql('text')} AS as_open_asr
+    f"""SELECT doc_id, {strip_sql("chr(160) || text || chr(10)")} AS as_none, {norm_sql('text')} AS as_basic, {norm_sql('text')} AS as_open_asr
     FROM documents""",
 )
 def _(spark, sf):
-    modes = [X.normalize_mode(F.col("text"), m).alias(f"as_{m}") for m in ("none", "basic", "open_asr")]
+    texts = {"none": F.concat(F.lit("\u00a0"), "text", F.lit("\n")), "basic": F.col("text"), "open_asr": F.col("text")}
+    modes = [X.normalize_mode(t, m).alias(f"as_{m}") for m, t in texts.items()]
     return fx.table(spark, sf, "documents").select("doc_id", *modes)
 
 
 @query(
     "pj4_tokenize_ws",
     f"""SELECT conv_id, turn, array_to_string(w, '|') AS words
-    FROM (SELECT conv_id, turn, {words_sql('text')} AS w FROM conversations)""",
+    FROM (SELECT conv_id, turn, {words_sql(SPACED_SQL)} AS w FROM conversations)""",
 )
 def _(spark, sf):
     return fx.table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.array_join(X.tokenize(F.col("text")), "|").alias("words")
+        "conv_id", "turn", F.array_join(X.tokenize(spaced(F.col("text"))), "|").alias("words")
     )
 
 
-@query("pj5_word_count", f"SELECT conv_id, turn, len({words_sql('text')}) AS n FROM conversations")
+@query("pj5_word_count", f"SELECT conv_id, turn, len({words_sql(SPACED_SQL)}) AS n FROM conversations")
 def _(spark, sf):
-    return fx.table(spark, sf, "conversations").select("conv_id", "turn", X.word_count(F.col("text")).alias("n"))
+    return fx.table(spark, sf, "conversations").select("conv_id", "turn", X.word_count(spaced(F.col("text"))).alias("n"))
 
 
 @query(

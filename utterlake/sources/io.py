@@ -19,18 +19,31 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def scan_utterances(spark: SparkSession, path: str) -> DataFrame:
+def _objects(spark: SparkSession, path: str, schema: str, rejects: str | None) -> DataFrame:
+    """JSON lines as rows. Blank lines are skipped; a malformed line fails the job, or goes to the folder ``rejects``."""
+    d = _lines(spark, path).where(X.strip_all(F.col("value")) != "")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    d = d.select("value", parsed.alias("o"))
+    bad = F.col("o").isNull() | F.col("o._bad").isNotNull()
+    if rejects is None:
+        wrong = F.raise_error(F.concat(F.lit("malformed line: "), F.substring("value", 1, 200))).cast("boolean")
+        d = d.where(F.when(bad, wrong).otherwise(True))
+    else:
+        write_lines(d.where(bad).select("value"), rejects)
+        d = d.where(~bad)
+    return d.select("o.*").drop("_bad")
+
+
+def scan_utterances(spark: SparkSession, path: str, rejects: str | None = None) -> DataFrame:
     """JSONL utterances. Blank lines are skipped, ids become strings, numbers may be missing, and of
     several lines with one id the one with the highest ``ordinal`` counts."""
-    d = _lines(spark, path).where(F.trim("value") != "")
-    d = d.select(F.from_json("value", UTTERANCE_SCHEMA).alias("u")).select("u.*")
+    d = _objects(spark, path, UTTERANCE_SCHEMA, rejects)
     return latest_rows(d, ["id"], F.col("ordinal"))
 
 
-def scan_manifest_samples(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+def scan_manifest_samples(spark: SparkSession, path: str, limit: int | None = None, rejects: str | None = None) -> DataFrame:
     """JSONL samples with inline audio; the id falls back to the ordinal, the duration is computed."""
-    d = _lines(spark, path).where(F.trim("value") != "")
-    d = d.select(F.from_json("value", SAMPLE_SCHEMA).alias("s")).select("s.*")
+    d = _objects(spark, path, SAMPLE_SCHEMA, rejects)
     if limit is not None and limit > 0:
         d = d.orderBy("ordinal").limit(limit)
     rate = F.greatest(F.col("sampling_rate"), F.lit(1))
@@ -51,8 +64,12 @@ def scan_dataset(
     return out
 
 
-# Fixed value: a timestamped line, "[start -> end] Speaker n: text".
-SPEAKER_LINE = r"^\[(\d+(?:\.\d+)?) -> (\d+(?:\.\d+)?)\] Speaker (\d+): (.*)$"
+# A timestamped line, "[start -> end] Speaker n: text", with any white space between its parts, and line ends.
+SPEAKER_LINE = (
+    rf"(?s)^\[([0-9]+(?:\.[0-9]+)?)[{X.WHITE}]*->[{X.WHITE}]*([0-9]+(?:\.[0-9]+)?)\]"
+    rf"[{X.WHITE}]*Speaker[{X.WHITE}]+([0-9]+):[{X.WHITE}]*(.*)$"
+)
+LINE_END = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def take_while(df: DataFrame, keys: list[str], order: str, stop: Column) -> DataFrame:
@@ -63,6 +80,7 @@ def take_while(df: DataFrame, keys: list[str], order: str, stop: Column) -> Data
 
 def parse_speaker_lines(df: DataFrame, keys: list[str], order: str, line: str, max_seconds: float | None) -> DataFrame:
     """Matching, non-empty lines of each file up to the first that starts at or after the limit."""
+    df = df.withColumn(line, X.strip_all(F.col(line)))
     part = lambda i: F.regexp_extract(line, SPEAKER_LINE, i)
     d = df.where(F.col(line).rlike(SPEAKER_LINE)).select(
         *keys,
@@ -70,7 +88,7 @@ def parse_speaker_lines(df: DataFrame, keys: list[str], order: str, line: str, m
         part(1).cast("double").alias("start_sec"),
         part(2).cast("double").alias("end_sec"),
         part(3).cast("int").alias("speaker"),
-        F.trim(part(4)).alias("text"),
+        X.strip_all(part(4)).alias("text"),
     )
     if max_seconds is not None:
         d = take_while(d, keys, order, F.col("start_sec") >= max_seconds)
@@ -78,8 +96,10 @@ def parse_speaker_lines(df: DataFrame, keys: list[str], order: str, line: str, m
 
 
 def scan_speaker_lines(spark: SparkSession, path: str, max_seconds: float | None = None) -> DataFrame:
-    """Timestamped transcript tables (file, ordinal, line) written as JSON."""
-    d = spark.read.schema("file bigint, ordinal bigint, line string").json(path)
+    """Timestamped transcript files. The key of a file is its folder's ``file=`` value, else its path; lines count from 0."""
+    d = spark.read.text(path, wholetext=True)
+    file = F.col("file") if "file" in d.columns else F.col("_metadata.file_path")
+    d = d.select(file.alias("file"), F.posexplode(F.split("value", LINE_END)).alias("ordinal", "line"))
     return parse_speaker_lines(d, ["file"], "ordinal", "line", max_seconds)
 
 
@@ -95,10 +115,13 @@ MANIFEST_COLUMNS = ("dataset", "profile", "run_name", "status")
 
 
 def scan_run_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Tab-separated manifest; a header with the expected names and lines without four parts drop out."""
+    """Tab-separated manifests, one file each. Lines are stripped; a header with the expected names drops out where it is the
+    first line that is not blank, and so do lines without four parts."""
+    lines = F.filter(F.transform(F.split("value", LINE_END), X.strip_all), lambda x: x != "")
+    d = spark.read.text(path, wholetext=True).select(F.posexplode(lines).alias("_i", "value"))
     parts = F.split("value", "\t")
-    header = F.col("value").startswith("\t".join(MANIFEST_COLUMNS))
-    d = _lines(spark, path).where((F.size(parts) == len(MANIFEST_COLUMNS)) & ~header)
+    header = (F.col("_i") == 0) & F.col("value").startswith("\t".join(MANIFEST_COLUMNS))
+    d = d.where((F.size(parts) == len(MANIFEST_COLUMNS)) & ~header)
     return d.select(*[parts[i].alias(c) for i, c in enumerate(MANIFEST_COLUMNS)])
 
 

@@ -25,7 +25,7 @@ def keyed(source: DataFrame | Feed, key: str, processor: KeyedState) -> DataFram
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor,
-        outputStructType=processor.schema,
+        outputStructType=processor.output,
         outputMode="append",
         timeMode="none",
     )
@@ -64,10 +64,18 @@ def run(source: DataFrame | Feed, label: str, sink: Callable[[DataStreamWriter,
 
 
 def run_to_table(source: DataFrame | Feed, label: str) -> DataFrame:
-    """Process what is there, into Parquet in the shared folder, and read the result."""
+    """Process what is there, into Parquet in the shared folder, and read the result, without late rows."""
+    return run_with_late(source, label)[0]
+
+
+def run_with_late(source: DataFrame | Feed, label: str) -> tuple[DataFrame, DataFrame | None]:
+    """As run_to_table, and the late rows of a keyed processor (stream, seq) as a table of their own."""
     stream = source.stream if isinstance(source, Feed) else source
     out = run(source, label, lambda w, path: w.format("parquet").outputMode("append").option("path", path))
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+    d = stream.sparkSession.read.schema(stream.schema).parquet(out)
+    if "late" not in d.columns:
+        return d, None
+    return d.where("not late").drop("late"), d.where("late").select("stream", "seq")
 
 
 def run_batches(

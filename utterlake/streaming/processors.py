@@ -1,7 +1,8 @@
 """Keyed state for streams: speech detection, stabilisation, fractional step credit.
 
 A key's rows come in any order within a micro-batch, so they are sorted by seq first; the source's
-rate limit (files or offsets per trigger) bounds them. Rows at or below the last seq seen are dropped.
+rate limit (files or offsets per trigger) bounds them. A row at or below the last seq seen in an earlier batch, or a copy of
+one in this batch, changes no state; it goes out with ``late`` set, so that nothing is lost without a trace.
 State is bounded too: of the committed text only the words the overlap rule can reach are kept.
 """
 
@@ -9,19 +10,22 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from utterlake.functions.text import WHITE
 from utterlake.operators.tokens import collapse_words
 from utterlake.params import StabilizerConfig, VadConfig
 
+split_words = re.compile(f"[^{WHITE}]+").findall
 SEARCH, LONGEST, SHORTEST, MAX_OVERLAP = 2048, 512, 4, 256
 
 
 class KeyedState(StatefulProcessor):
-    """Sorts a key's batch, drops old rows and keeps one JSON state value."""
+    """Sorts a key's batch, sets late rows apart and keeps one JSON state value."""
 
     order = "seq"
 
@@ -42,14 +46,23 @@ class KeyedState(StatefulProcessor):
         held = self.state.get() if self.state.exists() else None
         state = json.loads(held[0]) if held else {"last": None, **self.fresh()}
         out: list[dict] = []
+        late: list[dict] = []
         for row in batch.to_dict("records"):
             if state["last"] is not None and row[self.order] <= state["last"]:
+                late.append({"stream": row["stream"], "seq": row["seq"]})
                 continue
             state["last"] = int(row[self.order])
             out += self.rows(state, row)
         self.state.update((json.dumps(state),))
         if out:
-            yield pd.DataFrame(out)
+            yield pd.DataFrame(out).assign(late=False)
+        if late:
+            columns = [c.split()[0] for c in self.schema.split(", ")]
+            yield pd.DataFrame(late).reindex(columns=columns).astype({c: object for c in columns[2:]}).replace({float("nan"): None}).assign(late=True)
+
+    @property
+    def output(self) -> str:
+        return f"{self.schema}, late boolean"
 
 
 class VadProcessor(KeyedState):
@@ -207,7 +220,7 @@ class StabilizerProcessor(KeyedState):
 
     def update(self, s: dict, text: str, speech: bool) -> None:
         c = self.config
-        words = collapse_words(text.split(), self.norms) if self.collapse else text.split()
+        words = collapse_words(split_words(text), self.norms) if self.collapse else split_words(text)
         if s["carry"] and words and not s["drafts"]:
             s.update(agree=[s["carry"]], drafts=[s["carry"]], carry=[])
         s["agree"] = (s["agree"] + [words])[-max(1, c.agreement) :]
