@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from utterlake.llm import oracles
 from utterlake.llm.fingerprint import edit_likeness
 from utterlake.llm.language import identify
 from utterlake.llm.lm_scoring import score_texts
@@ -100,3 +101,6 @@ def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
+
+
+ORACLES |= {"op1_rlz_dedup": oracles.OP1, "op3_suffix_dedup": oracles.OP3, "op10_minhash_dedup": oracles.OP10}
