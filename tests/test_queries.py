@@ -12,7 +12,9 @@ CHECKED = (
     "jn6_forward_asof_join jn8_manifest_summaries jn11_containment_join ag1_word_edit_distance ag7_percentile_linear "
     "ag13_sweep_aggregate ag16_placement_rollup ag18_realtime_summary wn1_local_agreement wn4_revision_counter wn6_vad_hysteresis "
     "wn12_final_confirmed_latency wn15_rolling_last_n wn17_first_divergence wn18_cumulative_budget_pick tk2_frontier_recommendation "
-    "sg7_mel_project sc1_scan_utterances st2_sliding_windows st4_stabilizer_state st8_ewma_adaptive_increment uf6_plan_segments_udtf"
+    "sg7_mel_project sc1_scan_utterances st2_sliding_windows st4_stabilizer_state st8_ewma_adaptive_increment uf6_plan_segments_udtf "
+    "st5_session_windows st10_end_of_stream st11_streaming_latency st12_batch_trace uf4_swappable_detector uf5_ordered_fold pj4_tokenize_ws "
+    "sc4_scan_speaker_lines tk5_keep_best_top_n wn14_transcript_cursor wn19_stagnation_run"
 ).split()
 
 
@@ -48,7 +50,7 @@ def test_entry(spark):
 
 
 # One-row sides are joined by broadcast here.
-ONE_ROW = {"ag18", "ag19", "ag7", "jn9", "ag13", "tk2", "sk2", "sk6", "wn18", "st2", "st5"}
+ONE_ROW = {"ag18", "ag19", "ag7", "jn9", "ag13", "tk2", "sk2", "sk6", "wn18"}
 
 
 @pytest.mark.parametrize("name", ["jn3_multiset_overlap_join", "jn5_neighbourhood_range_join", "jn6_forward_asof_join", "jn11_containment_join", "wn6_vad_hysteresis", "wn17_first_divergence", "ag1_word_edit_distance"])

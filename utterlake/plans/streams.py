@@ -44,10 +44,12 @@ def _(spark, sf):
     "st2_sliding_windows",
     """SELECT start_us, event_type, count(*) AS n, round(sum(value), 4) AS total
     FROM (SELECT event_type, value, unnest([epoch_us(ts) // 1200000000 * 1200000000, epoch_us(ts) // 1200000000 * 1200000000 - 1200000000, epoch_us(ts) // 1200000000 * 1200000000 - 2400000000]) AS start_us FROM events)
-    GROUP BY start_us, event_type""",
+    WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events) GROUP BY start_us, event_type""",
 )
 def _(spark, sf):
-    return S.run_complete(S.windowed_counts(arriving(spark, sf), "ts", "1 hour", "20 minutes", "event_type", "value"), "windows")
+    # A window is final, and its state gone, once the watermark has passed its end.
+    timely = arriving(spark, sf).withWatermark("ts", "10 minutes")
+    return S.run_to_table(S.windowed_counts(timely, "ts", "1 hour", "20 minutes", "event_type", "value"), "windows")
 
 
 @query("st3_vad_state", "SELECT stream, seq, speech FROM v_vad")
@@ -86,10 +88,10 @@ def halves(spark, rows, label):
 NO_LIMITS = StabilizerConfig(run_limit=0, stagnation_limit=0)
 
 
-@query(
-    "st4_stabilizer_state",
-    "SELECT stream, seq, action = 'flush' AS is_flush, array_to_string(confirmed, ' ') AS confirmed, array_to_string(hypothesis, ' ') AS hypothesis FROM v_state",
-)
+STATE_SQL = "SELECT stream, seq, action = 'flush' AS is_flush, array_to_string(confirmed, ' ') AS confirmed, array_to_string(hypothesis, ' ') AS hypothesis FROM v_state"
+
+
+@query("st4_stabilizer_state", STATE_SQL)
 def _(spark, sf):
     rows = halves(spark, control_rows(spark, sf), "stabilizer")
     d = S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS, collapse=False)), "stable")
@@ -106,10 +108,12 @@ def _(spark, sf):
     "st5_session_windows",
     """SELECT user_id, min(us) AS start_us, max(us) + 3600000000 AS end_us, count(*) AS n
     FROM (SELECT *, sum(CASE WHEN us - prev < 3600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY us) AS session
-      FROM (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, session""",
+      FROM (SELECT user_id, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS prev FROM events)) GROUP BY user_id, session
+    HAVING max(us) + 3600000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""",
 )
 def _(spark, sf):
-    return S.run_complete(S.sessions(arriving(spark, sf), "ts", "1 hour", "user_id"), "sessions")
+    timely = arriving(spark, sf).withWatermark("ts", "10 minutes")
+    return S.run_to_table(S.sessions(timely, "ts", "1 hour", "user_id"), "sessions")
 
 
 @query("st6_discard_and_resync")
@@ -125,21 +129,22 @@ def chunks(spark, sf):
     )
 
 
-@query(
-    "st7_load_shedding",
-    """SELECT stream, day, seq, rn > m - keep AS kept, keep < n AS resync FROM (
+SHED_SQL = """SELECT stream, day, seq, rn > m - keep AS kept, keep < n AS resync FROM (
       SELECT *, CASE WHEN m > 3 AND m > 1 THEN least(2, m) ELSE m END AS keep, rn0 - (n - m) AS rn FROM (
         SELECT *, least(n, 6) AS m FROM (SELECT stream, CAST(floor(received_at / 86400) AS BIGINT) AS day, seq,
-          row_number() OVER (PARTITION BY stream, floor(received_at / 86400) ORDER BY seq) AS rn0, count(*) OVER (PARTITION BY stream, floor(received_at / 86400)) AS n FROM v_ev)))""",
-)
+          row_number() OVER (PARTITION BY stream, floor(received_at / 86400) ORDER BY seq) AS rn0, count(*) OVER (PARTITION BY stream, floor(received_at / 86400)) AS n FROM v_ev)))"""
+
+
+@query("st7_load_shedding", SHED_SQL)
 def _(spark, sf):
     return B.shed(chunks(spark, sf), ["stream", "day"], "seq", soft=3, target=1, context=2, hard=6)
 
 
-@query("st7_load_shedding_stream")
+@query("st7_load_shedding_stream", SHED_SQL)
 def _(spark, sf):
     d = S.staged(spark, [chunks(spark, sf)], "shed")
-    return S.shed_stream(d, "shed-out", ["stream", "day"], "seq", soft=3, target=1, context=2, hard=6)
+    out = S.shed_stream(d, "shed-out", ["stream", "day"], "seq", soft=3, target=1, context=2, hard=6)
+    return out.select("stream", "day", "seq", "kept", "resync")
 
 
 RN_EV = "(SELECT *, row_number() OVER (PARTITION BY stream ORDER BY seq) AS rn FROM v_ev)"
@@ -181,20 +186,27 @@ def _(spark, sf):
     return S.run_to_table(S.keyed(d, "stream", P.CreditProcessor(24, 96, 1)), "credited")
 
 
-@query("st10_end_of_stream")
+@query("st10_end_of_stream", STATE_SQL)
 def _(spark, sf):
     # The last flush of every stream is a finish row instead.
     d = control_rows(spark, sf)
     last = d.groupBy("stream").agg(F.max("seq").alias("end"))
     d = d.join(last, "stream").withColumn("action", F.when(F.col("seq") == F.col("end"), "finish").otherwise(F.col("action")))
     rows = halves(spark, d.drop("end"), "finish")
-    return S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS)), "finished")
+    d = S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS, collapse=False)), "finished")
+    return d.select("stream", "seq", "is_flush", "confirmed", "hypothesis")
 
 
-@query("st11_streaming_latency")
+@query(
+    "st11_streaming_latency",
+    """SELECT stream, count(*) AS n, round(avg(ms), 6) AS avg_ms, round(quantile_disc(ms, 0.95), 6) AS p95_ms
+    FROM (SELECT l.stream, greatest(0, (l.ready_at - m.received_at) * 1000) AS ms
+      FROM v_live l ASOF JOIN v_mark m ON m.stream = l.stream AND greatest(1, l.cursor) <= m.cursor) GROUP BY stream""",
+)
 def _(spark, sf):
     events = fx.live(spark, sf).select("stream", "seq", "cursor", "ready_at")
-    return S.latency_stream(S.staged(spark, [events], "latency"), fx.mark(spark, sf), "latencies", ["stream"])
+    out = S.latency_stream(S.staged(spark, [events], "latency"), fx.mark(spark, sf), "latencies", ["stream"])
+    return out.select("stream", "n", F.round("avg_ms", 6).alias("avg_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
 def trace_rows(spark, sf):
@@ -202,12 +214,17 @@ def trace_rows(spark, sf):
     return d.withColumn("queued", F.col("seq") % 7)
 
 
-@query("st12_batch_trace")
+TRACE_SQL = """(SELECT 'realtime_batch' AS kind, CAST(segment >= 3 AS BIGINT) AS trace_batch_index, count(*) AS batch_chunk_count, min(seq) AS batch_first_chunk,
+  max(seq) AS batch_last_chunk, CAST(sum(greatest(0, seq % 7 - 5)) AS BIGINT) AS dropped_chunks, max(seq % 7) AS queue_chunk_count,
+  arg_max(action = 'partial', seq) AS event_is_speech FROM v_part GROUP BY ALL)"""
+
+
+@query("st12_batch_trace", f"SELECT * FROM {TRACE_SQL}")
 def _(spark, sf):
-    return S.batch_trace(halves(spark, trace_rows(spark, sf), "trace-in"), "trace-out", 5)
+    return S.batch_trace(halves(spark, trace_rows(spark, sf), "trace-in"), "trace-out", 5).drop("epoch")
 
 
-@query("sk4_stream_trace_jsonl")
+@query("sk4_stream_trace_jsonl", f"SELECT trace_batch_index, batch_chunk_count, dropped_chunks FROM {TRACE_SQL}")
 def _(spark, sf):
     return S.batch_trace(halves(spark, trace_rows(spark, sf), "jsonl-in"), "jsonl-out", 5).select(
         "trace_batch_index", "batch_chunk_count", "dropped_chunks"
@@ -257,12 +274,13 @@ def _(spark, sf):
     return U.transcribe_command(fx.ref(spark, sf).select("id", "text"), "id", "text", run, 5.0, "text")
 
 
-@query("uf4_swappable_detector")
+@query("uf4_swappable_detector", STATE_SQL)
 def _(spark, sf):
     # The same stabiliser with the detector on levels in place of the speech column.
     rows = halves(spark, control_rows(spark, sf), "swap")
     vad = VadConfig(start_dbfs=-35.0, end_dbfs=-45.0, min_speech_ms=320, min_silence_ms=320)
-    return S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS, vad=vad)), "swapped")
+    d = S.run_to_table(S.keyed(rows, "stream", P.StabilizerProcessor(NO_LIMITS, vad=vad, collapse=False)), "swapped")
+    return d.select("stream", "seq", "is_flush", "confirmed", "hypothesis")
 
 
 @query(

@@ -90,20 +90,6 @@ def run_batches(
     )
 
 
-def run_complete(stream: DataFrame, label: str) -> DataFrame:
-    """Complete-mode result of an aggregation: every epoch replaces the table before."""
-
-    def work(df: DataFrame, epoch: int, out: str) -> None:
-        df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    out = run_batches(stream, label, work, "complete")
-    d = stream.sparkSession.read.schema(stream.schema).option("basePath", out).parquet(f"{out}/epoch=*")
-    last = d.select(F.max(F.regexp_extract(F.col("_metadata.file_path"), r"epoch=(\d+)", 1).cast("int")).alias("_last"))
-    epoch = F.regexp_extract(F.col("_metadata.file_path"), r"epoch=(\d+)", 1).cast("int")
-    d = d.withColumn("_epoch", epoch).crossJoin(F.broadcast(last))  # one row
-    return d.where(F.col("_epoch") == F.col("_last")).select(stream.columns)
-
-
 def deduplicated(stream: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """Event-time rows once each; copies and rows later than the watermark drop out."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
