@@ -47,13 +47,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_USED: list[str] = []
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _USED.append(path)
+    return path
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete scratch folders whose readers are done."""
+    conf = spark._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def used_scratch() -> list[str]:
+    """Scratch folders handed out so far, in order."""
+    return list(_USED)
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back."""
     path = scratch(df.sparkSession, label)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
