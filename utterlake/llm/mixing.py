@@ -155,7 +155,8 @@ def mix_sources(
     first = F.greatest(F.col("_begin"), F.col("_block") * block)
     end = F.least(F.col("_begin") + F.col("size"), (F.col("_block") + 1) * block)
     parts = parts.select("_id", "_block", "_row", (first - F.col("_begin")).alias("first"), (end - first).alias("n"))
-    return docs, drawn.join(parts, ["_id", "_block"]).select("out_shard", "slot", "turn", "_row", "first", "n")
+    # few rows become many in Python, which sizes at run time do not show, so no side may be broadcast
+    return docs, drawn.join(parts.hint("merge"), ["_id", "_block"]).select("out_shard", "slot", "turn", "_row", "first", "n")
 
 
 def mixed_documents(df: DataFrame, **options) -> DataFrame:
@@ -165,28 +166,31 @@ def mixed_documents(df: DataFrame, **options) -> DataFrame:
     return docs.join(taken, "_row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"), "_row")
 
 
-def _taken_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        parts = batch.column("_parts").to_pylist()
-        texts: list[str] = []
-        for i, j, data, offs in K.text_chunks(batch.column("_text")):
-            w = K.Words(data, offs, hashed=False)
-            for d in range(i, j):
-                a = int(w.offs[d - i])
-                pick = [k for first, n in sorted((x["first"], x["n"]) for x in parts[d]) for k in range(a + first, a + first + n)]
-                texts.append(b" ".join([data[x:y].tobytes() for x, y in zip(w.start[pick].tolist(), w.end[pick].tolist(), strict=True)]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("turn"), pa.array(texts, pa.string())], names=["_row", "turn", "_mixed"])
+def _taken_rows(names: list[str], text: str):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = batch.column("_parts").to_pylist()
+            texts: list[str] = []
+            for i, j, data, offs in K.text_chunks(batch.column(text)):
+                w = K.Words(data, offs, hashed=False)
+                for d in range(i, j):
+                    a = int(w.offs[d - i])
+                    pick = [k for first, n in sorted((x["first"], x["n"]) for x in parts[d]) for k in range(a + first, a + first + n)]
+                    texts.append(b" ".join([data[x:y].tobytes() for x, y in zip(w.start[pick].tolist(), w.end[pick].tolist(), strict=True)]).decode())
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text else batch.column(c) for c in names], names=names)
+
+    return rows
 
 
 def mixed_texts(df: DataFrame, text: str = "text", **options) -> DataFrame:
     """What the mix takes of each row of df, as its columns and turn: the row's words in blocks taken in that turn, joined by spaces.
 
-    A row of which a turn takes nothing is not there in that turn.
+    A row of which a turn takes nothing is not there in that turn. Rows are written once, so that both readers see the same numbers, and
+    moved once.
     """
     rows = cut_lineage(df.drop("turn", "_row").withColumn("_row", F.monotonically_increasing_id()), "rows")
     _, pieces = mix_sources(rows, text=text, **options)
     parts = pieces.groupBy("_row", "turn").agg(F.collect_list(F.struct("first", "n")).alias("_parts"))
-    mixed = rows.select("_row", F.col(text).alias("_text")).join(parts, "_row").select("_row", "turn", "_text", "_parts")
-    mixed = mixed.mapInArrow(_taken_rows, "_row long, turn int, _mixed string")
-    columns = [F.col("_mixed").alias(c) if c == text else F.col(f"`{c}`") for c in rows.columns if c != "_row"]
-    return rows.drop(text).join(mixed, "_row").select(*columns, "turn")
+    names = [*[c for c in rows.columns if c != "_row"], "turn"]
+    schema = ", ".join(f"`{c}` {'int' if c == 'turn' else rows.schema[c].dataType.simpleString()}" for c in names)
+    return rows.join(parts, "_row").select(*names, "_parts").mapInArrow(_taken_rows(names, text), schema)
