@@ -3,11 +3,13 @@
 1. Equal texts are folded into one row. The signature of a text is ProbMinHash over its shingles of `size` words, weighted by how
    often they occur: each shingle's arrivals are a Poisson process of its weight, each arrival picks a register, a register
    keeps the first, and a shingle ends once its next arrival comes after all registers are set.
-2. `rows` registers make a band; texts with an equal band are candidates.
-3. Rounds of stars: in each band group one member of each class known so far, chosen by a hash of the round, is checked against
-   the member of the group's first class. Links join classes; rounds go on until one brings nothing.
-4. What is left, members of one band group in different classes, is checked pair by pair, each pair once. So no candidate link
-   between two classes is missed, and groups whose members belong together never become pairs.
+2. `rows` registers make a band; texts with an equal band are candidates. Two bits of each of the `registers` go along as a sketch: two
+   texts of similarity 0.8 differ in 15 % of the places, and a pair that differs in five standard deviations more is none.
+3. Stars: the member with most company over all its bands and the one with the smallest hash lead a band group. A text is checked
+   against the first `leaders` of either kind over all its groups, and links join classes.
+4. What is left, band groups with members in several classes, is gathered and counted: a product of incidence matrices gives the common
+   shingles of all members, and only links between classes go out. A group of over `block` members is cut into blocks, and every
+   two blocks meet. So no candidate link between two classes is missed, and no pairs are written.
 5. A link is a probability Jaccard or a plain Jaccard similarity of the shingles of `least` or more, counted on whole texts.
 
 Null texts and texts of fewer than `size` words have no shingles: only equal texts are in one class with them. An empty table
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm import kernel as K
@@ -72,7 +74,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int, re
     return who.reshape(docs, registers)
 
 
-def _band_rows(size: int, bands: int, rows_: int):
+def _band_rows(size: int, bands: int, rows_: int, registers: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in K.text_chunks(batch.column("_text"), K.CHUNK // 2):
@@ -80,16 +82,19 @@ def _band_rows(size: int, bands: int, rows_: int):
                 some = np.flatnonzero(np.diff(at))
                 if not len(some):
                     continue
-                sig = signatures(doc, h, weight, j - i, bands * rows_)[some]
+                sig = signatures(doc, h, weight, j - i, registers)[some]
                 keys = np.zeros((len(some), bands), np.uint64)
                 for b in range(bands):
                     key = np.full(len(some), b + 1, np.uint64)
                     for r in range(rows_):
                         key = K.mix(key * np.uint64(31) + sig[:, b * rows_ + r])
                     keys[:, b] = key
+                # two bits of each register, 32 to a word
+                bits = (K.mix(sig) >> np.uint64(62)).reshape(len(some), -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+                sketch = np.bitwise_or.reduce(bits, 2).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
                 pick = pa.array(some + i)
-                yield pa.RecordBatch.from_arrays([batch.column("_k1").take(pick), batch.column("_k2").take(pick), lists], names=["_k1", "_k2", "_bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("_k1").take(pick), batch.column("_k2").take(pick), lists, *[pa.array(x) for x in sketch.T]], names=["_k1", "_k2", "_bands", *[f"_s{k}" for k in range(sketch.shape[1])]])
 
     return rows
 
@@ -140,66 +145,150 @@ def _check_rows(size: int, least: float):
     return rows
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(_id, _class): the smallest id that each id of nodes is linked with, directly or not.
+def _group_rows(size: int, least: float):
+    """Links between classes in each group; rows come sorted by group."""
+
+    def links(rows: list[tuple]) -> list[tuple]:
+        ids = np.array([r[0] for r in rows], np.int64)
+        kind = np.array([r[1] for r in rows], np.int64)
+        if (kind == kind[0]).all():
+            return []
+        sets = []
+        for _, _, data, offs in K.text_chunks(pa.array([r[2] for r in rows], pa.large_string())):
+            _, h, weight, at = shingles(K.Words(data, offs), size)
+            sets += [(h[a:b], weight[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        count = np.array([len(x[0]) for x in sets])
+        every, doc = np.concatenate([x[0] for x in sets]), np.repeat(np.arange(len(sets)), count)
+        order = np.argsort(every)
+        first = K.group_starts(every[order])
+        times = np.diff(np.append(first, len(every)))
+        column = np.repeat(np.cumsum(times > 1) - 1, times)
+        often = np.repeat(times > 1, times)
+        share = np.concatenate([x[1] / x[1].sum() for x in sets]).astype(np.float32)
+        doc, column, share = doc[order][often], column[often], share[order][often]
+        common, mass = (np.zeros((len(sets), len(sets)), np.float32) for _ in range(2))
+        heavy = np.array([x[1].max() > 1 for x in sets])
+        step = 4096
+        cut = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + step, step)) if len(column) else [0]
+        for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            has = np.zeros((len(sets), step), np.float32)
+            has[doc[a:b], column[a:b] - k * step] = 1
+            common += has @ has.T
+            if heavy.any():
+                of = np.zeros((len(sets), step), np.float32)
+                of[doc[a:b], column[a:b] - k * step] = share[a:b]
+                mass += of @ has.T
+        plain = common / (count[:, None] + count[None, :] - common)
+        apart = np.triu(kind[:, None] != kind[None, :])
+        found = apart & (plain >= least)
+        # the probability similarity is at most the part of either text that lies in common shingles
+        could = apart & ~found & (heavy[:, None] | heavy[None, :]) & (np.minimum(mass, mass.T) >= least - 1e-4)
+        for i, j in np.argwhere(could).tolist():
+            found[i, j] = similarity(sets[i], sets[j]) >= least
+        return [(int(ids[i]), int(ids[j])) for i, j in np.argwhere(found).tolist()]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, members, out = None, [], []
+        for batch in batches:
+            for key in zip(*[batch.column(c).to_pylist() for c in ("_band", "_i", "_j", "_id", "_class", "_text")], strict=True):
+                if key[:3] != group:
+                    out += links(members) if members else []
+                    group, members = key[:3], []
+                members.append(key[3:])
+        out += links(members) if members else []
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["_a", "_b"])
+
+    return rows
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(_id, _class): the smallest id that each linked id is linked with, directly or not.
 
     Each round takes the smallest class among neighbours, then follows classes of classes until nothing changes; the lengths
     of chains halve, so rounds grow with the logarithm of the longest chain.
     """
     both = links.select(F.col("_a").alias("_id"), F.col("_b").alias("_to")).unionByName(links.select(F.col("_b").alias("_id"), F.col("_a").alias("_to")))
     both = cut_lineage(both.where("_id != _to").distinct(), "links")
-    label = cut_lineage(both.groupBy("_id").agg(F.least(F.first("_id"), F.min("_to")).alias("_class")), "classes")
+    label = cut_lineage(both.groupBy("_id").agg(F.min("_to").alias("_to")).select("_id", F.least("_id", "_to").alias("_class")), "classes")
     while True:
-        near = both.join(label.select(F.col("_id").alias("_to"), F.col("_class").alias("_c")), "_to").groupBy("_id").agg(F.min("_c").alias("_c"))
-        step = label.join(near, "_id").select("_id", F.col("_class").alias("_old"), F.least("_class", "_c").alias("_class"))
+        near = both.join(label.select(F.col("_id").alias("_to"), F.col("_class").alias("_c")), "_to").select("_id", "_c", F.lit(None).cast("long").alias("_old"))
+        step = near.unionByName(label.select("_id", F.col("_class").alias("_c"), F.col("_class").alias("_old")))
+        step = step.groupBy("_id").agg(F.min("_c").alias("_class"), F.max("_old").alias("_old"))
         up = label.select(F.col("_id").alias("_class"), F.col("_class").alias("_up"))
         step = cut_lineage(step.join(up, "_class", "left").select("_id", "_old", F.coalesce("_up", "_class").alias("_class")), "classes")
         label = step.select("_id", "_class")
         if step.where("_old != _class").isEmpty():
-            break
-    return nodes.join(label, "_id", "left").select("_id", F.coalesce("_class", "_id").alias("_class"))
+            return label
+
+
+def _differing(a: str, b: str, words: int) -> Column:
+    """Places in which two sketches differ, by the two-bit fields of their words."""
+
+    def one(k: int) -> Column:
+        x = F.col(f"{a}{k}").bitwiseXOR(F.col(f"{b}{k}"))
+        return F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
 
+    total = one(0)
+    for k in range(1, words):
+        total = total + one(k)
+    return total
 
-def classes(df: DataFrame, text: str = "text", size: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(df with _k1, _k2; (_k1, _k2, _class) of the texts that have shingles)."""
+
+def classes(df: DataFrame, text: str = "text", size: int = 5, least: float = 0.8, bands: int = 32, rows: int = 5, registers: int = 160, leaders: int = 3, block: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """(df with _k1, _k2; (_k1, _k2, _class) of the texts that have near-duplicates)."""
     texts = distinct_texts(df, text)
-    banded = texts.select("_k1", "_k2", "_text").mapInArrow(_band_rows(size, bands, rows), "_k1 long, _k2 int, _bands array<long>")
+    words = registers // 32
+    differ = (1 - least) * 0.75
+    apart = int(registers * differ + 5 * (registers * differ * (1 - differ)) ** 0.5)
+    sketch = [f"_s{k} long" for k in range(words)]
+    banded = texts.select("_k1", "_k2", "_text").mapInArrow(_band_rows(size, bands, rows, registers), f"_k1 long, _k2 int, _bands array<long>, {', '.join(sketch)}")
     banded = cut_lineage(banded.withColumn("_id", F.monotonically_increasing_id()), "bands")
     group = banded.select("_id", F.explode("_bands").alias("_band"))
-    shared = group.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band")
+    shared = group.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1")
     group = cut_lineage(group.join(shared, "_band"), "band-groups")
-    nodes = group.select("_id").distinct()
-    named = cut_lineage(banded.select("_id", "_k1", "_k2").join(nodes, "_id"), "named")
-    where = cut_lineage(named.join(texts.select("_k1", "_k2", "_text"), ["_k1", "_k2"]).select("_id", "_text"), "candidate-texts")
+    # the text with most company over all bands is closest to the middle of its group; ids decide ties
+    middle = group.groupBy("_id").agg(F.sum("_n").alias("_score"))
+    ranked = group.join(middle, "_id").select("_band", F.struct((-F.col("_score")).alias("order"), F.col("_id").alias("id")).alias("_x"), F.struct(F.xxhash64("_id").alias("order"), F.col("_id").alias("id")).alias("_y"))
+    heads = ranked.groupBy("_band").agg(F.min("_x").alias("_x"), F.min("_y").alias("_y"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        with_texts = pairs.join(where.select(F.col("_id").alias("_a"), F.col("_text").alias("_ta")), "_a")
-        with_texts = with_texts.join(where.select(F.col("_id").alias("_b"), F.col("_text").alias("_tb")), "_b")
-        return cut_lineage(with_texts.select("_a", "_b", "_ta", "_tb").mapInArrow(_check_rows(size, least), "_a long, _b long"), "links")
+    def known(side: str) -> DataFrame:
+        """Ids with their sketches and the keys of their texts."""
+        return banded.select(F.col("_id").alias(f"_{side}"), *[F.col(f"_s{k}").alias(f"_{side}{k}") for k in range(words)], *[F.col(k).alias(f"{k}{side}") for k in ("_k1", "_k2")])
 
-    links, label, turn = None, nodes.select("_id", F.col("_id").alias("_class")), 0
-    members = group.withColumn("_class", F.col("_id"))
-    while True:
-        # one member of each class in a group, and of these the one all others are checked against
-        pick = F.struct(F.xxhash64(F.lit(turn), "_id"), F.col("_id").alias("id"))
-        chosen = members.groupBy("_band", "_class").agg(F.min(pick).alias("_pick"))
-        heads = chosen.groupBy("_band").agg(F.min("_pick").alias("_head"))
-        pairs = chosen.join(heads, "_band").select(F.col("_head.id").alias("_a"), F.col("_pick.id").alias("_b"))
-        got = verified(pairs.where("_a != _b").distinct())
-        if got.isEmpty():
-            break
-        links = got if links is None else links.unionByName(got)
-        label = cut_lineage(components(nodes, links), "classes")
-        # groups with one class are done
-        members = group.join(label, "_id")
-        several = members.groupBy("_band").agg(F.min("_class").alias("_x"), F.max("_class").alias("_y")).where("_x != _y").select("_band")
-        members = cut_lineage(members.join(several, "_band"), "open-groups")
-        turn += 1
-    left = members.alias("a").join(members.alias("b"), F.expr("a._band = b._band and a._class < b._class"))
-    got = verified(left.select(F.col("a._id").alias("_a"), F.col("b._id").alias("_b")).distinct())
-    if not got.isEmpty():
-        label = cut_lineage(components(nodes, got if links is None else links.unionByName(got)), "classes")
-    return with_key(df, text), label.join(named, "_id").select("_k1", "_k2", "_class")
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are links. The texts of _b are read where they lie; _a may stand in very many pairs, and a shuffled
+        join can split these."""
+        pairs = cut_lineage(pairs.select("_a", "_b", "_k1a", "_k2a", "_k1b", "_k2b").distinct(), "pairs")
+
+        def side(x: str) -> DataFrame:
+            return texts.select(F.col("_k1").alias(f"_k1{x}"), F.col("_k2").alias(f"_k2{x}"), F.col("_text").alias(f"_t{x}"))
+
+        heads = pairs.select("_a", "_k1a", "_k2a").distinct().join(side("a"), ["_k1a", "_k2a"]).select("_a", "_ta")
+        found = pairs.join(side("b"), ["_k1b", "_k2b"]).select("_a", "_b", "_tb").join(heads, "_a")
+        return cut_lineage(found.select("_a", "_b", "_ta", "_tb").mapInArrow(_check_rows(size, least), "_a long, _b long"), "links")
+
+    # a text has two leaders a band at most, one by company and one by chance
+    firsts = group.join(heads, "_band").groupBy("_id").agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in ("_x", "_y")])
+    chosen = F.concat(*[F.slice(F.filter(c, lambda x: x["id"] != F.col("_id")), 1, leaders) for c in ("_x", "_y")])
+    pairs = firsts.select(F.explode(F.array_distinct(F.transform(chosen, lambda x: x["id"]))).alias("_a"), F.col("_id").alias("_b"))
+    pairs = pairs.join(known("a"), "_a").join(known("b"), "_b").where(_differing("_a", "_b", words) <= apart)
+    links = verified(pairs)
+    label = components(links)
+    members = group.join(label, "_id", "left").withColumn("_class", F.coalesce("_class", "_id"))
+    several = members.groupBy("_band").agg(F.min("_class").alias("_x"), F.max("_class").alias("_y")).where("_x != _y").select("_band")
+    left = cut_lineage(members.join(several, "_band").join(banded.select("_id", "_k1", "_k2"), "_id"), "open-groups")
+    # every two blocks of a large group meet once
+    blocks = F.ceil(F.col("_n") / block)
+    own = F.pmod(F.xxhash64("_id"), blocks)
+    meet = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda x: F.struct(F.least(x, own).alias("_i"), F.greatest(x, own).alias("_j")))
+    left = left.select("_band", "_id", "_class", "_k1", "_k2", F.explode(meet).alias("_meet")).select("*", "_meet._i", "_meet._j").drop("_meet")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["_band", "_i", "_j"]
+    left = left.join(texts.select("_k1", "_k2", "_text"), ["_k1", "_k2"]).select(*keys, "_id", "_class", "_text").repartition(n, *keys).sortWithinPartitions(*keys)
+    more = cut_lineage(left.mapInArrow(_group_rows(size, least), "_a long, _b long").distinct(), "links")
+    if not more.isEmpty():
+        label = components(links.unionByName(more))
+    return with_key(df, text), label.join(banded.select("_id", "_k1", "_k2"), "_id").select("_k1", "_k2", "_class")
 
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
