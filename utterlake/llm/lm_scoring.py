@@ -26,11 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm import kernel as K
-from utterlake.llm.gru import ENDINGS, Model, arrange
+from utterlake.llm.gru import ENDINGS, Model, arrange, arrange_evenly
 from utterlake.session import cut_lineage, scratch
 
 _END = np.uint64(0xE2D0F7E37E57E2D1)
-LANES, STEPS = 256, 16
+LANES, STEPS = 320, 16
+TRAIN_LANES, WINDOWS = 512, 120
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 #: Parameter sets that are added up at once.
 FAN_IN = 32
 
@@ -41,8 +44,7 @@ class Tokens:
     def __init__(self, texts, endings: bool = False):
         hashes, counts, ends = [], [], []
         for _, _, data, offs in K.text_chunks(texts):
-            upper = (data >= 65) & (data <= 90)
-            data = data + (upper * np.uint8(32))
+            data = _LOWER[data]
             w = K.Words(data, offs)
             at = w.offs + np.arange(len(w.offs))
             h = np.full(int(at[-1]), _END, np.uint64)
@@ -74,6 +76,16 @@ def _distinct(h: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarr
     return h[first], np.add.reduceat(weight[order], first) if len(h) else np.zeros(0, np.int64)
 
 
+def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted different values, and the place of each value among them."""
+    order = np.argsort(h)
+    h = h[order]
+    first = K.group_starts(h)
+    place = np.empty(len(h), np.int32)
+    place[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(h))))
+    return h[first], place
+
+
 def _shard_words(ranges: int):
     names = ["_range", "_shard", "_hashes", "_counts"]
 
@@ -129,24 +141,28 @@ class Lexicon:
         return np.where(self.sorted[at] == h, self.number[at], -1)
 
 
-def _laid_out(lexicon: Lexicon, model: Model, t: Tokens):
+def _coded(lexicon: Lexicon, model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, targets) of each token: the token before it and its number, -1 outside the vocabulary."""
     target = lexicon.numbers(t.hash)
     own = np.where(target >= 0, target, model.words + t.ending)
     inputs = np.empty(len(own), np.int64)
     inputs[1:] = own[:-1]
     inputs[t.offs[:-1]] = model.start
-    grid, fresh, live, place = arrange(t.count, t.offs, inputs, LANES)
-    goal = np.full(grid.size, -1)
-    goal[place] = target
-    return grid, fresh, live, goal.reshape(grid.shape), place, target
+    return inputs, target
 
 
 def _train(lexicon: Lexicon, hidden: int, blob: bytes, rate: float):
     def run(table: pa.Table) -> pa.Table:
         model = Model(len(lexicon.sorted), hidden).unpack(blob)
         t = Tokens(table.column("_text"), endings=True)
-        grid, fresh, live, goal, _, _ = _laid_out(lexicon, model, t)
-        state = np.zeros((grid.shape[1], hidden), np.float32)
+        inputs, target = _coded(lexicon, model, t)
+        # at least WINDOWS steps of learning, if there are tokens for them
+        lanes = min(TRAIN_LANES, max(16, len(inputs) // (STEPS * WINDOWS)))
+        grid, fresh, live, place = arrange_evenly(t.offs, inputs, lanes)
+        goal = np.full(grid.size, -1)
+        goal[place] = target
+        goal = goal.reshape(grid.shape)
+        state = np.zeros((lanes, hidden), np.float32)
         adam: dict = {}
         windows = range(0, len(grid), STEPS)
         for k, a in enumerate(windows):
@@ -189,21 +205,26 @@ def _score(lexicon: Lexicon, hidden: int, blob: bytes, n: int, v: int, top_n: in
             return pa.Table.from_arrays([pa.array([], k) for k in (id_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
         model = Model(words, hidden).unpack(blob)
         t = Tokens(rows.column("_text"), endings=True)
-        every, _ = _distinct(t.hash)
+        every, place_of = _numbered(t.hash)
         parts = sorted(zip(answers.column("_range").to_pylist(), answers.column("_totals").to_pylist(), strict=True))
         total = np.concatenate([np.frombuffer(b, np.int64) for _, b in parts])
-        count = total[np.searchsorted(every, t.hash)]
+        count = total[place_of]
         base = np.log10((count + 1) / (n + (v + 1)))
-        grid, fresh, live, goal, place, target = _laid_out(lexicon, model, t)
+        inputs, target = _coded(lexicon, model, t)
+        grid, fresh, live, place, reach = arrange(t.count, t.offs, inputs, LANES)
+        goal = np.full(grid.size, -1)
+        goal[place] = target
+        goal = goal.reshape(grid.shape)
         flat = np.zeros(grid.size)
         state = np.zeros((grid.shape[1], hidden), np.float32)
         step = 4 * STEPS
+        flat = flat.reshape(grid.shape)
         for a in range(0, len(grid), step):
-            b = slice(a, a + step)
-            h, state, _, _ = model.recur(grid[b], fresh[b], state)
-            some = np.flatnonzero(live[b].ravel())
-            got, _ = model.log_probs(h.reshape(-1, hidden)[some], goal[b].ravel()[some])
-            flat[a * grid.shape[1] + some] = got
+            b = slice(a, a + step), slice(0, reach[a])
+            h, state, _, _ = model.recur(grid[b], fresh[b], state[: reach[a]])
+            some = live[b]
+            flat[b][some] = model.log_probs(h[some], goal[b][some])[0]
+        flat = flat.ravel()
         own = flat[place] / math.log(10)
         own += np.where(target < 0, np.log10((count + 1) / ((n - top_n) + (v - words) + 1)), 0.0)
 
@@ -224,10 +245,10 @@ def score_texts(
     held_out: Column,
     id_column: str = "doc_id",
     text: str = "text",
-    words: int = 2048,
-    hidden: int = 16,
+    words: int = 1024,
+    hidden: int = 8,
     rounds: int = 2,
-    rate: float = 0.01,
+    rate: float = 0.02,
     shard_bytes: int = 12 << 20,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row; learns where held_out is false."""
