@@ -23,9 +23,10 @@ def vocabulary():
 
 
 def test_pieces_round_trip(odd, empty):
-    done = pieces.decode(pieces.encode(odd, PIECES), PIECES)
+    done = pieces.decode(pieces.encode(odd, PIECES, verified="lossless"), PIECES)
     assert done.columns[: len(odd.columns)] == odd.columns
     for r in done.collect():
+        assert r.lossless
         assert r.decoded == (r.text or "")
         assert (len(r.ids) == 0) == (not r.text)
     assert pieces.decode(pieces.encode(empty, PIECES), PIECES).count() == 0

@@ -212,21 +212,49 @@ def encode_texts(v: Vocabulary, texts, keys: np.ndarray) -> Iterator[tuple[np.nd
         yield ids.astype(np.int32), np.bincount(doc[of_unit], minlength=j - i)
 
 
-def encode(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", seed: int = 2, sharpness: float = 1.0, name: str = "ids") -> DataFrame:
-    """df with the sampled piece ids of its texts, an array of int."""
+def decode_ids(v: Vocabulary, pieces: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes that piece ids stand for, and the offsets of the texts in them."""
+    a = v.blob_at[pieces]
+    size = v.blob_at[pieces + 1] - a
+    data = v.blob[K.ranges(a, size)]
+    ends = np.concatenate(([0], np.cumsum(size)))[offs]
+    # the space before a text goes
+    some = np.diff(ends) > 0
+    keep = np.ones(len(data), bool)
+    keep[ends[:-1][some]] = False
+    return data[keep], ends - np.concatenate(([0], np.cumsum(some)))
+
+
+def _same(v: Vocabulary, texts, pieces: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Whether each text is what its pieces decode to."""
+    want, want_at = K.buffers(texts)
+    got, got_at = decode_ids(v, pieces, offs)
+    if np.array_equal(want_at, got_at) and np.array_equal(want, got):
+        return np.ones(len(texts), bool)
+    return np.array([want[a:b].tobytes() == got[c:d].tobytes() for a, b, c, d in zip(want_at[:-1], want_at[1:], got_at[:-1], got_at[1:], strict=True)])
+
+
+def encode(
+    df: DataFrame, path: str, text: str = "text", key: str = "doc_id", seed: int = 2, sharpness: float = 1.0, name: str = "ids", verified: str | None = None
+) -> DataFrame:
+    """df with the sampled piece ids of its texts, an array of int; verified: a column that says whether they decode to the text."""
     v = df.sparkSession.sparkContext.broadcast(Vocabulary(path, sharpness))
-    keep = [c for c in df.columns if c.lower() != name]
+    added = {name: "array<int>"} | ({verified: "boolean"} if verified else {})
+    keep = [c for c in df.columns if c.lower() not in added]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 done = list(encode_texts(v.value, part.column("_text"), part.column("_key").to_numpy()))
-                counts = np.concatenate([c for _, c in done])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(np.concatenate([x for x, _ in done]), pa.int32()))
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], lists], names=[*keep, name])
+                offs = np.concatenate(([0], np.cumsum(np.concatenate([c for _, c in done]))))
+                ids = np.concatenate([x for x, _ in done])
+                cols = [*[part.column(c) for c in keep], pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(ids, pa.int32()))]
+                if verified:
+                    cols.append(pa.array(_same(v.value, part.column("_text"), ids, offs)))
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, *added])
 
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{name} array<int>"])
+    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{c} {t}" for c, t in added.items()])
     given = df.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(text), F.lit("")).alias("_text"), F.xxhash64(F.lit(seed), F.col(key)).alias("_key"))
     return given.mapInArrow(rows, schema)
 
@@ -238,19 +266,12 @@ def decode(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") ->
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
                 lists = part.column(ids)
                 offs = lists.offsets.to_numpy()
-                pieces = lists.values.slice(offs[0], offs[-1] - offs[0]).to_numpy()
-                a, b = v.value.blob_at[pieces], v.value.blob_at[pieces + 1]
-                data = v.value.blob[K.ranges(a, b - a)]
-                ends = np.concatenate(([0], np.cumsum(b - a)))[offs - offs[0]]
-                # the space before a text goes
-                keep_byte = np.ones(len(data), bool)
-                keep_byte[ends[:-1][np.diff(ends) > 0]] = False
-                ends = ends - np.concatenate(([0], np.cumsum(np.diff(ends) > 0)))
-                text = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data[keep_byte])).cast(pa.string())
+                data, ends = decode_ids(v.value, lists.values.slice(offs[0], offs[-1] - offs[0]).to_numpy(), offs - offs[0])
+                text = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], text], names=[*keep, name])
 
     schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"{name} string"])

@@ -1,7 +1,7 @@
 """Quality rules: gradient-boosted trees over document statistics, with monotonic constraints.
 
-Statistics of every whole text are counted once. The trees are trained on labelled rows (at most `train_rows`, those with
-the smallest hashes of their ids; the driver holds their statistics only) and flattened into node arrays, which every
+Statistics of every whole text are counted once. The trees are trained on a sample of labelled rows (about `train_rows` or
+fewer, by a hash of their ids; the driver holds their statistics only) and flattened into node arrays, which every
 task scores its rows with.
 
 Null texts have no words and fail the base rules; null labels are left out; without labels of both kinds the base rules alone
@@ -206,7 +206,8 @@ def counted(df: DataFrame, text: str = "text") -> DataFrame:
 def train(counts: DataFrame, labels: DataFrame, id_column: str, train_rows: int) -> Trees | None:
     """Trees for the quality label (0 or 1) of the documents."""
     known = labels.where("quality is not null").groupBy(id_column).agg(F.min("quality").alias("_quality"))
-    sample = counts.join(known, id_column).orderBy(F.xxhash64(id_column), id_column).limit(train_rows).select("_quality", *COUNTS)
+    step = max(1, -(-known.count() // train_rows))
+    sample = counts.join(known, id_column).where(F.pmod(F.xxhash64(id_column), F.lit(step)) == 0).select("_quality", *COUNTS)
     got = np.array([tuple(r) for r in sample.collect()], np.int64).reshape(-1, len(COUNTS) + 1)
     if len(np.unique(got[:, 0])) < 2:
         return None

@@ -13,7 +13,7 @@ from utterlake.llm.language import identify
 from utterlake.llm.lm_scoring import score_texts
 from utterlake.llm.minhash import near_duplicates
 from utterlake.llm.mixing import mixed_documents
-from utterlake.llm.pieces import decode, encode
+from utterlake.llm.pieces import encode
 from utterlake.llm.quality import judge
 from utterlake.llm.rlz_dedup import dedup_words
 from utterlake.llm.sharding import shuffle_shards
@@ -87,9 +87,8 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 @query
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(_documents(spark, sf_dir).select("doc_id", "text"), PIECES), PIECES)
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", lossless.alias("lossless"))
+    done = encode(_documents(spark, sf_dir).select("doc_id", "text"), PIECES, verified="lossless")
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
 @query
