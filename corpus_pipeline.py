@@ -7,18 +7,39 @@ from pyspark.sql import functions as F
 
 from utterlake.llm.minhash import keep_first
 from utterlake.llm.mixing import mixed_texts
-from utterlake.llm.pieces import decode, encode
+from utterlake.llm.pieces import encode
 from utterlake.llm.quality import keep_good
 from utterlake.llm.queries import PIECES
 from utterlake.llm.suffix_dedup import dedup_bytes
-from utterlake.session import cut_lineage
+from utterlake.session import cut_lineage, release, used_scratch
 
+_BEFORE: dict[str, list[str]] = {"own": []}
 
+
+def stage(fn):
+    """A stage whose scratch folders go when the next stage begins: its rows have been written by then. Where they haven't, and
+    the next stage's input still reads these folders, they stay."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        done = _BEFORE["own"]
+        if done and not any(path.split(":", 1)[-1] in name for name in docs.inputFiles() for path in done):
+            release(spark, done)
+        start = len(used_scratch())
+        out = fn(spark, docs, sf_dir)
+        _BEFORE["own"] = used_scratch()[start:]
+        return out
+
+    return run_stage
+
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the trees reject go."""
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays."""
     return keep_first(docs)
@@ -29,22 +50,24 @@ def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
     return df.select(*[F.col(text).alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes in repeated strings of 200 bytes go; documents stay, also those of which nothing is left."""
     return _with_text(dedup_bytes(docs), docs.columns, "kept_text")
 
 
+@stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: one row for each time a document's source is gone through."""
     mixed = mixed_texts(docs)
     return _with_text(mixed.withColumnRenamed("text", "_mixed"), docs.columns, "_mixed")
 
 
+@stage
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sampled piece ids of the mixed texts, and whether they decode to the text."""
-    done = decode(encode(docs, PIECES), PIECES)
-    lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", lossless.alias("lossless"))
+    done = encode(docs, PIECES, verified="lossless")
+    return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
 STAGES = [
@@ -61,6 +84,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut_lineage(stage(spark, docs, sf_dir), name)
+    for name, step in STAGES[:-1]:
+        docs = cut_lineage(step(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
