@@ -124,11 +124,13 @@ class Lattice:
         # nodes: place in the unit first, so that one slice of edges ends at one place of all units
         unit = np.repeat(np.arange(len(lens)), lens)
         depth = np.arange(n) - cut[unit] + 1
-        order = np.argsort(depth.astype(np.int64) * n + np.arange(n))
+        # a stable sort of 16-bit numbers is a radix sort; deeper places of very long units take a general one
+        order = np.argsort(depth.astype(np.int16) if len(depth) and depth.max() < 1 << 15 else depth, kind="stable")
         rank = np.empty(n, np.int64)
         rank[order] = np.arange(n)
         node = rank[to - 1]
-        order = np.argsort(node, kind="stable")
+        # edges of a node by their lengths, so that their order hangs on the unit alone
+        order = np.argsort(node * 64 + (to - begin))
         begin, piece, weight, node = begin[order], piece[order], weight[order], node[order]
         starts_unit = begin == cut[unit[begin]]
         before = np.where(starts_unit, -1, rank[np.maximum(begin - 1, 0)])
