@@ -182,6 +182,28 @@ def test_lm_beats_counts_on_held_out_rows(spark, sf):
     assert got[0] > got[1]
 
 
+def test_lm_vocabulary_grows_with_the_corpus(docs, monkeypatch):
+    made = []
+
+    def model(words, hidden, *args, **options):
+        made.append((words, hidden))
+        return Model(words, hidden, *args, **options)
+
+    monkeypatch.setattr(lm_scoring, "Model", model)
+    lm_scoring.score_texts(docs, held_out(), rounds=1)
+    assert made[-1][0] >= 2048 and made[-1][1] >= 16
+    n = lm_scoring.score_texts(docs, held_out(), words=4, rounds=1).first().train_tokens
+    assert made[-1][0] == math.isqrt(n) > 4
+
+
+def test_lm_probabilities_with_large_classes_sum_to_one():
+    model = Model(5000, 8, counts=np.arange(5000, 0, -1), rest=50.0)
+    assert model.size > 64
+    h = np.random.default_rng(0).standard_normal((1, 8)).astype(np.float32)
+    total = np.exp(model.log_probs(np.repeat(h, 5001, 0), np.arange(-1, 5000))[0]).sum()
+    assert abs(total - 1) < 1e-4
+
+
 def test_lm_probabilities_sum_to_one():
     model = Model(100, 8, counts=np.arange(100, 0, -1), rest=50.0)
     model.p["wc"] += 0.1

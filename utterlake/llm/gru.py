@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words in a class of the output layer.
+#: Words in a class of the output layer, at least.
 CLASS = 64
 #: Inputs for words outside the vocabulary, by a hash of their endings.
 ENDINGS = 512
@@ -35,11 +35,17 @@ def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, place: np.ndarray) ->
 
 
 class Model:
-    """Parameters by name. Outputs: class 0 stands for all words outside the vocabulary, class 1 + i // CLASS holds word i."""
+    """Parameters by name. Outputs: class 0 stands for all words outside the vocabulary, class 1 + i // size holds word i.
+
+    A large vocabulary has about as many classes as words in a class, so the output of a token costs the root of the vocabulary.
+    """
 
     def __init__(self, words: int, hidden: int = 16, seed: int = 6, counts: np.ndarray | None = None, rest: float = 1.0):
         self.words, self.hidden = words, hidden
-        self.classes = 1 + -(-words // CLASS)
+        self.size = CLASS
+        while self.size**2 < words:
+            self.size *= 2
+        self.classes = 1 + -(-words // self.size)
         rng = np.random.default_rng(seed)
 
         def draw(*shape, scale):
@@ -54,15 +60,15 @@ class Model:
             "b": np.zeros((3, 1, hidden), np.float32),
             "wc": draw(hidden, self.classes, scale=0.05),
             "bc": np.zeros(self.classes, np.float32),
-            "wo": draw((self.classes - 1) * CLASS, hidden, scale=0.05),
-            "bo": np.full((self.classes - 1) * CLASS, -30, np.float32),
+            "wo": draw((self.classes - 1) * self.size, hidden, scale=0.05),
+            "bo": np.full((self.classes - 1) * self.size, -30, np.float32),
         }
         if counts is not None:
             # start at the frequencies of the corpus
             self.p["bo"][:words] = np.log(counts + 0.5)
-            padded = np.zeros((self.classes - 1) * CLASS)
+            padded = np.zeros((self.classes - 1) * self.size)
             padded[:words] = counts
-            self.p["bc"][:] = np.log(np.concatenate(([rest], padded.reshape(-1, CLASS).sum(1))) + 0.5)
+            self.p["bc"][:] = np.log(np.concatenate(([rest], padded.reshape(-1, self.size).sum(1))) + 0.5)
 
     @property
     def start(self) -> int:
@@ -106,7 +112,7 @@ class Model:
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grad: dict | None = None):
         """(natural log probability of each target, gradient for h). targets: words, -1 for one outside the vocabulary."""
         p = self.p
-        group = np.where(targets < 0, 0, targets // CLASS + 1)
+        group = np.where(targets < 0, 0, targets // self.size + 1)
         d, got = _softmax(h, p["wc"], p["bc"], group)
         out = got.astype(np.float64)
         dh = None
@@ -121,7 +127,7 @@ class Model:
             idx = order[bounds[k] : bounds[k + 1]]
             if not len(idx):
                 continue
-            sl = slice((k - 1) * CLASS, k * CLASS)
+            sl = slice((k - 1) * self.size, k * self.size)
             w = p["wo"][sl]
             hi = h[idx]
             place = targets[idx] - sl.start

@@ -2,8 +2,9 @@
 
 1. Rows are dealt into shards of about shard_bytes by a hash of id and text, as a table bucketed by shard.
 2. Each shard sends its sorted distinct words with their training counts, cut by ranges of the word hash. A range adds up the
-   counts of all shards and answers each shard with the totals of its words. The most frequent words of all ranges (at most
-   `words`) make the vocabulary of the recurrent model; the counts have no limit.
+   counts of all shards and answers each shard with the totals of its words. The most frequent words of all ranges make the
+   vocabulary of the recurrent model, as many as the square root of the training tokens and at least `words`; the counts have no
+   limit.
 3. Rounds: every shard trains the model on its part of the training rows (each row in one round) by truncated backpropagation, from
    the same start; the results are averaged in a tree of bounded fan-in.
 4. Each shard scores its rows, whole texts, with the state carried from window to window.
@@ -36,6 +37,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Parameter sets that are added up at once.
 FAN_IN = 32
+#: Bytes of parameters that come to the driver at once.
+AT_ONCE = 256 << 20
 
 
 class Tokens:
@@ -183,11 +186,13 @@ def _add_params(batches):
         yield pa.RecordBatch.from_arrays([pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary()), pa.array([weight])], names=["_params", "_weight"])
 
 
-def _average(results: DataFrame, sets: int) -> bytes | None:
-    """The weighted mean of parameter sets; each step of the tree adds up FAN_IN at a time, and the driver gets as many at most."""
+def _average(results: DataFrame, sets: int, nbytes: int) -> bytes | None:
+    """The weighted mean of parameter sets of nbytes; each step of the tree adds up FAN_IN at a time (fewer if they are large), and
+    the driver gets as many at most."""
     results = cut_lineage(results, "parameters")
-    while sets > FAN_IN:
-        sets = -(-sets // FAN_IN)
+    fan_in = max(2, min(FAN_IN, AT_ONCE // nbytes))
+    while sets > fan_in:
+        sets = -(-sets // fan_in)
         results = cut_lineage(results.repartition(sets).mapInArrow(_add_params, "_params binary, _weight double"), "parameters")
     rows = [(r._params, r._weight) for r in results.collect()]
     if not rows:
@@ -245,8 +250,8 @@ def score_texts(
     held_out: Column,
     id_column: str = "doc_id",
     text: str = "text",
-    words: int = 1024,
-    hidden: int = 8,
+    words: int = 2048,
+    hidden: int = 16,
     rounds: int = 2,
     rate: float = 0.02,
     shard_bytes: int = 12 << 20,
@@ -265,12 +270,14 @@ def score_texts(
 
     counted = table.select("_shard", "held_out", "_text").groupBy("_shard").applyInArrow(_shard_words(shards), "_range int, _shard int, _hashes binary, _counts binary")
     totals = counted.groupBy("_range").applyInArrow(
-        _range_totals(words), "_range int, _shard int, _totals binary, _words long, _tokens long, _top array<long>, _top_counts array<long>"
+        _range_totals(max(words, math.isqrt(total))), "_range int, _shard int, _totals binary, _words long, _tokens long, _top array<long>, _top_counts array<long>"
     )
     totals = cut_lineage(totals, "totals")
     stats = totals.where("_shard is null")
     v, n = stats.agg(F.coalesce(F.sum("_words"), F.lit(0)), F.coalesce(F.sum("_tokens"), F.lit(0))).first()
     pairs = stats.select(F.explode(F.arrays_zip("_top", "_top_counts")).alias("t")).select("t._top", "t._top_counts")
+    # there are fewer tokens than bytes, so the ranges have sent enough words
+    words = max(words, math.isqrt(n))
     top = pairs.orderBy(F.desc("_top_counts"), "_top").limit(words).collect()
     counts = np.array([r[1] for r in top], np.int64)
     lexicon = Lexicon(np.array([r[0] for r in top], np.int64).view(np.uint64))
@@ -279,7 +286,7 @@ def score_texts(
     for k in range(rounds if len(top) else 0):
         part = table.where(f"not held_out and _round = {k}").select("_shard", "_text")
         results = part.groupBy("_shard").applyInArrow(_train(lexicon, hidden, blob, rate / (k + 1)), "_params binary, _weight double")
-        blob = _average(results, shards) or blob
+        blob = _average(results, shards, len(blob)) or blob
     answers = totals.where("_shard is not null").select("_shard", "_range", "_totals")
     kind = df.schema[id_column].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
