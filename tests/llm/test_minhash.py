@@ -58,6 +58,19 @@ def test_shingles_stay_in_their_text():
     assert at.tolist() == [0, 2, 2, 2, 7]
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    """Plain similarity 0.96 and 0.93, low probability similarity: only the signature without weights sees them."""
+    rows = []
+    for k in range(10):
+        words = [f"w{k}x{i}" for i in range(104)]
+        texts = (words, words + words[-24:] * 20, words[:24] * 20 + words)
+        rows += [(3 * k + i, " ".join(x)) for i, x in enumerate(texts)]
+    want = dict(zip([r[0] for r in rows], brute.near_classes(rows), strict=True))
+    assert want == {i: i - i % 3 for i in range(30)}
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     ids = list(range(150))
     links = spark.createDataFrame([(i, i + 1) for i in ids[:-1]], "_a long, _b long")

@@ -2,9 +2,11 @@
 
 1. Equal texts are folded into one row. The signature of a text is ProbMinHash over its shingles of `size` words, weighted by how
    often they occur: each shingle's arrivals are a Poisson process of its weight, each arrival picks a register, a register
-   keeps the first, and a shingle ends once its next arrival comes after all registers are set.
-2. `rows` registers make a band; texts with an equal band are candidates. Two bits of each of the `registers` go along as a sketch: two
-   texts of similarity 0.8 differ in 15 % of the places, and a pair that differs in five standard deviations more is none.
+   keeps the first, and a shingle ends once its next arrival comes after all registers are set. A text in which a shingle occurs
+   more than once has a second signature with all weights 1, which stands for plain Jaccard similarity as the first does for the other.
+2. `rows` registers make a band; texts with an equal band, in either signature, are candidates. Two bits of each of the `registers` go along as a sketch: two
+   texts of similarity 0.8 differ in 15 % of the places, and a pair that differs in five standard deviations more in both signatures
+   is none.
 3. Stars: the member with most company over all its bands and the one with the smallest hash lead a band group. A text is checked
    against the first `leaders` of either kind over all its groups, and links join classes.
 4. What is left, band groups with members in several classes, is gathered and counted: a product of incidence matrices gives the common
@@ -74,7 +76,26 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, docs: int, re
     return who.reshape(docs, registers)
 
 
+def _band_keys(sig: np.ndarray, bands: int, rows_: int) -> np.ndarray:
+    keys = np.zeros((len(sig), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(sig), b + 1, np.uint64)
+        for r in range(rows_):
+            key = K.mix(key * np.uint64(31) + sig[:, b * rows_ + r])
+        keys[:, b] = key
+    return keys
+
+
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """Two bits of each register, 32 to a word."""
+    bits = (K.mix(sig) >> np.uint64(62)).reshape(len(sig), -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
+    return np.bitwise_or.reduce(bits, 2).view(np.int64)
+
+
 def _band_rows(size: int, bands: int, rows_: int, registers: int):
+    words = registers // 32
+    names = ["_k1", "_k2", "_bands", *[f"_{s}{k}" for s in "sp" for k in range(words)]]
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in K.text_chunks(batch.column("_text"), K.CHUNK // 2):
@@ -83,18 +104,20 @@ def _band_rows(size: int, bands: int, rows_: int, registers: int):
                 if not len(some):
                     continue
                 sig = signatures(doc, h, weight, j - i, registers)[some]
-                keys = np.zeros((len(some), bands), np.uint64)
-                for b in range(bands):
-                    key = np.full(len(some), b + 1, np.uint64)
-                    for r in range(rows_):
-                        key = K.mix(key * np.uint64(31) + sig[:, b * rows_ + r])
-                    keys[:, b] = key
-                # two bits of each register, 32 to a word
-                bits = (K.mix(sig) >> np.uint64(62)).reshape(len(some), -1, 32) << (np.arange(32, dtype=np.uint64) * np.uint64(2))
-                sketch = np.bitwise_or.reduce(bits, 2).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel().view(np.int64)))
+                # the same with all weights 1: it differs in texts with a repeated shingle only
+                heavy = np.zeros(j - i, bool)
+                heavy[doc[weight > 1]] = True
+                of = heavy[doc]
+                plain = sig.copy()
+                plain[heavy[some]] = signatures((np.cumsum(heavy) - 1)[doc[of]], h[of], np.ones(int(of.sum()), np.int64), int(heavy.sum()), registers)
+                keys = np.concatenate((_band_keys(sig, bands, rows_), _band_keys(plain, bands, rows_)), 1)
+                own = np.ones(keys.shape, bool)
+                own[:, bands:] = keys[:, bands:] != keys[:, :bands]
+                ends = np.concatenate(([0], np.cumsum(own.sum(1)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[own].view(np.int64)))
                 pick = pa.array(some + i)
-                yield pa.RecordBatch.from_arrays([batch.column("_k1").take(pick), batch.column("_k2").take(pick), lists, *[pa.array(x) for x in sketch.T]], names=["_k1", "_k2", "_bands", *[f"_s{k}" for k in range(sketch.shape[1])]])
+                sketch = np.concatenate((_sketch(sig), _sketch(plain)), 1)
+                yield pa.RecordBatch.from_arrays([batch.column("_k1").take(pick), batch.column("_k2").take(pick), lists, *[pa.array(x) for x in sketch.T]], names=names)
 
     return rows
 
@@ -240,8 +263,8 @@ def classes(df: DataFrame, text: str = "text", size: int = 5, least: float = 0.8
     words = registers // 32
     differ = (1 - least) * 0.75
     apart = int(registers * differ + 5 * (registers * differ * (1 - differ)) ** 0.5)
-    sketch = [f"_s{k} long" for k in range(words)]
-    banded = texts.select("_k1", "_k2", "_text").mapInArrow(_band_rows(size, bands, rows, registers), f"_k1 long, _k2 int, _bands array<long>, {', '.join(sketch)}")
+    sketches = [f"{s}{k}" for s in "sp" for k in range(words)]
+    banded = texts.select("_k1", "_k2", "_text").mapInArrow(_band_rows(size, bands, rows, registers), f"_k1 long, _k2 int, _bands array<long>, {', '.join(f'_{x} long' for x in sketches)}")
     banded = cut_lineage(banded.withColumn("_id", F.monotonically_increasing_id()), "bands")
     group = banded.select("_id", F.explode("_bands").alias("_band"))
     shared = group.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1")
@@ -253,7 +276,7 @@ def classes(df: DataFrame, text: str = "text", size: int = 5, least: float = 0.8
 
     def known(side: str) -> DataFrame:
         """Ids with their sketches and the keys of their texts."""
-        return banded.select(F.col("_id").alias(f"_{side}"), *[F.col(f"_s{k}").alias(f"_{side}{k}") for k in range(words)], *[F.col(k).alias(f"{k}{side}") for k in ("_k1", "_k2")])
+        return banded.select(F.col("_id").alias(f"_{side}"), *[F.col(f"_{x}").alias(f"_{side}{x}") for x in sketches], *[F.col(k).alias(f"{k}{side}") for k in ("_k1", "_k2")])
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are links. The texts of _b are read where they lie; _a may stand in very many pairs, and a shuffled
@@ -271,7 +294,7 @@ def classes(df: DataFrame, text: str = "text", size: int = 5, least: float = 0.8
     firsts = group.join(heads, "_band").groupBy("_id").agg(*[F.array_sort(F.collect_set(c)).alias(c) for c in ("_x", "_y")])
     chosen = F.concat(*[F.slice(F.filter(c, lambda x: x["id"] != F.col("_id")), 1, leaders) for c in ("_x", "_y")])
     pairs = firsts.select(F.explode(F.array_distinct(F.transform(chosen, lambda x: x["id"]))).alias("_a"), F.col("_id").alias("_b"))
-    pairs = pairs.join(known("a"), "_a").join(known("b"), "_b").where(_differing("_a", "_b", words) <= apart)
+    pairs = pairs.join(known("a"), "_a").join(known("b"), "_b").where((_differing("_as", "_bs", words) <= apart) | (_differing("_ap", "_bp", words) <= apart))
     links = verified(pairs)
     label = components(links)
     members = group.join(label, "_id", "left").withColumn("_class", F.coalesce("_class", "_id"))
