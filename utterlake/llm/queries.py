@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from utterlake.llm import oracles
+from utterlake.llm.collocations import collocations
+from utterlake.llm.filter_audit import audit
 from utterlake.llm.fingerprint import edit_likeness
 from utterlake.llm.language import identify
 from utterlake.llm.lm_scoring import score_texts
@@ -18,6 +20,7 @@ from utterlake.llm.quality import judge
 from utterlake.llm.rlz_dedup import dedup_words
 from utterlake.llm.sharding import shuffle_shards
 from utterlake.llm.suffix_dedup import dedup_bytes
+from utterlake.llm.toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,4 +105,23 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
 
 
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    return toxicity(_documents(spark, sf_dir).select("doc_id", "text"), labels, held_out).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = audit(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return done.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_documents(spark, sf_dir))
+
+
+ORACLES |= {"op12_filter_audit": oracles.OP12, "op13_collocations": oracles.OP13}
 ORACLES |= {"op1_rlz_dedup": oracles.OP1, "op3_suffix_dedup": oracles.OP3, "op10_minhash_dedup": oracles.OP10}
