@@ -2,7 +2,7 @@
 
 A text is folded first: lower case, look-alike letters of other scripts, accents, digits and symbols inside words become plain
 letters, so that disguised words meet the lexicon. Terms are whole words or beginnings of words. Their weights are learnt from
-the labelled rows: one pass counts words of toxic and other texts and proposes terms, a second one finds them and counts the
+a bounded sample of labelled rows: one pass counts words of toxic and other texts and proposes terms, a second one finds them and counts the
 distinct pairs of neighbours each is found between, so that copies of a text count once. Two-word phrases around a term
 that speak against toxicity become exceptions, and matches inside them don't count. The score is a logistic function of the
 summed weights and of their share of the text's words.
@@ -40,23 +40,42 @@ DIGITS = str.maketrans("0134579", "oieastg")
 DROPPED = dict.fromkeys([*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF, *range(0xFE00, 0xFE10)])
 #: l, i and 1 are written for each other; all become i.
 BARS = str.maketrans("l", "i")
+#: Plain characters: capitals and bars as above, all but letters and digits as blanks.
+PLAIN = {k: " " if not chr(k).isalnum() else chr(k).lower().translate(BARS) for k in range(128)}
 
 _SIGN = re.compile(r"(?<=\w)[@$€!|+](?=\w)")
-_MIXED = re.compile(r"\b[^\W_]*(?:[^\W\d_]\d|\d[^\W\d_])[^\W_]*\b")
+_DIGIT = re.compile(r"\d+")
 _GAP = re.compile(r"[\W_]+")
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+
+
+class _Runs(dict):
+    """Folded runs of characters outside ASCII, remembered; the same few come again and again."""
+
+    def __missing__(self, run: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        self[run] = out = unicodedata.normalize("NFKD", run).casefold().translate(DROPPED).translate(LOOK_ALIKES)
+        return out
+
+
+_RUNS = _Runs()
+
+
+def _letters(m: re.Match) -> str:
+    """Digits beside a letter, as letters."""
+    around = m.string[max(0, m.start() - 1) : m.start()] + m.string[m.end() : m.end() + 1]
+    return m[0].translate(DIGITS) if any(c.isalpha() for c in around) else m[0]
 
 
 def fold(text: str | None) -> str:
     """The folded words of a text, each between single spaces."""
-    if not text:
-        return " "
+    text = text or ""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text).lower().translate(DROPPED).translate(LOOK_ALIKES)
-    else:
-        text = text.lower()
-    text = _SIGN.sub(lambda m: m[0].translate(SIGNS), text)
-    text = _MIXED.sub(lambda m: m[0].translate(DIGITS), text).translate(BARS)
-    return f" {_GAP.sub(' ', text).strip()} " if text else " "
+        text = _OTHER.sub(lambda m: _RUNS[m[0]], text)
+    text = _DIGIT.sub(_letters, _SIGN.sub(lambda m: m[0].translate(SIGNS), text))
+    text = " ".join(text.translate(PLAIN).split()) if text.isascii() else _GAP.sub(" ", text.lower()).strip().translate(BARS)
+    return f" {text} " if text else " "
 
 
 class Lexicon:
@@ -104,7 +123,7 @@ class Lexicon:
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:
     for text in batch.column("_text"):
-        yield fold(text.as_py())
+        yield fold(text.as_py())  # one text at a time, as there are very long ones
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch], flush: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -250,17 +269,20 @@ def calibrate(scored: DataFrame) -> np.ndarray | None:
     return fit(a[:, :2], a[:, 3], a[:, 2])
 
 
-def toxicity(df: DataFrame, labels: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text", terms: int = 20000, extra: dict[str, float] | None = None) -> DataFrame:
+def toxicity(df: DataFrame, labels: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text", train_rows: int = 20000, terms: int = 20000, extra: dict[str, float] | None = None) -> DataFrame:
     """df without its texts, with held_out, score (0 to 1) and predicted (score of 0.5 or more).
 
-    Labels of held-out rows are not read. terms bounds the lexicon and the exceptions, taken by evidence. extra adds folded terms
+    Labels of held-out rows are not read. The lexicon is learnt from about train_rows labelled ids or fewer, drawn by a hash of
+    the id; that bounds what is broadcast. terms bounds the lexicon and the exceptions, taken by evidence. extra adds folded terms
     with weights of one's own (` word ` or ` begin`).
     """
     own = [c for c in df.columns if c.lower() not in ("held_out", "score", "predicted") or c in (id_column, text)]
     rows = df.select(*[F.col(f"`{c}`") for c in own], F.coalesce(held_out, F.lit(False)).alias("held_out"))
     known = labels.where("toxic is not null").groupBy(F.col(id_column).alias("_id")).agg((F.max("toxic") == 1).alias("_toxic"))
+    step = max(1, -(-known.count() // train_rows))
+    known = known.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0)
     texts = rows.where(~F.col("held_out")).select(F.col(id_column).alias("_id"), F.col(text).alias("_text")).where("_id is not null")
-    labelled = cut_lineage(texts.join(known, "_id").select("_text", "_toxic"), "labelled")
+    labelled = cut_lineage(texts.join(F.broadcast(known), "_id").select("_text", "_toxic"), "labelled")
     n, bad = labelled.agg(F.count("*"), F.count_if("_toxic")).first()
     lexicon = learn(labelled, bad / n, terms) if 0 < bad < n else Lexicon({})
     if extra:
