@@ -7,8 +7,9 @@ import pytest
 
 from tests.llm import brute
 from tests.llm.conftest import odd_rows
+from utterlake.llm import kernel as K
 from utterlake.llm.queries import QUERIES
-from utterlake.llm.rlz_dedup import dedup_words, factor
+from utterlake.llm.rlz_dedup import Index, _repeated, dedup_words, parse
 from utterlake.llm.suffix import longest_matches
 from utterlake.llm.suffix_dedup import dedup_bytes
 
@@ -69,7 +70,44 @@ def test_longest_matches(kind):
             assert n == max(common(strings[k][i][1], s) for kk, ii, s in flat if (kk, ii) != (k, i))
 
 
-def test_factors_cover_the_pieces():
-    match = np.array([3, 2, 1, 0, 9, 9, 2, 1])
-    first, size = factor(match, np.array([0, 4]), np.array([4, 8]))
-    assert sorted(zip(first.tolist(), size.tolist(), strict=True)) == [(0, 3), (3, 1), (4, 4)]
+def test_factors_are_greedy():
+    """Each factor is the longest match elsewhere of what follows, and factors cover the pieces."""
+    rng = np.random.default_rng(2)
+    pieces = [rng.integers(1, 4, n).astype(np.uint64) for n in (1, 5, 30, 47, 80)]
+    pieces += [pieces[3][5:40].copy(), pieces[3].copy()]
+    index = Index(pieces)
+    best = np.concatenate(longest_matches(pieces))
+    flat = np.concatenate([np.arange(s, e) for s, e in zip(index.starts, index.ends, strict=True)])
+    longest = dict(zip(flat.tolist(), best.tolist(), strict=True))
+    first, size = parse(index)
+    assert sorted(np.concatenate([np.arange(a, a + n) for a, n in zip(first, size, strict=True)]).tolist()) == flat.tolist()
+    assert all(n == max(1, longest[a]) for a, n in zip(first.tolist(), size.tolist(), strict=True))
+
+
+@pytest.mark.parametrize("length", [2, 5, 20])
+def test_windows_of_factors(length):
+    rng = np.random.default_rng(length)
+    pieces = [rng.integers(1, 3, n).astype(np.uint64) for n in (20, 21, 33, 60, 90)]
+    pieces += [np.concatenate([pieces[4][30:70], pieces[3][:25]])]
+    seen = Counter(tuple(p[i : i + length].tolist()) for p in pieces for i in range(len(p) - length + 1))
+    for p, got in zip(pieces, _repeated(pieces, length), strict=True):
+        assert got.tolist() == [seen[tuple(p[i : i + length].tolist())] > 1 for i in range(len(p) - length + 1)]
+
+
+def test_words_whose_power_sums_are_equal():
+    """Two different words of 1,024 bytes that sums of powers modulo 2**64 can't tell apart, whatever the odd base."""
+    bit = [bin(k).count("1") % 2 for k in range(1024)]
+    a, b = bytes(97 + x for x in bit), bytes(98 - x for x in bit)
+    data = np.frombuffer(a + b" " + b, np.uint8)
+    assert len(set(K.Words(data, np.array([0, len(data)])).hash.tolist())) == 2
+
+
+def test_span_hash():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 3, 4000).astype(np.uint8)
+    start = rng.integers(0, 3900, 3000)
+    end = start + rng.integers(0, 20, 3000)
+    for values in (data, data.astype(np.uint64)):
+        h = K.span_hash(values, start, end)
+        parts = [values[a:b].tobytes() for a, b in zip(start, end, strict=True)]
+        assert len(set(parts)) == len(set(h.tolist())) == len(set(zip(parts, h.tolist(), strict=True)))

@@ -59,6 +59,28 @@ def part_hash(sums: np.ndarray, start, end) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hash of the parts [start, end) of bytes or 64-bit values by their contents: eight bytes or one value at a time are mixed
+    into what has come before. Unlike sums of powers modulo 2**64 this has no family of different parts that meet."""
+    size = end - start
+    h = mix(size.astype(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    step = 8 if values.dtype == np.uint8 else 1
+    if step == 8:
+        padded = np.concatenate((values, np.zeros(8, np.uint8)))
+        blocks = np.ndarray((len(values) + 1,), np.uint64, padded, strides=(1,))
+        masks = (np.uint64(1) << (np.arange(8, dtype=np.uint64) * np.uint64(8))) - np.uint64(1)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live):
+        value = (blocks if step == 8 else values)[start[live] + k]
+        if step == 8:
+            short = np.flatnonzero(size[live] - k < 8)
+            value[short] &= masks[size[live[short]] - k]
+        h[live] = mix(h[live] * np.uint64(0xD6E8FEB86659FD93) ^ value)
+        k += step
+        live = live[size[live] > k]
+    return h
+
+
 def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each w neighbours; len(a) - w + 1 values."""
     have, m = 1, a
@@ -124,7 +146,7 @@ class Words:
         self.count = np.diff(self.offs)
         self.doc = np.repeat(np.arange(len(offs) - 1), self.count)
         if hashed:
-            self.hash = part_hash(prefix_hash(BYTE_CODE[data]), self.start, self.end)
+            self.hash = span_hash(data, self.start, self.end)
 
 
 def group_starts(sorted_values: np.ndarray) -> np.ndarray:

@@ -73,7 +73,7 @@ def _repeated_lines(data, offs, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
     has = (first < len(w.start)) & (np.append(w.start, len(data))[first] < end)
     start, end = start[has], end[has]
     doc = np.searchsorted(offs, start, "right") - 1
-    h = K.part_hash(K.prefix_hash(K.BYTE_CODE[data]), start, end)
+    h = K.span_hash(data, start, end)
     h = K.mix(h ^ K.mix(doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (end - start).astype(np.uint64)))
     order = np.argsort(h, kind="stable")
     again = np.ones(len(h), bool)

@@ -61,11 +61,9 @@ class Symbols:
         else:
             self.values, self.offs = data, offs
 
-    def codes(self, second: bool = False) -> np.ndarray:
-        """One of two independent sets of codes to hash the symbols by."""
-        if self.words:
-            return K.mix(self.values) if second else self.values
-        return (K.BYTE_CODE_2 if second else K.BYTE_CODE)[self.values]
+    def codes(self) -> np.ndarray:
+        """Codes to hash the symbols by."""
+        return self.values if self.words else K.BYTE_CODE[self.values]
 
 
 def window_runs(codes: np.ndarray, offs: np.ndarray, length: int, gram: int):
@@ -156,8 +154,8 @@ def _piece_rows(method: Method):
                 text = np.repeat(np.arange(i, j), np.diff(at[i : j + 1]))
                 begin = s.offs[text - i] + firsts[sl]
                 end = begin + ns[sl] + method.length - 1
-                p1 = K.part_hash(K.prefix_hash(s.codes()), begin, end).view(np.int64)
-                p2 = K.part_hash(K.prefix_hash(s.codes(True)), begin, end).view(np.int64)
+                p1 = K.span_hash(s.values, begin, end, 1).view(np.int64)
+                p2 = K.span_hash(s.values, begin, end, 2).view(np.int64)
                 hot = hots[sl]
                 shard = np.where(hot, p2, hs[sl])
                 bodies: list[bytes | None] = []
