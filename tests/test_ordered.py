@@ -153,14 +153,35 @@ def words_distance(a, b):
 
 
 @pytest.mark.parametrize("codes", [2, M.CODES])
-def test_edit_distance(spark, codes, monkeypatch):
-    """Two codes only make every pair clash, so both ways of naming words are tried."""
+@pytest.mark.parametrize("bands_from", [2, 1000])
+def test_edit_distance(spark, codes, bands_from, monkeypatch):
+    """Two codes only make every pair clash, so both ways of naming words are tried, with bands and without."""
     monkeypatch.setattr(M, "CODES", codes)
+    monkeypatch.setattr(M, "BANDS_FROM", bands_from)
     r = random.Random(6)
     data = [([r.choice("abcdé") for _ in range(r.randint(0, 9))], [r.choice("abcdé") for _ in range(r.randint(0, 9))]) for _ in range(80)]
+    data += [(["a"] * 700, ["b"] * 690 + ["a"] * 5), (list("ab" * 60), list("ba" * 55)), (["a"], None), (None, None)]
     d = spark.createDataFrame(data, "a array<string>, b array<string>")
     for x in d.select("a", "b", M.edit_distance(F.col("a"), F.col("b")).alias("n")).collect():
-        assert x.n == words_distance(x.a, x.b)
+        assert x.n == (None if x.a is None or x.b is None else words_distance(x.a, x.b))
+
+
+def test_edit_distance_of_many_distinct_words(spark):
+    """Enough distinct words for hashes to clash; the distance follows three edits."""
+    a = [f"w{i}" for i in range(20000)]
+    b = a[:100] + ["x"] + a[101:9000] + a[9001:] + ["y"]
+    d = spark.createDataFrame([(a, b)], "a array<string>, b array<string>")
+    assert d.select(M.edit_distance(F.col("a"), F.col("b"))).first()[0] == 3
+
+
+def test_list_distance():
+    r = random.Random(9)
+    for _ in range(300):
+        a = [r.randrange(4) for _ in range(r.randint(0, 40))]
+        b = [x for x in a if r.random() < 0.8] if r.random() < 0.5 else [r.randrange(4) for _ in range(r.randint(0, 40))]
+        assert M.list_distance(a, b, band=r.choice([1, 4, 16])) == words_distance(a, b)
+    a = list(range(2_000_000))
+    assert M.list_distance(a, a[:999_990] + [-1] + a[1_000_010:]) == 20
 
 
 def test_containment_short_and_common_passages(spark):

@@ -1,6 +1,7 @@
 """Stateful processors: known event sequences, order restoration, and equality with the batch forms."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,118 @@ def test_shedding(spark, latest, hard):
             left = left[-aim:] if latest else left[:aim]
         assert sorted(x.seq for x in out if x.k == key and x.kept) == left
         assert {x.resync for x in out if x.k == key} == {len(left) < len(queue)}
+
+
+def shuffled_frames(spark, n, seed):
+    r = random.Random(seed)
+    rows = [(7, k, r.choice([-10.0, -25.0, -40.0]), 320.0) for k in range(n)]
+    r.shuffle(rows)
+    return spark.createDataFrame(rows, "stream long, seq long, dbfs double, frame_ms double")
+
+
+def test_a_hot_key_is_worked_on_block_by_block(spark, monkeypatch):
+    """Rows of one key in many Arrow batches are parked by block; the result is that of the batch form."""
+    monkeypatch.setattr(P.VadProcessor, "block", 64)
+    d = shuffled_frames(spark, 1000, 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = S.run_to_table(S.keyed(S.staged(spark, [d], "t-hot"), "stream", P.VadProcessor(VAD)), "t-hot-out")
+        want = V.speech_flags(d, ["stream"], "seq", F.col("dbfs"), F.col("frame_ms"), VAD).select("stream", "seq", "speech")
+        assert got.count() == 1000 and got.exceptAll(want).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_blocks_hold_a_part_of_a_hot_key_only():
+    """What is handed on at once is a block, not the micro-batch."""
+    import pandas as pd
+
+    class Parked(dict):
+        getValue = dict.__getitem__
+
+        def updateValue(self, key, value):
+            self[key] = value
+
+        def removeKey(self, key):
+            del self[key]
+
+    p = P.VadProcessor(VAD)
+    p.parked, p.block = Parked(), 100
+    order = list(range(5000))
+    random.Random(1).shuffle(order)
+    frames = (pd.DataFrame({"stream": 1, "seq": order[a : a + 200], "dbfs": 0.0, "frame_ms": 320.0}) for a in range(0, 5000, 200))
+    parts = list(p.blocks(frames))
+    assert max(map(len, parts)) == 100 and [r["seq"] for part in parts for r in part] == list(range(5000))
+    assert not p.parked
+
+
+def test_state_of_a_hot_stream_stays_flat(spark):
+    """A stream in many small batches keeps the state of a stream in one, and its results."""
+    schema = "stream long, seq long, action string, text string, speech boolean, dbfs double, frame_ms double"
+    rows = [(1, k, "hop", " ".join(f"w{j}" for j in range(k % 40, k % 40 + 5)), k % 9 != 8, 0.0, 320.0) for k in range(120)]
+    one = spark.createDataFrame(rows, schema)
+    parts = [one.where(f"seq div 20 = {k}") for k in range(6)]
+    feed = S.keyed(S.staged(spark, parts, "t-flat"), "stream", P.StabilizerProcessor(StabilizerConfig(run_limit=8)))
+    sizes = []
+    out = S.run(feed, "t-flat-out", lambda w, path: w.format("parquet").outputMode("append").option("path", path), sizes.append)
+    got = spark.read.schema(feed.stream.schema).parquet(out)
+    whole = S.run_to_table(S.keyed(S.staged(spark, [one], "t-one"), "stream", P.StabilizerProcessor(StabilizerConfig(run_limit=8))), "t-one-out")
+    assert got.drop("late").exceptAll(whole).count() == 0 and got.count() == whole.count()
+    held = [o.numRowsTotal for progress in sizes for p in progress for o in p.stateOperators]
+    # one value and the committed words, of which the last 2,048 are kept
+    assert max(held) <= 2 + P.SEARCH
+
+
+def test_idle_streams_are_finished(spark):
+    schema = "stream long, seq long, action string, text string, speech boolean, dbfs double, frame_ms double"
+    row = lambda s, k, text: (s, k, "hop", text, True, 0.0, 320.0)
+    parts = [spark.createDataFrame(x, schema) for x in ([row(1, 1, "a b"), row(2, 1, "c d")], [row(3, 1, "e")])]
+    # timers need a query that runs on
+    feed = S.keyed(S.staged(spark, parts, "t-idle"), "stream", P.StabilizerProcessor(idle_ms=500, ttl_ms=3_600_000))
+    for part in parts:
+        part.write.mode("append").parquet(feed.path)
+    q = feed.stream.writeStream.format("memory").queryName("idle").outputMode("append").trigger(processingTime="1 second").start()
+    done, end = {}, time.time() + 60
+    while time.time() < end and len(done) < 3:
+        time.sleep(1)
+        done = {r.stream: r.confirmed for r in spark.table("idle").where("is_flush").collect()}
+    q.stop()
+    assert done == {1: "a b", 2: "c d", 3: "e"}
+
+
+def test_late_rows_are_counted(spark):
+    """Kept rows, copies and late ones add up to what was read; the late ones are a table."""
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    at = lambda m: t0 + timedelta(minutes=m)
+    first = [(k, at(k)) for k in range(200)]
+    second = [(1000, at(10)), (1001, at(139)), (1002, at(140)), (1003, at(300)), (5, at(5)), (199, at(199))]
+    parts = [spark.createDataFrame(x, "id long, ts timestamp") for x in (first, second)]
+    t = S.deduplicated_with_late(S.staged(spark, parts, "t-count", key=None), "ts", ["id"], 3600000, "t-count")
+    assert sorted(r.id for r in t.late.collect()) == [5, 1000, 1001] and t.n_late == 3
+    kept = sorted(r.id for r in t.kept.collect())
+    assert kept == [*range(200), 1002, 1003]
+    assert t.n_read == len(first) + len(second) == len(kept) + t.n_late + 1  # id 199 came twice
+
+
+def test_latency_over_several_epochs_equals_the_batch_result(spark):
+    r = random.Random(2)
+    schema = "stream long, seq long, kind int, cursor long, time double, place long"
+    rows, want = [], {}
+    for s, n in ((1, 60), (2, 7)):
+        marks = [(k * 100, k * 0.3 + r.random() / 9) for k in range(1, n + 1)]
+        rows += [(s, 0, 0, c, t, 2 * k) for k, (c, t) in enumerate(marks)]
+        for k in range(n):
+            cursor, ready = max(1, (k + 1) * 100 - r.randint(0, 250) + r.choice([0, 0, 500])), k * 0.3 + 0.5
+            rows.append((s, k, 1, cursor, ready, 2 * k + 1))
+            hit = next((t for c, t in marks if c >= cursor), None)
+            if hit is not None:
+                want[s, k] = max(0.0, (ready - hit) * 1000)
+    d = spark.createDataFrame(rows, schema)
+    parts = [d.where(f"place >= {a} and place < {b}") for a, b in ((0, 10), (10, 50), (50, 999))]
+    done = S.latency_stream(S.staged(spark, parts, "t-lat"), "t-lat-out", 1000)
+    got = {(x.stream, x.seq): x.ms for x in done.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    assert done.count() == len(want) and S.latency_stats(done, ["stream"]).count() == 2

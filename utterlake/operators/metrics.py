@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Callable
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,36 +13,75 @@ from pyspark.sql import types as T
 
 from utterlake.functions import arrays as A
 
+#: Characters beyond the 16-bit plane, and how many of them words are hashed to.
 FIRST_CODE = 0x10000
 CODES = 0x100000
+#: Lists longer than this are compared within bands first, each eight times as wide as the one before.
+BANDS_FROM = 128
 
 
 def edit_distance(a: Column, b: Column) -> Column:
-    """Levenshtein distance over words.
+    """Levenshtein distance over words; null if a side is null.
 
-    Each distinct word of the pair becomes one character beyond the 16-bit plane, and the built-in
-    character distance does the rest. The character comes from the word's hash; a pair in which two
-    words would share one numbers its words instead, which holds for a million distinct words; more are an error.
+    Each word becomes the character of its hash, and the built-in character distance does the rest. Long pairs try narrow
+    bands first, so that their cost follows the distance. A pair in which two different words share a character is rare
+    for short lists; its words are numbered in Arrow batches instead, without a limit to their count.
     """
-
-    def hashed(w: Column) -> Column:
-        return F.pmod(F.xxhash64(w), F.lit(CODES))
-
-    def text(words: Column, code: Callable[[Column], Column]) -> Column:
-        digits = F.transform(words, lambda w: F.lpad(F.hex(code(w) + FIRST_CODE), 8, "0"))
-        return F.decode(F.unhex(F.array_join(digits, "")), "UTF-32")
-
-    def distance(p: Column, code: Callable[[Column], Column]) -> Column:
-        return F.levenshtein(text(p["a"], code), text(p["b"], code))
-
-    def body(p: Column) -> Column:
-        clash = F.size(F.array_distinct(F.transform(p["v"], hashed))) < F.size(p["v"])
-        numbered = distance(p, lambda w: F.array_position(p["v"], w) - 1)
-        many = F.raise_error(F.lit(f"over {CODES} distinct words in a pair")).cast("int")
-        return F.when(F.size(p["v"]) > CODES, many).when(clash, numbered).otherwise(distance(p, hashed))
-
-    pair = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("v"))
-    return F.when(a == b, 0).otherwise(A.let(pair, body)).cast("bigint")
+    words = F.array_distinct(F.concat(a, b))
+    clash = F.size(F.array_distinct(F.transform(words, _code))) < F.size(words)
+    text = lambda w: F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.lpad(F.hex(_code(x) + FIRST_CODE), 8, "0")), "")), "UTF-32")
+    by_text = A.let(F.struct(text(a).alias("a"), text(b).alias("b")), lambda t: _banded(t["a"], t["b"]))
+    numbered = _numbered_distance(F.when(clash, a), F.when(clash, b))
+    return F.when(a == b, 0).when(clash, numbered).otherwise(by_text).cast("bigint")
+
+
+def _code(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(CODES))
+
+
+def _banded(a: Column, b: Column) -> Column:
+    """Character distance by the first band that holds it."""
+    found = [F.nullif(F.levenshtein(a, b, limit), F.lit(-1)) for limit in (8, 64, 512, 4096)]
+    full = F.levenshtein(a, b)
+    return F.when(F.greatest(F.length(a), F.length(b)) > BANDS_FROM, F.coalesce(*found, full)).otherwise(full)
+
+
+def list_distance(a: list, b: list, band: int = 16) -> int:
+    """Levenshtein distance of two lists: what they share at both ends is cut off, then rows of a band are filled, and
+    the band is made four times as wide until the distance fits in it."""
+    code: dict = {}
+    x, y = (np.fromiter((code.setdefault(w, len(code)) for w in side), np.int64, len(side)) for side in (a, b))
+    for flip in (1, -1):
+        n = min(len(x), len(y))
+        differ = np.flatnonzero(x[::flip][:n] != y[::flip][:n])
+        same = int(differ[0]) if len(differ) else n
+        x, y = x[::flip][same:][::flip], y[::flip][same:][::flip]
+    n, m = len(x), len(y)
+    if not n or not m:
+        return n + m
+    while True:
+        half = max(min(band, max(n, m)), abs(n - m))
+        shift = np.arange(-half, half + 1)
+        far = n + m + 1
+        padded = np.concatenate([np.full(half + 1, -1), y, np.full(half + n + 1, -1)])
+        # row i holds the distances of x[:i] and y[: i + shift]; far marks what lies outside
+        row = np.where((shift >= 0) & (shift <= m), shift, far)
+        for i in range(1, n + 1):
+            step = row + (padded[i : i + 2 * half + 1] != x[i - 1])
+            step[:-1] = np.minimum(step[:-1], row[1:] + 1)
+            j = i + shift
+            step[(j < 0) | (j > m)] = far
+            row = np.minimum.accumulate(step - shift) + shift
+            row[(j < 0) | (j > m)] = far
+        found = int(row[m - n + half])
+        if found <= half or half >= max(n, m):
+            return found
+        band *= 4
+
+
+@F.pandas_udf(T.LongType())
+def _numbered_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else list_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int64")
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -13,6 +13,7 @@ from utterlake.plans import fixtures as fx
 from utterlake.plans.fixture_sql import words_sql
 from utterlake.plans.registry import query
 from utterlake.plans.stabilizing import VAD
+from utterlake.session import cut_lineage
 from utterlake.sources import io
 from utterlake.streaming import jobs as S
 from utterlake.streaming import processors as P
@@ -23,7 +24,7 @@ EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 def arriving(spark, sf):
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    d = io.ingress_stream(spark, sf, EVENTS, "events.parquet")
+    d = io.ingress_stream(spark, sf, EVENTS, "events.parquet", files_per_trigger=64)
     return d.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -33,11 +34,29 @@ def _(spark, sf):
     return S.run_to_table(d, "ingress")
 
 
-@query("st1_watermarked_ingress", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id")
+LATE = "event_id % 20 = 0"
+#: The watermark after the timely rows, in whole milliseconds, an hour behind the latest one; what is at or before it comes too late.
+LATE_SQL = f"""(SELECT *, {LATE} AND epoch_us(ts) <= (SELECT (max(epoch_us(ts)) // 1000 - 3600000) * 1000 FROM events WHERE NOT {LATE}) AS late FROM events)"""
+
+
+@query(
+    "st1_watermarked_ingress",
+    f"""SELECT user_id, count(*) FILTER (WHERE NOT late) AS n, count(*) FILTER (WHERE late) AS n_late,
+    (SELECT count(*) FILTER (WHERE late) FROM {LATE_SQL}) AS all_late, (SELECT count(*) + count(*) FILTER (WHERE NOT late) FROM {LATE_SQL}) AS all_read FROM {LATE_SQL} GROUP BY user_id""",
+)
 def _(spark, sf):
-    twice = arriving(spark, sf).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    once = S.deduplicated(twice, "ts", ["event_id"], "1 hour")
-    return S.run_to_table(once.select("event_id", "user_id"), "once").groupBy("user_id").agg(F.count("*").alias("n"))
+    # All but every twentieth event come first, and all that comes in time comes twice.
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    d = fx.table(spark, sf, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    timely, last = d.where(f"NOT ({LATE})"), d.where(LATE)
+    high = timely.agg(F.max(F.unix_millis("ts"))).first()[0]
+    again = last.where(F.unix_micros("ts") > (high - 3600000) * 1000)
+    source = S.staged(spark, [timely.unionAll(timely), last.unionAll(again)], "ingress", key=None)
+    t = S.deduplicated_with_late(source, "ts", ["event_id"], 3600000, "once")
+    both = t.kept.withColumn("late", F.lit(0)).unionByName(t.late.select("event_id", "user_id", "ts").withColumn("late", F.lit(1)))
+    counts = both.groupBy("user_id").agg(F.count_if(F.col("late") == 0).alias("n"), F.count_if(F.col("late") == 1).alias("n_late"))
+    # what Spark itself has dropped by the watermark, and read
+    return counts.withColumns({"all_late": F.lit(t.n_late).cast("long"), "all_read": F.lit(t.n_read).cast("long")})
 
 
 @query(
@@ -79,10 +98,10 @@ def control_rows(spark, sf, flush_action=None):
     )
 
 
-def halves(spark, rows, label):
+def halves(spark, rows, label, key="stream"):
     """Early turns first, late turns second, so that state crosses a micro-batch."""
     early = rows.where("segment < 3").drop("segment")
-    return S.staged(spark, [early, rows.where("segment >= 3").drop("segment")], label)
+    return S.staged(spark, [early, rows.where("segment >= 3").drop("segment")], label, key)
 
 
 NO_LIMITS = StabilizerConfig(run_limit=0, stagnation_limit=0)
@@ -204,8 +223,13 @@ def _(spark, sf):
       FROM v_live l ASOF JOIN v_mark m ON m.stream = l.stream AND greatest(1, l.cursor) <= m.cursor) GROUP BY stream""",
 )
 def _(spark, sf):
-    events = fx.live(spark, sf).select("stream", "seq", "cursor", "ready_at")
-    out = S.latency_stream(S.staged(spark, [events], "latency"), fx.mark(spark, sf), "latencies", ["stream"])
+    # Marks come before the events of their chunk; the second micro-batch has marks that events of the first still wait for.
+    events = fx.live(spark, sf).select("stream", "seq", F.lit(1).alias("kind"), "cursor", F.col("ready_at").alias("time"), (F.col("k") * 2 + 1).alias("place"))
+    marks = fx.mark(spark, sf).select("stream", F.lit(0).cast("long").alias("seq"), F.lit(0).alias("kind"), "cursor", F.col("received_at").alias("time"), (F.col("cursor") / 5120 * 2).cast("long").alias("place"))
+    rows = cut_lineage(events.unionByName(marks), "latency-rows")
+    parts = [rows.where("place < 20"), rows.where("place >= 20 AND place < 60"), rows.where("place >= 60")]
+    done = S.latency_stream(S.staged(spark, parts, "latency"), "latencies", 1_000_000)
+    out = S.latency_stats(done, ["stream"])
     return out.select("stream", "n", F.round("avg_ms", 6).alias("avg_ms"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
@@ -221,12 +245,12 @@ TRACE_SQL = """(SELECT 'realtime_batch' AS kind, CAST(segment >= 3 AS BIGINT) AS
 
 @query("st12_batch_trace", f"SELECT * FROM {TRACE_SQL}")
 def _(spark, sf):
-    return S.batch_trace(halves(spark, trace_rows(spark, sf), "trace-in"), "trace-out", 5).drop("epoch")
+    return S.batch_trace(halves(spark, trace_rows(spark, sf), "trace-in", None), "trace-out", 5).drop("epoch")
 
 
 @query("sk4_stream_trace_jsonl", f"SELECT trace_batch_index, batch_chunk_count, dropped_chunks FROM {TRACE_SQL}")
 def _(spark, sf):
-    return S.batch_trace(halves(spark, trace_rows(spark, sf), "jsonl-in"), "jsonl-out", 5).select(
+    return S.batch_trace(halves(spark, trace_rows(spark, sf), "jsonl-in", None), "jsonl-out", 5).select(
         "trace_batch_index", "batch_chunk_count", "dropped_chunks"
     )
 

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from utterlake.operators.backlog import shed
-from utterlake.operators.latency import elapsed_ms, with_ingress
 from utterlake.session import scratch
-from utterlake.streaming.processors import KeyedState
+from utterlake.streaming.processors import KeyedState, LatencyProcessor
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -27,7 +26,7 @@ def keyed(source: DataFrame | Feed, key: str, processor: KeyedState) -> DataFram
         statefulProcessor=processor,
         outputStructType=processor.output,
         outputMode="append",
-        timeMode="none",
+        timeMode="none" if processor.idle_ms is None and processor.ttl_ms is None else "ProcessingTime",
     )
 
 
@@ -43,15 +42,19 @@ class Feed:
         return Feed(build(self.stream), self.path, self.parts)
 
 
-def staged(spark: SparkSession, parts: list[DataFrame], label: str) -> Feed:
-    """Feed tables to a stream in turn. The query stops in between and resumes from its checkpoint."""
+def staged(spark: SparkSession, parts: list[DataFrame], label: str, key: str | None = "stream", files: int = 64) -> Feed:
+    """Feed tables to a stream in turn. The query stops in between and resumes from its checkpoint.
+
+    A micro-batch takes at most ``files`` files. All rows of a key in a part are in one file, so that none comes before its time.
+    """
     path = scratch(spark, label)
     parts[0].limit(0).write.parquet(path)
-    return Feed(spark.readStream.schema(parts[0].schema).parquet(path), path, parts)
+    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+    return Feed(stream, path, [p.repartition(key) if key else p for p in parts])
 
 
-def run(source: DataFrame | Feed, label: str, sink: Callable[[DataStreamWriter, str], DataStreamWriter]) -> str:
-    """Process what is there, and then each part of a feed; returns the output folder."""
+def run(source: DataFrame | Feed, label: str, sink: Callable[[DataStreamWriter, str], DataStreamWriter], watch: Callable[[list], None] | None = None) -> str:
+    """Process what is there, and then each part of a feed; returns the output folder. ``watch`` gets the progress of each query."""
     feed = source if isinstance(source, Feed) else Feed(source, "", [])
     spark = feed.stream.sparkSession
     out, checkpoint = scratch(spark, label), scratch(spark, f"{label}-ckpt")
@@ -59,7 +62,10 @@ def run(source: DataFrame | Feed, label: str, sink: Callable[[DataStreamWriter,
         if part is not None:
             part.write.mode("append").parquet(feed.path)
         writer = sink(feed.stream.writeStream, out).option("checkpointLocation", checkpoint)
-        writer.trigger(availableNow=True).start().awaitTermination()
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination()
+        if watch:
+            watch(query.recentProgress)
     return out
 
 
@@ -120,19 +126,64 @@ def shed_stream(source: Feed, label: str, keys: list[str], order: str, **budget)
     return source.stream.sparkSession.read.parquet(out)
 
 
-def latency_stream(events: Feed, marks: DataFrame, label: str, keys: list[str]) -> DataFrame:
-    """Ready latency of streamed events against an ingress table, with approximate percentiles."""
+def latency_stream(source: DataFrame | Feed, label: str, reach: int) -> DataFrame:
+    """Ready latency of events whose marks come in the same stream: (stream, seq, ms) of each event, once. Statistics are taken over
+    the result, so they hold for the whole stream, however many micro-batches there were."""
+    return run_to_table(keyed(source, "stream", LatencyProcessor(reach)), label)
 
-    def work(df: DataFrame, epoch: int, out: str) -> None:
-        d = with_ingress(df, marks, keys).where(F.col("ingress_at").isNotNull())
-        d = d.withColumn("ms", elapsed_ms(F.col("ready_at"), F.col("ingress_at")))
-        stats = d.groupBy(*keys).agg(
-            F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.percentile_approx("ms", 0.95, 10000).alias("p95_ms")
-        )
-        stats.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
-    out = run_batches(events, label, work)
-    return events.stream.sparkSession.read.parquet(out)
+def latency_stats(latencies: DataFrame, keys: list[str]) -> DataFrame:
+    """Count, mean and 95th percentile, by sketches that Spark merges."""
+    p95 = F.percentile_approx("ms", 0.95, 10000).alias("p95_ms")
+    return latencies.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), p95)
+
+
+@dataclass
+class Tally:
+    """What became of the rows of a stream: kept, copies of kept ones, and late ones in a table of their own."""
+
+    kept: DataFrame
+    late: DataFrame
+    n_read: int
+    n_late: int
+
+
+def deduplicated_with_late(source: Feed, time: str, keys: list[str], delay_ms: int, label: str) -> Tally:
+    """As deduplicated(), and the rows later than the watermark by themselves.
+
+    A second query over the same micro-batches compares each row with the watermark that the rows before its batch have set;
+    that watermark is kept in the checkpointed output, so a batch that is run again sets the same rows apart.
+    """
+    spark = source.stream.sparkSession
+    once = source.derive(lambda s: deduplicated(s, time, keys, f"{delay_ms} milliseconds"))
+    parts = source.parts
+    out_kept, out_late, out_marks = (scratch(spark, f"{label}-{x}") for x in ("kept", "late", "marks"))
+    checkpoints = [scratch(spark, f"{label}-ckpt") for _ in range(2)]
+    counts = {"read": 0, "late": 0}
+
+    def set_apart(df: DataFrame, epoch: int) -> None:
+        # the watermark in milliseconds, as Spark rounds it, after the batches before this one
+        marks = [] if epoch == 0 else spark.read.schema("high long").parquet(out_marks).where(f"epoch < {epoch}").agg(F.max("high")).first()
+        high = marks[0] if marks else None
+        known = df.observe(f"{label}-{epoch}", F.count("*").alias("n"))
+        seen = known.withColumn("_ms", F.unix_millis(time))
+        late = seen.where(F.lit(False) if high is None else F.unix_micros(time) <= (high - delay_ms) * 1000).drop("_ms")
+        late.write.mode("overwrite").parquet(f"{out_late}/epoch={epoch}")
+        df.agg(F.max(F.unix_millis(time)).alias("high")).write.mode("overwrite").parquet(f"{out_marks}/epoch={epoch}")
+
+    for part in parts:
+        part.write.mode("append").parquet(source.path)
+        first = once.stream.writeStream.format("parquet").option("path", out_kept).option("checkpointLocation", checkpoints[0])
+        query = first.trigger(availableNow=True).start()
+        query.awaitTermination()
+        for p in query.recentProgress:
+            counts["read"] += p.numInputRows
+            counts["late"] += sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        second = source.stream.writeStream.foreachBatch(set_apart).option("checkpointLocation", checkpoints[1])
+        second.trigger(availableNow=True).start().awaitTermination()
+    kept = spark.read.schema(source.stream.schema).parquet(out_kept)
+    late = spark.read.schema(source.stream.schema).parquet(out_late)
+    return Tally(kept, late, counts["read"], counts["late"])
 
 
 def batch_trace(events: Feed, label: str, queue_limit: int) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Keyed state for streams: speech detection, stabilisation, fractional step credit.
+"""Keyed state for streams: speech detection, stabilisation, fractional step credit, latency against arriving marks.
 
-A key's rows come in any order within a micro-batch, so they are sorted by seq first; the source's
-rate limit (files or offsets per trigger) bounds them. A row at or below the last seq seen in an earlier batch, or a copy of
-one in this batch, changes no state; it goes out with ``late`` set, so that nothing is lost without a trace.
-State is bounded too: of the committed text only the words the overlap rule can reach are kept.
+A key's rows come in any order within a micro-batch and are worked on by seq. One Arrow batch is sorted as it is; more are
+parked in map state by blocks of seq and taken from there block by block, so that a hot key needs one block in memory, whatever the
+micro-batch. A row at or below the last seq seen in an earlier batch, or a copy of one in this batch, changes no state; it
+goes out with ``late`` set, so that nothing is lost without a trace. State is typed and bounded: of the committed text only the words the
+overlap rule can reach are kept, as a list of their own that is written when it changes.
 """
 
 from __future__ import annotations
 
-import json
+import bisect
 import math
 import re
 from collections.abc import Iterator
@@ -24,13 +25,35 @@ split_words = re.compile(f"[^{WHITE}]+").findall
 SEARCH, LONGEST, SHORTEST, MAX_OVERLAP = 2048, 512, 4, 256
 
 
+def names_of(ddl: str) -> list[str]:
+    """Column names of a DDL string; types may be nested."""
+    flat = re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", ddl)
+    return [c.split()[0] for c in flat.split(", ")]
+
+
 class KeyedState(StatefulProcessor):
-    """Sorts a key's batch, sets late rows apart and keeps one JSON state value."""
+    """Takes a key's rows in order, sets late rows apart and keeps one typed value and lists of their own.
+
+    ``takes`` are the input columns, ``fields`` those of the value, ``lists`` the list states, and ``schema`` the output.
+    With ``idle_ms`` a key that gets no rows for so long is told so by a timer, and its state goes after
+    ``ttl_ms`` without a change; both need the job's time mode "ProcessingTime".
+    """
 
     order = "seq"
+    takes = ""
+    fields = ""
+    lists: dict[str, str] = {}
+    schema = ""
+    idle_ms: int | None = None
+    ttl_ms: int | None = None
+    #: Width of a block of seq that rows are parked under.
+    block = 4096
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "value string")
+        self.handle = handle
+        self.value = handle.getValueState("value", f"last long, {self.fields}", self.ttl_ms)
+        self.held = {name: handle.getListState(name, f"item {kind}", self.ttl_ms) for name, kind in self.lists.items()}
+        self.parked = handle.getMapState("parked", "block long", f"rows array<struct<{self.takes}>>", self.ttl_ms)
 
     def close(self) -> None:
         pass
@@ -41,23 +64,80 @@ class KeyedState(StatefulProcessor):
     def rows(self, state: dict, row: dict) -> list[dict]:
         raise NotImplementedError
 
+    def idle(self, state: dict, key: int) -> list[dict]:
+        """Rows for a key that has been idle for ``idle_ms``."""
+        return []
+
+    def load(self) -> dict:
+        if not self.value.exists():
+            return {"last": None, **self.fresh()}
+        state = dict(zip(names_of(f"last long, {self.fields}"), map(plain, self.value.get()), strict=True))
+        for name, held in self.held.items():
+            state[name] = [plain(x[0]) for x in held.get()] if held.exists() else []
+        return state
+
+    def store(self, state: dict, before: dict) -> None:
+        self.value.update(tuple(state[c] for c in names_of(f"last long, {self.fields}")))
+        for name, held in self.held.items():
+            if state[name] is not before[name]:
+                held.clear() if not state[name] else held.put([(x,) for x in state[name]])
+
+    def blocks(self, frames: Iterator[pd.DataFrame]) -> Iterator[list[dict]]:
+        """The rows in order, in lists that fit in memory."""
+        first = next(frames, None)
+        if first is None:
+            return
+        second = next(frames, None)
+        if second is None:
+            yield first.sort_values(self.order, kind="stable").to_dict("records")
+            return
+        names = names_of(self.takes)
+        keys: set[int] = set()
+        for frame in (x for part in ([first, second], frames) for x in part):
+            for block, own in frame.groupby(frame[self.order] // self.block):
+                block = int(block)
+                have = list(map(tuple, self.parked.getValue((block,))[0])) if block in keys else []
+                own = own.astype(object).where(own.notna(), None)
+                self.parked.updateValue((block,), (have + list(own[names].itertuples(index=False, name=None)),))
+                keys.add(block)
+        for block in sorted(keys):
+            rows = [dict(zip(names, r, strict=True)) for r in self.parked.getValue((block,))[0]]
+            self.parked.removeKey((block,))
+            yield sorted(rows, key=lambda r: r[self.order])
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        held = self.state.get() if self.state.exists() else None
-        state = json.loads(held[0]) if held else {"last": None, **self.fresh()}
-        out: list[dict] = []
-        late: list[dict] = []
-        for row in batch.to_dict("records"):
-            if state["last"] is not None and row[self.order] <= state["last"]:
-                late.append({"stream": row["stream"], "seq": row["seq"]})
-                continue
-            state["last"] = int(row[self.order])
-            out += self.rows(state, row)
-        self.state.update((json.dumps(state),))
+        state = self.load()
+        before = {name: state[name] for name in self.held}
+        for part in self.blocks(rows):
+            out: list[dict] = []
+            late: list[dict] = []
+            for row in part:
+                if state["last"] is not None and row[self.order] <= state["last"]:
+                    late.append({"stream": row["stream"], "seq": row["seq"]})
+                    continue
+                state["last"] = int(row[self.order])
+                out += self.rows(state, row)
+            yield from self.frames(out, late)
+        self.store(state, before)
+        if self.idle_ms is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.idle_ms is None or not self.value.exists():
+            return
+        state = self.load()
+        before = {name: state[name] for name in self.held}
+        out = self.idle(state, int(key[0]))
+        self.store(state, before)
+        yield from self.frames(out, [])
+
+    def frames(self, out: list[dict], late: list[dict]) -> Iterator[pd.DataFrame]:
         if out:
             yield pd.DataFrame(out).assign(late=False)
         if late:
-            columns = [c.split()[0] for c in self.schema.split(", ")]
+            columns = names_of(self.schema)
             yield pd.DataFrame(late).reindex(columns=columns).astype({c: object for c in columns[2:]}).replace({float("nan"): None}).assign(late=True)
 
     @property
@@ -65,9 +145,18 @@ class KeyedState(StatefulProcessor):
         return f"{self.schema}, late boolean"
 
 
+def plain(value):
+    """Rows and arrays of a state value as tuples and lists."""
+    if isinstance(value, tuple):
+        return tuple(map(plain, value))
+    return list(map(plain, value)) if isinstance(value, list) else value
+
+
 class VadProcessor(KeyedState):
     """Hysteresis speech flag from frame levels."""
 
+    takes = "stream long, seq long, dbfs double, frame_ms double"
+    fields = "hot double, quiet double, speech boolean"
     schema = "stream long, seq long, speech boolean"
 
     def __init__(self, config: VadConfig) -> None:
@@ -95,6 +184,8 @@ def vad_step(config: VadConfig, state: dict, dbfs: float, frame_ms: float) -> bo
 class CreditProcessor(KeyedState):
     """Whole encoder steps from fractional credit, for any minimum per emission."""
 
+    takes = "stream long, seq long, frames long"
+    fields = "pending double"
     schema = "stream long, seq long, steps long"
 
     def __init__(self, steps: int, window: int, minimum: int) -> None:
@@ -163,18 +254,26 @@ class StabilizerProcessor(KeyedState):
     Input rows: stream, seq, action (hop, discard, discard_keep, finish), text, speech, dbfs, frame_ms.
     With a VadConfig the speech flag comes from levels instead of the column. Each event carries the
     segment's confirmed words, the words newly committed to the stream's text, the draft and the
-    revision; a stream's text is its committed words in order.
+    revision; a stream's text is its committed words in order. A stream idle for ``idle_ms`` is finished.
     """
 
+    takes = "stream long, seq long, action string, text string, speech boolean, dbfs double, frame_ms double"
+    fields = (
+        "count long, agree array<array<string>>, drafts array<array<string>>, carry array<string>, shown array<string>, draft array<string>, "
+        "revision long, run long, stagnant long, finger struct<count: long, shown: array<string>, draft: array<string>>, was boolean, "
+        "hot double, quiet double, speech boolean"
+    )
+    lists = {"tail": "string"}
     schema = (
         "stream long, seq long, part int, is_speech boolean, is_flush boolean, confirmed string, "
         "committed string, committed_words long, hypothesis string, revision long"
     )
 
-    def __init__(self, config: StabilizerConfig | None = None, vad: VadConfig | None = None, collapse: bool = True) -> None:
+    def __init__(self, config: StabilizerConfig | None = None, vad: VadConfig | None = None, collapse: bool = True, idle_ms: int | None = None, ttl_ms: int | None = None) -> None:
         self.config = config or StabilizerConfig()
         self.vad = vad
         self.collapse = collapse
+        self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
         self.norms: dict[str, str] = {}
 
     def fresh(self) -> dict:
@@ -196,6 +295,9 @@ class StabilizerProcessor(KeyedState):
             s.update(run=0, stagnant=0, finger=None, was=False, hot=0.0, quiet=0.0, speech=False)
         return self.parts
 
+    def idle(self, s: dict, key: int) -> list[dict]:
+        return self.rows(s, {"stream": key, "seq": s["last"], "action": "finish"}) if s["agree"] or s["was"] else []
+
     def hop(self, s: dict, row: dict) -> None:
         c = self.config
         speech = vad_step(self.vad, s, row["dbfs"], row["frame_ms"]) if self.vad else bool(row["speech"])
@@ -206,7 +308,7 @@ class StabilizerProcessor(KeyedState):
             s["run"] += 1
             force = 0 < c.run_limit <= s["run"]
         if decode and speech:
-            finger = [s["count"], s["shown"], s["draft"]]
+            finger = (s["count"], s["shown"], s["draft"])
             s["stagnant"] = s["stagnant"] + 1 if finger == s["finger"] else 0
             s["finger"] = finger
             force = force or 0 < c.stagnation_limit <= s["stagnant"]
@@ -255,7 +357,8 @@ class StabilizerProcessor(KeyedState):
 
     def commit(self, s: dict, new: list[str], draft: list[str]) -> list[str]:
         self.show(s, [], draft, committed=new)
-        s["tail"] = (s["tail"] + new)[-SEARCH:]
+        if new:
+            s["tail"] = (s["tail"] + new)[-SEARCH:]
         s["count"] += len(new)
         return new
 
@@ -274,3 +377,44 @@ class StabilizerProcessor(KeyedState):
                 "revision": s["revision"],
             }
         )
+
+
+class LatencyProcessor(KeyedState):
+    """Milliseconds from the arrival of the audio an event needed to the time it was ready.
+
+    Marks (``kind`` 0: the stream's audio up to ``cursor`` has come at ``time``) and events (``kind`` 1: needs audio up to ``cursor``, ready at ``time``) of a
+    stream come together. An event takes the first mark at or past its cursor and waits for it where it has not come yet.
+    Marks more than ``reach`` behind the latest one are dropped; nothing asks for them any more.
+    """
+
+    takes = "stream long, seq long, kind int, cursor long, time double"
+    fields = "marks array<struct<cursor: long, time: double>>, waiting array<struct<cursor: long, seq: long, time: double>>"
+    schema = "stream long, seq long, ms double"
+    order = "place"
+
+    def __init__(self, reach: int) -> None:
+        self.reach = reach
+        self.takes = f"{type(self).takes}, place long"
+
+    def fresh(self) -> dict:
+        return {"marks": [], "waiting": []}
+
+    def rows(self, state: dict, row: dict) -> list[dict]:
+        cursor, marks, waiting = int(row["cursor"]), state["marks"], state["waiting"]
+        if row["kind"] == 1:
+            at = bisect.bisect_left(marks, (max(1, cursor),))
+            if at == len(marks):
+                bisect.insort(waiting, (max(1, cursor), int(row["seq"]), float(row["time"])))
+                return []
+            return [self.ready(row["stream"], row["seq"], row["time"], marks[at][1])]
+        if marks and cursor <= marks[-1][0]:
+            return []
+        marks.append((cursor, float(row["time"])))
+        del marks[: bisect.bisect_left(marks, (cursor - self.reach,))]
+        met = bisect.bisect_left(waiting, (cursor + 1,))
+        out = [self.ready(row["stream"], seq, time, marks[-1][1]) for _, seq, time in waiting[:met]]
+        del waiting[:met]
+        return out
+
+    def ready(self, stream: int, seq: int, time: float, arrived: float) -> dict:
+        return {"stream": stream, "seq": int(seq), "ms": max(0.0, (time - arrived) * 1000)}
