@@ -24,20 +24,28 @@ def with_ingress(events: DataFrame, marks: DataFrame, keys: list[str]) -> DataFr
     return d.withColumnRenamed("received_at", "ingress_at")
 
 
+def mark_of(text: Column) -> Column:
+    """What tells a text from another where nothing else is asked of it: hash and length."""
+    return F.struct(F.xxhash64(text).alias("hash"), F.length(text).alias("n"))
+
+
 def steps(events: DataFrame, marks: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Events with ingress time and the texts and speech flag of the event before."""
+    """Events with ingress time and the speech flag and text marks of the event before.
+
+    Only changes of texts matter here, so confirmed, hypothesis and merged become marks; any_text tells whether there is one.
+    """
     d = with_ingress(events, marks, keys)
+    texts = ("confirmed", "hypothesis", "merged")
+    d = d.withColumn("any_text", X.strip_all(F.col("merged")) != "").withColumns({c: mark_of(F.col(c)) for c in texts})
     d = d.withColumn("flush_seq", F.when(F.col("is_flush"), F.col(order)))
-    empty = F.lit("")
+    none = mark_of(F.lit(""))
     d = with_previous(
         d,
         keys,
         order,
         {
             "is_speech": F.lit(False),
-            "confirmed": empty,
-            "hypothesis": empty,
-            "merged": empty,
+            **dict.fromkeys(texts, none),
             "flush_seq": F.lit(None).cast(d.schema[order].dataType),
         },
     )
@@ -45,18 +53,30 @@ def steps(events: DataFrame, marks: DataFrame, keys: list[str], order: str) -> D
     return cut_lineage(d, "steps")
 
 
+def corrected() -> Column:
+    """is_correction() for rows of steps()."""
+    return (
+        (F.col("confirmed") == F.col("prev_confirmed"))
+        & (F.col("hypothesis") != F.col("prev_hypothesis"))
+        & (F.col("prev_hypothesis.n") > 0)
+    )
+
+
 def draft_ready(stepped: DataFrame) -> DataFrame:
     """Latency of every change of the draft text."""
     d = stepped.where((F.col("hypothesis") != F.col("prev_hypothesis")) & F.col("ingress_at").isNotNull())
     return d.withColumn("ms", elapsed_ms(F.col("ready_at"), F.col("ingress_at")))
 
 
+def onset() -> Column:
+    return F.col("is_speech") & ~F.col("prev_is_speech")
+
+
 def spoken(stepped: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Events of open speech segments with the segment's start and the texts before it.
+    """Events of open speech segments with the segment's start and the text marks before it.
 
     A segment opens at the first speech event after silence and closes after its flush.
     """
-    onset = F.col("is_speech") & ~F.col("prev_is_speech")
     start = F.struct(
         F.col(order).alias("seq"),
         F.col("ingress_at").alias("ingress"),
@@ -69,64 +89,73 @@ def spoken(stepped: DataFrame, keys: list[str], order: str) -> DataFrame:
         keys,
         order,
         {
-            "start": Running("last", F.when(onset, start)),
-            "segment_no": Running("sum", onset.cast("bigint")),
+            "start": Running("last", F.when(onset(), start)),
+            "segment_no": Running("sum", onset().cast("bigint")),
             "flushed_before": Running("last", F.col("prev_flush_seq")),
         },
     )
     still_open = F.col("flushed_before").isNull() | (F.col("flushed_before") < F.col("start.seq"))
-    return cut_lineage(d.where(F.col("start").isNotNull() & still_open), "spoken")
+    return d.where(F.col("start").isNotNull() & still_open)
+
 
+def segment_latencies(stepped: DataFrame, marks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Per speech segment: first draft, first merged text, final confirmation and its ready time, each in milliseconds.
 
-def segment_latencies(spoken_events: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Per speech segment: first draft, first merged text, final confirmation, and the end-of-stream
-    stand-in for segments that never flushed. Pre-aggregates, so long segments cost nothing extra."""
+    A stream's last segment may never flush. If there is a text at the end, the end of the stream stands in for its final
+    confirmation (pending_ms), and the arrival of the last audio for its own (pending_ready_ms).
+    """
 
-    def first(condition: Column) -> Column:
-        return F.min_by("ready_at", F.when(condition, F.col(order)))
+    def first(value: str, condition: Column) -> Column:
+        return F.min_by(value, F.when(condition, F.col(order)))
 
     speech, flush = F.col("is_speech"), F.col("is_flush")
-    d = spoken_events.groupBy(*keys, "segment_no").agg(
-        F.min("start.ingress").alias("start_ingress"),
-        first(speech & (F.col("hypothesis") != F.col("start.hypothesis"))).alias("draft_at"),
-        first(speech & (F.col("merged") != F.col("start.merged"))).alias("merged_at"),
-        first(flush & (F.col("confirmed") != F.col("start.confirmed"))).alias("final_at"),
+    known = flush & (F.col("confirmed") != F.col("prev_confirmed")) & F.col("ingress_at").isNotNull()
+    d = spoken(stepped, keys, order).groupBy(*keys, "segment_no").agg(
+        F.min("start.ingress").alias("begin"),
+        first("ready_at", speech & (F.col("hypothesis") != F.col("start.hypothesis"))).alias("draft_at"),
+        first("ready_at", speech & (F.col("merged") != F.col("start.merged"))).alias("merged_at"),
+        first("ready_at", flush & (F.col("confirmed") != F.col("start.confirmed"))).alias("final_at"),
+        F.min_by(F.struct("ready_at", "ingress_at"), F.when(known, F.col(order))).alias("known"),
         F.max("ready_at").alias("last_at"),
         F.bool_or(flush).alias("flushed"),
-        F.max_by("merged", order).alias("last_merged"),
+        F.max_by("any_text", order).alias("any_text"),
     )
-    begin = F.col("start_ingress")
-    pending = ~F.col("flushed") & (X.strip_all(F.col("last_merged")) != "")
+    ends = stepped.groupBy(*keys).agg(F.count_if(onset()).alias("_segments"))
+    arrived = marks.groupBy(*keys).agg(F.max_by("received_at", "cursor").alias("_arrived"))
+    d = d.join(ends, keys).join(arrived, keys, "left")
+    pending = ~F.col("flushed") & F.col("any_text") & (F.col("segment_no") == F.col("_segments")) & F.col("begin").isNotNull()
     return d.select(
         *keys,
         "segment_no",
-        elapsed_ms(F.col("draft_at"), begin).alias("draft_ms"),
-        elapsed_ms(F.col("merged_at"), begin).alias("merged_ms"),
-        elapsed_ms(F.col("final_at"), begin).alias("final_ms"),
-        F.when(pending, elapsed_ms(F.col("last_at"), begin)).alias("pending_ms"),
+        elapsed_ms(F.col("draft_at"), F.col("begin")).alias("draft_ms"),
+        elapsed_ms(F.col("merged_at"), F.col("begin")).alias("merged_ms"),
+        elapsed_ms(F.col("final_at"), F.col("begin")).alias("final_ms"),
+        elapsed_ms(F.col("known.ready_at"), F.col("known.ingress_at")).alias("ready_ms"),
+        F.when(pending, elapsed_ms(F.col("last_at"), F.col("begin"))).alias("pending_ms"),
+        F.when(pending, elapsed_ms(F.col("last_at"), F.col("_arrived"))).alias("pending_ready_ms"),
         "draft_at",
         "merged_at",
         "final_at",
+        "known",
+        "_arrived",
     )
 
 
-def final_ready(spoken_events: DataFrame) -> DataFrame:
-    """Latency of flush events that changed the confirmed text, against the event's own audio."""
-    d = spoken_events.where(
-        F.col("is_flush") & (F.col("confirmed") != F.col("prev_confirmed")) & F.col("ingress_at").isNotNull()
-    )
-    return d.withColumn("ms", elapsed_ms(F.col("ready_at"), F.col("ingress_at")))
+def series(stepped: DataFrame, marks: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """All latency series of ``steps`` as (series, ms)."""
+    segments = segment_latencies(stepped, marks, keys, order)
 
+    def one(name: str, ms: str, seen: str | None = None) -> Column:
+        value = F.col(ms) if seen is None else F.when(F.col(seen).isNotNull(), F.col(ms))
+        return F.struct(F.lit(name).alias("series"), value.alias("ms"))
 
-def series(stepped: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """All latency series of ``steps`` as (series, ms)."""
-    segments = segment_latencies(spoken(stepped, keys, order), keys, order)
-    at = F.col
     named = F.array(
-        F.struct(F.lit("draft_first_token").alias("series"), F.when(at("draft_at").isNotNull(), at("draft_ms")).alias("ms")),
-        F.struct(F.lit("merged_first_token").alias("series"), F.when(at("merged_at").isNotNull(), at("merged_ms")).alias("ms")),
-        F.struct(F.lit("final_confirmed").alias("series"), F.when(at("final_at").isNotNull(), at("final_ms")).alias("ms")),
-        F.struct(F.lit("final_confirmed").alias("series"), at("pending_ms").alias("ms")),
+        one("draft_first_token", "draft_ms", "draft_at"),
+        one("merged_first_token", "merged_ms", "merged_at"),
+        one("final_confirmed", "final_ms", "final_at"),
+        one("final_confirmed", "pending_ms"),
+        one("final_ready", "ready_ms", "known"),
+        F.struct(F.lit("final_ready").alias("series"), F.when(F.col("pending_ms").isNotNull() & F.col("_arrived").isNotNull(), F.col("pending_ready_ms")).alias("ms")),
     )
     ready = draft_ready(stepped).select(F.lit("draft_ready").alias("series"), "ms")
     return segments.select(F.inline(named)).where(F.col("ms").isNotNull()).unionByName(ready)
@@ -139,7 +168,7 @@ def series_summary(latencies: DataFrame) -> DataFrame:
 
 
 def realtime_summary(latencies: DataFrame, totals: DataFrame) -> DataFrame:
-    """One summary row. ``totals`` is one row with audio_sec, infer_sec, corrections, max_queue_sec and
+    """One summary row. ``totals`` is one row with audio_sec, infer_sec, wall_sec, corrections, max_queue_sec, processed and
     dropped. The first-token series is the draft one, or the merged one where no draft was seen."""
     s = series_summary(latencies)
 
@@ -147,7 +176,7 @@ def realtime_summary(latencies: DataFrame, totals: DataFrame) -> DataFrame:
         return F.max(F.when(F.col("series") == name, F.col(column)))
 
     cols = []
-    for name in ("draft_first_token", "merged_first_token", "final_confirmed", "draft_ready"):
+    for name in ("draft_first_token", "merged_first_token", "final_confirmed", "draft_ready", "final_ready"):
         cols += [pick(name, "avg").alias(f"{name}_avg"), pick(name, "p95").alias(f"{name}_p95")]
     wide = s.agg(*cols)
     wide = wide.withColumn("first_token_avg", F.coalesce("draft_first_token_avg", "merged_first_token_avg"))
@@ -155,7 +184,8 @@ def realtime_summary(latencies: DataFrame, totals: DataFrame) -> DataFrame:
     d = wide.crossJoin(F.broadcast(totals))  # one row each
     per_min = F.when(F.col("audio_sec") > 0, F.col("corrections") / F.col("audio_sec") * 60).otherwise(0.0)
     rtfx = F.col("audio_sec") / F.greatest(F.col("infer_sec"), F.lit(1e-9))
-    return d.withColumn("corrections_per_min", per_min).withColumn("infer_rtfx", rtfx)
+    wall = F.col("audio_sec") / F.greatest(F.col("wall_sec"), F.lit(1e-9))
+    return d.withColumn("corrections_per_min", per_min).withColumn("infer_rtfx", rtfx).withColumn("wall_rtfx", wall)
 
 
 def correction_count(df: DataFrame, keys: list[str], order: str) -> DataFrame:

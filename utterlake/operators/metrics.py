@@ -221,33 +221,46 @@ def sequence_ratio_words(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 PROFILE_STAGES = ("feature", "prepare", "predict", "decode", "merge")
+#: Counters that are given as totals.
+PROFILE_COUNTS = (
+    "encoder_windows", "encoder_reused", "encoder_computed", "reuse_steps", "compute_steps", "decoder_windows", "resumed_windows",
+    "resumed_tokens", "predict_calls", "advance_calls", "emitted", "blanks",
+)
+PROFILE_FRAMES = ("requested_frames", "copied_frames")
 
 
 def profile_rollup(df: DataFrame, keys: list[str], tail_from: Column | None = None) -> DataFrame:
-    """Calls, averages per call, shares of the total and window ratios; ``tail_from`` restricts the
-    sums to rows where it holds."""
+    """Calls, averages per call, each stage's share of the total time, totals of all counters and their ratios.
 
-    def pick(c: Column) -> Column:
-        return c if tail_from is None else F.when(tail_from, c)
+    Columns: total_ms and <stage>_ms, PROFILE_COUNTS, PROFILE_FRAMES. ``tail_from`` restricts the sums to rows where it
+    holds. A group without such rows has calls = 0 and nulls.
+    """
 
     def total(name: str) -> Column:
-        return F.coalesce(F.sum(pick(F.col(name))), F.lit(0))
-
-    calls = F.count(pick(F.lit(1)))
-    whole = sum((total(f"{s}_ms") for s in PROFILE_STAGES), F.lit(0.0))
-    windows, reused, emitted, blanks = (total(c) for c in ("windows", "reused", "emitted", "blanks"))
-    out = [calls.alias("calls"), (whole / F.nullif(calls, F.lit(0))).alias("avg_total_ms")]
-    for s in PROFILE_STAGES:
-        t = total(f"{s}_ms")
-        out.append((t / F.nullif(calls, F.lit(0))).alias(f"avg_{s}_ms"))
-        out.append(F.when(calls > 0, t / F.greatest(whole, F.lit(1e-9))).alias(f"share_{s}"))
-    out += [
-        F.when(calls > 0, windows).alias("windows_total"),
-        F.when(calls > 0, reused / F.greatest(windows, F.lit(1))).alias("window_reuse_ratio"),
-        F.when(calls > 0, windows / F.greatest(emitted, F.lit(1))).alias("windows_per_token"),
-        F.when(calls > 0, blanks / F.greatest(emitted + blanks, F.lit(1))).alias("blank_ratio"),
-    ]
-    return df.groupBy(*keys).agg(*out)
+        c = F.col(name) if tail_from is None else F.when(tail_from, F.col(name))
+        return F.coalesce(F.sum(c), F.lit(0)).alias(name)
+
+    sums = ["total_ms", *[f"{s}_ms" for s in PROFILE_STAGES], *PROFILE_COUNTS, *PROFILE_FRAMES]
+    calls = F.count(F.lit(1) if tail_from is None else F.when(tail_from, F.lit(1)))
+    d = df.groupBy(*keys).agg(calls.alias("calls"), *[total(c) for c in sums])
+
+    def per(part: str | Column, whole: str | Column, least: float = 1.0) -> Column:
+        part, whole = (F.col(x) if isinstance(x, str) else x for x in (part, whole))
+        return part / F.greatest(F.lit(least), whole)
+
+    out = {f"avg_{c}": per(c, "calls") for c in sums if c.endswith("_ms") or c in PROFILE_FRAMES}
+    out |= {f"share_{s}": per(f"{s}_ms", "total_ms", 1e-9) for s in PROFILE_STAGES}
+    out |= {f"{c}_total": F.col(c) for c in PROFILE_COUNTS}
+    out |= {
+        "window_reuse_ratio": per("encoder_reused", "encoder_windows"),
+        "step_reuse_ratio": per("reuse_steps", F.col("reuse_steps") + F.col("compute_steps")),
+        "windows_per_call": per("decoder_windows", "calls"),
+        "predicts_per_call": per("predict_calls", "calls"),
+        "predicts_per_window": per("predict_calls", "decoder_windows"),
+        "predicts_per_token": per("predict_calls", "emitted"),
+        "advance_ratio": per("advance_calls", "predict_calls"),
+    }
+    return d.select(*keys, "calls", *[F.when(F.col("calls") > 0, c).alias(name) for name, c in out.items()])
 
 
 def placement_rollup(df: DataFrame) -> DataFrame:

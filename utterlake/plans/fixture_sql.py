@@ -127,7 +127,10 @@ FROM events
 VIEWS["v_prof"] = """
 SELECT user_id AS stream, event_id AS seq, value * 0.1::DOUBLE AS feature_ms, value * 0.2::DOUBLE AS prepare_ms,
        value * 0.4::DOUBLE AS predict_ms, value * 0.2::DOUBLE AS decode_ms, value * 0.1::DOUBLE AS merge_ms,
-       event_id % 7 + 1 AS windows, event_id % 3 AS reused, event_id % 11 AS emitted, event_id % 5 AS blanks,
+       value * 1.05::DOUBLE AS total_ms, event_id % 7 + 1 AS encoder_windows, event_id % 3 AS encoder_reused, event_id % 5 AS encoder_computed,
+       event_id % 13 AS reuse_steps, event_id % 17 AS compute_steps, event_id % 6 AS decoder_windows, event_id % 2 AS resumed_windows,
+       event_id % 9 AS resumed_tokens, event_id % 19 AS predict_calls, event_id % 8 AS advance_calls, event_id % 11 AS emitted, event_id % 5 AS blanks,
+       event_id % 100 + 1 AS requested_frames, event_id % 90 AS copied_frames,
        row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 0.25::DOUBLE AS cursor_sec
 FROM events
 """
@@ -284,10 +287,19 @@ SELECT stream, segment_no, min(start_ingress) AS start_ingress,
 FROM v_spoken GROUP BY stream, segment_no
 """
 
+VIEWS["v_pending"] = """
+SELECT stream, segment_no, greatest(0, (last_at - start_ingress) * 1000) AS pending_ms, greatest(0, (last_at - arrived) * 1000) AS pending_ready_ms
+FROM v_first JOIN (SELECT stream, max(segment_no) AS segment_no FROM (SELECT stream, count(*) AS segment_no FROM v_step WHERE is_speech AND NOT prev_speech GROUP BY stream) GROUP BY stream) USING (stream, segment_no)
+  JOIN (SELECT stream, arg_max(received_at, cursor) AS arrived FROM v_mark GROUP BY stream) USING (stream)
+WHERE flushed = 0 AND trim(last_merged) <> '' AND start_ingress IS NOT NULL
+"""
+
 VIEWS["v_series"] = """
 SELECT 'draft_first_token' AS series, greatest(0, (draft_at - start_ingress) * 1000) AS ms FROM v_first WHERE draft_at IS NOT NULL
 UNION ALL SELECT 'merged_first_token', greatest(0, (merged_at - start_ingress) * 1000) FROM v_first WHERE merged_at IS NOT NULL
 UNION ALL SELECT 'final_confirmed', greatest(0, (final_at - start_ingress) * 1000) FROM v_first WHERE final_at IS NOT NULL
-UNION ALL SELECT 'final_confirmed', greatest(0, (last_at - start_ingress) * 1000) FROM v_first WHERE flushed = 0 AND trim(last_merged) <> ''
+UNION ALL SELECT 'final_confirmed', pending_ms FROM v_pending
+UNION ALL SELECT 'final_ready', greatest(0, (ready_at - ingress_at) * 1000) FROM v_spoken WHERE is_flush AND confirmed <> prev_confirmed AND ingress_at IS NOT NULL
+UNION ALL SELECT 'final_ready', pending_ready_ms FROM v_pending
 UNION ALL SELECT 'draft_ready', greatest(0, (ready_at - ingress_at) * 1000) FROM v_step WHERE hypothesis <> prev_hypothesis AND ingress_at IS NOT NULL
 """

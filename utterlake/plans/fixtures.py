@@ -274,10 +274,21 @@ def prof(spark: SparkSession, sf: str) -> DataFrame:
         (v * 0.4).alias("predict_ms"),
         (v * 0.2).alias("decode_ms"),
         (v * 0.1).alias("merge_ms"),
-        (s % 7 + 1).alias("windows"),
-        (s % 3).alias("reused"),
+        (v * 1.05).alias("total_ms"),
+        (s % 7 + 1).alias("encoder_windows"),
+        (s % 3).alias("encoder_reused"),
+        (s % 5).alias("encoder_computed"),
+        (s % 13).alias("reuse_steps"),
+        (s % 17).alias("compute_steps"),
+        (s % 6).alias("decoder_windows"),
+        (s % 2).alias("resumed_windows"),
+        (s % 9).alias("resumed_tokens"),
+        (s % 19).alias("predict_calls"),
+        (s % 8).alias("advance_calls"),
         (s % 11).alias("emitted"),
         (s % 5).alias("blanks"),
+        (s % 100 + 1).alias("requested_frames"),
+        (s % 90).alias("copied_frames"),
     )
     return ordinal(d, ["stream"], "seq").withColumn("cursor_sec", F.col("idx") * 0.25).drop("idx")
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from utterlake.operators import backlog as B
 from utterlake.operators import gates as G
 from utterlake.operators import joins as J
 from utterlake.operators import latency as L
 from utterlake.operators import metrics as M
-from utterlake.operators import stabilize as S
 from utterlake.plans import fixtures as fx
 from utterlake.plans.registry import query
 
@@ -19,6 +19,10 @@ def stepped(spark, sf):
     return L.steps(fx.live(spark, sf), fx.mark(spark, sf), KEY, "seq")
 
 
+def segments(spark, sf):
+    return L.segment_latencies(stepped(spark, sf), fx.mark(spark, sf), KEY, "seq")
+
+
 @query(
     "jn6_forward_asof_join",
     """SELECT p.stream, p.seq, p.kind, p.probe, m.received_at FROM v_probe p
@@ -51,7 +55,7 @@ def _(spark, sf):
       round(greatest(0, (merged_at - start_ingress) * 1000), 3) AS merged_ms FROM v_first WHERE draft_at IS NOT NULL""",
 )
 def _(spark, sf):
-    d = L.segment_latencies(L.spoken(stepped(spark, sf), KEY, "seq"), KEY, "seq").where("draft_at is not null")
+    d = segments(spark, sf).where("draft_at is not null")
     return d.select("stream", "segment_no", F.round("draft_ms", 3).alias("draft_ms"), F.round("merged_ms", 3).alias("merged_ms"))
 
 
@@ -62,22 +66,17 @@ def _(spark, sf):
     FROM v_spoken s JOIN v_first f USING (stream, segment_no) WHERE s.is_flush AND s.confirmed <> s.prev_confirmed AND s.ingress_at IS NOT NULL""",
 )
 def _(spark, sf):
-    sp = L.spoken(stepped(spark, sf), KEY, "seq")
-    ready = L.final_ready(sp).select("stream", "segment_no", F.round("ms", 3).alias("ready_ms"))
-    onset = L.segment_latencies(sp, KEY, "seq")
-    return ready.join(onset, ["stream", "segment_no"]).select(
-        "stream", "segment_no", "ready_ms", F.when(F.col("final_at").isNotNull(), F.round("final_ms", 3)).alias("onset_ms")
-    )
+    onset = F.when(F.col("final_at").isNotNull(), F.round("final_ms", 3)).alias("onset_ms")
+    return segments(spark, sf).where("known is not null").select("stream", "segment_no", F.round("ready_ms", 3).alias("ready_ms"), onset)
 
 
 @query(
     "wn13_end_of_stream",
-    """SELECT stream, segment_no, round(greatest(0, (last_at - start_ingress) * 1000), 3) AS pending_ms
-    FROM v_first WHERE flushed = 0 AND trim(last_merged) <> ''""",
+    """SELECT stream, segment_no, round(pending_ms, 3) AS pending_ms, round(pending_ready_ms, 3) AS pending_ready_ms FROM v_pending""",
 )
 def _(spark, sf):
-    d = L.segment_latencies(L.spoken(stepped(spark, sf), KEY, "seq"), KEY, "seq")
-    return d.where("pending_ms is not null").select("stream", "segment_no", F.round("pending_ms", 3).alias("pending_ms"))
+    d = segments(spark, sf).where("pending_ms is not null")
+    return d.select("stream", "segment_no", *[F.round(c, 3).alias(c) for c in ("pending_ms", "pending_ready_ms")])
 
 
 @query(
@@ -128,27 +127,35 @@ def _(spark, sf):
     return stats.join(rate, "stage").select("stage", *[F.round(c, 5).alias(c) for c in ("median", "p95", "per_sec")])
 
 
+#: Eight chunks of a stream wait together; what shed() leaves of them is worked on.
 TOTALS_SQL = """(SELECT count(*) * 0.32::DOUBLE AS audio_sec, sum(0.02::DOUBLE * (k % 7)) AS infer_sec,
+   (SELECT sum(last) FROM (SELECT max(ready_at) AS last FROM v_step GROUP BY stream)) AS wall_sec,
    count(*) FILTER (WHERE confirmed = prev_confirmed AND hypothesis <> prev_hypothesis AND prev_hypothesis <> '') AS corrections,
-   max((k % 5) * 0.05::DOUBLE) AS max_queue_sec FROM v_step)"""
+   max((k % 5) * 0.05::DOUBLE) AS max_queue_sec,
+   (SELECT CAST(sum(CASE WHEN n > 3 THEN 2 ELSE n END) AS BIGINT) FROM (SELECT count(*) AS n FROM v_step GROUP BY stream, (k - 1) // 8)) AS processed FROM v_step)"""
 
 
 def summary(spark, sf):
     steps = stepped(spark, sf)
-    return L.realtime_summary(L.series(steps, KEY, "seq"), totals(steps))
+    return L.realtime_summary(L.series(steps, fx.mark(spark, sf), KEY, "seq"), totals(steps))
 
 
 def totals(steps):
-    return steps.agg(
+    """One row of sums over all streams."""
+    queue = steps.select("stream", "k", F.floor((F.col("k") - 1) / 8).alias("wait"))
+    shed = B.shed(queue, ["stream", "wait"], "k", soft=3, target=1, context=2, hard=6)
+    kept = shed.agg(F.count_if("kept").alias("processed"), F.count_if(~F.col("kept")).alias("dropped"))
+    wall = steps.groupBy("stream").agg(F.max("ready_at").alias("last")).agg(F.sum("last").alias("wall_sec"))
+    sums = steps.agg(
         (F.count("*") * F.lit(0.32)).alias("audio_sec"),
         F.sum(F.lit(0.02) * (F.col("k") % 7)).alias("infer_sec"),
-        F.count_if(S.is_correction()).alias("corrections"),
+        F.count_if(L.corrected()).alias("corrections"),
         F.max((F.col("k") % 5) * F.lit(0.05)).alias("max_queue_sec"),
-        F.lit(0).alias("dropped"),
     )
+    return sums.crossJoin(F.broadcast(wall)).crossJoin(F.broadcast(kept))  # one row each
 
 
-NAMES = ("draft_first_token", "merged_first_token", "final_confirmed", "draft_ready")
+NAMES = ("draft_first_token", "merged_first_token", "final_confirmed", "draft_ready", "final_ready")
 
 
 def pick_sql(name: str) -> str:
@@ -159,14 +166,15 @@ def pick_sql(name: str) -> str:
 @query(
     "ag18_realtime_summary",
     f"""SELECT s.*, coalesce(draft_first_token_avg, merged_first_token_avg) AS first_token_avg, coalesce(draft_first_token_p95, merged_first_token_p95) AS first_token_p95,
-      round(t.corrections / t.audio_sec * 60, 4) AS corrections_per_min, round(t.audio_sec / t.infer_sec, 4) AS infer_rtfx, round(t.max_queue_sec, 4) AS max_queue_sec
+      round(t.corrections / t.audio_sec * 60, 4) AS corrections_per_min, round(t.audio_sec / t.infer_sec, 4) AS infer_rtfx,
+      round(t.audio_sec / t.wall_sec, 4) AS wall_rtfx, round(t.max_queue_sec, 4) AS max_queue_sec, t.corrections, t.processed, (SELECT count(*) FROM v_step) - t.processed AS dropped
     FROM (SELECT {', '.join(pick_sql(n) for n in NAMES)} FROM v_series) s, {TOTALS_SQL} t""",
 )
 def _(spark, sf):
     d = summary(spark, sf)
     ms = [f"{n}_{k}" for n in (*NAMES, "first_token") for k in ("avg", "p95")]
-    rest = ("corrections_per_min", "infer_rtfx", "max_queue_sec")
-    return d.select(*[F.round(c, 3).alias(c) for c in ms], *[F.round(c, 4).alias(c) for c in rest])
+    rest = ("corrections_per_min", "infer_rtfx", "wall_rtfx", "max_queue_sec")
+    return d.select(*[F.round(c, 3).alias(c) for c in ms], *[F.round(c, 4).alias(c) for c in rest], "corrections", "processed", "dropped")
 
 
 @query(

@@ -176,33 +176,37 @@ def _(spark, sf):
 
 
 STAGES = ("feature", "prepare", "predict", "decode", "merge")
+COUNTS = "encoder_windows encoder_reused encoder_computed reuse_steps compute_steps decoder_windows resumed_windows resumed_tokens predict_calls advance_calls emitted blanks".split()
+RATIOS = {
+    "window_reuse_ratio": ("encoder_reused", "encoder_windows"),
+    "step_reuse_ratio": ("reuse_steps", "reuse_steps + compute_steps"),
+    "windows_per_call": ("decoder_windows", "1"),
+    "predicts_per_call": ("predict_calls", "1"),
+    "predicts_per_window": ("predict_calls", "decoder_windows"),
+    "predicts_per_token": ("predict_calls", "emitted"),
+    "advance_ratio": ("advance_calls", "predict_calls"),
+}
 
 
 def profile_sql(cond: str) -> str:
+    """Each figure straight from the rows of a call; sum(1) is the number of calls."""
     f = f"FILTER (WHERE {cond})"
-    whole = "(" + " + ".join(f"coalesce(sum({s}_ms) {f}, 0)" for s in STAGES) + ")"
-    calls = f"count(*) {f}"
-    cols = [f"{calls} AS calls", f"round({whole} / nullif({calls}, 0), 10) AS avg_total_ms"]
-    for s in STAGES:
-        cols.append(f"round(coalesce(sum({s}_ms) {f}, 0) / nullif({calls}, 0), 10) AS avg_{s}_ms")
-        cols.append(f"CASE WHEN {calls} > 0 THEN round(coalesce(sum({s}_ms) {f}, 0) / greatest({whole}, 1e-9), 10) END AS share_{s}")
-    t = {c: f"CAST(coalesce(sum({c}) {f}, 0) AS BIGINT)" for c in ("windows", "reused", "emitted", "blanks")}
-    cols += [
-        f"CASE WHEN {calls} > 0 THEN {t['windows']} END AS windows_total",
-        f"CASE WHEN {calls} > 0 THEN round({t['reused']} / greatest({t['windows']}, 1), 10) END AS window_reuse_ratio",
-        f"CASE WHEN {calls} > 0 THEN round({t['windows']} / greatest({t['emitted']}, 1), 10) END AS windows_per_token",
-        f"CASE WHEN {calls} > 0 THEN round({t['blanks']} / greatest({t['emitted']} + {t['blanks']}, 1), 10) END AS blank_ratio",
-    ]
+    cols = [f"count(*) {f} AS calls"]
+    for c in ("total_ms", *[f"{s}_ms" for s in STAGES], "requested_frames", "copied_frames"):
+        cols.append(f"round(avg({c}) {f}, 10) AS avg_{c}")
+    cols += [f"round(sum({s}_ms) {f} / greatest(sum(total_ms) {f}, 1e-9), 10) AS share_{s}" for s in STAGES]
+    cols += [f"CAST(sum({c}) {f} AS BIGINT) AS {c}_total" for c in COUNTS]
+    cols += [f"round(sum({a}) {f} / greatest(sum({b}) {f}, 1), 10) AS {name}" for name, (a, b) in RATIOS.items()]
     return ", ".join(cols)
 
 
-def rounded(d, keep):
-    return d.select(*[c if c in keep else F.round(c, 10).alias(c) for c in d.columns])
+def rounded(d):
+    return d.select(*[c if c in ("stream", "calls") or c.endswith("_total") else F.round(c, 10).alias(c) for c in d.columns])
 
 
 @query("ag11_profile_rollup", f"SELECT stream, {profile_sql('true')} FROM v_prof GROUP BY stream")
 def _(spark, sf):
-    return rounded(M.profile_rollup(fx.prof(spark, sf), ["stream"]), ("stream", "calls", "windows_total"))
+    return rounded(M.profile_rollup(fx.prof(spark, sf), ["stream"]))
 
 
 @query(
@@ -213,8 +217,7 @@ def _(spark, sf):
     d = fx.prof(spark, sf)
     ends = d.groupBy("stream").agg(F.max("cursor_sec").alias("total"))
     d = d.join(ends, "stream")
-    out = M.profile_rollup(d, ["stream"], tail_from=F.col("cursor_sec") >= F.col("total") / 2)
-    return rounded(out, ("stream", "calls", "windows_total"))
+    return rounded(M.profile_rollup(d, ["stream"], tail_from=F.col("cursor_sec") >= F.col("total") / 2))
 
 
 @query("ag15_op_histogram", "SELECT op, count(*) AS n FROM v_ops GROUP BY op ORDER BY op")
@@ -298,13 +301,13 @@ def _(spark, sf):
 
 @query(
     "jn7_vocabulary_join",
-    """SELECT stream, seq, pos, t.id, CASE WHEN t.id = 0 THEN '<blank>' WHEN piece IS NULL THEN '<invalid>' ELSE piece END AS piece
-    FROM (SELECT stream, seq, unnest(next_tokens) AS id, unnest(range(len(next_tokens))) AS pos FROM v_tok WHERE kind = 'tail') t LEFT JOIN v_vocab USING (id)""",
+    """SELECT stream, seq, kind, pos, t.id, CASE WHEN t.id = 0 THEN '<blank>' WHEN piece IS NULL THEN '<invalid>' ELSE piece END AS piece
+    FROM (SELECT stream, seq, kind, unnest(next_tokens) AS id, unnest(range(len(next_tokens))) AS pos FROM v_tok) t LEFT JOIN v_vocab USING (id)""",
 )
 def _(spark, sf):
-    d = fx.tok(spark, sf).where("kind = 'tail'").select("stream", "seq", F.posexplode("next_tokens").alias("pos", "id"))
+    d = fx.tok(spark, sf).select("stream", "seq", "kind", F.posexplode("next_tokens").alias("pos", "id"))
     out = J.with_pieces(d, fx.vocab(spark, sf), "id", 0)
-    return out.select("stream", "seq", F.col("pos").cast("bigint").alias("pos"), "id", "piece")
+    return out.select("stream", "seq", "kind", F.col("pos").cast("bigint").alias("pos"), "id", "piece")
 
 
 @query(

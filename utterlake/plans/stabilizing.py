@@ -133,15 +133,16 @@ def _(spark, sf):
 
 @query(
     "wn14_transcript_cursor",
-    f"""SELECT stream, seq, max(CASE WHEN confirmed <> pc OR hypothesis <> ph OR action = 'flush' THEN seq END) OVER (PARTITION BY stream ORDER BY seq) AS transcript_cursor
-    FROM (SELECT *, lag(confirmed, 1, '') OVER w AS pc, lag(hypothesis, 1, '') OVER w AS ph FROM {TEXT_STATE} WINDOW w AS (PARTITION BY stream ORDER BY seq))""",
+    """SELECT stream, seq, max(CASE WHEN confirmed <> prev_confirmed OR merged <> prev_merged OR is_flush THEN least(total, cursor) / 16000.0::DOUBLE END) OVER (PARTITION BY stream ORDER BY seq) AS transcript_cursor
+    FROM v_step JOIN (SELECT stream, max(cursor) AS total FROM v_mark GROUP BY stream) USING (stream)""",
 )
 def _(spark, sf):
-    d = S.with_previous(texts(spark, sf), ["stream"], "seq", {"confirmed": F.lit(""), "hypothesis": F.lit("")})
-    changed = (F.col("confirmed") != F.col("prev_confirmed")) | (F.col("hypothesis") != F.col("prev_hypothesis"))
-    # A flush moves the cursor also where no text changed.
-    changed = changed | (F.col("action") == "flush")
-    return S.transcript_cursor(d, ["stream"], "seq", "seq", changed).select("stream", "seq", "transcript_cursor")
+    d, total = fx.live(spark, sf), fx.mark(spark, sf).groupBy("stream").agg(F.max("cursor").alias("total"))
+    d = S.with_previous(d, ["stream"], "seq", {"confirmed": F.lit(""), "merged": F.lit("")})
+    changed = (F.col("confirmed") != F.col("prev_confirmed")) | (F.col("merged") != F.col("prev_merged"))
+    # A flush moves the cursor also where no text changed; it never passes the audio there is.
+    d = d.join(total, "stream").withColumn("cursor_sec", F.least("total", "cursor") / 16000.0)
+    return S.transcript_cursor(d, ["stream"], "seq", "cursor_sec", changed | F.col("is_flush")).select("stream", "seq", "transcript_cursor")
 
 
 @query(
