@@ -162,3 +162,17 @@ def test_recommendation_without_candidates(spark):
     passing = agg.withColumn("pass", F.lit(True))
     out = W.recommend(passing).collect()
     assert [(r.recommended, r.cutoff) for r in out] == [(True, None)]
+
+
+def test_trace_fields(spark, tmp_path):
+    """Every key of a step comes back, with the candidates; a step without them has nulls."""
+    import json
+
+    step = {"source": "a", "kind": "step", "chunk_index": 1, "step_index": 2, "encoder_steps": 90, "t": 7, "token_id": 5, "duration_idx": 1, "duration_value": 2, "skip": 2, "prev_token": 4, "token_piece": "x", "emitted": True, "commit_state": 1}
+    more = step | {"token_topk": [{"token_id": 5, "token_piece": "x", "logp": -0.5}], "duration_topk": [{"duration_idx": 1, "duration_value": 2, "logp": -0.1}]}
+    path = str(tmp_path / "trace")
+    spark.createDataFrame([(json.dumps(x),) for x in (step, more)], "value string").write.text(path)
+    rows = sorted(io.scan_trace(spark, path).collect(), key=lambda r: r.token_topk is not None)
+    for r in rows:
+        assert all(r[k] == v for k, v in step.items())
+    assert rows[0].duration_topk is None and rows[1].token_topk[0].logp == -0.5 and rows[1].duration_topk[0].duration_value == 2

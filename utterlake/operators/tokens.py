@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,17 +144,24 @@ def collapse_self_overlap(lists: pd.Series) -> pd.Series:
 def monotonic_confirm(df: DataFrame, keys: list[str], order: str, words: str) -> DataFrame:
     """Running confirmed list per row: a candidate counts only if it extends the one held so far.
 
-    A key is one utterance, whose candidates the decoder bounds.
+    Whether it counts depends on all before it, so a key is read in order, by one task; rows stream through it sorted, and
+    only the list held so far is kept. Each candidate is compared once, as far as the held list reaches: the work grows with the words.
+    A null candidate changes nothing; equal keys and orders come in any order.
     """
-    g = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, words))).alias("_c"))
-
-    def step(acc: Column, c: Column) -> Column:
-        held = F.get(acc, F.size(acc) - 1)["confirmed"]
-        longer = F.size(c[words]) >= F.size(held)
-        extends = F.slice(c[words], F.lit(1), F.size(held)) == held
-        now = F.when(held.isNull() | (longer & extends), c[words]).otherwise(held)
-        return F.concat(acc, F.array(F.struct(c[order].alias(order), now.alias("confirmed"))))
-
-    kind = f"array<struct<{order}:bigint,confirmed:array<string>>>"
-    fold = F.aggregate("_c", F.array().cast(kind), step)
-    return g.select(*keys, F.inline(fold))
+    d = df.select(*keys, order, words).repartition(*keys).sortWithinPartitions(*keys, order)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (*keys, order)) + ", confirmed array<string>"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            out = []
+            for now, candidate in zip(zip(*[batch.column(c).to_pylist() for c in keys], strict=True), batch.column(words).to_pylist(), strict=True):
+                if now != key:
+                    key, held = now, candidate
+                elif candidate is not None and (held is None or candidate[: len(held)] == held):
+                    held = candidate
+                out.append(held)
+            columns = [batch.column(c) for c in (*keys, order)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out, pa.list_(pa.string()))], names=[*keys, order, "confirmed"])
+
+    return d.mapInArrow(rows, schema)

@@ -395,7 +395,6 @@ def _(spark, sf):
     SELECT stream, segment, segment * 4294967296 + k AS seq, len(words) AS n, array_to_string(words, ' ') AS confirmed FROM fold""",
 )
 def _(spark, sf):
-    # One group is one utterance's partial texts.
     d = fx.part(spark, sf).where(F.col("action") == "partial")
     d = T.monotonic_confirm(d, ["stream", "segment"], "seq", "words")
     return d.select(

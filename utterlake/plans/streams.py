@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from utterlake.functions import arrays as A
 from utterlake.functions import text as X
 from utterlake.operators import backlog as B
+from utterlake.operators import folds as L
 from utterlake.operators import scans as R
 from utterlake.params import AdaptiveStride, StabilizerConfig, VadConfig
 from utterlake.plans import fixtures as fx
-from utterlake.plans.fixture_sql import words_sql
+from utterlake.plans.fixture_sql import lcp_sql, words_sql
 from utterlake.plans.registry import query
 from utterlake.plans.stabilizing import VAD
 from utterlake.session import cut_lineage
@@ -288,14 +289,19 @@ def _(spark, sf):
     return d.select("id", F.size("k").cast("bigint").alias("n"), F.get("k.text", F.size("k") - 1).alias("last"))
 
 
-@query("uf3_command_transcriber", "SELECT id, length(text) || ' chars' AS text FROM v_ref")
-def _(spark, sf):
-    import json
+#: A command with planted faults: no text ends with code 3, some ids take too long, some print no JSON.
+COMMAND = ["/bin/sh", "-c", """case "$2" in *9-0) exec sleep 20;; *8-0) echo oops; exit 0;; esac; [ -z "$1" ] && exit 3; printf '{"text": "%s chars"}' "${#1}" """, "transcribe", "{item}", "{id}"]
 
-    def run(item, timeout_sec):
-        return json.dumps({"text": f"{len(item)} chars"})
 
-    return U.transcribe_command(fx.ref(spark, sf).select("id", "text"), "id", "text", run, 5.0, "text")
+@query(
+    "uf3_command_transcriber",
+    """SELECT id, CASE WHEN id LIKE '%9-0' THEN 'timeout' WHEN id LIKE '%8-0' THEN 'bad output' WHEN text = '' THEN 'failed' ELSE 'ok' END AS status,
+      CASE WHEN NOT (id LIKE '%9-0' OR id LIKE '%8-0' OR text = '') THEN length(text) || ' chars' END AS text, CASE WHEN id LIKE '%9-0' OR id LIKE '%8-0' OR text <> '' THEN NULL ELSE 3 END AS code, true AS timed FROM v_ref""",
+)
+def _(spark, sf):
+    d = U.transcribe_command(fx.ref(spark, sf).select("id", "text"), "id", "text", COMMAND, 2.0, "text")
+    # a run takes time, and none goes on for long after its limit
+    return d.select("id", "status", "text", F.when(F.col("status") == "failed", F.col("code")).alias("code"), F.col("infer_sec").between(0, 15).alias("timed"))
 
 
 @query("uf4_swappable_detector", STATE_SQL)
@@ -309,17 +315,26 @@ def _(spark, sf):
 
 @query(
     "uf5_ordered_fold",
-    """SELECT stream, segment, round(list_reduce(list(CAST(len(words) AS DOUBLE) ORDER BY seq), lambda a, x: a + 0.25 * (x - a)), 6) AS smoothed
-    FROM v_part WHERE action = 'partial' GROUP BY stream, segment""",
+    f"""SELECT stream, segment, round(smoothed, 6) AS smoothed, steps, array_to_string(low[1:{lcp_sql('low', 'high')}], ' ') AS common, array_to_string(whole, ' ') AS merged FROM (
+      SELECT stream, segment, list_reduce(list(CAST(len(words) AS DOUBLE) ORDER BY seq), lambda a, x: a + 0.25 * (x - a)) AS smoothed,
+        CAST(floor(sum(len(words) * 0.25::DOUBLE) + 1e-9) AS BIGINT) AS steps, min(words) AS low, max(words) AS high FROM v_part WHERE action = 'partial' GROUP BY stream, segment)
+    JOIN (SELECT conv_id AS stream, turn AS segment, words AS whole FROM v_conv) USING (stream, segment)""",
 )
 def _(spark, sf):
     d = fx.part(spark, sf).where("action = 'partial'")
-    # One group is one segment, which is bounded.
-    g = d.groupBy("stream", "segment").agg(F.array_sort(F.collect_list(F.struct("seq", F.size("words").alias("n")))).alias("s"))
-    # An exponential average: the result hangs on the order.
-    rest = F.slice("s", F.lit(2), F.size("s"))
-    fold = F.aggregate(rest, F.get("s", F.lit(0))["n"].cast("double"), lambda acc, x: acc + (x["n"] - acc) * 0.25)
-    return g.select("stream", "segment", F.round(fold, 6).alias("smoothed"))
+    keys, n = ["stream", "segment"], F.size("words")
+    smoothed = L.ewma_fold(d, keys, "seq", n, 0.25, "smoothed")
+    credit = L.credit_fold(d, keys, "seq", n, 1, 4, "credit")
+    common = L.confirm_fold(d, keys, "seq", F.col("words"), "common")
+    # The words of a turn in overlapping chunks of six, each but the first beginning with the last two of the one before, are the turn again.
+    turns = fx.conv(spark, sf).select(F.col("conv_id").alias("stream"), F.col("turn").alias("segment"), "words")
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - 3), F.lit(4))
+    pieces = turns.select(*keys, F.size("words").alias("n"), "words", F.posexplode(starts).alias("seq", "at"))
+    place = F.transform(F.slice("words", F.col("at") + 1, 6), lambda w, i: F.concat(w, F.lit("\x00"), F.col("at") + i))
+    merged = L.merge_fold(pieces.withColumn("chunk", place).withColumn("seq", F.col("seq").cast("bigint")), keys, "seq", F.col("chunk"), "merged")
+    words = F.transform("merged", lambda w: F.substring_index(w, "\x00", 1))
+    out = smoothed.join(credit, keys).join(common, keys).join(merged, keys)
+    return out.select(*keys, F.round("smoothed", 6).alias("smoothed"), "credit.steps", F.array_join("common", " ").alias("common"), F.array_join(words, " ").alias("merged"))
 
 
 PLAN_SEGMENTS = """CREATE OR REPLACE TEMPORARY FUNCTION plan_segments(total BIGINT, segment BIGINT, overlap BIGINT)

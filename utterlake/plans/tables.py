@@ -86,27 +86,47 @@ def _(spark, sf):
     return d.select("file", "ordinal")
 
 
+#: The fields of a decoder step over the rows of a trace, in SQL that both engines take.
+STEP = {
+    "chunk_index": "(idx - idx % 10) / 10",
+    "step_index": "idx",
+    "encoder_steps": "100 + idx % 7",
+    "t": "idx * 2",
+    "token_id": "k2",
+    "duration_idx": "idx % 5",
+    "duration_value": "idx % 5",
+    "skip": "idx % 5",
+    "prev_token": "event_id % 97",
+    "token_piece": "k1",
+    "emitted": "k2 % 7 <> 0",
+    "commit_state": "idx % 2",
+}
+LONGS = [c for c in STEP if c not in ("token_piece", "emitted", "commit_state")]
+
+
 @query(
     "sc5_scan_trace",
-    "SELECT trace, idx AS step_index, k2 AS token_id, k1 AS token_piece FROM v_trace WHERE side = 'a' AND idx % 10 <> 0",
+    f"""SELECT side AS source, trace, {', '.join(f"CAST({STEP[c]} AS BIGINT) AS {c}" for c in LONGS)}, k1 AS token_piece, {STEP['emitted']} AS emitted, CAST({STEP['commit_state']} AS INTEGER) AS commit_state,
+      CASE WHEN idx % 3 = 0 THEN k2 + 1 END AS second_token, CASE WHEN idx % 3 = 0 THEN -1.5::DOUBLE END AS second_logp, CASE WHEN idx % 3 = 0 THEN idx % 5 + 1 END AS second_duration
+    FROM v_trace WHERE idx % 10 <> 0""",
 )
 def _(spark, sf):
-    d = fx.trace(spark, sf).where("side = 'a'")
-    good = F.to_json(
-        F.struct(
-            F.lit("a").alias("source"),
-            F.when(F.col("idx") % 10 == 0, "chunk").otherwise("step").alias("kind"),
-            "trace",
-            F.col("idx").alias("step_index"),
-            F.col("k2").alias("token_id"),
-            F.col("k1").alias("token_piece"),
-        )
-    )
+    fields = [F.expr(f"CAST({STEP[c]} AS BIGINT)" if c in LONGS else STEP[c]).alias(c) for c in STEP]
+    entry = lambda **x: F.struct(*[c.alias(k) for k, c in x.items()])
+    tokens = F.array(*[entry(token_id=F.col("k2") + i, token_piece=F.col("k1"), logp=F.lit(-0.5 - i)) for i in range(2)])
+    durations = F.array(*[entry(duration_idx=F.col("idx") % 5 + i, duration_value=F.col("idx") % 5 + i, logp=F.lit(-0.5 - i)) for i in range(2)])
+    # the candidates are written where they were asked for, a third of the steps here
+    asked = F.col("idx") % 3 == 0
+    kind = F.when(F.col("idx") % 10 == 0, "chunk").otherwise("step").alias("kind")
+    d = fx.trace(spark, sf).select("idx", F.struct(F.col("side").alias("source"), kind, "trace", *fields, F.when(asked, tokens).alias("token_topk"), F.when(asked, durations).alias("duration_topk")).alias("s"))
     # Broken, blank and non-object lines ride along.
-    junk = F.array(good, F.when(F.col("idx") == 1, F.lit("{oops")).otherwise("   "), F.lit("[1, 2]"))
+    junk = F.array(F.to_json("s"), F.when(F.col("idx") == 1, F.lit("{oops")).otherwise("   "), F.lit("[1, 2]"))
     path = scratch(spark, "trace")
     io.write_lines(d.select(F.explode(junk).alias("value")), path)
-    return io.scan_trace(spark, path).select("trace", "step_index", "token_id", "token_piece")
+    second = lambda c, f: F.get(c, F.lit(1))[f]
+    return io.scan_trace(spark, path).select(
+        "source", "trace", *STEP, second("token_topk", "token_id").alias("second_token"), second("token_topk", "logp").alias("second_logp"), second("duration_topk", "duration_idx").alias("second_duration")
+    )
 
 
 def manifest_files(spark, sf):

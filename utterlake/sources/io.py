@@ -12,7 +12,13 @@ from utterlake.operators.ordered import Running, running
 
 UTTERANCE_SCHEMA = "ordinal bigint, id string, text string, audio_sec double, infer_sec double"
 SAMPLE_SCHEMA = "ordinal bigint, id string, text string, sampling_rate int, array array<double>"
-TRACE_SCHEMA = "source string, kind string, trace bigint, step_index bigint, token_id bigint, token_piece string"
+# The keys of a decoder step; trace is ours and tells traces in one folder apart.
+TRACE_SCHEMA = (
+    "source string, kind string, trace bigint, chunk_index bigint, step_index bigint, encoder_steps bigint, t bigint, token_id bigint, "
+    "duration_idx bigint, duration_value bigint, skip bigint, prev_token bigint, token_piece string, emitted boolean, commit_state int, "
+    "token_topk array<struct<token_id: bigint, token_piece: string, logp: double>>, "
+    "duration_topk array<struct<duration_idx: bigint, duration_value: bigint, logp: double>>"
+)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:

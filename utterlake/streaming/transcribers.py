@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import json
+import os
+import signal
+import subprocess
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -53,17 +57,47 @@ def transcribe_stream(df: DataFrame, make: Callable[[], object], key: str, colum
 
 
 def transcribe_command(
-    df: DataFrame, key: str, column: str, run: Callable[[str, float], str], timeout_sec: float, json_key: str | None = None
+    df: DataFrame, key: str, column: str, argv: list[str], timeout_sec: float, json_key: str | None = None, workers: int = 4
 ) -> DataFrame:
-    """A caller's command as a function of (input, timeout); its output is text, or JSON with the text
-    under ``json_key``. Nothing in the data is ever run."""
+    """(key, text, status, code, error, infer_sec) of each row: the output of a command of the caller's, or of its field ``json_key``.
+
+    ``{item}`` and ``{id}`` in the arguments stand for the row's input and key. No shell takes the command apart, so nothing in the data is
+    run. Each task keeps ``workers`` commands going. status is ``ok``, ``failed`` (exit code other than 0, or no such program),
+    ``timeout`` (killed with all that it has started) or ``bad output`` (not the JSON asked for); then text is null and error has the
+    first 400 characters of what the command said. A null input is an empty argument.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def one(item: str | None, name: object) -> tuple:
+        args = [a.replace("{item}", item or "").replace("{id}", str(name)) if a in ("{item}", "{id}") else a for a in argv]
+        begin = time.perf_counter()
+        spent = lambda: time.perf_counter() - begin
+        try:
+            p = subprocess.Popen(args, stdin=subprocess.DEVNULL, stdout=subprocess.PIPE, stderr=subprocess.PIPE, text=True, start_new_session=True)
+        except OSError as e:
+            return None, "failed", None, str(e)[:400], spent()
+        try:
+            out, said = p.communicate(timeout=timeout_sec)
+        except subprocess.TimeoutExpired:
+            os.killpg(p.pid, signal.SIGKILL)
+            p.communicate()
+            return None, "timeout", None, f"over {timeout_sec} s", spent()
+        if p.returncode:
+            return None, "failed", p.returncode, (said.strip() or out.strip())[:400], spent()
+        text = out.strip()
+        if json_key is not None:
+            try:
+                text = str(json.loads(text).get(json_key, "")).strip()
+            except (ValueError, AttributeError):
+                return None, "bad output", 0, text[:400], spent()
+        return text, "ok", 0, None, spent()
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for item in pdf[column]:
-                raw = run(item, timeout_sec)
-                out.append(str(json.loads(raw).get(json_key, "")) if json_key else raw.strip())
-            yield pd.DataFrame({key: pdf[key].to_numpy(), "text": out})
+        with ThreadPoolExecutor(workers) as pool:
+            for pdf in batches:
+                rows = list(pool.map(one, pdf[column], pdf[key]))
+                out = pd.DataFrame(rows, columns=["text", "status", "code", "error", "infer_sec"])
+                out["code"] = out["code"].astype("Int32")
+                yield out.assign(**{key: pdf[key].to_numpy()})[[key, *out.columns]]
 
-    return df.mapInPandas(work, f"`{key}` {df.schema[key].dataType.simpleString()}, text string")
+    return df.mapInPandas(work, f"`{key}` {kind}, text string, status string, code int, error string, infer_sec double")
