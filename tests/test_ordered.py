@@ -202,3 +202,31 @@ def test_containment_short_and_common_passages(spark):
 def test_latest_rows(spark):
     d = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("b", 2, "z")], "id string, n long, t string")
     assert {(x.id, x.t) for x in J.latest_rows(d, ["id"], F.col("n")).collect()} == {("a", "y"), ("b", "z")}
+
+
+@pytest.mark.parametrize("width", [1, 3, 1 << 16])
+def test_changes(spark, width):
+    """Counts of changes, over sparse orders and one key with nine tenths of the rows."""
+    r = random.Random(12)
+    data = []
+    for k, n in (("hot", 180), ("b", 15), ("c", 5)):
+        at = 0
+        for _ in range(n):
+            at += r.choice([1, 1, 2, 1000])
+            data.append((k, at, r.choice(["x", "y", None]), r.random() < 0.5))
+    d = spark.createDataFrame(data, "k string, o long, v string, f boolean")
+    specs = {
+        "changed": O.Running("changes", F.col("v"), default=F.lit("x")),
+        "on": O.Running("changes", F.col("f"), default=F.lit(False), where=F.col("f")),
+        "was": O.Running("prev", F.col("v")),
+        "total": O.Running("run", F.lit(1).cast("long"), reset=F.col("f")),
+    }
+    got = {(x.k, x.o): x for x in O.running(d, ["k"], "o", specs, width).collect()}
+    assert len(got) == len(data)
+    for key in ("hot", "b", "c"):
+        before, changed, on, lit, was, run = "x", 0, 0, False, None, 0
+        for _, o, v, f in sorted((x for x in data if x[0] == key), key=lambda x: x[1]):
+            changed, on, run = changed + (v != before), on + (f and not lit), 0 if f else run + 1
+            x = got[key, o]
+            assert (x.changed, x.on, x.was, x.total) == (changed, on, was, run)
+            before, lit, was = v, f, v

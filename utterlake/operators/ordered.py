@@ -18,13 +18,15 @@ BLOCK = "_block"
 
 @dataclass(frozen=True)
 class Running:
-    """A running value: kind is sum, max, min, last (skips nulls), prev (row before, nulls kept) or
-    run (sum since the last row where ``reset`` holds; that row counts 0)."""
+    """A running value: kind is sum, max, min, last (skips nulls), prev (row before, nulls kept),
+    run (sum since the last row where ``reset`` holds; that row counts 0) or changes (how many rows so far had another
+    value than the row before; ``default`` stands before the first row, and only rows where ``where`` holds count)."""
 
     kind: str
     value: Column
     reset: Column | None = None
     default: Column | None = None
+    where: Column | None = None
 
 
 def with_block(df: DataFrame, order: str, width: int = WIDTH) -> DataFrame:
@@ -45,6 +47,8 @@ def running(
             d = d.withColumn(
                 f"_v_{name}", F.when(F.col(f"_r_{name}"), F.lit(0)).otherwise(F.col(f"_v_{name}"))
             )
+        elif s.kind == "changes":
+            d = d.withColumn(f"_w_{name}", F.coalesce(s.where, F.lit(False)) if s.where is not None else F.lit(True))
     seq = Window.partitionBy(*part).orderBy(order)
     upto = seq.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
@@ -65,10 +69,23 @@ def running(
         elif s.kind == "run":
             inside.append(F.sum(v).over(upto).alias(f"_i_{name}"))
             totals.append(F.sum(v).alias(f"_t_{name}"))
+        elif s.kind == "changes":
+            # within a block; whether its first row is a change depends on the block before
+            before_row = F.lag(F.struct(v.alias("v"))).over(seq)
+            changed = before_row.isNotNull() & ~v.eqNullSafe(before_row["v"]) & F.col(f"_w_{name}")
+            inside.append(changed.cast("bigint").alias(f"_e_{name}"))
         else:
             raise ValueError(s.kind)
     runs = [n for n, s in specs.items() if s.kind == "run"]
+    changes = [n for n, s in specs.items() if s.kind == "changes"]
     rows = d.select("*", *inside)
+    if changes:
+        rows = rows.select("*", *[F.sum(f"_e_{n}").over(upto).alias(f"_i_{n}") for n in changes])
+        edges = []
+        for n in changes:
+            edge = F.struct(F.col(f"_v_{n}").alias("v"), F.col(f"_w_{n}").alias("w"))
+            edges.append(F.struct(F.sum(f"_e_{n}").alias("n"), F.min_by(edge, order).alias("first"), F.max_by(F.struct(F.col(f"_v_{n}").alias("v")), order).alias("last")).alias(f"_t_{n}"))
+    plain = [t for (_, s), t in zip(((n, s) for n, s in specs.items() if s.kind != "changes"), totals, strict=True) if s.kind != "run"]
     if runs:
         # Sum at the latest reset; the run is what came after it.
         rows = rows.select(
@@ -81,11 +98,13 @@ def running(
         ends = rows.groupBy(*part).agg(
             *[F.max_by(F.struct(f"_i_{n}", f"_b_{n}"), F.col(order)).alias(f"_t_{n}") for n in runs]
         )
-        plain = [t for (n, s), t in zip(specs.items(), totals, strict=True) if s.kind != "run"]
         if plain:
             ends = ends.join(d.groupBy(*part).agg(*plain), part)
-    else:
-        ends = d.groupBy(*part).agg(*totals)
+    elif plain:
+        ends = d.groupBy(*part).agg(*plain)
+    if changes:
+        own = rows.groupBy(*part).agg(*edges)
+        ends = ends.join(own, part) if runs or plain else own
 
     blocks = Window.partitionBy(*keys).orderBy(BLOCK)
     before = blocks.rowsBetween(Window.unboundedPreceding, -1)
@@ -98,6 +117,12 @@ def running(
             carry.append(F.last(t, ignorenulls=True).over(before).alias(f"_c_{name}"))
         elif s.kind == "prev":
             carry.append(F.lag(t).over(blocks).alias(f"_c_{name}"))
+        elif s.kind == "changes":
+            ends = ends.withColumn(f"_p_{name}", F.coalesce(F.lag(t["last"]).over(blocks), F.struct(s.default.alias("v"))))
+            edge = (~t["first"]["v"].eqNullSafe(F.col(f"_p_{name}")["v"]) & t["first"]["w"]).cast("bigint")
+            ends = ends.withColumn(f"_f_{name}", edge)
+            sofar = F.coalesce(F.sum(t["n"] + F.col(f"_f_{name}")).over(before), F.lit(0))
+            carry.append((sofar + F.col(f"_f_{name}")).alias(f"_c_{name}"))
         else:
             # Running total over blocks, and its value at the latest reset.
             ends = ends.withColumn(
@@ -126,6 +151,8 @@ def running(
             value = F.least(i, c)
         elif s.kind == "last":
             value = F.coalesce(i, c)
+        elif s.kind == "changes":
+            value = i + c
         elif s.kind == "prev":
             found = F.coalesce(i, c)
             value = found["v"]

@@ -62,9 +62,9 @@ def flush_rows(df: DataFrame, keys: list[str], order: str, words: str, flush: Co
 
 def revisions(df: DataFrame, keys: list[str], order: str, merged: Column) -> DataFrame:
     """Running count of changes of the merged text; moving a word into the confirmed part is none."""
-    d = running(df.withColumn("_m", merged), keys, order, {"_p": Running("prev", F.col("_m"), default=F.lit(""))})
-    changed = (~F.col("_m").eqNullSafe(F.col("_p"))).cast("bigint")
-    return running(d, keys, order, {"revision": Running("sum", changed)}).drop("_m", "_p")
+    mark = F.struct(F.xxhash64(merged).alias("hash"), F.length(merged).alias("n"))
+    none = F.struct(F.xxhash64(F.lit("")).alias("hash"), F.lit(0).alias("n"))
+    return running(df, keys, order, {"revision": Running("changes", mark, default=none)})
 
 
 def token_churn(df: DataFrame, keys: list[str], order: str, confirmed: str, hypothesis: str) -> DataFrame:

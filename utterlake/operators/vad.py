@@ -36,6 +36,8 @@ def speech_flags(df: DataFrame, keys: list[str], order: str, dbfs: Column, frame
 
 def speech_segments(df: DataFrame, keys: list[str], order: str, speech: str = "speech") -> DataFrame:
     """Onset and flush flags and the number of the speech segment a row belongs to or follows."""
-    d = running(df, keys, order, {"_was": Running("prev", F.col(speech), default=F.lit(False))})
-    d = d.withColumn("onset", F.col(speech) & ~F.col("_was")).withColumn("flush", ~F.col(speech) & F.col("_was"))
-    return running(d, keys, order, {"segment": Running("sum", F.col("onset").cast("bigint"))}).drop("_was")
+    now = F.col(speech)
+    none = F.lit(False)
+    # the number of onsets is how often the flag has changed to true: one scan for both
+    d = running(df, keys, order, {"_was": Running("prev", now, default=none), "segment": Running("changes", now, default=none, where=now)})
+    return d.withColumn("onset", now & ~F.col("_was")).withColumn("flush", ~now & F.col("_was")).drop("_was")
