@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -245,3 +246,33 @@ def test_lm_gradients():
             x[at] = keep
             # the first moment holds a tenth of the gradient
             assert (up - down) / 2e-2 == pytest.approx(adam["m" + k].ravel()[at] * 10, rel=0.05, abs=2e-4)
+
+
+def test_visible_text_and_declared_language():
+    assert language.visible("a<b>c</b> <script>x<y></script>d<!-- e > -->f<style>g</STYLE >h") == "a c   d f h"
+    assert language.visible("a < b <i>c") == "a  c" and language.visible("x <script>y") == "x  y" and language.visible("<!-- open <p>z") == " z"
+    assert language.visible("no tags") == "no tags" and language.visible("") == "" and language.visible("a <b") == "a <b"
+    assert language.declared_language('<html class="x" lang="de-AT">') == "de"
+    assert language.declared_language('<html><meta http-equiv="Content-Language" content="fr">') == "fr"
+    assert language.declared_language("<p lang=en>") is None
+
+
+def test_pages_of_unclosed_tags_take_linear_time():
+    import time
+
+    for part in ("<script ", "<", "<!-- ", "<html ", "<meta content-language ", "<style></scrip"):
+        t = time.time()
+        page = part * (400_000 // len(part))
+        language.visible(page), language.declared_language(page)
+        assert time.time() - t < 5, part
+
+
+def test_many_language_labels(spark):
+    """Labels beyond the limit are one language; no page is left out."""
+    rng = random.Random(1)
+    text = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(60))
+    docs = [(k, text("abcde"), "aa") for k in range(20)] + [(100 + k, text("vwxyz"), "zz") for k in range(20)] + [(200 + k, text("klmno"), f"l{k}") for k in range(30)]
+    pages = [(1, "http://x.de/", f"<p>{text('abcde')}</p>"), (2, "http://y.de/", text("vwxyz")), (3, None, text("klmno")), (4, "http://x.de/a", None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    got = {r.page_id: r.text_lang for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), frame, languages=2).collect()}
+    assert got.keys() == {1, 2, 3, 4} and (got[1], got[2], got[3]) == ("aa", "zz", "other")

@@ -15,6 +15,7 @@ that comes first by name.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -27,14 +28,60 @@ from utterlake.llm import kernel as K
 from utterlake.session import cut_lineage
 
 CELLS = 1 << 13
-#: The model is sent to every task; its size is this many languages times CELLS at most.
-MOST_LANGUAGES = 512
-_HIDDEN = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re.I)
-_META = re.compile(r"<meta\b[^>]*?content-language[^>]*?content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re.I)
+#: What documents with a label outside the `languages` most frequent ones are taken to be in.
+OTHER = "other"
+_CLOSER = re.compile(r"</(script|style)\s*>", re.I)
+_OPENER = re.compile(r"<(script|style)\b", re.I)
+_HTML = re.compile(r"<html\b[^>]*", re.I)
+_META = re.compile(r"<meta\b[^>]*", re.I)
+_LANG = re.compile(r"\blang\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re.I)
+_CONTENT = re.compile(r"content\s*=\s*[\"']?\s*([a-zA-Z]{2,3})", re.I)
 _URL = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)(?::\d+)?(?:/([a-zA-Z]{2})(?=[/?#]|$))?", re.I)
 
 
+def visible(html: str) -> str:
+    """The text outside tags, comments, scripts and styles, in one walk; what is never closed is text."""
+    closers: dict[str, list[tuple[int, int]]] = {"script": [], "style": []}
+    for m in _CLOSER.finditer(html):
+        closers[m[1].lower()].append(m.span())
+    starts = {k: [a for a, _ in v] for k, v in closers.items()}
+    out, at = [], 0
+    comments = True  # whether a comment may still end
+    while (begin := html.find("<", at)) >= 0:
+        out.append(html[at:begin])
+        end = -1
+        if m := _OPENER.match(html, begin):
+            kind = m[1].lower()
+            k = bisect.bisect_left(starts[kind], m.end())
+            if k < len(closers[kind]):
+                end = closers[kind][k][1]
+        elif comments and html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4) + 3
+            if end == 2:
+                end, comments = -1, False
+        if end < 0:
+            end = html.find(">", begin) + 1
+        if not end:
+            at = begin
+            break
+        out.append(" ")
+        at = end
+    out.append(html[at:])
+    return "".join(out)
+
+
+def declared_language(html: str) -> str | None:
+    """The language that the page's html tag, or else its content-language, names."""
+    for tag in _HTML.finditer(html):
+        if m := _LANG.search(tag[0]):
+            return m[1].lower()
+    for tag in _META.finditer(html):
+        at = tag[0].lower().find("content-language")
+        if at >= 0 and (m := _CONTENT.search(tag[0], at + 16)):
+            return m[1].lower()
+    return None
+
+
 def cells(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, cell) of each trigram that lies in one text; ASCII letters count as lower case."""
     n = len(data) - 2
@@ -64,12 +111,18 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(c[some])], names=["lang", "cell", "n"])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
-    """Languages in order of their names, and the log probabilities of the cells in each."""
+def train(docs: DataFrame, languages: int, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
+    """Languages in order of their names, and the log probabilities of the cells in each.
+
+    The model is sent to every task, so there are at most `languages` of them and one more for all rarer labels.
+    """
     known = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("_text"))
-    names = [r[0] for r in known.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES + 1).collect()]
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    often = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages + 1).collect()]
+    if len(often) > languages:
+        often = often[:languages]
+        known = known.withColumn("lang", F.when(F.col("lang").isin(often), F.col("lang")).otherwise(OTHER))
+        often = sorted({*often, OTHER})
+    names = sorted(often)
     rows = known.mapInArrow(_count_rows, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros((len(names), CELLS))
     place = {n: k for k, n in enumerate(names)}
@@ -96,11 +149,11 @@ def _evidence_rows(table: np.ndarray, temper: float, chunk: int = 256):
                 part = batch.slice(at, chunk)
                 htmls = [h or "" for h in part.column("_html").to_pylist()]
                 log = np.zeros((len(htmls), len(table)))
-                for i, j, data, offs in K.text_chunks(pa.array([_HIDDEN.sub(" ", h) for h in htmls], pa.large_string())):
+                for i, j, data, offs in K.text_chunks(pa.array([visible(h) for h in htmls], pa.large_string())):
                     doc, cell = cells(data, offs)
                     for k, row in enumerate(table):
                         log[i:j, k] = np.bincount(doc, row[cell], j - i)
-                declared = [m[1].lower() if (m := _DECLARED.search(h) or _META.search(h)) else None for h in htmls]
+                declared = [declared_language(h) for h in htmls]
                 found = [_URL.match(u or "") for u in part.column("_url").to_pylist()]
                 host = [m[1].lower().rstrip(".") if m else None for m in found]
                 labels = [h.split(".") if h else [] for h in host]
@@ -173,9 +226,12 @@ def _fuse_rows(names: list[str], weight: float, total: np.ndarray, pages: int):
     return rows
 
 
-def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", temper: float = 0.05, weight: float = 5.0) -> DataFrame:
-    """page_id, lang, confidence, text_lang (by the text alone), declared, host of each page."""
-    names, table = train(docs)
+def identify(pages: DataFrame, docs: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", temper: float = 0.05, weight: float = 5.0, languages: int = 512) -> DataFrame:
+    """page_id, lang, confidence, text_lang (by the text alone), declared, host of each page.
+
+    The `languages` most frequent labels of docs are told apart; documents with any other label are one language, `other`.
+    """
+    names, table = train(docs, languages)
     kind = pages.schema[page_id].dataType.simpleString()
     k = len(names)
     if not k:
