@@ -176,3 +176,19 @@ def test_trace_fields(spark, tmp_path):
     for r in rows:
         assert all(r[k] == v for k, v in step.items())
     assert rows[0].duration_topk is None and rows[1].token_topk[0].logp == -0.5 and rows[1].duration_topk[0].duration_value == 2
+
+
+def test_packed_texts(spark, tmp_path):
+    """Few files for many texts; a single text is read from its folder alone."""
+    import glob
+
+    path = str(tmp_path / "packed")
+    rows = [(f"run {k}", f'line one\nline "{k}"') for k in range(500)] + [("empty", ""), (None, "no key"), ("none", None)]
+    io.write_packed(spark.createDataFrame(rows, "k string, t string"), path, "k", "t", shards=8)
+    assert len(glob.glob(f"{path}/**/*.json", recursive=True)) <= 8
+    assert sorted(map(tuple, io.read_packed(spark, path).collect()), key=str) == sorted(rows, key=str)
+    one = io.read_packed(spark, path, "run 77")
+    assert [tuple(r) for r in one.collect()] == [rows[77]] and len(one.inputFiles()) <= 8
+    plan = one._jdf.queryExecution().simpleString()
+    assert "PartitionFilters: [" in plan and "pmod" in plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
+    assert dict(map(tuple, io.scan_run_summaries(spark, path, packed=True).collect()))["run 3"] == rows[3][1]

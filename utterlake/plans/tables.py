@@ -150,12 +150,12 @@ def _(spark, sf):
     f"SELECT dataset, run_name, status, round(wer, 6) AS wer FROM {REPORT_SQL} WHERE status IN ('ok', 'invalid_summary', 'missing_summary')",
 )
 def _(spark, sf):
-    # Run names are many here, so summaries are kept as lines of (run_name, summary), not as one file each.
+    # Run names are many here, so summaries are packed, not kept as one file each.
     d = fx.man(spark, sf)
     path = scratch(spark, "summaries")
     rows = d.select("run_name", fx.summary_json().alias("summary")).where(F.col("summary").isNotNull())
-    io.write_jsonl(rows, path)
-    summaries = spark.read.schema("run_name string, summary string").json(path)
+    io.write_packed(rows, path, "run_name", "summary")
+    summaries = io.scan_run_summaries(spark, path, packed=True)
     report = W.manifest_report(io.scan_run_manifest(spark, manifest_files(spark, sf)), summaries)
     used = report.where(F.col("status").isin("ok", W.INVALID, W.MISSING))
     return used.select("dataset", "run_name", "status", F.round("wer", 6).alias("wer"))

@@ -131,12 +131,30 @@ def scan_run_manifest(spark: SparkSession, path: str) -> DataFrame:
     return d.select(*[parts[i].alias(c) for i, c in enumerate(MANIFEST_COLUMNS)])
 
 
-def scan_run_summaries(spark: SparkSession, root: str) -> DataFrame:
-    """Summary text per run from <root>/run_name=<name>/...; parsing is left to manifest_report."""
+def scan_run_summaries(spark: SparkSession, root: str, packed: bool = False) -> DataFrame:
+    """Summary text per run, from <root>/run_name=<name>/... or from packed texts; parsing is left to manifest_report."""
+    if packed:
+        return read_packed(spark, root).select(F.col("key").alias("run_name"), F.col("text").alias("summary"))
     d = spark.read.text(root, wholetext=True)
     return d.select("run_name", F.col("value").alias("summary"))
 
 
+def write_packed(df: DataFrame, path: str, key: str, text: str, shards: int = 64) -> None:
+    """Many texts in few files: JSON lines of key and text, in folders by a hash of the key. Each task writes to the folders of its own keys
+    only. A null key or text stays null."""
+    name = F.col(key).cast("string")
+    d = df.select(name.alias("key"), F.col(text).alias("text"), F.lit(shards).alias("of"), F.pmod(F.xxhash64(name), F.lit(shards)).cast("int").alias("shard"))
+    d.repartition("of", "shard").write.mode("overwrite").partitionBy("of", "shard").json(path)
+
+
+def read_packed(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
+    """key and text of packed texts; with ``key`` only that one's folder is read."""
+    d = spark.read.schema("key string, text string, of int, shard int").json(path)
+    if key is not None:
+        d = d.where((F.col("shard") == F.pmod(F.xxhash64(F.lit(key)), F.col("of"))) & (F.col("key") == key))
+    return d.select("key", "text")
+
+
 def scan_text(spark: SparkSession, path: str) -> DataFrame:
     """Whole transcript files, stripped, with the file key taken from the folder name."""
     return spark.read.text(path, wholetext=True).select("file", X.strip_all(F.col("value")).alias("text"))
