@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,60 +15,76 @@ from utterlake.llm.queries import PIECES
 from utterlake.llm.suffix_dedup import dedup_bytes
 from utterlake.session import cut_lineage, release, used_scratch
 
-_BEFORE: dict[str, list[str]] = {"own": []}
-
 
 def stage(fn):
-    """A stage whose scratch folders go when the next stage begins: its rows have been written by then. Where they haven't, and
-    the next stage's input still reads these folders, they stay."""
+    """A stage over any table with doc_id, source and text. Its other columns travel in one struct, so that no name of theirs can meet
+    one of the operator's. If the operator has left scratch files, its rows are written and the files go at once; no
+    frame that a caller holds depends on what a later stage does."""
 
+    @functools.wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        done = _BEFORE["own"]
-        if done and not any(path.split(":", 1)[-1] in name for name in docs.inputFiles() for path in done):
-            release(spark, done)
         start = len(used_scratch())
-        out = fn(spark, docs, sf_dir)
-        _BEFORE["own"] = used_scratch()[start:]
+        columns = docs.columns
+        held = F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns) if c != "text"])
+        out = fn(spark, docs.select(held.alias("_held"), "doc_id", "source", "text"), sf_dir)
+        text = F.col("text")
+        n_chars = F.length(text).cast("long")
+        place = {c: F.col(f"_held.c{k}") for k, c in enumerate(columns)} | {"text": text}
+        if fn.__name__ in CHANGING and "n_chars" in columns:
+            place["n_chars"] = n_chars
+        out = out.select(*[place[c].alias(c) for c in columns])
+        own = used_scratch()[start:]
+        if own:
+            out = cut_lineage(out, fn.__name__)
+            release(spark, own)
         return out
 
     return run_stage
 
 
+#: Stages that change texts, and so their lengths.
+CHANGING = ("substring_dedup", "mixing")
+
 
 @stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the trees reject go."""
+    """Documents that the base rules or the trees reject go, and so do those without a text (null, empty or of under 50 words).
+
+    Repeated rows are judged alike; an empty table stays empty; texts of any length are judged whole.
+    """
     return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 @stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the smallest id stays."""
-    return keep_first(docs)
+    """Of each class of near-duplicates the document with the smallest id stays (null ids last, of repeated rows one).
 
-
-def _with_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
-    """The columns with another text and its length."""
-    return df.select(*[F.col(text).alias("text") if c == "text" else F.length(text).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
+    Null texts are empty texts, which are copies of each other; texts of under five words are near-duplicates of equal ones only.
+    """
+    return keep_first(docs)
 
 
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes in repeated strings of 200 bytes go; documents stay, also those of which nothing is left."""
-    return _with_text(dedup_bytes(docs), docs.columns, "kept_text")
+    """Bytes in repeated strings of 200 bytes go; documents stay, also those of which nothing is left.
+
+    Null texts become empty ones; a character of which only some bytes would go stays whole; repeated rows lose all they share.
+    """
+    return dedup_bytes(docs).drop("text").withColumnRenamed("kept_text", "text")
 
 
 @stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: one row for each time a document's source is gone through."""
-    mixed = mixed_texts(docs)
-    return _with_text(mixed.withColumnRenamed("text", "_mixed"), docs.columns, "_mixed")
+    """The words that the mix takes: one row for each time a document's source is gone through.
+
+    Documents without words have no rows; repeated rows are documents of their own.
+    """
+    return mixed_texts(docs)
 
 
-@stage
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of the mixed texts, and whether they decode to the text."""
-    done = encode(docs, PIECES, verified="lossless")
+    """Sampled piece ids of the mixed texts, and whether they decode to the text. Null texts have no pieces."""
+    done = encode(docs.select("doc_id", "lang", "source", "n_chars", "text"), PIECES, verified="lossless")
     return done.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("long").alias("n_pieces"), "ids", "lossless")
 
 
@@ -85,5 +103,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES[:-1]:
-        docs = cut_lineage(step(spark, docs, sf_dir), name)
+        docs = step(spark, docs, sf_dir)
+        if name == "quality_rules":  # the others have written their rows
+            docs = cut_lineage(docs, name)
     return STAGES[-1][1](spark, docs, sf_dir)
