@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import brute
@@ -119,6 +120,20 @@ def test_pipeline(spark, sf, docs):
     assert last.where("not lossless").count() == 0 and last.count() == mixed.count()
 
 
+def test_stages_keep_odd_rows_and_columns(spark, sf, odd):
+    """Nulls, repeated rows and columns whose names the operators use themselves; a frame outlives the stages called after it."""
+    frame = odd.withColumnsRenamed({"slot": "turn", "kept": "_k2"}).withColumn("text", F.coalesce("text", F.lit("")))
+    frames = [(name, stage(spark, frame, sf)) for name, stage in corpus_pipeline.STAGES[:-1]]
+    want = {r.doc_id: r for r in frame.collect()}
+    for name, done in frames:
+        rows = done.collect()
+        assert done.columns == frame.columns, name
+        for r in rows:
+            assert (r._k1, r.lang, r.source) == (want[r.doc_id]._k1, want[r.doc_id].lang, want[r.doc_id].source) and r.turn in ("clash", None)
+    assert frames[2][1].count() == frame.count()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("texts_")]
+
+
 def test_pipeline_run(spark, sf):
     a = corpus_pipeline.run(spark, sf)
     assert a.count() > 0 and a.where("not lossless").count() == 0

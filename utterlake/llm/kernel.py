@@ -17,23 +17,37 @@ _rng = np.random.default_rng(0x5EED)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 BYTE_CODE_2 = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS: dict[str, np.ndarray] = {}
 
 #: The white space of the contracts, U+0020 and U+0009 to U+000D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base and of its inverse modulo 2**64."""
-    have = _POWERS.get("up")
-    if have is None or len(have) < n:
-        size = max(n, CHUNK + 4096)
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2**64, kept by a process. Functions travel to the executors with the
+    globals they use; these tables stay behind and are made anew."""
+
+    def __init__(self):
+        self.up = self.down = np.zeros(0, np.uint64)
+
+    def __reduce__(self):
+        return _Powers, ()
+
+    def grow(self, n: int) -> None:
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            a = np.full(size, base, np.uint64)
+            a = np.full(max(n, CHUNK + 4096), base, np.uint64)
             a[0] = 1
-            _POWERS[name] = np.multiply.accumulate(a)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+            setattr(self, name, np.multiply.accumulate(a))
+
+
+_POWERS = _Powers()
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse modulo 2**64."""
+    if len(_POWERS.up) < n:
+        _POWERS.grow(n)
+    return _POWERS.up[:n], _POWERS.down[:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -1,7 +1,8 @@
 """Language-model scores of whole texts: exact token counts and a recurrent model, both learnt from the training rows.
 
 1. Rows are dealt into shards of about shard_bytes by a hash of id and text, as a table bucketed by shard.
-2. Each shard sends its sorted distinct words with their training counts, cut by ranges of the word hash. A range adds up the
+2. Each shard sends its sorted distinct words with their training counts, cut by ranges of the word hash, of which there is one for each
+   range_bytes of text; a shard has no record for a range without its words. A range adds up the
    counts of all shards and answers each shard with the totals of its words. The most frequent words of all ranges make the
    vocabulary of the recurrent model, as many as the square root of the training tokens and at least `words`; the counts have no
    limit.
@@ -19,7 +20,6 @@ scores; an empty table gives an empty table.
 from __future__ import annotations
 
 import math
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from utterlake.llm import kernel as K
 from utterlake.llm.gru import ENDINGS, Model, arrange, arrange_evenly
-from utterlake.session import cut_lineage, scratch
+from utterlake.session import bucketed, cut_lineage
 
 _END = np.uint64(0xE2D0F7E37E57E2D1)
 LANES, STEPS = 320, 16
@@ -255,20 +255,19 @@ def score_texts(
     rounds: int = 2,
     rate: float = 0.02,
     shard_bytes: int = 12 << 20,
+    range_bytes: int = 64 << 20,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row; learns where held_out is false."""
     spark = df.sparkSession
     rows = df.select(F.col(id_column).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     total = rows.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    h = F.xxhash64("doc_id", "_text")
+    # equal rows are spread, too
+    h = F.xxhash64("doc_id", "_text", F.pmod(F.monotonically_increasing_id(), F.lit(1024)))
     rows = rows.withColumns({"_shard": F.pmod(h, F.lit(shards)).cast("int"), "_round": F.pmod(F.xxhash64(F.lit(5), h), F.lit(rounds)).cast("int")})
-    name = f"shards_{uuid.uuid4().hex}"
-    writer = rows.repartition(shards, "_shard").write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "shards"))
-    writer.bucketBy(shards, "_shard").saveAsTable(name)
-    table = spark.table(name)
+    table = bucketed(rows.repartition(shards, "_shard"), shards, ["_shard"], "shards")
 
-    counted = table.select("_shard", "held_out", "_text").groupBy("_shard").applyInArrow(_shard_words(shards), "_range int, _shard int, _hashes binary, _counts binary")
+    counted = table.select("_shard", "held_out", "_text").groupBy("_shard").applyInArrow(_shard_words(max(1, -(-total // range_bytes))), "_range int, _shard int, _hashes binary, _counts binary")
     totals = counted.groupBy("_range").applyInArrow(
         _range_totals(max(words, math.isqrt(total))), "_range int, _shard int, _totals binary, _words long, _tokens long, _top array<long>, _top_counts array<long>"
     )

@@ -19,7 +19,6 @@ capped and nothing reaches the driver but a row count. Intermediate frames are f
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from utterlake.llm import kernel as K
-from utterlake.session import cut_lineage, scratch
+from utterlake.session import bucketed, cut_lineage
 
 #: Symbols in a block, about.
 BLOCK = 1 << 20
@@ -112,10 +111,7 @@ def distinct_texts(df: DataFrame, text: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = with_key(df.select(F.coalesce(F.col(text), F.lit("")).alias("_text")), "_text")
     one = keyed.groupBy("_k1", "_k2").agg(F.first("_text").alias("_text"), (F.count("*") > 1).alias("_many"))
-    name = f"texts_{uuid.uuid4().hex}"
-    writer = one.write.format("parquet").option("compression", "zstd").option("path", scratch(spark, "texts"))
-    writer.bucketBy(n, "_k1", "_k2").saveAsTable(name)
-    return spark.table(name)
+    return bucketed(one, n, ["_k1", "_k2"], "texts")
 
 
 def _anchor_rows(method: Method):
