@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -16,23 +16,52 @@ from utterlake.functions import arrays as A
 #: Characters beyond the 16-bit plane, and how many of them words are hashed to.
 FIRST_CODE = 0x10000
 CODES = 0x100000
+#: How many words of a pair can be numbered by such characters.
+NUMBERS = 0x100000
 #: Lists longer than this are compared within bands first, each eight times as wide as the one before.
 BANDS_FROM = 128
+#: Pairs with more words than this leave the character distance where words would have to be numbered.
+LONG = 4096
 
 
 def edit_distance(a: Column, b: Column) -> Column:
     """Levenshtein distance over words; null if a side is null.
 
     Each word becomes the character of its hash, and the built-in character distance does the rest. Long pairs try narrow
-    bands first, so that their cost follows the distance. A pair in which two different words share a character is rare
-    for short lists; its words are numbered in Arrow batches instead, without a limit to their count.
+    bands first, so that their cost follows the distance. A pair in which two different words share a character numbers its
+    words instead, which holds for NUMBERS distinct words and costs a search per word; ``edit_distances`` has no such limit.
+    """
+
+    def body(p: Column) -> Column:
+        many = F.raise_error(F.lit(f"over {NUMBERS} distinct words in a pair; use edit_distances")).cast("int")
+        by_number = _distance(p["a"], p["b"], lambda w: F.array_position(p["v"], w) - 1)
+        numbered = F.when(F.size(p["v"]) > NUMBERS, many).otherwise(by_number)
+        return F.when(_clash(p["v"]), numbered).otherwise(_distance(p["a"], p["b"], _code))
+
+    pair = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("v"))
+    return F.when(a == b, 0).otherwise(A.let(pair, body)).cast("bigint")
+
+
+def edit_distances(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the distance of two word lists, whatever their length and number of distinct words.
+
+    Long pairs whose words clash are compared in Arrow batches, by rows of a band; all others by ``edit_distance``.
     """
     words = F.array_distinct(F.concat(a, b))
-    clash = F.size(F.array_distinct(F.transform(words, _code))) < F.size(words)
-    text = lambda w: F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.lpad(F.hex(_code(x) + FIRST_CODE), 8, "0")), "")), "UTF-32")
-    by_text = A.let(F.struct(text(a).alias("a"), text(b).alias("b")), lambda t: _banded(t["a"], t["b"]))
-    numbered = _numbered_distance(F.when(clash, a), F.when(clash, b))
-    return F.when(a == b, 0).when(clash, numbered).otherwise(by_text).cast("bigint")
+    hard = F.coalesce((F.size(a) + F.size(b) > LONG) & _clash(words), F.lit(False))
+    easy = df.where(~hard).withColumn(name, edit_distance(F.col(a), F.col(b)))
+    return easy.unionByName(df.where(hard).withColumn(name, _numbered_distance(F.col(a), F.col(b))))
+
+
+def _clash(words: Column) -> Column:
+    """Whether two of the distinct words share a hash."""
+    return F.size(F.array_distinct(F.transform(words, _code))) < F.size(words)
+
+
+def _distance(a: Column, b: Column, code: Callable[[Column], Column]) -> Column:
+    """Distance of two lists by the characters of their words."""
+    text = lambda w: F.decode(F.unhex(F.array_join(F.transform(w, lambda x: F.lpad(F.hex(code(x) + FIRST_CODE), 8, "0")), "")), "UTF-32")
+    return A.let(F.struct(text(a).alias("a"), text(b).alias("b")), lambda t: _banded(t["a"], t["b"]))
 
 
 def _code(word: Column) -> Column:
