@@ -42,14 +42,16 @@ class Feed:
         return Feed(build(self.stream), self.path, self.parts)
 
 
-def staged(spark: SparkSession, parts: list[DataFrame], label: str, key: str | None = "stream", files: int = 64) -> Feed:
+def staged(spark: SparkSession, parts: list[DataFrame], label: str, key: str | None = "stream", files: int | None = 64) -> Feed:
     """Feed tables to a stream in turn. The query stops in between and resumes from its checkpoint.
 
     A micro-batch takes at most ``files`` files. All rows of a key in a part are in one file, so that none comes before its time.
+    With ``files`` None each part is one micro-batch, in however many files it was written.
     """
     path = scratch(spark, label)
     parts[0].limit(0).write.parquet(path)
-    stream = spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(path)
+    reader = spark.readStream.schema(parts[0].schema)
+    stream = (reader if files is None else reader.option("maxFilesPerTrigger", files)).parquet(path)
     return Feed(stream, path, [p.repartition(key) if key else p for p in parts])
 
 
