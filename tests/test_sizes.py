@@ -46,3 +46,15 @@ def test_growing_texts_are_not_sorted(spark, sf, name):
     """A turn's partial texts add up to its square, so only the turns themselves may be moved, sorted or joined."""
     plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not [x for x in ("Sort ", "Window", "SortMergeJoin") if x in plan] and plan.count("Exchange") == 1
+
+
+def test_events_come_from_turns_without_a_table_of_texts(spark, sf):
+    """Places in a stream are counted by turns, so whole texts are neither written nor moved to number them."""
+    from utterlake.plans import fixtures as fx
+    from utterlake.session import used_scratch
+
+    n = len(used_scratch())
+    events = fx.live(spark, sf)
+    assert len(used_scratch()) == n
+    rows = sorted((r.stream, r.seq, r.k) for r in events.select("stream", "seq", "k").collect())
+    assert rows and all(k == (b[2] + 1 if b[0] == s else 1) for b, (s, _, k) in zip([(None, 0, 0), *rows], rows))

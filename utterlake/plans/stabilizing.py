@@ -10,6 +10,7 @@ from utterlake.params import VadConfig
 from utterlake.plans import fixtures as fx
 from utterlake.plans.fixture_sql import draft_tail_sql, lcp_sql, overlap_sql  # noqa: F401
 from utterlake.plans.registry import query
+from utterlake.session import cut_lineage
 
 SEG = ["stream", "segment"]
 VAD = VadConfig(start_dbfs=-20.0, end_dbfs=-30.0, min_speech_ms=640, min_silence_ms=640)
@@ -128,7 +129,8 @@ def texts(spark, sf):
 def _(spark, sf):
     from utterlake.operators.latency import correction_count
 
-    return correction_count(texts(spark, sf), ["stream"], "seq")
+    d = fx.stable(spark, sf)
+    return correction_count(d.select("stream", "seq", text("confirmed").alias("confirmed"), text("hypothesis").alias("hypothesis")), ["stream"], "seq")
 
 
 @query(
@@ -137,8 +139,13 @@ def _(spark, sf):
     FROM v_step JOIN (SELECT stream, max(cursor) AS total FROM v_mark GROUP BY stream) USING (stream)""",
 )
 def _(spark, sf):
-    d, total = fx.live(spark, sf), fx.mark(spark, sf).groupBy("stream").agg(F.max("cursor").alias("total"))
-    d = S.with_previous(d, ["stream"], "seq", {"confirmed": F.lit(""), "merged": F.lit("")})
+    from utterlake.operators.latency import mark_of
+
+    total = fx.mark(spark, sf).groupBy("stream").agg(F.max("cursor").alias("total"))
+    # Only changes of the texts matter, so their marks are what moves.
+    marks = {c: mark_of(F.col(c)) for c in ("confirmed", "merged")}
+    d = cut_lineage(fx.live(spark, sf).withColumns(marks).select("stream", "seq", "is_flush", "cursor", *marks), "marked")
+    d = S.with_previous(d, ["stream"], "seq", dict.fromkeys(marks, mark_of(F.lit(""))))
     changed = (F.col("confirmed") != F.col("prev_confirmed")) | (F.col("merged") != F.col("prev_merged"))
     # A flush moves the cursor also where no text changed; it never passes the audio there is.
     d = d.join(total, "stream").withColumn("cursor_sec", F.least("total", "cursor") / 16000.0)
