@@ -84,3 +84,25 @@ def test_commands(spark):
     assert out[3].code == 4 and out[3].error == "why" and out[1].infer_sec >= 1.0
     gone = transcribe_command(d, "id", "item", ["/no/such/program"], 1.0).collect()
     assert {r.status for r in gone} == {"failed"}
+
+
+def test_folds_of_lists_equal_folds_of_rows(spark):
+    """Items in lists of unlike length, empty ones too, give what single rows give; several folds run at once."""
+    data = keyed_values(9)
+    r, rows = random.Random(3), []
+    for k, v in data.items():
+        at = 0
+        while at < len(v):
+            n = r.choice([0, 1, 5, 64])
+            rows.append((k, len(rows), v[at : at + n], v[at : at + n] if r.random() < 0.8 else []))
+            at += n
+    d = spark.createDataFrame(rows, "k string, seq long, xs array<long>, ys array<long>")
+    folds = {"y": (L.ewma(0.25), F.col("xs"), lambda x: x), "c": (L.credit(24, 96), F.col("ys"), lambda x: x)}
+    got = {x.k: x for x in L.over_lists(d, ["k"], "seq", folds).collect()}
+    for k, v in data.items():
+        y = float(v[0])
+        for x in v[1:]:
+            y += 0.25 * (x - y)
+        kept = sum(sum(x[3]) for x in rows if x[0] == k)
+        assert abs(got[k].y - y) < 1e-9
+        assert (got[k].c is None) == (not any(x[3] for x in rows if x[0] == k)) and (got[k].c is None or got[k].c.steps == int(kept * 0.25 + 1e-9))
