@@ -265,3 +265,29 @@ def test_latency_over_several_epochs_equals_the_batch_result(spark):
     got = {(x.stream, x.seq): x.ms for x in done.collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
     assert done.count() == len(want) and S.latency_stats(done, ["stream"]).count() == 2
+
+
+def test_committed_words_take_few_state_items(spark):
+    """The committed words of a stream are read and written in items of many words, across micro-batches as well."""
+    schema = "stream long, seq long, action string, text string, speech boolean, dbfs double, frame_ms double"
+    rows = [(1, k, "hop", " ".join(f"w{j}" for j in range(8 * k, 8 * k + 8)), k % 2 == 0, 0.0, 320.0) for k in range(120)]
+    one = spark.createDataFrame(rows, schema)
+    feed = S.keyed(S.staged(spark, [one.where("seq < 70"), one.where("seq >= 70")], "t-items"), "stream", P.StabilizerProcessor())
+    seen = []
+    out = S.run(feed, "t-items-out", lambda w, path: w.format("parquet").outputMode("append").option("path", path), seen.append)
+    last = spark.read.schema(feed.stream.schema).parquet(out).orderBy("seq", "part").collect()[-1]
+    assert last.committed_words == 60 * 8
+    held = [o.numRowsTotal for progress in seen for p in progress for o in p.stateOperators]
+    assert 2 <= max(held) <= 1 + -(-last.committed_words // P.ITEM)
+
+
+def test_word_list_helpers_equal_plain_loops():
+    r = random.Random(8)
+    for _ in range(2000):
+        a, b = ([r.choice("abc") for _ in range(r.randint(0, 12))] for _ in range(2))
+        b = r.choice([b, a[: r.randint(0, len(a))] + b, a[r.randint(0, len(a)) :] + b])
+        same = [x == y for x, y in zip(a, b)]
+        assert P.common_prefix([a, b]) == a[: (same + [False]).index(False)]
+        for limit in (1, 3, 64):
+            fits = [k for k in range(1, min(limit, len(a), len(b)) + 1) if a[-k:] == b[:k]]
+            assert P.end_overlap(a, b, limit) == max(fits, default=0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -76,9 +77,14 @@ def _overlaps(norm: list[str]) -> dict[tuple[int, int], int]:
     """Longest overlap of two words or more per (split, skip): the words before the split come again
     after it, at most two words later. Only positions that start a repeated word pair are tried."""
     n = len(norm)
+    pairs = list(zip(norm, norm[1:]))
+    counts = Counter(pairs)
+    if len(counts) == len(pairs):
+        return {}
     starts: dict[tuple[str, str], list[int]] = {}
-    for i in range(n - 1):
-        starts.setdefault((norm[i], norm[i + 1]), []).append(i)
+    for i, pair in enumerate(pairs):
+        if counts[pair] > 1:
+            starts.setdefault(pair, []).append(i)
     longest: dict[tuple[int, int], int] = {}
     for places in starts.values():
         for x, i in enumerate(places):
@@ -124,12 +130,15 @@ def collapse_words(words: list[str], norms: dict[str, str] | None = None) -> lis
     """Self-overlap removal of one list, pass after pass until none gains. ``norms`` remembers the
     plain form of words between calls."""
     norms = {} if norms is None else norms
-    for w in words:
-        if w not in norms:
-            if len(norms) >= 1 << 16:
-                norms.clear()
-            norms[w] = _edge_norm(w)
-    state = (list(words), [norms.get(w) or _edge_norm(w) for w in words])
+    plain = list(map(norms.get, words))
+    if None in plain:
+        for w in words:
+            if w not in norms:
+                if len(norms) >= 1 << 16:
+                    norms.clear()
+                norms[w] = _edge_norm(w)
+        plain = [norms.get(w) or _edge_norm(w) for w in words]
+    state = (list(words), plain)
     while (after := _collapse_once(*state)) is not None:
         state = after
     return state[0]

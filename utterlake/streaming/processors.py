@@ -21,20 +21,33 @@ from utterlake.functions.text import WHITE
 from utterlake.operators.tokens import collapse_words
 from utterlake.params import StabilizerConfig, VadConfig
 
-split_words = re.compile(f"[^{WHITE}]+").findall
+any_words = re.compile(f"[^{WHITE}]+").findall
+#: White space that is no plain space.
+other_white = re.compile(f"(?! )[{WHITE}]").search
 SEARCH, LONGEST, SHORTEST, MAX_OVERLAP = 2048, 512, 4, 256
+#: Words in one item of a list state.
+ITEM = 128
 
 
-def names_of(ddl: str) -> list[str]:
+def names_of(ddl: str) -> tuple[str, ...]:
     """Column names of a DDL string; types may be nested."""
     flat = re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", ddl)
-    return [c.split()[0] for c in flat.split(", ")]
+    return tuple(c.split()[0] for c in flat.split(", "))
+
+
+def split_words(text: str) -> list[str]:
+    """The words of a text; nearly all texts have plain spaces only."""
+    if other_white(text):
+        return any_words(text)
+    words = text.split(" ")
+    return [w for w in words if w] if "" in words else words
 
 
 class KeyedState(StatefulProcessor):
     """Takes a key's rows in order, sets late rows apart and keeps one typed value and lists of their own.
 
-    ``takes`` are the input columns, ``fields`` those of the value, ``lists`` the list states, and ``schema`` the output.
+    ``takes`` are the input columns, ``fields`` those of the value, ``lists`` the lists of words (without spaces, so that many
+    go into one item of a list state), and ``schema`` the output.
     With ``idle_ms`` a key that gets no rows for so long is told so by a timer, and its state goes after
     ``ttl_ms`` without a change; both need the job's time mode "ProcessingTime".
     """
@@ -42,7 +55,7 @@ class KeyedState(StatefulProcessor):
     order = "seq"
     takes = ""
     fields = ""
-    lists: dict[str, str] = {}
+    lists: tuple[str, ...] = ()
     schema = ""
     idle_ms: int | None = None
     ttl_ms: int | None = None
@@ -52,7 +65,7 @@ class KeyedState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.value = handle.getValueState("value", f"last long, {self.fields}", self.ttl_ms)
-        self.held = {name: handle.getListState(name, f"item {kind}", self.ttl_ms) for name, kind in self.lists.items()}
+        self.held = {name: handle.getListState(name, "item string", self.ttl_ms) for name in self.lists}
         self.parked = handle.getMapState("parked", "block long", f"rows array<struct<{self.takes}>>", self.ttl_ms)
 
     def close(self) -> None:
@@ -69,18 +82,20 @@ class KeyedState(StatefulProcessor):
         return []
 
     def load(self) -> dict:
-        if not self.value.exists():
+        value = self.value.get()
+        if value is None:
             return {"last": None, **self.fresh()}
-        state = dict(zip(names_of(f"last long, {self.fields}"), map(plain, self.value.get()), strict=True))
+        state = dict(zip(names_of(f"last long, {self.fields}"), map(plain, value), strict=True))
         for name, held in self.held.items():
-            state[name] = [plain(x[0]) for x in held.get()] if held.exists() else []
+            state[name] = [w for x in held.get() for w in x[0].split(" ")] if held.exists() else []
         return state
 
     def store(self, state: dict, before: dict) -> None:
         self.value.update(tuple(state[c] for c in names_of(f"last long, {self.fields}")))
         for name, held in self.held.items():
             if state[name] is not before[name]:
-                held.clear() if not state[name] else held.put([(x,) for x in state[name]])
+                words = state[name]
+                held.put([(" ".join(words[a : a + ITEM]),) for a in range(0, len(words), ITEM)]) if words else held.clear()
 
     def blocks(self, frames: Iterator[pd.DataFrame]) -> Iterator[list[dict]]:
         """The rows in order, in lists that fit in memory."""
@@ -89,9 +104,10 @@ class KeyedState(StatefulProcessor):
             return
         second = next(frames, None)
         if second is None:
-            yield first.sort_values(self.order, kind="stable").to_dict("records")
+            columns = list(first.columns)
+            yield sorted((dict(zip(columns, r)) for r in zip(*(first[c].tolist() for c in columns))), key=lambda r: r[self.order])
             return
-        names = names_of(self.takes)
+        names = list(names_of(self.takes))
         keys: set[int] = set()
         for frame in (x for part in ([first, second], frames) for x in part):
             for block, own in frame.groupby(frame[self.order] // self.block):
@@ -134,10 +150,10 @@ class KeyedState(StatefulProcessor):
         yield from self.frames(out, [])
 
     def frames(self, out: list[dict], late: list[dict]) -> Iterator[pd.DataFrame]:
+        columns = list(names_of(self.schema))
         if out:
-            yield pd.DataFrame(out).assign(late=False)
+            yield pd.DataFrame({**{c: [r[c] for r in out] for c in columns}, "late": [False] * len(out)})
         if late:
-            columns = names_of(self.schema)
             yield pd.DataFrame(late).reindex(columns=columns).astype({c: object for c in columns[2:]}).replace({float("nan"): None}).assign(late=True)
 
     @property
@@ -202,20 +218,32 @@ class CreditProcessor(KeyedState):
         return [{"stream": row["stream"], "seq": row["seq"], "steps": emit}]
 
 
+def shared(a: list[str], b: list[str]) -> int:
+    """Length of the common prefix of two lists, which are compared whole and by halves."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (mid + 1, high) if a[low : mid + 1] == b[low : mid + 1] else (low, mid)
+    return low
+
+
 def common_prefix(lists: list[list[str]]) -> list[str]:
     if not lists:
         return []
-    n = min(map(len, lists))
-    for i in range(n):
-        if any(other[i] != lists[0][i] for other in lists[1:]):
-            return lists[0][:i]
-    return lists[0][:n]
+    return lists[0][: min(shared(lists[0], other) for other in lists)]
 
 
 def end_overlap(a: list[str], b: list[str], limit: int) -> int:
-    for k in range(min(limit, len(a), len(b)), 0, -1):
-        if a[-k:] == b[:k]:
-            return k
+    """Largest k up to ``limit`` with the last k of ``a`` equal to the first k of ``b``; only places of b's first word are tried."""
+    end = a[-limit:][-len(b) :] if b else []
+    n, at = len(end), -1
+    for _ in range(end.count(b[0]) if b else 0):
+        at = end.index(b[0], at + 1)
+        if end[at:] == b[: n - at]:
+            return n - at
     return 0
 
 
@@ -223,22 +251,23 @@ def fence(words: list[str]) -> str:
     return " " + " ".join(words) + " "
 
 
-def appended(base: list[str], segment: list[str]) -> list[str]:
-    """The part of a segment that the overlap rule appends to a base."""
+def appended(base: list[str], segment: list[str], reach: str | None = None) -> list[str]:
+    """The part of a segment that the overlap rule appends to a base; ``reach`` is the fenced end of the base, if known."""
     if not base or not segment:
         return segment
-    reach = fence(base[-SEARCH:])
-    if len(segment) >= SHORTEST and fence(segment) in reach:
-        return []
-    known = end_overlap(base, segment, MAX_OVERLAP)
-    if known == 0 and len(segment) >= SHORTEST:
+    known = 0
+    if len(segment) >= SHORTEST:
+        reach = fence(base[-SEARCH:]) if reach is None else reach
         # Containment of a prefix implies that of every shorter one.
         low, high = SHORTEST - 1, min(len(segment), LONGEST)
-        while low < high:
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if fence(segment[:mid]) in reach else (low, mid - 1)
+        if fence(segment[:SHORTEST]) in reach:
+            if fence(segment) in reach:
+                return []
+            while low < high:
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if fence(segment[:mid]) in reach else (low, mid - 1)
         known = low if low >= SHORTEST else 0
-    return segment[known:]
+    return segment[end_overlap(base, segment, MAX_OVERLAP) or known :]
 
 
 def tail_after(confirmed: list[str], draft: list[str]) -> list[str]:
@@ -263,7 +292,7 @@ class StabilizerProcessor(KeyedState):
         "revision long, run long, stagnant long, finger struct<count: long, shown: array<string>, draft: array<string>>, was boolean, "
         "hot double, quiet double, speech boolean"
     )
-    lists = {"tail": "string"}
+    lists = ("tail",)
     schema = (
         "stream long, seq long, part int, is_speech boolean, is_flush boolean, confirmed string, "
         "committed string, committed_words long, hypothesis string, revision long"
@@ -275,6 +304,7 @@ class StabilizerProcessor(KeyedState):
         self.collapse = collapse
         self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
         self.norms: dict[str, str] = {}
+        self.reach: tuple[list[str], str] = ([], "")
 
     def fresh(self) -> dict:
         return {
@@ -329,12 +359,18 @@ class StabilizerProcessor(KeyedState):
         s["drafts"] = (s["drafts"] + [words])[-max(1, c.draft) :]
         confirmed = common_prefix(s["agree"]) if len(s["agree"]) == max(1, c.agreement) else []
         draft = tail_after(confirmed, common_prefix(s["drafts"]))
-        self.show(s, appended(s["tail"], confirmed), draft)
+        self.show(s, self.past_tail(s, confirmed), draft)
         self.emit(s, speech, False, confirmed, [])
 
+    def past_tail(self, s: dict, words: list[str]) -> list[str]:
+        """What is appended to the committed text, whose end is joined once for all rows until it changes."""
+        if self.reach[0] is not s["tail"]:
+            self.reach = (s["tail"], fence(s["tail"][-SEARCH:]))
+        return appended(s["tail"], words, self.reach[1])
+
     def end_segment(self, s: dict, speech: bool) -> None:
         latest = s["agree"][-1] if s["agree"] else []
-        new = self.commit(s, appended(s["tail"], latest), [])
+        new = self.commit(s, self.past_tail(s, latest), [])
         s.update(agree=[], drafts=[], carry=[], run=0, stagnant=0, finger=None)
         self.emit(s, speech, True, latest, new)
 
