@@ -58,3 +58,31 @@ def test_events_come_from_turns_without_a_table_of_texts(spark, sf):
     assert len(used_scratch()) == n
     rows = sorted((r.stream, r.seq, r.k) for r in events.select("stream", "seq", "k").collect())
     assert rows and all(k == (b[2] + 1 if b[0] == s else 1) for b, (s, _, k) in zip([(None, 0, 0), *rows], rows))
+
+
+def test_churn_moves_new_tokens_only(spark, sf):
+    """Rows are compared within segments; what is written and moved afterwards are new tokens and the ends of segments, not whole texts."""
+    from pyspark.sql import functions as F
+
+    from utterlake.plans import fixtures as fx
+    from utterlake.session import used_scratch
+
+    n = len(used_scratch())
+    entry.queries()["wn5_token_churn"](spark, sf)
+    (path,) = used_scratch()[n:]
+    turns = fx.turns(spark, sf)
+    words = turns.agg(F.sum(F.size("w"))).first()[0]
+    kept = spark.read.parquet(path)
+    sizes = [F.sum(F.size(c)) for c in ("_new", "_first.c", "_first.h", "_last.c", "_last.h")]
+    assert sum(x or 0 for x in kept.agg(*sizes).first()) < 6 * words
+
+
+def test_churn_counts_on_across_segments(spark):
+    from utterlake.operators.stabilize import token_churn
+
+    rows = [(1, 0, 1, [], ["a"]), (1, 0, 2, ["a"], ["b"]), (1, 2, 9, ["a", "c"], ["b", "d"]), (1, 3, 10, [], []), (1, 4, 11, ["x"], ["y"]), (1, 4, 12, ["x"], ["y", "z"]), (2, 5, 3, [], ["q"])]
+    d = spark.createDataFrame(rows, "stream long, segment long, seq long, c array<string>, h array<string>")
+    got = sorted((r.stream, r.token_id, r.seq, r.part, r.pos, r.word) for r in token_churn(d, ["stream"], "segment", "seq", "c", "h").collect())
+    want = [(1, "hypothesis", 0, "a"), (2, "confirmed", 0, "a"), (2, "hypothesis", 0, "b"), (9, "confirmed", 1, "c"), (9, "hypothesis", 1, "d")]
+    want += [(11, "confirmed", 0, "x"), (11, "hypothesis", 0, "y"), (12, "hypothesis", 1, "z")]
+    assert got == [(1, k + 1, *x) for k, x in enumerate(want)] + [(2, 1, 3, "hypothesis", 0, "q")]

@@ -88,7 +88,8 @@ def _(spark, sf):
     ),
 )
 def _(spark, sf):
-    return S.token_churn(fx.state(spark, sf), ["stream"], "seq", "confirmed", "hypothesis")
+    d = S.stabilize(fx.part(spark, sf), SEG, "seq", "words", F.col("action") == "flush")
+    return S.token_churn(d, ["stream"], "segment", "seq", "confirmed", "hypothesis")
 
 
 def flags(spark, sf):
