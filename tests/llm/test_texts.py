@@ -276,3 +276,29 @@ def test_many_language_labels(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     got = {r.page_id: r.text_lang for r in language.identify(spark.createDataFrame(pages, "page_id long, url string, html string"), frame, languages=2).collect()}
     assert got.keys() == {1, 2, 3, 4} and (got[1], got[2], got[3]) == ("aa", "zz", "other")
+
+
+def test_model_log_probs_equal_a_plain_softmax():
+    """Also without the gradient, where probabilities are not worked out, and where logits need the clip."""
+    import numpy as np
+
+    from utterlake.llm.gru import Model
+
+    rng = np.random.default_rng(2)
+    h = np.tanh(rng.standard_normal((500, 16))).astype(np.float32)
+    targets = rng.integers(-1, 300, 500)
+    for scale in (1, 400):
+        m = Model(300, counts=np.arange(300, 0, -1), rest=50.0)
+        m.p["wo"] *= scale
+        m.p["wc"] *= scale
+        plain = lambda x: np.clip(x, -60, 60) - np.log(np.exp(np.clip(x, -60, 60)).sum(1, keepdims=True))
+        first = plain(h.astype(float) @ m.p["wc"] + m.p["bc"])
+        want = []
+        for row, t in enumerate(targets):
+            k = 0 if t < 0 else t // m.size + 1
+            own = slice((k - 1) * m.size, k * m.size)
+            inner = 0 if t < 0 else plain(h[row : row + 1].astype(float) @ m.p["wo"][own].T + m.p["bo"][own])[0, t % m.size]
+            want.append(first[row, k] + inner)
+        for grad in (None, {k: np.zeros_like(v) for k, v in m.p.items()}):
+            got, dh = m.log_probs(h, targets, grad)
+            assert np.allclose(got, want, rtol=1e-3, atol=1e-3) and (dh is None) == (grad is None)

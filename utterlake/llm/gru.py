@@ -10,27 +10,33 @@ CLASS = 64
 ENDINGS = 512
 
 
+#: Factors of the gates' inputs: the first two go halved into _sigmoid.
+HALVED = np.array([0.5, 0.5, 1], np.float32).reshape(3, 1, 1)
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place; tanh has no overflow."""
-    x *= 0.5
+    """Of twice x, in place; tanh has no overflow."""
     np.tanh(x, out=x)
     x += 1
     x *= 0.5
     return x
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log probability at each row's place). Row sums by a product, which is faster than a reduction.
+def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, place: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(probabilities, if the whole of them is asked for, log probability at each row's place). Row sums by a product, which is faster
+    than a reduction.
 
-    Logits are log frequencies plus small corrections and are clipped far from overflow.
+    Logits are log frequencies plus small corrections and are clipped far from overflow, where a state within -1 and 1 could get there.
     """
     x = h @ w
     x += b
-    np.clip(x, -60, 60, out=x)
+    if np.max(np.abs(w).sum(0) + np.abs(b)) > 59:
+        np.clip(x, -60, 60, out=x)
     at = x[np.arange(len(x)), place]
     np.exp(x, out=x)
     total = x @ np.ones(x.shape[1], x.dtype)
-    x /= total[:, None]
+    if whole:
+        x /= total[:, None]
     return x, at - np.log(total)
 
 
@@ -90,15 +96,16 @@ class Model:
         steps, lanes = inputs.shape
         n = self.hidden
         x = self.p["embed"][inputs]
-        ax = np.matmul(x.reshape(-1, n), self.p["wx"])
-        ax += self.p["b"]
+        wh = self.p["wh"] * HALVED
+        ax = np.matmul(x.reshape(-1, n), self.p["wx"] * HALVED)
+        ax += self.p["b"] * HALVED
         ax = ax.reshape(3, steps, lanes, n)
         out = np.empty((steps, lanes, n), state.dtype)
         cache = []
         for t in range(steps):
             if fresh[t].any():
                 state = state * ~fresh[t][:, None]
-            ah = np.matmul(state, self.p["wh"])
+            ah = np.matmul(state, wh)
             z, r = _sigmoid(ax[:2, t] + ah[:2])
             c = r * ah[2]
             c += ax[2, t]
@@ -113,7 +120,7 @@ class Model:
         """(natural log probability of each target, gradient for h). targets: words, -1 for one outside the vocabulary."""
         p = self.p
         group = np.where(targets < 0, 0, targets // self.size + 1)
-        d, got = _softmax(h, p["wc"], p["bc"], group)
+        d, got = _softmax(h, p["wc"], p["bc"], group, grad is not None)
         out = got.astype(np.float64)
         dh = None
         if grad is not None:
@@ -121,23 +128,29 @@ class Model:
             grad["wc"] += h.T @ d
             grad["bc"] += d.sum(0)
             dh = d @ p["wc"].T
+        # rows in the order of their classes, so that a class is a slice
         order = np.argsort(group.astype(np.int16), kind="stable")
         bounds = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
+        order = order[bounds[1] :]
+        hs, places = h[order], targets[order] % self.size
+        more = np.empty(len(order), h.dtype)
+        dhs = None if grad is None else np.empty((len(order), h.shape[1]), h.dtype)
         for k in range(1, self.classes):
-            idx = order[bounds[k] : bounds[k + 1]]
-            if not len(idx):
+            own = slice(bounds[k] - bounds[1], bounds[k + 1] - bounds[1])
+            hi = hs[own]
+            if not len(hi):
                 continue
             sl = slice((k - 1) * self.size, k * self.size)
             w = p["wo"][sl]
-            hi = h[idx]
-            place = targets[idx] - sl.start
-            d, got = _softmax(hi, w.T, p["bo"][sl], place)
-            out[idx] += got
+            d, more[own] = _softmax(hi, w.T, p["bo"][sl], places[own], grad is not None)
             if grad is not None:
-                d[np.arange(len(idx)), place] -= 1
+                d[np.arange(len(hi)), places[own]] -= 1
                 grad["wo"][sl] += d.T @ hi
                 grad["bo"][sl] += d.sum(0)
-                dh[idx] += d @ w
+                np.matmul(d, w, out=dhs[own])
+        out[order] += more
+        if grad is not None:
+            dh[order] += dhs
         return out, dh
 
     def learn(self, inputs, fresh, targets, live, state, adam: dict, rate: float):
