@@ -302,3 +302,48 @@ def test_model_log_probs_equal_a_plain_softmax():
         for grad in (None, {k: np.zeros_like(v) for k, v in m.p.items()}):
             got, dh = m.log_probs(h, targets, grad)
             assert np.allclose(got, want, rtol=1e-3, atol=1e-3) and (dh is None) == (grad is None)
+
+
+def test_model_works_for_all_classes_at_once(monkeypatch):
+    """Exponentials are taken for blocks of rows, whatever their classes; values and gradients are those of a softmax a class."""
+    from utterlake.llm import gru
+
+    rng = np.random.default_rng(3)
+    m = Model(20000, 8, counts=np.arange(20000, 0, -1), rest=50.0)
+    for k in m.p:
+        m.p[k] = m.p[k].astype(np.float64)
+    h = np.tanh(rng.standard_normal((900, 8)))
+    # many rows in one class, some in none, classes without rows
+    targets = np.concatenate((rng.integers(0, 300, 500), rng.integers(-1, 20000, 350), np.full(50, -1)))
+    rng.shuffle(targets)
+    want = {k: np.zeros_like(v) for k, v in m.p.items()}
+    probs, back = np.zeros(900), np.zeros((900, 8))
+    for r, t in enumerate(targets.tolist()):
+        k = 0 if t < 0 else t // m.size + 1
+        own = slice((k - 1) * m.size, k * m.size)
+        levels = [(m.p["wc"].T, m.p["bc"], k, want["wc"].T, want["bc"])]
+        if k:
+            levels.append((m.p["wo"][own], m.p["bo"][own], t % m.size, want["wo"][own], want["bo"][own]))
+        for w, b, place, gw, gb in levels:
+            x = w @ h[r] + b
+            d = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+            probs[r] += math.log(d[place])
+            d[place] -= 1
+            gw += np.outer(d, h[r])
+            gb += d
+            back[r] += d @ w
+    calls = []
+    exp = np.exp
+    monkeypatch.setattr(np, "exp", lambda *args, **options: calls.append(1) or exp(*args, **options))
+    for block in (gru.BLOCK, 1 << 10):
+        monkeypatch.setattr(gru, "BLOCK", block)
+        calls.clear()
+        grad = {k: np.zeros_like(v) for k, v in m.p.items()}
+        got, dh = m.log_probs(h, targets, grad)
+        assert len(calls) < 10 or block == 1 << 10
+        np.testing.assert_allclose(got, probs, rtol=1e-6)
+        np.testing.assert_allclose(dh, back, atol=1e-9)
+        for k in ("wc", "bc", "wo", "bo"):
+            np.testing.assert_allclose(grad[k], want[k], atol=1e-9)
+    assert len(m.log_probs(h[:0], targets[:0])[0]) == 0
+    np.testing.assert_allclose(m.log_probs(h, targets)[0], probs, rtol=1e-6)

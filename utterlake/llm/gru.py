@@ -6,6 +6,8 @@ import numpy as np
 
 #: Words in a class of the output layer, at least.
 CLASS = 64
+#: Logits that are worked out at once, so that they stay in a core's cache.
+BLOCK = 1 << 17
 #: Inputs for words outside the vocabulary, by a hash of their endings.
 ENDINGS = 512
 
@@ -22,22 +24,53 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray, place: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, if the whole of them is asked for, log probability at each row's place). Row sums by a product, which is faster
-    than a reduction.
+def _softmax(h: np.ndarray, place: np.ndarray, bounds: list, w: np.ndarray, grad: np.ndarray | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """(log probability at each row's place, gradient for h, if grad is given; grad then takes up the gradient of w).
+
+    Rows from bounds[k] to bounds[k + 1] choose among the outputs of class k, w[k]. The last column of h is 1 and the last one of w the
+    biases, so the products take them in. Only products go class by class; all else is done for a block of rows at once, whatever their
+    classes. Probabilities are never divided by their sums: rows of h and of its gradient are, which are shorter.
 
     Logits are log frequencies plus small corrections and are clipped far from overflow, where a state within -1 and 1 could get there.
     """
-    x = h @ w
-    x += b
-    if np.max(np.abs(w).sum(0) + np.abs(b)) > 59:
-        np.clip(x, -60, 60, out=x)
-    at = x[np.arange(len(x)), place]
-    np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], x.dtype)
-    if whole:
-        x /= total[:, None]
-    return x, at - np.log(total)
+    width = w.shape[1]
+    clip = np.max(np.abs(w) @ np.ones(w.shape[2], w.dtype), initial=0) > 59
+    rows = max(1, BLOCK // width)
+    x = np.empty((min(rows, len(h)), width), h.dtype)
+    ones = np.ones(width, h.dtype)
+    out = np.empty(len(h), h.dtype)
+    dh = None if grad is None else np.empty_like(h)
+    k = 0
+    for a in range(0, len(h), rows):
+        b = min(a + rows, len(h))
+        parts = []
+        while bounds[k] < b:
+            first, end = max(a, bounds[k]), min(b, bounds[k + 1])
+            if end > first:
+                parts.append((k, slice(first, end), x[first - a : end - a]))
+            if bounds[k + 1] > b or k + 2 == len(bounds):
+                break
+            k += 1
+        y = x[: b - a]
+        for c, own, d in parts:
+            np.matmul(h[own], w[c].T, out=d)
+        if clip:
+            np.clip(y, -60, 60, out=y)
+        at = np.arange(0, y.size, width) + place[a:b]
+        flat = y.ravel()
+        got = flat[at]
+        np.exp(y, out=y)
+        total = y @ ones
+        np.subtract(got, np.log(total), out=out[a:b])
+        if grad is not None:
+            flat[at] -= total
+            total = total[:, None]
+            hs = h[a:b] / total
+            for c, own, d in parts:
+                grad[c] += d.T @ hs[own.start - a : own.stop - a]
+                np.matmul(d, w[c], out=dh[own])
+            dh[a:b] /= total
+    return out, dh
 
 
 class Model:
@@ -95,7 +128,7 @@ class Model:
         """Hidden states (steps, lanes, hidden) of inputs (steps, lanes). fresh: lanes whose text starts at a step."""
         steps, lanes = inputs.shape
         n = self.hidden
-        x = self.p["embed"][inputs]
+        x = self.p["embed"].take(inputs, 0)
         wh = self.p["wh"] * HALVED
         ax = np.matmul(x.reshape(-1, n), self.p["wx"] * HALVED)
         ax += self.p["b"] * HALVED
@@ -118,39 +151,34 @@ class Model:
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grad: dict | None = None):
         """(natural log probability of each target, gradient for h). targets: words, -1 for one outside the vocabulary."""
-        p = self.p
-        group = np.where(targets < 0, 0, targets // self.size + 1)
-        d, got = _softmax(h, p["wc"], p["bc"], group, grad is not None)
-        out = got.astype(np.float64)
-        dh = None
-        if grad is not None:
-            d[np.arange(len(h)), group] -= 1
-            grad["wc"] += h.T @ d
-            grad["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
+        p, n = self.p, self.hidden
+        h = np.concatenate((h, np.ones((len(h), 1), h.dtype)), 1)
+        wc = np.concatenate((p["wc"].T, p["bc"][:, None]), 1)[None]
+        wo = np.concatenate((p["wo"], p["bo"][:, None]), 1).reshape(-1, self.size, n + 1)
+        dwc, dwo = (None, None) if grad is None else (np.zeros_like(wc), np.zeros_like(wo))
+        # sizes are powers of two, and -1 shifted is -1
+        group = ((targets >> (self.size.bit_length() - 1)) + 1).astype(np.int32)
+        first, dh = _softmax(h, group, [0, len(h)], wc, dwc)
+        out = first.astype(np.float64)
         # rows in the order of their classes, so that a class is a slice
-        order = np.argsort(group.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.classes + 1)).tolist()
-        order = order[bounds[1] :]
-        hs, places = h[order], targets[order] % self.size
-        more = np.empty(len(order), h.dtype)
-        dhs = None if grad is None else np.empty((len(order), h.shape[1]), h.dtype)
-        for k in range(1, self.classes):
-            own = slice(bounds[k] - bounds[1], bounds[k + 1] - bounds[1])
-            hi = hs[own]
-            if not len(hi):
-                continue
-            sl = slice((k - 1) * self.size, k * self.size)
-            w = p["wo"][sl]
-            d, more[own] = _softmax(hi, w.T, p["bo"][sl], places[own], grad is not None)
+        order = np.argsort(group if self.classes > 1 << 15 else group.astype(np.int16), kind="stable")
+        bounds = np.searchsorted(group[order], np.arange(1, self.classes + 1))
+        order = order[bounds[0] :]
+        if len(order):
+            more, dhs = _softmax(h.take(order, 0), targets[order] & (self.size - 1), (bounds - bounds[0]).tolist(), wo, dwo)
+            # back in the order of the rows, with nothing for those of class 0
+            back = np.full(len(h), len(order))
+            back[order] = np.arange(len(order))
+            out += np.append(more, 0).take(back)
             if grad is not None:
-                d[np.arange(len(hi)), places[own]] -= 1
-                grad["wo"][sl] += d.T @ hi
-                grad["bo"][sl] += d.sum(0)
-                np.matmul(d, w, out=dhs[own])
-        out[order] += more
+                dh += np.concatenate((dhs, np.zeros_like(dhs[:1]))).take(back, 0)
         if grad is not None:
-            dh[order] += dhs
+            dwo = dwo.reshape(-1, n + 1)
+            grad["wc"] += dwc[0, :, :n].T
+            grad["bc"] += dwc[0, :, n]
+            grad["wo"] += dwo[:, :n]
+            grad["bo"] += dwo[:, n]
+            dh = np.ascontiguousarray(dh[:, :n])
         return out, dh
 
     def learn(self, inputs, fresh, targets, live, state, adam: dict, rate: float):
@@ -160,13 +188,16 @@ class Model:
         h, last, x, cache = self.recur(inputs, fresh, state)
         grad = {k: np.zeros_like(v) for k, v in self.p.items()}
         flat = np.flatnonzero(live.ravel())
-        _, dflat = self.log_probs(h.reshape(-1, n)[flat], targets.ravel()[flat], grad)
-        dh = np.zeros((steps * lanes, n), dflat.dtype)
-        dh[flat] = dflat
+        if len(flat) == live.size:
+            dh = self.log_probs(h.reshape(-1, n), targets.ravel(), grad)[1]
+        else:
+            dflat = self.log_probs(h.reshape(-1, n).take(flat, 0), targets.ravel()[flat], grad)[1]
+            dh = np.zeros((steps * lanes, n), dflat.dtype)
+            dh[flat] = dflat
         dh = dh.reshape(steps, lanes, n)
-        dax = np.empty((3, steps, lanes, n), dflat.dtype)
-        dah = np.empty((3, lanes, n), dflat.dtype)
-        carry = np.zeros((lanes, n), dflat.dtype)
+        dax = np.empty((3, steps, lanes, n), dh.dtype)
+        dah = np.empty((3, lanes, n), dh.dtype)
+        carry = np.zeros((lanes, n), dh.dtype)
         back = np.ascontiguousarray(self.p["wh"].transpose(0, 2, 1))
         for t in range(steps - 1, -1, -1):
             before, z, r, c, ahc = cache[t]
@@ -193,20 +224,23 @@ class Model:
         grad["wx"] += np.matmul(x.reshape(-1, n).T, dax)
         dx = np.matmul(dax, self.p["wx"].transpose(0, 2, 1)).sum(0)
         ids = inputs.ravel()
-        order = np.argsort(ids.astype(np.int32), kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-        grad["embed"][ids[order][first]] += np.add.reduceat(dx[order], first)
-        scale = 1 / max(1, len(flat))
+        order = np.argsort(ids.astype(np.uint16 if self.start < 1 << 16 else np.int32), kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        grad["embed"][ids[first]] = np.add.reduceat(dx.take(order, 0), first)
+        # a tenth of the mean gradient
+        scale = 0.1 / max(1, len(flat))
         adam["t"] = t = adam.get("t", 0) + 1
         for k, g in grad.items():
             g *= scale
-            m = adam.setdefault("m" + k, np.zeros_like(g))
-            v = adam.setdefault("v" + k, np.zeros_like(g))
+            if "m" + k not in adam:
+                adam["m" + k], adam["v" + k] = np.zeros_like(g), np.zeros_like(g)
+            m, v = adam["m" + k], adam["v" + k]
             m *= 0.9
-            m += 0.1 * g
+            m += g
             v *= 0.99
+            # a hundredth of the gradient's square
             g *= g
-            g *= 0.01
             v += g
             np.sqrt(v, out=g)
             g += 1e-6

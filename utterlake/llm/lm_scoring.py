@@ -144,9 +144,8 @@ class Lexicon:
         return np.where(self.sorted[at] == h, self.number[at], -1)
 
 
-def _coded(lexicon: Lexicon, model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+def _coded(target: np.ndarray, model: Model, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
     """(inputs, targets) of each token: the token before it and its number, -1 outside the vocabulary."""
-    target = lexicon.numbers(t.hash)
     own = np.where(target >= 0, target, model.words + t.ending)
     inputs = np.empty(len(own), np.int64)
     inputs[1:] = own[:-1]
@@ -158,7 +157,7 @@ def _train(lexicon: Lexicon, hidden: int, blob: bytes, rate: float):
     def run(table: pa.Table) -> pa.Table:
         model = Model(len(lexicon.sorted), hidden).unpack(blob)
         t = Tokens(table.column("_text"), endings=True)
-        inputs, target = _coded(lexicon, model, t)
+        inputs, target = _coded(lexicon.numbers(t.hash), model, t)
         # at least WINDOWS steps of learning, if there are tokens for them
         lanes = min(TRAIN_LANES, max(16, len(inputs) // (STEPS * WINDOWS)))
         grid, fresh, live, place = arrange_evenly(t.offs, inputs, lanes)
@@ -213,9 +212,11 @@ def _score(lexicon: Lexicon, hidden: int, blob: bytes, n: int, v: int, top_n: in
         every, place_of = _numbered(t.hash)
         parts = sorted(zip(answers.column("_range").to_pylist(), answers.column("_totals").to_pylist(), strict=True))
         total = np.concatenate([np.frombuffer(b, np.int64) for _, b in parts])
-        count = total[place_of]
-        base = np.log10((count + 1) / (n + (v + 1)))
-        inputs, target = _coded(lexicon, model, t)
+        # looked up and worked out once for each different word
+        number = lexicon.numbers(every)
+        base = np.log10((total + 1) / (n + (v + 1)))[place_of]
+        rare = np.where(number < 0, np.log10((total + 1) / ((n - top_n) + (v - words) + 1)), 0.0)
+        inputs, target = _coded(number[place_of], model, t)
         grid, fresh, live, place, reach = arrange(t.count, t.offs, inputs, LANES)
         goal = np.full(grid.size, -1)
         goal[place] = target
@@ -227,18 +228,20 @@ def _score(lexicon: Lexicon, hidden: int, blob: bytes, n: int, v: int, top_n: in
         for a in range(0, len(grid), step):
             b = slice(a, a + step), slice(0, reach[a])
             h, state, _, _ = model.recur(grid[b], fresh[b], state[: reach[a]])
-            some = live[b]
-            flat[b][some] = model.log_probs(h[some], goal[b][some])[0]
+            some = np.flatnonzero(live[b])
+            got = np.zeros(h.shape[:2])
+            got.ravel()[some] = model.log_probs(h.reshape(-1, hidden).take(some, 0), goal[b].ravel()[some])[0]
+            flat[b] = got
         flat = flat.ravel()
         own = flat[place] / math.log(10)
-        own += np.where(target < 0, np.log10((count + 1) / ((n - top_n) + (v - words) + 1)), 0.0)
+        own += rare[place_of]
 
         def sums(x):
             return np.add.reduceat(x, t.offs[:-1])
 
         m = len(t.count)
         return pa.Table.from_arrays(
-            [rows.column("doc_id"), rows.column("held_out"), pa.array(t.count), pa.array(sums((count > 0).astype(np.int64))), pa.array(np.full(m, n)), pa.array(sums(base)), pa.array(sums(own))],
+            [rows.column("doc_id"), rows.column("held_out"), pa.array(t.count), pa.array(sums((total > 0).astype(np.int64)[place_of])), pa.array(np.full(m, n)), pa.array(sums(base)), pa.array(sums(own))],
             names=names,
         )
 
