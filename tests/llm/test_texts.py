@@ -347,3 +347,19 @@ def test_model_works_for_all_classes_at_once(monkeypatch):
             np.testing.assert_allclose(grad[k], want[k], atol=1e-9)
     assert len(m.log_probs(h[:0], targets[:0])[0]) == 0
     np.testing.assert_allclose(m.log_probs(h, targets)[0], probs, rtol=1e-6)
+
+
+def test_words_are_numbered_in_order():
+    """Also where different hashes share their first bits; a table of the inputs gives the same states."""
+    rng = np.random.default_rng(5)
+    top = rng.integers(0, 1 << 62, 300).astype(np.uint64) << np.uint64(2)
+    for h in (rng.choice(top, 5000), rng.choice(np.concatenate((top, top + np.uint64(1), top + np.uint64(3))), 5000), np.full(7, top[0]), top[:0], ~rng.choice(top, 64)):
+        every, place = lm_scoring._numbered(h)
+        want = np.unique(h, return_inverse=True)
+        assert (every == want[0]).all() and (place == want[1]).all() and len(place) == len(h)
+    model = Model(300, 8)
+    inputs, fresh = rng.integers(0, 300, (30, 5)), rng.random((30, 5)) < 0.1
+    state = np.tanh(rng.standard_normal((5, 8))).astype(np.float32)
+    (a, last, *_), (b, also, *_) = model.recur(inputs, fresh, state), model.recur(inputs, fresh, state, model.table())
+    np.testing.assert_allclose(a, b, atol=1e-6)
+    np.testing.assert_allclose(last, also, atol=1e-6)

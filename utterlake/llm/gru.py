@@ -124,29 +124,42 @@ class Model:
             at += v.size
         return self
 
-    def recur(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray):
-        """Hidden states (steps, lanes, hidden) of inputs (steps, lanes). fresh: lanes whose text starts at a step."""
+    def table(self) -> np.ndarray:
+        """What each input adds to the gates, (3, inputs, hidden)."""
+        return np.matmul(self.p["embed"], self.p["wx"] * HALVED) + self.p["b"] * HALVED
+
+    def recur(self, inputs: np.ndarray, fresh: np.ndarray, state: np.ndarray, table: np.ndarray | None = None):
+        """Hidden states (steps, lanes, hidden) of inputs (steps, lanes). fresh: lanes whose text starts at a step. With the table of these
+        parameters nothing is kept for learning."""
         steps, lanes = inputs.shape
         n = self.hidden
-        x = self.p["embed"].take(inputs, 0)
         wh = self.p["wh"] * HALVED
-        ax = np.matmul(x.reshape(-1, n), self.p["wx"] * HALVED)
-        ax += self.p["b"] * HALVED
-        ax = ax.reshape(3, steps, lanes, n)
+        if table is None:
+            x = self.p["embed"].take(inputs, 0)
+            ax = np.matmul(x.reshape(-1, n), self.p["wx"] * HALVED)
+            ax += self.p["b"] * HALVED
+            ax = ax.reshape(3, steps, lanes, n)
+        else:
+            x, ax = None, table.take(inputs, 1)
         out = np.empty((steps, lanes, n), state.dtype)
         cache = []
-        for t in range(steps):
-            if fresh[t].any():
+        ah = zr = c = None
+        for t, starts in enumerate(fresh.any(1).tolist()):
+            if starts:
                 state = state * ~fresh[t][:, None]
-            ah = np.matmul(state, wh)
-            z, r = _sigmoid(ax[:2, t] + ah[:2])
-            c = r * ah[2]
+            ah = np.matmul(state, wh, out=ah)
+            zr = np.add(ax[:2, t], ah[:2], out=zr)
+            z, r = _sigmoid(zr)
+            c = np.multiply(r, ah[2], out=c)
             c += ax[2, t]
             np.tanh(c, out=c)
-            cache.append((state, z, r, c, ah[2]))
+            if table is None:
+                cache.append((state, z, r, c, ah[2]))
             state = np.subtract(state, c, out=out[t])
             state *= z
             state += c
+            if table is None:
+                ah = zr = c = None
         return out, state.copy(), x, cache
 
     def log_probs(self, h: np.ndarray, targets: np.ndarray, grad: dict | None = None):
@@ -220,7 +233,7 @@ class Model:
             if fresh[t].any():
                 carry *= ~fresh[t][:, None]
         dax = dax.reshape(3, -1, n)
-        grad["b"] += dax.sum(1, keepdims=True)
+        grad["b"] += np.matmul(np.ones((1, dax.shape[1]), dax.dtype), dax)
         grad["wx"] += np.matmul(x.reshape(-1, n).T, dax)
         dx = np.matmul(dax, self.p["wx"].transpose(0, 2, 1)).sum(0)
         ids = inputs.ravel()
