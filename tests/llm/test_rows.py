@@ -144,3 +144,17 @@ def test_pipeline_stages_take_empty_tables(spark, sf, docs):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, sf)
         assert frame.count() == 0
+
+
+def test_scratch_tables_leave_the_catalog(spark, sf):
+    """A query's scratch table has no name in the catalog that would stay; its rows are read from the files, still bucketed."""
+    from utterlake.session import bucketed
+
+    before = {t.name for t in spark.catalog.listTables()}
+    frames = [QUERIES[name](spark, sf) for name in ("op3_suffix_dedup", "op6_lm_scoring", "op10_minhash_dedup")]
+    table = bucketed(spark.range(300).withColumn("k", F.col("id") % 7), 4, ["k"], "texts")
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert [f.select("doc_id").distinct().count() for f in frames] == [200, 200, 200]
+    both = table.join(table.withColumnsRenamed({"k": "_k", "id": "_id"}).hint("merge"), F.col("k") == F.col("_k"))
+    assert both.count() == sum(len(range(k, 300, 7)) ** 2 for k in range(7))
+    assert "Exchange hashpartitioning" not in both._jdf.queryExecution().executedPlan().toString()
